@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .mixing import mixed
+from .neighbours import nearest
 from .packing import packed
+from .quality import quality_rules
 from .shards import interleaved_shards
 from .simhash import near_duplicates
+from .suffixes import without_repeats
+from .templates import without_recurring_lines
 from .urls import url_verdicts
 from .warc import archived_pages
 
@@ -20,6 +24,23 @@ from .warc import archived_pages
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
+def vantage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents")).drop("distance")
+
+
+def line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = without_recurring_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_duplicates(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
@@ -47,8 +68,12 @@ def concatenated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_vantage": vantage_search,
+    "op2_deep_shallow": suffix_dedup,
+    "op3_mcd": quality_mcd,
     "op4_simhash": simhash_groups,
     "op5_url_trees": url_filter,
+    "op6_templates": line_templates,
     "op7_interleave": interleaved,
     "op8_warc_members": warc_members,
     "op9_sainte_lague": sainte_lague_mix,
