@@ -166,7 +166,7 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = 5, factor: float
     blocks = max(1, -(-queries.count() // block_rows))
     asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks)).cast("int"))
     met = asked.join(index.select("dim", "shard"), "dim").select("dim", "shard", "block", "vec_id", "vector")
-    trees = index.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "tree")
+    trees = index.select(F.col("dim").alias("of_dim"), F.col("shard").alias("of_shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("of_block"), "tree")
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -176,8 +176,7 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = 5, factor: float
         hit = np.isfinite(scores)
         return pd.DataFrame({"query_id": np.repeat(names, k).reshape(ids.shape)[hit], "vec_id": ids[hit], "score": scores[hit]})
 
-    keys = ["dim", "shard", "block"]
-    found = met.groupBy(*keys).cogroup(trees.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
+    found = met.groupBy("dim", "shard", "block").cogroup(trees.groupBy("of_dim", "of_shard", "of_block")).applyInPandas(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
