@@ -181,7 +181,7 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = 5, factor: float
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, factor: float = 1.0, id_col: str = "vec_id", vector_col: str = "embedding", **sizes) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, factor: float = 1.0, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD, block_rows: int = BLOCK) -> DataFrame:
     """The k nearest of all other vectors, by cosine, for every vector whose id is divisible by `every`.
 
     Vectors that are null, zero or hold null or non-finite components take no
@@ -189,4 +189,4 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, factor: float = 1.0
     query's are no candidates of it; an empty table gives no rows.
     """
     usable = written(usable_vectors(vectors, id_col, vector_col), "vectors")
-    return search_index(vantage_index(usable, **sizes), usable.filter(F.col("vec_id") % every == 0), k, factor)
+    return search_index(vantage_index(usable, shard_rows), usable.filter(F.col("vec_id") % every == 0), k, factor, block_rows)
