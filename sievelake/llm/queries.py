@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .mixing import mixed
 from .neighbours import nearest
+from .oracles import ORACLES as ORACLES
 from .packing import packed
 from .quality import quality_rules
 from .shards import interleaved_shards
@@ -79,5 +80,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sainte_lague": sainte_lague_mix,
     "op10_concat_cut": concatenated_windows,
 }
-
-ORACLES: dict[str, str] = {}
