@@ -7,7 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import advise, dash, evaluate, profile, relate, semantic, sinks
+from ..functions import align
+from ..operators import advise, dash, evaluate, infer, metrics, profile, profile_store, relate, repair, semantic, sinks
 from ..sources import read
 from ..streaming import stream
 from .fixtures import DIRTY, RUNS, dirty_orders, run_history, table
@@ -420,3 +421,68 @@ def stream_dedup(spark, sf_dir):
     q = stream.fan_out(posts, [lambda b, k: b.select("id").write.mode("overwrite").parquet(f"{out}/{k}")], mark, once=True)
     q.awaitTermination()
     return spark.read.option("recursiveFileLookup", "true").parquet(out)
+
+
+# ---- A, B, C, F, G, K: specs, keys, guards, programs --------------------------------
+
+
+@query("SELECT * FROM (VALUES ('o_orderkey', 'IntegerType', false), ('code', 'StringType', false), ('price', 'DoubleType', false), ('o_orderdate', 'TimestampType', true), ('o_orderstatus', 'StringType', false)) t(\"column\", kind, is_date)")
+def inferred_spec(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    raw = o.select(F.col("o_orderkey").cast("string").alias("o_orderkey"), F.lpad((F.col("o_orderkey") % 1000).cast("string"), 6, "0").alias("code"), F.format_string("%.2f", "o_totalprice").alias("price"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"), "o_orderstatus")
+    spec, date = infer.infer_spec(raw)
+    return spark.createDataFrame([(c, t, c == date) for c, t in spec.items()], "column string, kind string, is_date boolean")
+
+
+@query("SELECT CASE WHEN count(DISTINCT (l_orderkey, l_linenumber::VARCHAR)) >= 0.9 * count(*) THEN 'l_orderkey,line' ELSE '' END AS lineitem_key, 'o_orderkey' AS orders_key FROM lineitem")
+def inferred_keys(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", F.col("l_linenumber").cast("string").alias("line"))
+    o = table(spark, sf_dir, "orders").select("o_totalprice", "o_orderkey")
+    return spark.createDataFrame([(",".join(infer.infer_primary_key(l)), ",".join(infer.infer_primary_key(o)))], "lineitem_key string, orders_key string")
+
+
+@query("SELECT 'missing_key' AS finding, 'doc_key' AS \"column\", 'fail' AS action UNION ALL SELECT 'long_text', 'text', 'warn' FROM (SELECT avg(length(text)) AS n FROM documents) WHERE n > 150")
+def input_guards(spark, sf_dir):
+    return infer.input_guards(table(spark, sf_dir, "documents"), ["doc_id", "doc_key"])
+
+
+@query("SELECT 'whole' AS \"column\", 'IntegerType' AS kind UNION ALL SELECT 'price', 'DoubleType'")
+def promoted_types(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.concat(F.col("o_orderkey").cast("string"), F.lit(".00")).alias("whole"), F.format_string("%.2f", "o_totalprice").alias("price"))
+    spec = align.promote_integers(o, {"whole": "IntegerType", "price": "IntegerType"})
+    return spark.createDataFrame(list(spec.items()), "column string, kind string")
+
+
+@query(f"WITH {DIRTY} SELECT row_id, round(coalesce(price, 0.0), 2) AS price FROM dirty")
+def auto_strategy(spark, sf_dir):
+    d = dirty_orders(spark, sf_dir).withColumn("price", F.format_string("%.2f", "price")).withColumn("price", F.when(F.col("price") != "null", F.col("price")))
+    return repair.auto_strategy(d, "price")[0].select("row_id", "price")
+
+
+@query(f"WITH {TAGGED} SELECT 'run-1' AS run_id, 'orders' AS table_name, count(*)::BIGINT AS total_records, count(*) FILTER (reject_reason IS NULL)::BIGINT AS clean_records, count(reject_reason)::BIGINT AS quarantined_records, round(100.0 * count(*) FILTER (reject_reason IS NULL) / count(*), 4) AS quality_score FROM tagged")
+def run_document(spark, sf_dir):
+    return metrics.run_row(tagged_orders(spark, sf_dir), "orders", "run-1").drop("quarantine_breakdown")
+
+
+@query("SELECT o_orderkey::DOUBLE AS o_orderkey, o_orderdate, o_orderstatus FROM orders")
+def prepared_frame(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("o_orderdate"), "o_orderstatus", F.lit("r").alias("run_id"))
+    return profile.prepare(o, {"o_orderkey": "numeric", "o_orderdate": "date"})
+
+
+@query()
+def profile_cycle(spark, sf_dir):
+    path, o = scratch(spark, "profiles"), table(spark, sf_dir, "orders")
+    profile_store.cycle(o.filter("o_orderkey % 2 = 0"), path, "orders", ["o_totalprice"])
+    return profile_store.cycle(o.filter("o_orderkey % 2 = 1"), path, "orders", ["o_totalprice"])
+
+
+@query("SELECT DISTINCT o_custkey FROM orders WHERE o_totalprice < 20000")
+def follow_up_ids(spark, sf_dir):
+    return evaluate.follow_up(table(spark, sf_dir, "orders"), "o_custkey", "o_totalprice", 20000)
+
+
+@query("SELECT s_suppkey, 'e1' AS execution, 'trim,cast' AS rules FROM supplier")
+def contract_metadata(spark, sf_dir):
+    s = repair.with_meta(table(spark, sf_dir, "supplier"), "e1", ["trim", "cast"], ["not_null"])
+    return repair.with_meta(s, "e1", ["other"], []).select("s_suppkey", F.col("_meta.execution_id").alias("execution"), F.array_join("_meta.rules", ",").alias("rules"))
