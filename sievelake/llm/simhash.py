@@ -73,7 +73,9 @@ def near_links(prints: DataFrame, most: int = 3, segments: int = 2) -> DataFrame
     prints: distinct (fingerprint). Multi-index hashing: of two fingerprints
     that near, some segment differs in at most most // segments bits. So every
     fingerprint enters a table under each segment's value, and is looked up
-    under every value in the Hamming ball of that radius around it. Those that
+    under every value in the Hamming ball of radius 1 around it; where segments
+    may differ in 2 bits, the looked-up values enter the table too, for two
+    balls of radius 1 then share a value. Those that
     meet under a value are verified over all 64 bits; instead of all pairs,
     which a dense group has too many of, only the links that connect them are
     returned. Under a value every fingerprint met is compared, none is capped;
@@ -81,15 +83,15 @@ def near_links(prints: DataFrame, most: int = 3, segments: int = 2) -> DataFrame
     are yet far apart, and eight bytes each are held.
     """
     width, radius = 64 // segments, most // segments
-    if radius > 1 or 64 % segments:
-        raise ValueError("segments must divide 64 and be over most / 2")
+    if radius > 2 or 64 % segments:
+        raise ValueError("segments must divide 64 and be over most / 3")
     mask = (1 << width) - 1
     own = [f"(shiftrightunsigned(fingerprint, {s * width}) & {mask}L)" for s in range(segments)]
     keys = []
     for s, value in enumerate(own):
         keys.append(f"named_struct('segment', {s}, 'value', {value}, 'entry', true)")
         if radius:
-            keys += [f"named_struct('segment', {s}, 'value', {value} ^ {1 << bit}L, 'entry', false)" for bit in range(width)]
+            keys += [f"named_struct('segment', {s}, 'value', {value} ^ {1 << bit}L, 'entry', {str(radius > 1).lower()})" for bit in range(width)]
     met = prints.select("fingerprint", F.explode(F.expr(f"array({', '.join(keys)})")).alias("k")).select(F.expr("k.value * 8 + k.segment").alias("key") if width < 60 else F.xxhash64("k.segment", "k.value").alias("key"), F.expr("k.entry").alias("entry"), "fingerprint")
     spark = prints.sparkSession
     dealt = met.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")

@@ -170,6 +170,22 @@ def test_simhash_dense_group(spark):
     assert links.count() < 5 * len(signed)  # not all pairs
 
 
+def test_simhash_wider_balls(spark):
+    """With 5 bits, segments may differ in 2 and meet where their balls do."""
+    rng = np.random.default_rng(4)
+    base = [int(x) for x in rng.integers(1, 1 << 63, 40, dtype=np.int64)]
+    prints = set(base)
+    for k, x in enumerate(base):
+        bits = rng.choice(64, 5 + k % 2, replace=False)
+        prints.add(x ^ sum(1 << int(b) for b in bits))
+    signed = [(x - (1 << 64) if x >> 63 else x,) for x in prints]
+    got = {r.node % (1 << 64): r.component for r in components(simhash.near_links(spark.createDataFrame(signed, "fingerprint long"), most=5)).collect()}
+    for a, b in itertools.combinations(prints, 2):
+        if (a ^ b).bit_count() <= 5:
+            assert got[a] == got[b]
+    assert len(set(got.values())) == 20 and len(got) == 40
+
+
 def test_simhash_empty(no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0
 
