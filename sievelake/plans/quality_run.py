@@ -37,18 +37,17 @@ def tag(df: DataFrame, spec: TableSpec) -> DataFrame:
     marked = dedup.split_duplicates(checks.withColumn("__whole", whole), [*spec.pk, "__whole"], spec.date, spec.tie)
     reasons: Column = F.when(~F.col("__whole"), F.col("reasons")).when(F.col("is_duplicate"), F.array(F.lit("duplicate_records"))).otherwise(F.array_compact(F.array(validate.range_rules(spec.ranges))) if spec.ranges else F.array().cast("array<string>"))
     tagged = marked.withColumn("reasons", reasons).drop("is_duplicate", "__whole")
-    for columns, add in ((spec.iqr, "outliers"), (spec.zscore, "zscore_outliers")):
-        if columns:
-            clean = tagged.filter(F.size("reasons") == 0)
-            flagged = outliers.flag_iqr(tagged, outliers.iqr_bounds(clean, columns, spec.iqr_k), columns) if add == "outliers" else _zscored(tagged, clean, columns)
-            tagged = flagged.withColumn("reasons", F.when(F.size("reasons") == 0, F.col(add)).otherwise(F.col("reasons"))).drop(add)
+    if spec.iqr:
+        bounds = outliers.iqr_bounds(tagged.filter(F.size("reasons") == 0), spec.iqr, spec.iqr_k)
+        tagged = _added(outliers.flag_iqr(tagged, bounds, spec.iqr), "outliers")
+    if spec.zscore:
+        tagged = _added(outliers.flag_zscore(tagged, spec.zscore, of=tagged.filter(F.size("reasons") == 0)), "zscore_outliers")
     return tagged.withColumn("reject_reason", validate.reject_reason()).withColumn("zone", F.when(F.size("reasons") == 0, "clean").otherwise("quarantine"))
 
 
-def _zscored(df: DataFrame, clean: DataFrame, columns: list[str], t: float = 3.0) -> DataFrame:
-    one = clean.agg(*[F.avg(c).alias(f"__m_{c}") for c in columns], *[F.stddev_samp(c).alias(f"__s_{c}") for c in columns])
-    hits = [F.when((F.col(f"__s_{c}") > 0) & (F.abs(F.col(c) - F.col(f"__m_{c}")) > t * F.col(f"__s_{c}")), F.lit(f"{c}_zscore")) for c in columns]
-    return df.crossJoin(F.broadcast(one)).withColumn("zscore_outliers", F.array_compact(F.array(*hits))).drop(*one.columns)
+def _added(flagged: DataFrame, name: str) -> DataFrame:
+    """Outliers become the reasons of rows that had none."""
+    return flagged.withColumn("reasons", F.when(F.size("reasons") == 0, F.col(name)).otherwise(F.col("reasons"))).drop(name)
 
 
 def run(df: DataFrame, spec: TableSpec, run_id: str, rules: list[dict] | None = None) -> tuple[DataFrame, DataFrame]:

@@ -146,3 +146,11 @@ def test_failed_upsert_leaves_the_table(spark, tmp_path):
     with pytest.raises(Exception, match="boom"):
         sinks.upsert(bad, path, ["k"])
     assert [tuple(r) for r in sinks.read_latest(spark, path).collect()] == [(1, "a")]
+
+
+def test_zscores_come_after_the_other_rules(spark):
+    """Means and deviations are those of rows without a reason: a row out of range does not hide an outlier."""
+    rows = [(k, 10.0 + k % 3, k) for k in range(40)] + [(100, 60.0, 100), (101, 1e9, 101)]
+    spec = TableSpec("t", ["k"], None, [], {"price": (0, 1e6)}, [], zscore=["price"], tie=["r"])
+    tagged, _ = run(spark.createDataFrame(rows, "k int, price double, r int"), spec, "r1")
+    assert {r.k: r.reject_reason for r in tagged.filter("zone = 'quarantine'").collect()} == {100: "price_zscore", 101: "range_violation_price"}
