@@ -144,8 +144,9 @@ def mark_runs(data: np.ndarray, bounds: np.ndarray, length: int) -> Iterator[tup
     data: the documents' bytes one after another, cut at bounds. The mark of a
     string is the place of the least hash of MARK bytes in it, the leftmost of
     equals, so equal strings have it at the same place. Yields, a slab at a
-    time: hash of the mark, document, first start in the document, number of
-    starts, and distance of the mark from the first start.
+    time: hash of the mark, hash of all bytes of the run, document, first start
+    in the document, number of starts, and distance of the mark from the first
+    start.
     """
     width = length - MARK + 1
     for at in range(0, len(data) - length + 1, SLAB):
@@ -170,7 +171,13 @@ def mark_runs(data: np.ndarray, bounds: np.ndarray, length: int) -> Iterator[tup
         count = np.diff(np.append(new, starts))
         held = document[new] >= 0
         new, count = new[held], count[held]
-        yield code[mark[new]], document[new], new + at - bounds[document[new]], count, mark[new] - new
+        # All bytes of a run lie under hashes from its front and from its back.
+        whole = count.astype(np.uint64)
+        for k in range(-(-(length + width) // (2 * MARK))):
+            for place in (new + k * MARK, new + count + length - 1 - (k + 1) * MARK):
+                whole = (whole ^ code[np.clip(place, new, new + count + length - 1 - MARK)]) * _MIX[1]
+                whole ^= whole >> np.uint64(31)
+        yield code[mark[new]], whole, document[new], new + at - bounds[document[new]], count, mark[new] - new
 
 
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -250,42 +257,113 @@ def _sorted_chunk(rows: dict[str, np.ndarray], length: int) -> tuple[list, list]
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, text and a key of the text that tells apart rows that repeat an id."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return rows.select("doc_id", F.pmod(F.xxhash64("text"), F.lit(1 << 16)).cast("int").alias("text_key"), "text")
+    return rows.select("doc_id", F.coalesce(F.pmod(F.xxhash64("text"), F.lit(1 << 15)).cast("int"), F.lit(0)).alias("text_key"), "text")
 
 
-def repeated_ranges(docs: DataFrame, length: int = 100, together: int = TOGETHER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Byte ranges [low, high) that strings of `length` bytes with an earlier equal cover: doc_id, text_key, low, high.
+def _packed(key: np.ndarray, start: np.ndarray, count: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A run's text key, start, number of starts and distance of the mark in one number that sorts by key and start."""
+    return (key.astype(np.int64) << 48) | (start << 16) | (count << 8) | first
 
-    Every string has a mark (mark_runs), and equal strings have equal marks: a
-    first pass counts the marks, so that only suffixes whose mark is found
-    twice or more are sorted. These are cut out of their texts and go by mark
-    to the tasks that sort them (repeated_starts). A mark with very many
-    suffixes is dealt out to several tasks by the place of the suffix; each
-    finds what repeats within it, and strings that are first in their task are
-    compared by 128-bit digests over all tasks.
+
+def _unpacked(run: np.ndarray) -> tuple[np.ndarray, ...]:
+    return (run >> 48).astype(np.int32), (run >> 16) & 0xFFFFFFFF, (run >> 8) & 255, run & 255
+
+
+def _runs(keyed: DataFrame, length: int) -> DataFrame:
+    """(mark, whole, doc_id, run) of every run of every text; of equal runs in a batch of texts only the first.
+
+    The others are covered by an earlier equal whatever else there is: they
+    have null for `whole` and any mark, so that a passage that very many texts
+    share is one row of a batch where it is compared.
     """
-    spark = docs.sparkSession
-    keyed = _keyed(docs, id_col, text_col)
 
-    def count_marks(batches):
+    def list_runs(batches):
         for batch in batches:
-            data, bounds = _bytes_of(batch.column(0))
-            for code, *_ in mark_runs(data, bounds, length):
-                mark, n = np.unique(code.view(np.int64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(mark), pa.array(n)], ["mark", "n"])
+            ids = batch.column(0).fill_null(_LATE).to_numpy()
+            keys = batch.column(1).to_numpy()
+            data, bounds = _bytes_of(batch.column(2))
+            parts = [x for x in mark_runs(data, bounds, length) if len(x[0])]
+            if not parts:
+                continue
+            mark, whole, document, start, count, first = (np.concatenate(x) for x in zip(*parts, strict=True))
+            mark, whole, doc_id, run = mark.view(np.int64), whole.view(np.int64), ids[document], _packed(keys[document], start, count, first)
+            order = np.lexsort((run, doc_id, whole, mark))
+            mark, whole, doc_id, run = (x[order] for x in (mark, whole, doc_id, run))
+            new = np.concatenate([[True], (np.diff(mark) != 0) | (np.diff(whole) != 0)])
+            lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+            later = (doc_id != doc_id[lead]) | (run != run[lead])
+            mark = np.where(later, run * np.int64(-7046029254386353131) ^ doc_id, mark)
+            yield pa.RecordBatch.from_arrays([pa.array(mark), pa.array(whole, mask=later), pa.array(doc_id, mask=doc_id == _LATE), pa.array(run)], ["mark", "whole", "doc_id", "run"])
+
+    return keyed.mapInArrow(list_runs, "mark long, whole long, doc_id long, run long")
+
+
+def _settled(runs: DataFrame) -> DataFrame:
+    """(mark, doc_id, run): with null mark, runs that an earlier equal run covers; else runs whose mark other runs have too, one of each kind.
+
+    Runs come to a task by their mark and in order; nothing but the last run
+    seen is held.
+    """
 
-    def list_marks(batches):
+    def settle(batches):
+        held = None  # mark, whole, doc_id and run of the last kind's first run; whether it is out already; whether its mark has more kinds
         for batch in batches:
-            ids, keys = batch.column(0), batch.column(1)
-            data, bounds = _bytes_of(batch.column(2))
-            for code, document, start, count, first in mark_runs(data, bounds, length):
-                row = pa.array(document)
-                yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), ids.take(row), keys.take(row), pa.array((start << 16) | (count << 8) | first)], ["mark", "doc_id", "text_key", "run"])
+            mark, doc_id, run = batch.column(0).to_numpy(), batch.column(2).fill_null(_LATE).to_numpy(), batch.column(3).to_numpy()
+            covered = batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            whole = batch.column(1).fill_null(0).to_numpy()
+            done = [(doc_id[covered], run[covered])]
+            mark, whole, doc_id, run = (x[~covered] for x in (mark, whole, doc_id, run))
+            out, many = False, False
+            if held is not None:
+                mark, whole, doc_id, run = (np.concatenate([[h], x]) for h, x in zip(held[:4], (mark, whole, doc_id, run), strict=True))
+                out, many = held[4:]
+            asked = np.zeros(0, np.int64)
+            if len(mark):
+                new_mark = np.concatenate([[True], np.diff(mark) != 0])
+                new = new_mark | np.concatenate([[True], np.diff(whole) != 0])
+                lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+                later = (doc_id != doc_id[lead]) | (run != run[lead])
+                done.append((doc_id[later], run[later]))
+                group = np.cumsum(new_mark) - 1
+                kinds = np.bincount(group, new)
+                kinds[0] += many
+                asked = np.flatnonzero(new & (kinds[group] > 1))
+                more = bool(kinds[-1] > 1)
+                if out and len(asked) and asked[0] == 0:
+                    asked = asked[1:]
+                at = int(lead[-1])
+                held = (mark[at], whole[at], doc_id[at], run[at], more or (out and at == 0), more)
+            ids, rows = np.concatenate([*(x[0] for x in done), doc_id[asked]]), np.concatenate([*(x[1] for x in done), run[asked]])
+            names = np.concatenate([np.zeros(len(ids) - len(asked), np.int64), mark[asked]])
+            yield pa.RecordBatch.from_arrays([pa.array(names, mask=np.arange(len(ids)) < len(ids) - len(asked)), pa.array(ids, mask=ids == _LATE), pa.array(rows)], ["mark", "doc_id", "run"])
+
+    dealt = runs.repartition(shuffle_partitions(runs.sparkSession), "mark").sortWithinPartitions("mark", "whole", F.col("doc_id").asc_nulls_last(), "run")
+    return written(dealt.mapInArrow(settle, "mark long, doc_id long, run long"), "settled-runs")
+
+
+def _joined_to_texts(keyed: DataFrame, per_doc: DataFrame, how: str) -> DataFrame:
+    """per_doc has __id and __key. The texts are dealt out alike for every such join, so that Spark shuffles them once."""
+    return keyed.join(per_doc, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")), how)
+
+
+def repeated_ranges(keyed: DataFrame, length: int = 100, together: int = TOGETHER) -> DataFrame:
+    """Byte ranges [low, high) that strings of `length` bytes with an earlier equal cover: doc_id, text_key, low, high.
 
-    counts = keyed.select("text").mapInArrow(count_marks, "mark long, n long").groupBy("mark").agg(F.sum("n").alias("n")).filter("n > 1")
-    listed = keyed.mapInArrow(list_marks, "mark long, doc_id long, text_key int, run long")
-    shared = listed.join(counts, "mark").groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_list(F.struct("mark", "n", "run")).alias("runs"))
-    texts = keyed.join(shared, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key"))).select("doc_id", "text_key", "text", F.col("runs.mark").alias("mark"), F.col("runs.n").alias("n"), F.col("runs.run").alias("run"))
+    keyed: from _keyed. Every string has a mark (mark_runs), and equal strings
+    have equal marks. Runs of strings meet by their mark; equal runs (by two
+    64-bit hashes) are one kind, all but whose first are covered. Kinds that
+    share a mark are cut out of their texts and go by mark to the tasks that
+    sort their suffixes and find equal strings byte by byte (repeated_starts).
+    A mark with very many kinds is dealt out to several tasks by place; each
+    finds what repeats within it, and strings that are first in their task are
+    compared by 128-bit digests over all tasks.
+    """
+    spark = keyed.sparkSession
+    settled = _settled(_runs(keyed, length))
+    asked = settled.filter("mark is not null")
+    kinds = asked.join(asked.groupBy(F.col("mark").alias("__mark")).agg(F.count("*").alias("n")), F.col("mark") == F.col("__mark"))
+    wanted = kinds.groupBy(F.col("doc_id").alias("__id"), F.shiftright("run", 48).cast("int").alias("__key")).agg(F.collect_list(F.struct("mark", "n", "run")).alias("runs"))
+    texts = _joined_to_texts(keyed, wanted, "inner").select("doc_id", "text_key", "text", F.col("runs.mark").alias("mark"), F.col("runs.n").alias("n"), F.col("runs.run").alias("run"))
 
     def cut_out(batches):
         for batch in batches:
@@ -293,23 +371,20 @@ def repeated_ranges(docs: DataFrame, length: int = 100, together: int = TOGETHER
                 one = batch.slice(k, 1)
                 text = one.column(2).cast(pa.large_binary())[0].as_py()
                 mark, n, run = (one.column(c).flatten().to_numpy() for c in (3, 4, 5))
-                start, count, first = run >> 16, (run >> 8) & 255, run & 255
+                _, start, count, first = _unpacked(run)
                 dealt = -(-n // together)
                 salt = (start * 2654435761 + one.column(1)[0].as_py() * 40503 + (one.column(0)[0].as_py() or 0)) % 1000003 % dealt
                 for a in range(0, len(run), 50_000):
                     part = slice(a, a + 50_000)
                     content = [text[s : s + c + length - 1] for s, c in zip(start[part].tolist(), count[part].tolist(), strict=True)]
                     same = pa.array(np.zeros(len(content), np.int64))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(mark[part]), pa.array(salt[part]), pa.array(dealt[part]), one.column(0).take(same), one.column(1).take(same), pa.array(start[part]), pa.array(count[part]), pa.array(first[part]), pa.array(content, pa.binary())],
-                        ["mark", "salt", "dealt", "doc_id", "text_key", "start", "count", "first", "content"],
-                    )
+                    yield pa.RecordBatch.from_arrays([pa.array(mark[part]), pa.array(salt[part]), pa.array(dealt[part]), one.column(0).take(same), pa.array(run[part]), pa.array(content, pa.binary())], ["mark", "salt", "dealt", "doc_id", "run", "content"])
 
-    suffixes = texts.mapInArrow(cut_out, "mark long, salt long, dealt long, doc_id long, text_key int, start long, count long, first long, content binary")
+    suffixes = texts.mapInArrow(cut_out, "mark long, salt long, dealt long, doc_id long, run long, content binary")
     dealt = suffixes.repartition(shuffle_partitions(spark), "mark", "salt").sortWithinPartitions("mark", "salt")
 
     def sort_out(batches):
-        names = ("mark", "salt", "dealt", "doc_id", "text_key", "start", "count", "first", "content")
+        names = ("mark", "salt", "dealt", "doc_id", "run", "content")
         held: dict[str, np.ndarray] | None = None
 
         def result(rows):
@@ -319,6 +394,7 @@ def repeated_ranges(docs: DataFrame, length: int = 100, together: int = TOGETHER
             if not keep.any():
                 return None
             rows = {k: v[keep] for k, v in rows.items()} | {"group": group[keep]}
+            rows["text_key"], rows["start"], rows["count"], rows["first"] = _unpacked(rows["run"])
             (a, b, c, d), (digest, e, f, g) = _sorted_chunk(rows, length)
             ids, keys = np.concatenate([a, e]), np.concatenate([b, f])
             return pa.RecordBatch.from_arrays(
@@ -334,10 +410,9 @@ def repeated_ranges(docs: DataFrame, length: int = 100, together: int = TOGETHER
                     new[name] = np.empty(batch.num_rows, object)
                     new[name][:] = column.to_pylist()
                 else:
-                    new[name] = column.fill_null(_LATE).to_numpy(zero_copy_only=False) if name == "doc_id" else column.to_numpy(zero_copy_only=False).astype(np.int64)
+                    new[name] = (column.fill_null(_LATE) if name == "doc_id" else column).to_numpy()
             held = new if held is None else {k: np.concatenate([held[k], new[k]]) for k in names}
-            n = len(held["mark"])
-            if n >= SORTED:
+            if len(held["mark"]) >= SORTED:
                 whole = (held["mark"] != held["mark"][-1]) | (held["salt"] != held["salt"][-1])
                 last = int(whole.sum())  # the last group may go on in the next batch
                 if last:
@@ -348,11 +423,14 @@ def repeated_ranges(docs: DataFrame, length: int = 100, together: int = TOGETHER
         if held is not None and len(held["mark"]) and (out := result(held)) is not None:
             yield out
 
-    found = written(dealt.mapInArrow(sort_out, "digest binary, doc_id long, text_key int, low long, high long"), "repeats")
-    order = Window.partitionBy("digest").orderBy(F.col("doc_id").asc_nulls_last(), "text_key", "low")
-    later = found.filter("digest is not null").withColumn("nth", F.rank().over(order)).filter("nth > 1")
-    columns = ("doc_id", "text_key", "low", "high")
-    return found.filter("digest is null").select(*columns).union(later.select(*columns))
+    found = dealt.mapInArrow(sort_out, "digest binary, doc_id long, text_key int, low long, high long")
+    # Ranges pass with a key of their own beside the strings that are compared by digest.
+    key = F.coalesce("digest", F.concat(F.lit("range"), F.coalesce("doc_id", F.lit(-1)).cast("string"), F.lit(":"), "text_key", F.lit(":"), "low").cast("binary"))
+    order = Window.partitionBy("key").orderBy(F.col("doc_id").asc_nulls_last(), "text_key", "low")
+    sorted_out = found.withColumn("key", key).withColumn("nth", F.rank().over(order)).filter("digest is null or nth > 1").select("doc_id", "text_key", "low", "high")
+    start = F.expr("shiftright(run, 16) & 4294967295")
+    covered = settled.filter("mark is null").select("doc_id", F.shiftright("run", 48).cast("int").alias("text_key"), start.alias("low"), (start + F.expr("shiftright(run, 8) & 255") + length - 1).alias("high"))
+    return covered.union(sorted_out)
 
 
 def without_repeats(docs: DataFrame, length: int = 100, together: int = TOGETHER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -366,10 +444,10 @@ def without_repeats(docs: DataFrame, length: int = 100, together: int = TOGETHER
     other), rows that repeat an id with another text are documents of their
     own; an empty table gives no rows.
     """
-    ranges = repeated_ranges(docs, length, together, id_col, text_col)
+    keyed = _keyed(docs, id_col, text_col)
+    ranges = repeated_ranges(keyed, length, together)
     per_doc = ranges.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    joined = _keyed(docs, id_col, text_col).join(per_doc, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")), "left")
-    rows = joined.select("doc_id", "text", F.col("spans.low").alias("low"), F.col("spans.high").alias("high"))
+    rows = _joined_to_texts(keyed, per_doc, "left").select("doc_id", "text", F.col("spans.low").alias("low"), F.col("spans.high").alias("high"))
 
     def remove(batches):
         for batch in batches:
