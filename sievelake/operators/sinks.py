@@ -18,17 +18,16 @@ def write_quarantine(df: DataFrame, path: str, ingest_id: str) -> None:
     new = df.withColumn("ingest_id", F.lit(ingest_id))
     if _exists(spark, path):
         old = spark.read.parquet(path)
-        stale = [r[0] for r in old.filter(F.col("ingest_id") == ingest_id).select("run_id").distinct().limit(1000).collect()]
-        rest = old.filter(F.col("run_id").isin(stale) & (F.col("ingest_id") != ingest_id))
-        new = new.unionByName(rest, allowMissingColumns=True).unionByName(old.filter(F.lit(False)), allowMissingColumns=True)
-        runs = {*stale}
+        stale = old.filter(F.col("ingest_id") == ingest_id).select("run_id").distinct()
+        rest = old.filter(F.col("ingest_id") != ingest_id).join(stale, "run_id", "left_semi")
         staged = f"{path}.staged-{uuid.uuid4().hex}"
-        new.write.partitionBy("run_id").parquet(staged)
+        new.unionByName(rest, allowMissingColumns=True).write.partitionBy("run_id").parquet(staged)
         out = spark.read.option("basePath", staged).parquet(staged)
-        gone = runs - {r[0] for r in out.select("run_id").distinct().collect()}
-        for g in gone:  # a run that has no rows left keeps an empty part
-            _drop(spark, f"{path}/run_id={g}")
+        # Runs of this one ingest that have no rows left: few, and by name only.
+        gone = [r[0] for r in stale.join(out.select("run_id").distinct(), "run_id", "left_anti").collect()]
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+        for run in gone:
+            _drop(spark, f"{path}/run_id={run}")
         _drop(spark, staged)
     else:
         new.write.partitionBy("run_id").parquet(path)
