@@ -99,8 +99,8 @@ def lineage_row(spark_df: DataFrame, run_id: str, table_name: str, source: str,
 
 def alerts(runs: DataFrame, drifts: DataFrame) -> DataFrame:
     """Rows for what calls for notice: score under its threshold, unusual share held back, missing column, changed type."""
-    low = runs.filter("quality_score < effective_quality_threshold").select("run_id", "table_name", F.lit("low_quality").alias("alert"), F.format_string("%.2f", "quality_score").alias("detail"))
-    odd = rate_anomaly(runs).filter("is_anomaly").select("run_id", "table_name", F.lit("rate_anomaly").alias("alert"), F.format_string("%.2f", "z").alias("detail"))
+    low = runs.filter("quality_score < effective_quality_threshold").select("run_id", "table_name", F.lit("low_quality").alias("alert"), F.format_string("%.4f", "quality_score").alias("detail"))
+    odd = rate_anomaly(runs).filter("is_anomaly").select("run_id", "table_name", F.lit("rate_anomaly").alias("alert"), F.format_string("%.4f", "z").alias("detail"))
     schema = drifts.filter(F.col("error_type").isin("missing_column", "type_mismatch")).select("run_id", "table_name", F.col("error_type").alias("alert"), F.col("column_name").alias("detail"))
     return low.unionByName(odd).unionByName(schema)
 

@@ -37,8 +37,8 @@ def adaptive_thresholds(spark, sf_dir):
     return metrics.adaptive_threshold(run_history(spark, sf_dir))
 
 
-@query(f"""WITH {RATED}, {DRIFTS} SELECT run_id, table_name, 'low_quality' AS alert, printf('%.2f', quality_score) AS detail FROM runs WHERE quality_score < 95
-UNION ALL SELECT run_id, table_name, 'rate_anomaly', printf('%.2f', round(z, 4)) FROM anomalies WHERE z > 3
+@query(f"""WITH {RATED}, {DRIFTS} SELECT run_id, table_name, 'low_quality' AS alert, printf('%.4f', quality_score) AS detail FROM runs WHERE quality_score < 95
+UNION ALL SELECT run_id, table_name, 'rate_anomaly', printf('%.4f', round(z, 4)) FROM anomalies WHERE z > 3
 UNION ALL SELECT run_id, table_name, error_type, column_name FROM drifts WHERE error_type IN ('missing_column', 'type_mismatch')""")
 def alert_rows(spark, sf_dir):
     return metrics.alerts(run_history(spark, sf_dir), drift_log(spark, sf_dir))
