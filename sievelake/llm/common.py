@@ -37,11 +37,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
+def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors.
+
+    files: for tables of a row a group, into how many files at most, so that
+    Spark sees from their size whether they can be broadcast.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    (df if files is None else df.coalesce(files)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -82,6 +82,11 @@ def chi_square_cut(p: int, tail: float) -> float:
     return low
 
 
+def chi_square_consistency(p: int, share: float) -> float:
+    """What the scatter of the nearest `share` of normal data must be multiplied by."""
+    return share / (1 - _chi_square_tail(p + 2, chi_square_cut(p, 1 - share)))
+
+
 def squared_distance(features: list[Column], centre: list[Column], root: dict[tuple[int, int], Column]) -> Column:
     """Mahalanobis distance squared by forward substitution with a Cholesky root; features in units of 1 / UNIT."""
     y: list[Column] = []
@@ -129,16 +134,15 @@ def robust_scatter(rows: DataFrame, share: float = 0.75, steps: int = 3) -> Data
     names = list(FEATURES)
     p = len(names)
     grouped = _levels(rows.select("lang_key", "source_key", *names))
-    medians = written(_middle(grouped, names, 20), "mcd-medians")
+    medians = written(_middle(grouped, names, 20), "mcd-medians", files=8)
     away = grouped.join(medians.select("group", *[F.col(n).alias(f"m_{n}") for n in names]), "group").select("group", *[F.abs(F.col(n) - F.col(f"m_{n}")).alias(n) for n in names])
     spreads = _middle(away, names, 20)
     start = medians.select("group", *[(F.col(n) / UNIT).alias(f"m{i}") for i, n in enumerate(names)]).join(spreads, "group")
     root = {(i, k): (F.greatest(1.4826 * F.col(names[i]) / UNIT, F.lit(FEATURES[names[i]])) if i == k else F.lit(0.0)) for i in range(p) for k in range(i + 1)}
-    model = written(start.select("group", F.lit(0).cast("long").alias("n"), *[f"m{i}" for i in range(p)], *[c.alias(f"r{i}{k}") for (i, k), c in root.items()]), "mcd-start")
-    cut = chi_square_cut(p, 1 - share)
-    factor = share / (1 - _chi_square_tail(p + 2, cut))
+    model = written(start.select("group", F.lit(0).cast("long").alias("n"), *[f"m{i}" for i in range(p)], *[c.alias(f"r{i}{k}") for (i, k), c in root.items()]), "mcd-start", files=8)
+    factor = chi_square_consistency(p, share)
     for step in range(steps):
-        model = written(_concentrated(grouped, model, names, share, factor), f"mcd-{step}")
+        model = written(_concentrated(grouped, model, names, share, factor), f"mcd-{step}", files=8)
     return model
 
 
@@ -175,7 +179,7 @@ def group_models(rows: DataFrame, least_rows: int = 100, **fit) -> DataFrame:
     own = pairs.select("*", F.posexplode(F.array(F.concat_ws("\x1f", F.lit("2"), "lang_key", "source_key"), F.concat_ws("\x1f", F.lit("1"), "lang_key"), F.lit("0"))).alias("rank", "group"))
     fitting = own.join(model, "group").filter((F.col("n") >= least_rows) | (F.col("rank") == 2))
     best = fitting.groupBy("lang_key", "source_key").agg(F.min_by(F.struct(*columns), "rank").alias("b"))
-    return written(best.select("lang_key", "source_key", "b.*"), "mcd-models")
+    return written(best.select("lang_key", "source_key", "b.*"), "mcd-models", files=8)
 
 
 def _verdicts(rows: DataFrame, models: DataFrame, tail: float) -> DataFrame:
