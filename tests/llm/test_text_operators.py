@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from samples import prose
 
 from sievelake.llm import mixing, packing, quality, shards, simhash, suffixes, templates
 from sievelake.llm.components import components
@@ -97,8 +98,6 @@ def test_quality_empty(no_docs):
 
 
 def test_quality_finds_planted_outliers(spark):
-    from conftest import prose
-
     clean = [(i, prose(i, 80), "en", f"s{i % 2}", 1) for i in range(400)]
     junk = [(1000 + i, " ".join(w + "###$$$" for w in prose(i, 60).split()), "en", "s0", 1) for i in range(60)]
     got = {r.doc_id: r.kept for r in quality.quality_rules(spark.createDataFrame(clean + junk, "doc_id long, text string, lang string, source string, n long")).collect()}
