@@ -112,8 +112,3 @@ def _paths(text: str, features: list[str]) -> list[str]:
         elif body.startswith("Predict: 1.0"):
             found.append(" AND ".join(s[1] for s in stack))
     return found
-
-
-def tree_conditions(model_text: str, features: list[str]) -> list[str]:
-    """As _paths, for text in Spark's own form: 'If (feature 0 <= 1.5)'."""
-    return _paths(model_text.replace("feature ", "feature "), features)

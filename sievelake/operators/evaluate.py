@@ -20,8 +20,8 @@ def detection(zoned: DataFrame, truth: DataFrame, row_id: str, key: list[str]) -
     w = Window.partitionBy(*key)
     survivors = F.sum(F.col("clean").cast("int")).over(w)
     group = F.count("*").over(w)
-    found = F.when((F.col("error_type") == "duplicate") & (group > 1), survivors <= 1).otherwise(~F.col("clean"))
-    spared = (F.col("error_type").isNull()) & (group > 1) & (survivors == 1) & ~F.col("clean") & (F.max((F.col("error_type") == "duplicate").cast("int")).over(w) == 1)
+    found = F.when(F.coalesce(F.col("error_type") == "duplicate", F.lit(False)) & (group > 1), survivors <= 1).otherwise(~F.col("clean"))
+    spared = (F.col("error_type").isNull()) & (group > 1) & (survivors == 1) & ~F.col("clean") & (F.coalesce(F.max((F.col("error_type") == "duplicate").cast("int")).over(w), F.lit(0)) == 1)
     marked = joined.withColumn("bad", F.col("error_type").isNotNull()).withColumn("found", found & ~spared)
     one = marked.agg(
         F.count("*").alias("rows"), F.count(F.when(F.col("bad") & F.col("found"), 1)).alias("tp"), F.count(F.when(~F.col("bad") & F.col("found"), 1)).alias("fp"), F.count(F.when(F.col("bad") & ~F.col("found"), 1)).alias("fn")

@@ -298,9 +298,6 @@ def class_balance(spark, sf_dir):
     return profile.class_balance(table(spark, sf_dir, "customer"), "c_mktsegment")
 
 
-HALVES = "(SELECT min(o_orderdate) + (max(o_orderdate) - min(o_orderdate)) / 2 FROM orders)"
-
-
 @query("""WITH old AS (SELECT o_totalprice AS v FROM orders WHERE o_orderkey % 2 = 0), new AS (SELECT o_totalprice * 1.2 AS v FROM orders WHERE o_orderkey % 2 = 1),
 b AS (SELECT quantile_cont(v, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS b FROM old), k AS (SELECT len(list_filter(b[2:10], lambda x: v > x)) AS bucket FROM new, b),
 c AS (SELECT bucket, count(*) AS n FROM k GROUP BY 1), s AS (SELECT greatest(coalesce(n, 0) / (SELECT count(*) FROM new), 1e-6) AS a, 0.1 AS e FROM range(10) r(i) LEFT JOIN c ON c.bucket = r.i)

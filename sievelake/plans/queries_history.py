@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import drift, gold, history, metrics
 from .fixtures import DRIFTS, RUNS, drift_log, run_history
 

@@ -75,7 +75,6 @@ def date_forms(spark, sf_dir):
 # ---- C: fuzzy matching ---------------------------------------------------------
 
 
-GRAMS = "list_transform(range(1, length({x})), lambda i: substring({x}, i, 2))"
 SCORE = """words AS (SELECT a, b, list_distinct(list_filter(regexp_split_to_array(a, '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) AS ta, list_distinct(list_filter(regexp_split_to_array(b, '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) AS tb,
   list_transform(range(1, length(a)), lambda i: substring(a, i, 2)) AS ga, list_transform(range(1, length(b)), lambda i: substring(b, i, 2)) AS gb FROM pairs),
 parts AS (SELECT a, b, CASE WHEN contains(a, b) OR contains(b, a) THEN 1.0 ELSE 0.0 END::DOUBLE AS c, len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))) AS t, len(list_intersect(list_distinct(ga), list_distinct(gb))) / len(list_distinct(list_concat(ga, gb))) AS g,
@@ -269,7 +268,11 @@ def _truth(d: DataFrame) -> DataFrame:
     return d.select("row_id", F.when(F.col("order_key").isNull(), "missing_key").when(F.col("price").isNull(), "missing_price").when(F.col("price") < 0, "negative").when(F.col("row_id") % 2 == 1, "duplicate").alias("error_type"))
 
 
-@query()
+@query(f"""WITH {TRUTH}, j AS (SELECT row_id, order_key, reject_reason IS NULL AS clean, error_type FROM tagged JOIN truth USING (row_id)),
+w AS (SELECT *, sum(clean::INT) OVER k AS survivors, count(*) OVER k AS grp, max(coalesce(error_type = 'duplicate', false)::INT) OVER k AS dup FROM j WINDOW k AS (PARTITION BY order_key)),
+m AS (SELECT error_type IS NOT NULL AS bad, CASE WHEN coalesce(error_type = 'duplicate', false) AND grp > 1 THEN survivors <= 1 ELSE NOT clean END AND NOT (error_type IS NULL AND grp > 1 AND survivors = 1 AND NOT clean AND dup = 1) AS found FROM w),
+c AS (SELECT count(*)::BIGINT AS rows, count(*) FILTER (bad AND found)::BIGINT AS tp, count(*) FILTER (NOT bad AND found)::BIGINT AS fp, count(*) FILTER (bad AND NOT found)::BIGINT AS fn FROM m)
+SELECT *, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round((rows - fp - fn) / rows, 6) AS accuracy FROM c""")
 def detection_quality(spark, sf_dir):
     t = tagged_orders(spark, sf_dir)
     return evaluate.detection(t, _truth(t), "row_id", ["order_key"])
