@@ -361,7 +361,9 @@ def repeated_ranges(keyed: DataFrame, length: int = 100, together: int = TOGETHE
     spark = keyed.sparkSession
     settled = _settled(_runs(keyed, length))
     asked = settled.filter("mark is not null")
-    kinds = asked.join(asked.groupBy(F.col("mark").alias("__mark")).agg(F.count("*").alias("n")), F.col("mark") == F.col("__mark"))
+    # Marks with more kinds than go together are few: at most one in `together` rows.
+    many = written(asked.groupBy(F.col("mark").alias("__mark")).agg(F.count("*").alias("__n")).filter(F.col("__n") > together), "common-marks", files=8)
+    kinds = asked.join(many, F.col("mark") == F.col("__mark"), "left").withColumn("n", F.coalesce("__n", F.lit(1)))
     wanted = kinds.groupBy(F.col("doc_id").alias("__id"), F.shiftright("run", 48).cast("int").alias("__key")).agg(F.collect_list(F.struct("mark", "n", "run")).alias("runs"))
     texts = _joined_to_texts(keyed, wanted, "inner").select("doc_id", "text_key", "text", F.col("runs.mark").alias("mark"), F.col("runs.n").alias("n"), F.col("runs.run").alias("run"))
 
