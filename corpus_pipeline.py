@@ -12,14 +12,10 @@ from sievelake.llm.common import WORD, table, written
 from sievelake.llm.mixing import mixed_documents
 from sievelake.llm.packing import packed
 from sievelake.llm.quality import kept_documents
-from sievelake.llm.simhash import first_of_groups
+from sievelake.llm.simhash import first_of_similar
 from sievelake.llm.templates import without_recurring_lines
 
 
-#: Over the op4 query's 3: copies with a word in twenty changed differ in 4 bits and more.
-NEAR_BITS = 5
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     return kept_documents(docs)
@@ -33,8 +29,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays; fingerprints are near up to NEAR_BITS differing bits."""
-    return first_of_groups(docs, most=NEAR_BITS)
+    """One document of each near-duplicate group stays: texts with a similarity of 0.8 or more in shingles of five words."""
+    return first_of_similar(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

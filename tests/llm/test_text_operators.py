@@ -344,3 +344,32 @@ def test_word_ids_of_odd_texts():
         assert np.frombuffer(ids.encode(text), ids.dtype).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+
+
+def jaccard(a, b):
+    x, y = ({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_first_of_similar(spark):
+    """Copies at 0.8 and more go, those under it stay, and rows without an id or with a repeated one are told apart."""
+    rows, near, far = [], 0, 0
+    for k in range(40):
+        words = prose(1000 + k, 120).split()
+        rows.append((k, " ".join(words)))
+        for j, changed in enumerate((2, 5)):
+            other = [w + "x" if i % 24 == 11 and i // 24 < changed else w for i, w in enumerate(words)]
+            rows.append((100 + 2 * k + j, " ".join(other)))
+            assert (jaccard(rows[-1][1], " ".join(words)) >= 0.8) == (j == 0)
+    rows += [(None, prose(2000, 50))] * 3 + [(None, prose(2001, 50)), (None, rows[0][1].upper())] + [(300, prose(2002, 50)), (300, prose(2003, 50)), (300, prose(2003, 50))]
+    kept = simhash.first_of_similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = collections.Counter((r.doc_id, r.text) for r in kept)
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if jaccard(rows[a][1], rows[b][1]) >= 0.8]
+    part = list(range(len(rows)))
+    for a, b in pairs:
+        part = [part[a] if p == part[b] else p for p in part]
+    groups = collections.defaultdict(list)
+    for row, p in zip(rows, part, strict=True):
+        groups[p].append(row)
+    assert got == collections.Counter(min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values())
+    assert got[(None, prose(2000, 50))] == 1 and got[(300, prose(2003, 50))] == 1
