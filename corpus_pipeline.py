@@ -22,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go (all but the first document's), and documents that have no word left."""
-    cleaned = without_recurring_lines(docs)
+    """Lines of recurring templates and passages of over 50 words go (all but the first document's), and documents that have no word left."""
+    cleaned = without_recurring_lines(docs, passage_docs=2)
     columns = {**{c: F.col(c) for c in docs.columns}, **({"n_chars": F.char_length("text").cast("long")} if "n_chars" in docs.columns else {})}
     return cleaned.filter(F.col("text").rlike(WORD)).select(*[c.alias(k) for k, c in columns.items()])
 

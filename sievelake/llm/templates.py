@@ -26,23 +26,53 @@ def template_keys(leading: int = 2, parts: int = 3, least_tokens: int = 3) -> st
         else array(xxhash64(size(ts), 0, ts), {", ".join(general)}) end)[0]"""
 
 
-def recurring_templates(docs: DataFrame, least_docs: int = 10, id_col: str = "doc_id", text_col: str = "text", **tree) -> tuple[DataFrame, DataFrame]:
+#: Tokens over which a line, word for word, is a passage; share of the words of two documents from which they are copies.
+PASSAGE, COPY = 50, 0.8
+_WORDS = r"filter(split(l, '[\x20\x09-\x0D]+', -1), w -> w <> '')"
+#: A line as it is: 48 bits of its hash, its number of tokens, and 1. Keys of templates are made even beside it.
+_EXACT = f"transform(array({_WORDS}), ws -> (xxhash64(ws) & -65536L) | (least(size(ws), 32767) * 2 + 1))[0]"
+
+
+def _line_keys(passages: bool, **tree) -> str:
+    return f"concat(transform({template_keys(**tree)}, k -> k & -2L), array({_EXACT}))" if passages else template_keys(**tree)
+
+
+def _repeated_passages(found: DataFrame, passage_docs: int) -> DataFrame:
+    """(doc_id, key) of passages that passage_docs or more documents have, from all documents but the first.
+
+    Not from a copy, which shares COPY of the words with the first document in
+    whole lines: it is left whole for near-duplicate removal to find.
+    """
+    exact = found.filter("(key & 1) = 1").withColumn("words", F.expr("shiftright(key & 65535L, 1)"))
+    passages = exact.filter(F.col("words") > PASSAGE)
+    firsts = passages.groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_id")).filter(F.col("n_docs") >= passage_docs)
+    later = written(passages.join(firsts, "key").filter(~F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "key", "first_id"), "passages")
+    pairs = later.select("doc_id", "first_id").distinct()
+    size = exact.groupBy("doc_id").agg(F.sum("words").alias("size"))
+    both = pairs.join(exact, "doc_id").join(exact.select(F.col("doc_id").alias("first_id"), "key"), ["first_id", "key"]).groupBy("doc_id", "first_id").agg(F.sum("words").alias("shared"))
+    sized = both.join(size, "doc_id").join(size.select(F.col("doc_id").alias("first_id"), F.col("size").alias("first_size")), "first_id")
+    copies = sized.filter(F.col("shared") >= COPY * F.greatest("size", "first_size")).select("doc_id", "first_id")
+    return later.join(copies, ["doc_id", "first_id"], "left_anti").select("doc_id", "key")
+
+
+def recurring_templates(docs: DataFrame, least_docs: int = 10, id_col: str = "doc_id", text_col: str = "text", passages: bool = False, **tree) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key) of all templates of all documents, and (key, n_docs, first_id) of those in at least least_docs documents.
 
     A document counts once for a template, however many of its lines fall
     under it. Counts are partial sums before any shuffle.
     """
-    keys = f"array_distinct(flatten(transform(split(text, '\\n', -1), l -> {template_keys(**tree)})))"
+    keys = f"array_distinct(flatten(transform(split(text, '\\n', -1), l -> {_line_keys(passages, **tree)})))"
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).select("doc_id", F.explode(F.expr(keys)).alias("key"))
     found = written(rows, "template-keys")
-    counts = found.groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_id")).filter(F.col("n_docs") >= least_docs)
+    counts = (found.filter("(key & 1) = 0") if passages else found).groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_id")).filter(F.col("n_docs") >= least_docs)
     return found, written(counts, "templates")
 
 
-def without_recurring_lines(docs: DataFrame, least_docs: int = 10, id_col: str = "doc_id", text_col: str = "text", **tree) -> DataFrame:
+def without_recurring_lines(docs: DataFrame, least_docs: int = 10, id_col: str = "doc_id", text_col: str = "text", passage_docs: int | None = None, **tree) -> DataFrame:
     """Documents without lines whose template recurs in at least least_docs documents.
 
-    The document with the smallest id of a template keeps its lines, so that
+    With passage_docs, lines of over PASSAGE tokens that recur word for word in
+    so many documents go too (_repeated_passages). The document with the smallest id of a template keeps its lines, so that
     nothing is lost from the whole; in all others they are dropped. Lines of
     fewer than least_tokens tokens are never dropped; what is left keeps its
     order and line breaks. Texts without such lines stay as they are, null too.
@@ -54,15 +84,17 @@ def without_recurring_lines(docs: DataFrame, least_docs: int = 10, id_col: str =
     is one key with many rows: it is counted by partial sums, and Spark may
     split its join.
     """
-    found, recurring = recurring_templates(docs, least_docs, id_col, text_col, **tree)
-    drops = found.join(recurring, "key").filter(~F.col("doc_id").eqNullSafe(F.col("first_id")))
+    found, recurring = recurring_templates(docs, least_docs, id_col, text_col, passage_docs is not None, **tree)
+    drops = found.join(recurring, "key").filter(~F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "key")
+    if passage_docs is not None:
+        drops = drops.union(_repeated_passages(found, passage_docs))
     # The set is of one document's keys, so its size is bounded by the text.
     per_doc = drops.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("key").alias("__drop"))
     wide = docs.drop("n_lines", "n_dropped")
     text = F.col(text_col).cast("string")
     inner = wide.join(per_doc, wide[id_col].eqNullSafe(F.col("__id")), "left").select(F.struct(*[F.col(c) for c in wide.columns]).alias("row"), text.alias("text"), F.col("__drop").alias("gone"))
     # Bound once in a lambda, lest Spark compute the lines anew for each use.
-    kept = f"transform(array(split(text, '\\n', -1)), ls -> if(gone is null, ls, filter(ls, l -> not arrays_overlap({template_keys(**tree)}, gone))))[0]"
+    kept = f"transform(array(split(text, '\\n', -1)), ls -> if(gone is null, ls, filter(ls, l -> not arrays_overlap({_line_keys(passage_docs is not None, **tree)}, gone))))[0]"
     split = inner.select("row", "text", "gone", F.expr(kept).alias("kept"))
     whole = F.size(F.split("text", "\n", -1))
     values: dict[str, Column] = {c: F.col(f"row.`{c}`") for c in wide.columns}

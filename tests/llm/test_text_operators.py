@@ -373,3 +373,17 @@ def test_first_of_similar(spark):
         groups[p].append(row)
     assert got == collections.Counter(min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values())
     assert got[(None, prose(2000, 50))] == 1 and got[(300, prose(2003, 50))] == 1
+
+
+def test_repeated_passages(spark):
+    """A line of over 50 words goes from the second document on; shorter ones, changed ones and those of copies stay."""
+    def line(seed, n):
+        return " ".join(prose(seed, n).split())
+
+    long, short = line(3000, 60), line(3001, 40)
+    changed = long.rsplit(" ", 1)[0] + " other9"
+    own = [line(3100 + k, 45) + "\n" + line(3200 + k, 48) for k in range(6)]
+    texts = [f"{own[0]}\n{long}\n{short}", f"{long}\n{own[1]}", f"{own[2]}\n{short}", f"{own[3]}\n{changed}", f"{own[0]}\n{long}\n{short}", long, f"{own[4]}\n{long}"]
+    rows = [*enumerate(texts), (None, f"{own[5]}\n{long}")]
+    got = {r.doc_id: r.text for r in templates.without_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string"), passage_docs=2).collect()}
+    assert got == dict(rows) | {1: own[1], 5: "", 6: own[4], None: own[5]}
