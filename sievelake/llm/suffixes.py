@@ -257,20 +257,20 @@ def _sorted_chunk(rows: dict[str, np.ndarray], length: int) -> tuple[list, list]
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, text and a key of the text that tells apart rows that repeat an id."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return rows.select("doc_id", F.coalesce(F.pmod(F.xxhash64("text"), F.lit(1 << 15)).cast("int"), F.lit(0)).alias("text_key"), "text")
+    return rows.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
 
 
-def _packed(key: np.ndarray, start: np.ndarray, count: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A run's text key, start, number of starts and distance of the mark in one number that sorts by key and start."""
-    return (key.astype(np.int64) << 48) | (start << 16) | (count << 8) | first
+def _packed(start: np.ndarray, count: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A run's start, number of starts and distance of the mark in one number that sorts by start."""
+    return (start << 16) | (count << 8) | first
 
 
 def _unpacked(run: np.ndarray) -> tuple[np.ndarray, ...]:
-    return (run >> 48).astype(np.int32), (run >> 16) & 0xFFFFFFFF, (run >> 8) & 255, run & 255
+    return run >> 16, (run >> 8) & 255, run & 255
 
 
 def _runs(keyed: DataFrame, length: int) -> DataFrame:
-    """(mark, whole, doc_id, run) of every run of every text; of equal runs in a batch of texts only the first.
+    """(mark, whole, doc_id, text_key, run) of every run of every text; of equal runs in a batch of texts only the first.
 
     The others are covered by an earlier equal whatever else there is: they
     have null for `whole` and any mark, so that a passage that very many texts
@@ -286,44 +286,44 @@ def _runs(keyed: DataFrame, length: int) -> DataFrame:
             if not parts:
                 continue
             mark, whole, document, start, count, first = (np.concatenate(x) for x in zip(*parts, strict=True))
-            mark, whole, doc_id, run = mark.view(np.int64), whole.view(np.int64), ids[document], _packed(keys[document], start, count, first)
-            order = np.lexsort((run, doc_id, whole, mark))
-            mark, whole, doc_id, run = (x[order] for x in (mark, whole, doc_id, run))
+            mark, whole, doc_id, key, run = mark.view(np.int64), whole.view(np.int64), ids[document], keys[document], _packed(start, count, first)
+            order = np.lexsort((run, key, doc_id, whole, mark))
+            mark, whole, doc_id, key, run = (x[order] for x in (mark, whole, doc_id, key, run))
             new = np.concatenate([[True], (np.diff(mark) != 0) | (np.diff(whole) != 0)])
             lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-            later = (doc_id != doc_id[lead]) | (run != run[lead])
-            mark = np.where(later, run * np.int64(-7046029254386353131) ^ doc_id, mark)
-            yield pa.RecordBatch.from_arrays([pa.array(mark), pa.array(whole, mask=later), pa.array(doc_id, mask=doc_id == _LATE), pa.array(run)], ["mark", "whole", "doc_id", "run"])
+            later = (doc_id != doc_id[lead]) | (key != key[lead]) | (run != run[lead])
+            mark = np.where(later, run * np.int64(-7046029254386353131) ^ doc_id ^ key, mark)
+            yield pa.RecordBatch.from_arrays([pa.array(mark), pa.array(whole, mask=later), pa.array(doc_id, mask=doc_id == _LATE), pa.array(key), pa.array(run)], ["mark", "whole", "doc_id", "text_key", "run"])
 
-    return keyed.mapInArrow(list_runs, "mark long, whole long, doc_id long, run long")
+    return keyed.mapInArrow(list_runs, "mark long, whole long, doc_id long, text_key long, run long")
 
 
 def _settled(runs: DataFrame) -> DataFrame:
-    """(mark, doc_id, run): with null mark, runs that an earlier equal run covers; else runs whose mark other runs have too, one of each kind.
+    """(mark, doc_id, text_key, run): with null mark, runs that an earlier equal run covers; else runs whose mark other runs have too, one of each kind.
 
     Runs come to a task by their mark and in order; nothing but the last run
     seen is held.
     """
 
     def settle(batches):
-        held = None  # mark, whole, doc_id and run of the last kind's first run; whether it is out already; whether its mark has more kinds
+        held = None  # mark, whole, doc_id, text_key and run of the last kind's first run; whether it is out already; whether its mark has more kinds
         for batch in batches:
-            mark, doc_id, run = batch.column(0).to_numpy(), batch.column(2).fill_null(_LATE).to_numpy(), batch.column(3).to_numpy()
+            mark, doc_id, key, run = batch.column(0).to_numpy(), batch.column(2).fill_null(_LATE).to_numpy(), batch.column(3).to_numpy(), batch.column(4).to_numpy()
             covered = batch.column(1).is_null().to_numpy(zero_copy_only=False)
             whole = batch.column(1).fill_null(0).to_numpy()
-            done = [(doc_id[covered], run[covered])]
-            mark, whole, doc_id, run = (x[~covered] for x in (mark, whole, doc_id, run))
+            done = [(doc_id[covered], key[covered], run[covered])]
+            mark, whole, doc_id, key, run = (x[~covered] for x in (mark, whole, doc_id, key, run))
             out, many = False, False
             if held is not None:
-                mark, whole, doc_id, run = (np.concatenate([[h], x]) for h, x in zip(held[:4], (mark, whole, doc_id, run), strict=True))
-                out, many = held[4:]
+                mark, whole, doc_id, key, run = (np.concatenate([[h], x]) for h, x in zip(held[:5], (mark, whole, doc_id, key, run), strict=True))
+                out, many = held[5:]
             asked = np.zeros(0, np.int64)
             if len(mark):
                 new_mark = np.concatenate([[True], np.diff(mark) != 0])
                 new = new_mark | np.concatenate([[True], np.diff(whole) != 0])
                 lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-                later = (doc_id != doc_id[lead]) | (run != run[lead])
-                done.append((doc_id[later], run[later]))
+                later = (doc_id != doc_id[lead]) | (key != key[lead]) | (run != run[lead])
+                done.append((doc_id[later], key[later], run[later]))
                 group = np.cumsum(new_mark) - 1
                 kinds = np.bincount(group, new)
                 kinds[0] += many
@@ -332,13 +332,13 @@ def _settled(runs: DataFrame) -> DataFrame:
                 if out and len(asked) and asked[0] == 0:
                     asked = asked[1:]
                 at = int(lead[-1])
-                held = (mark[at], whole[at], doc_id[at], run[at], more or (out and at == 0), more)
-            ids, rows = np.concatenate([*(x[0] for x in done), doc_id[asked]]), np.concatenate([*(x[1] for x in done), run[asked]])
+                held = (mark[at], whole[at], doc_id[at], key[at], run[at], more or (out and at == 0), more)
+            ids, keys, rows = (np.concatenate([*(x[k] for x in done), last[asked]]) for k, last in enumerate((doc_id, key, run)))
             names = np.concatenate([np.zeros(len(ids) - len(asked), np.int64), mark[asked]])
-            yield pa.RecordBatch.from_arrays([pa.array(names, mask=np.arange(len(ids)) < len(ids) - len(asked)), pa.array(ids, mask=ids == _LATE), pa.array(rows)], ["mark", "doc_id", "run"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, mask=np.arange(len(ids)) < len(ids) - len(asked)), pa.array(ids, mask=ids == _LATE), pa.array(keys), pa.array(rows)], ["mark", "doc_id", "text_key", "run"])
 
-    dealt = runs.repartition(shuffle_partitions(runs.sparkSession), "mark").sortWithinPartitions("mark", "whole", F.col("doc_id").asc_nulls_last(), "run")
-    return written(dealt.mapInArrow(settle, "mark long, doc_id long, run long"), "settled-runs")
+    dealt = runs.repartition(shuffle_partitions(runs.sparkSession), "mark").sortWithinPartitions("mark", "whole", F.col("doc_id").asc_nulls_last(), "text_key", "run")
+    return written(dealt.mapInArrow(settle, "mark long, doc_id long, text_key long, run long"), "settled-runs")
 
 
 def _joined_to_texts(keyed: DataFrame, per_doc: DataFrame, how: str) -> DataFrame:
@@ -364,7 +364,7 @@ def repeated_ranges(keyed: DataFrame, length: int = 100, together: int = TOGETHE
     # Marks with more kinds than go together are few: at most one in `together` rows.
     many = written(asked.groupBy(F.col("mark").alias("__mark")).agg(F.count("*").alias("__n")).filter(F.col("__n") > together), "common-marks", files=8)
     kinds = asked.join(many, F.col("mark") == F.col("__mark"), "left").withColumn("n", F.coalesce("__n", F.lit(1)))
-    wanted = kinds.groupBy(F.col("doc_id").alias("__id"), F.shiftright("run", 48).cast("int").alias("__key")).agg(F.collect_list(F.struct("mark", "n", "run")).alias("runs"))
+    wanted = kinds.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_list(F.struct("mark", "n", "run")).alias("runs"))
     texts = _joined_to_texts(keyed, wanted, "inner").select("doc_id", "text_key", "text", F.col("runs.mark").alias("mark"), F.col("runs.n").alias("n"), F.col("runs.run").alias("run"))
 
     def cut_out(batches):
@@ -373,20 +373,20 @@ def repeated_ranges(keyed: DataFrame, length: int = 100, together: int = TOGETHE
                 one = batch.slice(k, 1)
                 text = one.column(2).cast(pa.large_binary())[0].as_py()
                 mark, n, run = (one.column(c).flatten().to_numpy() for c in (3, 4, 5))
-                _, start, count, first = _unpacked(run)
+                start, count, first = _unpacked(run)
                 dealt = -(-n // together)
-                salt = (start * 2654435761 + one.column(1)[0].as_py() * 40503 + (one.column(0)[0].as_py() or 0)) % 1000003 % dealt
+                salt = (start * 2654435761 + one.column(1)[0].as_py() % 1000003 * 40503 + (one.column(0)[0].as_py() or 0) % 1000003) % 1000003 % dealt
                 for a in range(0, len(run), 50_000):
                     part = slice(a, a + 50_000)
                     content = [text[s : s + c + length - 1] for s, c in zip(start[part].tolist(), count[part].tolist(), strict=True)]
                     same = pa.array(np.zeros(len(content), np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(mark[part]), pa.array(salt[part]), pa.array(dealt[part]), one.column(0).take(same), pa.array(run[part]), pa.array(content, pa.binary())], ["mark", "salt", "dealt", "doc_id", "run", "content"])
+                    yield pa.RecordBatch.from_arrays([pa.array(mark[part]), pa.array(salt[part]), pa.array(dealt[part]), one.column(0).take(same), one.column(1).take(same), pa.array(run[part]), pa.array(content, pa.binary())], ["mark", "salt", "dealt", "doc_id", "text_key", "run", "content"])
 
-    suffixes = texts.mapInArrow(cut_out, "mark long, salt long, dealt long, doc_id long, run long, content binary")
+    suffixes = texts.mapInArrow(cut_out, "mark long, salt long, dealt long, doc_id long, text_key long, run long, content binary")
     dealt = suffixes.repartition(shuffle_partitions(spark), "mark", "salt").sortWithinPartitions("mark", "salt")
 
     def sort_out(batches):
-        names = ("mark", "salt", "dealt", "doc_id", "run", "content")
+        names = ("mark", "salt", "dealt", "doc_id", "text_key", "run", "content")
         held: dict[str, np.ndarray] | None = None
 
         def result(rows):
@@ -396,11 +396,11 @@ def repeated_ranges(keyed: DataFrame, length: int = 100, together: int = TOGETHE
             if not keep.any():
                 return None
             rows = {k: v[keep] for k, v in rows.items()} | {"group": group[keep]}
-            rows["text_key"], rows["start"], rows["count"], rows["first"] = _unpacked(rows["run"])
+            rows["start"], rows["count"], rows["first"] = _unpacked(rows["run"])
             (a, b, c, d), (digest, e, f, g) = _sorted_chunk(rows, length)
             ids, keys = np.concatenate([a, e]), np.concatenate([b, f])
             return pa.RecordBatch.from_arrays(
-                [pa.array([None] * len(a) + digest, pa.binary()), pa.array(np.where(ids == _LATE, 0, ids), mask=ids == _LATE), pa.array(keys.astype(np.int32)), pa.array(np.concatenate([c, g])), pa.array(np.concatenate([d, g + length]))],
+                [pa.array([None] * len(a) + digest, pa.binary()), pa.array(np.where(ids == _LATE, 0, ids), mask=ids == _LATE), pa.array(keys), pa.array(np.concatenate([c, g])), pa.array(np.concatenate([d, g + length]))],
                 ["digest", "doc_id", "text_key", "low", "high"],
             )
 
@@ -425,13 +425,13 @@ def repeated_ranges(keyed: DataFrame, length: int = 100, together: int = TOGETHE
         if held is not None and len(held["mark"]) and (out := result(held)) is not None:
             yield out
 
-    found = dealt.mapInArrow(sort_out, "digest binary, doc_id long, text_key int, low long, high long")
+    found = dealt.mapInArrow(sort_out, "digest binary, doc_id long, text_key long, low long, high long")
     # Ranges pass with a key of their own beside the strings that are compared by digest.
     key = F.coalesce("digest", F.concat(F.lit("range"), F.coalesce("doc_id", F.lit(-1)).cast("string"), F.lit(":"), "text_key", F.lit(":"), "low").cast("binary"))
     order = Window.partitionBy("key").orderBy(F.col("doc_id").asc_nulls_last(), "text_key", "low")
     sorted_out = found.withColumn("key", key).withColumn("nth", F.rank().over(order)).filter("digest is null or nth > 1").select("doc_id", "text_key", "low", "high")
-    start = F.expr("shiftright(run, 16) & 4294967295")
-    covered = settled.filter("mark is null").select("doc_id", F.shiftright("run", 48).cast("int").alias("text_key"), start.alias("low"), (start + F.expr("shiftright(run, 8) & 255") + length - 1).alias("high"))
+    start = F.expr("shiftright(run, 16)")
+    covered = settled.filter("mark is null").select("doc_id", "text_key", start.alias("low"), (start + F.expr("shiftright(run, 8) & 255") + length - 1).alias("high"))
     return covered.union(sorted_out)
 
 

@@ -387,3 +387,15 @@ def test_repeated_passages(spark):
     rows = [*enumerate(texts), (None, f"{own[5]}\n{long}")]
     got = {r.doc_id: r.text for r in templates.without_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string"), passage_docs=2).collect()}
     assert got == dict(rows) | {1: own[1], 5: "", 6: own[4], None: own[5]}
+
+
+def test_suffixes_without_ids(spark):
+    """Thousands of rows without an id: texts that agree in 15 bits of their hash are documents of their own."""
+    rows = [(None, f"{prose(5000 + k, 30)} {k}") for k in range(3000)]
+    rows += [(None, prose(9000 + k, 5) + " " + prose(4999, 40)) for k in range(3)]
+    texts = sorted({t for _, t in rows}, key=lambda t: (h := xxhash.xxh64_intdigest(t.encode(), 42)) - (h >> 63 << 64))
+    assert len({xxhash.xxh64_intdigest(t.encode(), 42) % (1 << 15) for t in texts}) < len(texts)
+    masks = dict(zip(texts, brute_repeats([(None, t.encode()) for t in texts], 100), strict=True))
+    got = suffixes.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = collections.Counter(bytes(b for b, m in zip(t.encode(), masks[t], strict=True) if not m) for _, t in rows)
+    assert collections.Counter(bytes(r.kept) for r in got) == want
