@@ -57,7 +57,7 @@ def block_size(total: int, shards: int = 64, per_shard: int = 1024) -> int:
     return max(1, -(-total // (shards * per_shard)))
 
 
-def mixed(docs: DataFrame, shards: int = 64, per_shard: int = 1024, seed: int = 23, limit: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mixed(docs: DataFrame, shards: int = 64, per_shard: int = 1024, seed: int = 23, limit: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """How many words of every document the mix takes (repeats counted).
 
     Each source is a stream of words, its documents in a seeded shuffle, cut
@@ -66,7 +66,7 @@ def mixed(docs: DataFrame, shards: int = 64, per_shard: int = 1024, seed: int =
     permutation of the blocks) is below q mod b. No block is taken over limit
     times. Reruns agree, for all depends on ids, sizes and the seed alone.
 
-    Returns id, source, size, source_size, target, taken. Null and blank texts
+    Returns id, source, size, source_size, target, taken, and the columns in keep. Null and blank texts
     have size 0 and give 0; null sources are one source, last in order; an
     empty table gives no rows; rows that repeat an id are separate rows,
     ordered by size. No row of a hot source meets all others: offsets come
@@ -79,6 +79,7 @@ def mixed(docs: DataFrame, shards: int = 64, per_shard: int = 1024, seed: int =
             source_key(source_col).alias("stratum"),
             word_count(text_of(text_col)).alias("size"),
             seeded_key(seed, F.col(id_col)).alias("key"),
+            *keep,
         ),
         "mix-rows",
     )
@@ -89,21 +90,22 @@ def mixed(docs: DataFrame, shards: int = 64, per_shard: int = 1024, seed: int =
     plan = targets.join(quotas, "stratum", "left").select(
         "stratum", "target", "place", F.coalesce("quota", F.lit(0)).cast("long").alias("quota"), F.greatest(F.ceil(F.col("source_size") / block), F.lit(1)).cast("long").alias("blocks")
     )
-    placed = prefix_sums(rows.withColumn("bucket", key_bucket("key", buckets_for(n))), ["stratum"], "bucket", ["key", "size"], ["size"])
+    placed = prefix_sums(rows.withColumn("bucket", key_bucket("key", buckets_for(n))), ["stratum"], "bucket", ["key", "size", *keep], ["size"])
     # The words of the row from size_before on that block b holds, times the takes of b.
     overlap = f"(least(size_before + size, (b + 1) * {block}L) - greatest(size_before, b * {block}L))"
     takes = f"(quota div blocks + if((b * ({STRIDE}L % blocks) + {seed}L + place) % blocks < quota % blocks, 1L, 0L))"
     taken = f"if(size = 0, 0L, aggregate(sequence(size_before div {block}L, (size_before + greatest(size, 1L) - 1L) div {block}L), 0L, (sum, b) -> sum + {overlap} * {takes}))"
-    return placed.join(plan, "stratum").select("doc_id", "source", "size", F.col("size_total").alias("source_size"), "target", F.expr(taken).cast("long").alias("taken"))
+    return placed.join(plan, "stratum").select("doc_id", "source", "size", F.col("size_total").alias("source_size"), "target", F.expr(taken).cast("long").alias("taken"), *keep)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix: each as often as the words taken of it, over its size, round to (half up).
 
-    Columns stay as they are. Documents without a word stay out. Rows that
-    repeat an id each come as often as the first of them.
+    Columns stay as they are. Documents without a word stay out. Copies go back
+    by a key written with the rows, so that rows without an id or with a
+    repeated one each get their own.
     """
-    name = options.get("id_col", "doc_id")
-    takes = mixed(docs, **options).groupBy("doc_id").agg(F.max_by("taken", "size").alias("taken"), F.max("size").alias("size"))
-    copies = takes.filter("size > 0").select(F.col("doc_id").alias("__id"), F.expr("cast((2 * taken + size) div (2 * size) as int)").alias("__copies")).filter("__copies > 0")
-    return docs.join(copies, F.col(name).eqNullSafe(F.col("__id"))).withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(docs.columns)
+    keyed = written(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-keyed")
+    takes = mixed(keyed, keep=("__row",), **options).filter("size > 0")
+    copies = takes.select("__row", F.expr("cast((2 * taken + size) div (2 * size) as int)").alias("__copies")).filter("__copies > 0")
+    return keyed.join(copies, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*[F.col(f"`{c}`") for c in docs.columns])

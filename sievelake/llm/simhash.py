@@ -320,12 +320,13 @@ def first_of_similar(docs: DataFrame, words: int = 5, alike: float = 0.8, id_col
 
 
 def first_of_groups(docs: DataFrame, **options) -> DataFrame:
-    """The documents that are the first of their near-duplicate group; all columns as they are.
+    """The first row of each near-duplicate group, that with the smallest id (null last); all columns as they are.
 
-    Of rows that repeat the first id, all stay. Of documents without an id,
-    those stay that have no near-duplicate with one.
+    Decisions go back by a key written with the rows, for ids may be null or repeated.
     """
-    name = options.get("id_col", "doc_id")
-    groups = near_duplicates(docs, **options)
-    firsts = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(firsts, F.col(name).eqNullSafe(F.col("__id")), "left_semi")
+    name = options.pop("id_col", "doc_id")
+    keyed = written(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
+    groups = near_duplicates(keyed, id_col="__row", **options).select(F.col("doc_id").alias("__row"), "component_id")
+    order = F.struct(F.col("id").isNull(), "id", "__row")
+    firsts = groups.join(keyed.select("__row", F.col(name).alias("id")), "__row").groupBy("component_id").agg(F.min(order).alias("first"))
+    return keyed.join(firsts.select(F.col("first.__row").alias("__row")), "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -389,6 +389,26 @@ def test_repeated_passages(spark):
     assert got == dict(rows) | {1: own[1], 5: "", 6: own[4], None: own[5]}
 
 
+def test_rows_without_ids(spark):
+    """Decisions reach the rows that they are of, also where ids are null or repeated."""
+    rows = [(None, prose(4000, 40), "a")] * 3 + [(None, prose(4001, 60), "a"), (7, prose(4001, 60), "a"), (7, prose(4002, 20), "a"), (None, prose(4003, 400), "b"), (None, prose(4004, 10), "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(2)
+    got = collections.Counter((r.doc_id, r.text) for r in simhash.first_of_groups(docs).collect())
+    assert got == collections.Counter([(None, prose(4000, 40)), (7, prose(4001, 60)), (7, prose(4002, 20)), (None, prose(4003, 400)), (None, prose(4004, 10))])
+    takes = mixing.mixed(docs.withColumn("row", spark_row_id()), keep=("row",)).collect()
+    want = collections.Counter()
+    for r in takes:
+        want[r.doc_id, r.size] += (2 * r.taken + r.size) // (2 * r.size)
+    mixed = collections.Counter((r.doc_id, len(r.text.split())) for r in mixing.mixed_documents(docs).collect())
+    assert mixed == +want
+
+
+def spark_row_id():
+    from pyspark.sql import functions as F
+
+    return F.monotonically_increasing_id()
+
+
 def test_suffixes_without_ids(spark):
     """Thousands of rows without an id: texts that agree in 15 bits of their hash are documents of their own."""
     rows = [(None, f"{prose(5000 + k, 30)} {k}") for k in range(3000)]
