@@ -49,12 +49,27 @@ def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(column: str) -> str:
+    """The name as Spark reads it whatever it holds: dots, blanks, backticks."""
+    return "`" + column.replace("`", "``") + "`"
+
+
+def packed_row(df: DataFrame, name: str = "row") -> Column:
+    """All columns of df in one struct, so that helper columns beside it clash with none of them."""
+    return F.struct(*[F.col(quoted(c)) for c in df.columns]).alias(name)
+
+
+def unpacked(columns: list[str], name: str = "row") -> list[Column]:
+    """The columns that packed_row has put away, under their own names."""
+    return [F.col(f"{name}.{quoted(c)}").alias(c) for c in columns]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def text_of(column: str) -> Column:
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+    return F.coalesce(F.col(quoted(column)).cast("string"), F.lit(""))
 
 
 def word_count(text: Column) -> Column:
@@ -67,7 +82,7 @@ def ascii_lower(text: Column) -> Column:
 
 def source_key(column: str) -> Column:
     """A key that is never null: null becomes 'n', any other value gets the prefix 'v'."""
-    c = F.col(column).cast("string")
+    c = F.col(quoted(column)).cast("string")
     return F.when(c.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), c))
 
 

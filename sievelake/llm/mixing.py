@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buckets_for, key_bucket, prefix_sums, seeded_key, source_key, text_of, word_count, written
+from .common import buckets_for, key_bucket, packed_row, prefix_sums, quoted, seeded_key, source_key, text_of, unpacked, word_count, written
 
-#: A prime above any number of blocks, so that its multiples visit each block of a source once.
-STRIDE = 2147483647
+#: Up to so many sources the plan goes to every task: a row a source, and at most a number for each block and source.
+BROADCAST_SOURCES = 10_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3) -> DataFrame:
@@ -30,6 +30,16 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit
     return placed.withColumn("level", level).withColumn("target", F.least(F.col("ceiling").cast("double"), F.col("weight") * F.max("level").over(everything))).drop("level", "ceiling")
 
 
+def block_size(total: int, shards: int = 64, per_shard: int = 1024) -> int:
+    """Words in a block: the total over all blocks of all shards, rounded up."""
+    return max(1, -(-total // (shards * per_shard)))
+
+
+def block_count(total: int, size: int) -> int:
+    """Blocks that the mix has: total over size, rounded half up, in whole numbers."""
+    return max(1, (2 * total + size) // (2 * size))
+
+
 def block_quotas(targets: DataFrame, total: int, shards: int = 64, per_shard: int = 1024, limit: int = 3) -> DataFrame:
     """Sainte-Laguë: (stratum, shard, quota), whole blocks of each source in each shard.
 
@@ -40,7 +50,7 @@ def block_quotas(targets: DataFrame, total: int, shards: int = 64, per_shard: in
     ranking has a bounded number of rows: the blocks, and two for each source.
     """
     size = block_size(total, shards, per_shard)
-    seats = max(1, round(total / size))
+    seats = block_count(total, size)
     everything = Window.partitionBy(F.lit(0))
     share = F.col("target") * seats / F.lit(max(total, 1))
     most = F.ceil(share * (1 + F.count("*").over(everything) / (2 * seats)) + 1)
@@ -52,60 +62,78 @@ def block_quotas(targets: DataFrame, total: int, shards: int = 64, per_shard: in
     return won.groupBy("stratum", F.expr(f"seat div {per_shard}").cast("int").alias("shard")).agg(F.count("*").alias("quota"))
 
 
-def block_size(total: int, shards: int = 64, per_shard: int = 1024) -> int:
-    """Words in a block: the total over all blocks of all shards, rounded up."""
-    return max(1, -(-total // (shards * per_shard)))
+def block_plan(targets: DataFrame, quotas: DataFrame, block: int, seed: int) -> DataFrame:
+    """How every source fills its quotas: (stratum, source_size, target, blocks, quota, places, upto).
+
+    places: for each block of the source its place in a seeded shuffle of them.
+    Shards are filled in turn with the blocks in order of their places, from
+    the first again after the last: pick k is the block whose place is k mod
+    blocks. upto: for each shard the number of picks up to its end. A row a
+    source; all places together are at most the blocks of the mix and one for
+    each source.
+    """
+    own = targets.withColumn("blocks", F.greatest(F.ceil(F.col("source_size") / block), F.lit(1)).cast("long"))
+    dealt = own.select("stratum", F.explode(F.expr("sequence(0L, blocks - 1L)")).alias("block"))
+    shuffled = Window.partitionBy("stratum").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "stratum", F.col("block").cast("string"))), "block")
+    places = dealt.withColumn("place", F.row_number().over(shuffled) - 1).groupBy("stratum").agg(F.array_sort(F.collect_list(F.struct("block", "place"))).alias("dealt"))
+    filled = quotas.groupBy("stratum").agg(F.array_sort(F.collect_list(F.struct("shard", F.col("quota").cast("long").alias("quota")))).alias("won"), F.sum("quota").cast("long").alias("quota"))
+    upto = F.expr("transform(won, (x, k) -> named_struct('shard', x.shard, 'picks', aggregate(slice(won, 1, k + 1), 0L, (s, y) -> s + y.quota)))")
+    both = own.join(places, "stratum").join(filled, "stratum", "left")
+    return both.select("stratum", "source_size", "target", "blocks", F.coalesce("quota", F.lit(0)).cast("long").alias("quota"), F.col("dealt.place").alias("places"), F.coalesce(upto, F.expr("array()")).alias("upto"))
 
 
-def mixed(docs: DataFrame, shards: int = 64, per_shard: int = 1024, seed: int = 23, limit: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
-    """How many words of every document the mix takes (repeats counted).
+def mixed(docs: DataFrame, shards: int = 64, per_shard: int = 1024, seed: int = 23, limit: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """How many words of every document the mix takes (repeats counted), and into which shards.
 
     Each source is a stream of words, its documents in a seeded shuffle, cut
-    into equal blocks. A source with quota q over b blocks takes every block
-    q div b times, and q mod b blocks once more: those whose seeded place (a
-    permutation of the blocks) is below q mod b. No block is taken over limit
-    times. Reruns agree, for all depends on ids, sizes and the seed alone.
-
-    Returns id, source, size, source_size, target, taken, and the columns in keep. Null and blank texts
-    have size 0 and give 0; null sources are one source, last in order; an
-    empty table gives no rows; rows that repeat an id are separate rows,
-    ordered by size. No row of a hot source meets all others: offsets come
-    from sums over buckets (prefix_sums).
+    into equal blocks. block_quotas gives whole numbers of blocks for each
+    shard; each shard's quota is filled with blocks of the source in a seeded
+    order (block_plan), every block at most limit times. Reruns agree, for all
+    depends on ids, sizes and the seed alone.
+
+    Returns doc_id, source, size, source_size, target, taken, and takes: an
+    array of (shard, words). Null and blank texts have size 0 and give 0; null
+    sources are one source, last in order; an empty table gives no rows; rows
+    that repeat an id, and those without one, are separate rows, ordered by
+    size. No row of a hot source meets all others: offsets come from sums over
+    buckets (prefix_sums).
     """
-    rows = written(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            source_key(source_col).alias("stratum"),
-            word_count(text_of(text_col)).alias("size"),
-            seeded_key(seed, F.col(id_col)).alias("key"),
-            *keep,
-        ),
-        "mix-rows",
-    )
+    return _mixed(written(_sized(docs, seed, id_col, text_col, source_col), "mix-rows"), shards, per_shard, seed, limit)
+
+
+def _sized(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str, *keep) -> DataFrame:
+    return docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(source_col)).alias("source"), source_key(source_col).alias("stratum"), word_count(text_of(text_col)).alias("size"), seeded_key(seed, F.col(quoted(id_col))).alias("key"), *keep)
+
+
+def _mixed(rows: DataFrame, shards: int, per_shard: int, seed: int, limit: int, keep: tuple[str, ...] = ()) -> DataFrame:
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     block = block_size(total, shards, per_shard)
-    targets = source_targets(rows.groupBy("stratum").agg(F.sum("size").alias("source_size")), limit=limit)
-    quotas = block_quotas(targets, total, shards, per_shard, limit).groupBy("stratum").agg(F.sum("quota").alias("quota"))
-    plan = targets.join(quotas, "stratum", "left").select(
-        "stratum", "target", "place", F.coalesce("quota", F.lit(0)).cast("long").alias("quota"), F.greatest(F.ceil(F.col("source_size") / block), F.lit(1)).cast("long").alias("blocks")
-    )
+    targets = written(source_targets(rows.groupBy("stratum").agg(F.sum("size").alias("source_size")), limit=limit), "mix-targets", files=8)
+    plan = written(block_plan(targets, block_quotas(targets, total, shards, per_shard, limit), block, seed), "mix-plan", files=1)
+    if plan.count() <= BROADCAST_SOURCES:
+        plan = F.broadcast(plan)
     placed = prefix_sums(rows.withColumn("bucket", key_bucket("key", buckets_for(n))), ["stratum"], "bucket", ["key", "size", *keep], ["size"])
-    # The words of the row from size_before on that block b holds, times the takes of b.
-    overlap = f"(least(size_before + size, (b + 1) * {block}L) - greatest(size_before, b * {block}L))"
-    takes = f"(quota div blocks + if((b * ({STRIDE}L % blocks) + {seed}L + place) % blocks < quota % blocks, 1L, 0L))"
-    taken = f"if(size = 0, 0L, aggregate(sequence(size_before div {block}L, (size_before + greatest(size, 1L) - 1L) div {block}L), 0L, (sum, b) -> sum + {overlap} * {takes}))"
-    return placed.join(plan, "stratum").select("doc_id", "source", "size", F.col("size_total").alias("source_size"), "target", F.expr(taken).cast("long").alias("taken"), *keep)
-
-
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    covered = f"if(size = 0, array(), sequence(size_before div {block}L, (size_before + size - 1L) div {block}L))"
+    # The words of the row, which begins at word size_before of its source, that lie in block b; its picks are those numbers under quota that leave its place over blocks.
+    overlap = f"(least(size_before + size, (b + 1L) * {block}L) - greatest(size_before, b * {block}L))"
+    place = "element_at(places, cast(b + 1 as int))"
+    taken = f"aggregate({covered}, 0L, (sum, b) -> sum + {overlap} * (quota div blocks + if({place} < quota % blocks, 1L, 0L)))"
+    picks = f"filter(sequence(0, {limit - 1}), r -> {place} + r * blocks < quota)"
+    shard = f"filter(upto, u -> u.picks > {place} + r * blocks)[0].shard"
+    takes = f"flatten(transform({covered}, b -> transform({picks}, r -> named_struct('shard', {shard}, 'words', {overlap}))))"
+    return placed.join(plan, "stratum").select("doc_id", "source", "size", "source_size", "target", F.expr(taken).alias("taken"), F.expr(takes).alias("takes"), *keep)
+
+
+def mixed_documents(docs: DataFrame, shards: int = 64, per_shard: int = 1024, seed: int = 23, limit: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents of the mix: each as often as the words taken of it, over its size, round to (half up).
 
-    Columns stay as they are. Documents without a word stay out. Copies go back
-    by a key written with the rows, so that rows without an id or with a
-    repeated one each get their own.
+    Columns stay as they are, whatever their names. Documents without a word
+    stay out; an empty table gives none. Copies go back by a key written with
+    the rows, so that rows without an id or with a repeated one each get their
+    own; rows alike in all are separate rows.
     """
-    keyed = written(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-keyed")
-    takes = mixed(keyed, keep=("__row",), **options).filter("size > 0")
-    copies = takes.select("__row", F.expr("cast((2 * taken + size) div (2 * size) as int)").alias("__copies")).filter("__copies > 0")
-    return keyed.join(copies, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = written(docs.select(packed_row(docs), F.monotonically_increasing_id().alias("nth")), "mix-keyed")
+    own = keyed.select(*[F.col(f"row.{quoted(c)}").alias(k) for c, k in ((id_col, "id"), (text_col, "text"), (source_col, "source"))], "nth")
+    takes = _mixed(written(_sized(own, seed, "id", "text", "source", "nth"), "mix-rows"), shards, per_shard, seed, limit, ("nth",)).filter("size > 0")
+    copies = takes.select("nth", F.expr("cast((2 * taken + size) div (2 * size) as int)").alias("copies")).filter("copies > 0")
+    return keyed.join(copies, "nth").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*unpacked(docs.columns))

@@ -7,7 +7,6 @@ force.
 
 from __future__ import annotations
 
-from .mixing import STRIDE
 from .quality import BINS, FEATURES, HIGHEST, LOWEST, UNIT, chi_square_consistency, chi_square_cut
 
 WORDS = r"regexp_extract_all({x}, '[^\x20\x09-\x0D]+')"
@@ -58,15 +57,18 @@ w AS (SELECT *, row_number() OVER (ORDER BY stratum = 'n', stratum) - 1 AS place
 x AS (SELECT *, place % 3 + 1 AS weight, 3 * source_size AS ceiling FROM w),
 y AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(ceiling) OVER a, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER a, 0))::DOUBLE AS level FROM x WINDOW a AS (ORDER BY ceiling / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT stratum, source_size, place, least(ceiling::DOUBLE, weight * max(level) OVER ()) AS target FROM y),
-o AS (SELECT t.*, block, greatest(1, round(total / block))::BIGINT AS seats, greatest(total, 1) AS total, count(*) OVER () AS n FROM t, z),
+o AS (SELECT t.*, block, greatest(1, (2 * total + block) // (2 * block))::BIGINT AS seats, greatest(total, 1) AS total, count(*) OVER () AS n FROM t, z),
 q AS (SELECT *, least(ceil(target * seats / total * (1 + n / (2 * seats)) + 1), 3 * ceil(source_size / block))::BIGINT AS offers FROM o),
 j AS (SELECT stratum, place, seats, unnest(range(offers)) AS j, target / (2 * unnest(range(offers)) + 1) AS quotient FROM q),
 won AS (SELECT *, row_number() OVER (ORDER BY quotient DESC, place, j) AS seat FROM j),
 quota AS (SELECT stratum, count(*) AS quota FROM won WHERE seat <= seats GROUP BY 1),
 plan AS (SELECT o.stratum, o.place, o.target, o.source_size, o.block, coalesce(quota, 0)::BIGINT AS quota, greatest(ceil(source_size / block), 1)::BIGINT AS blocks FROM o LEFT JOIN quota USING (stratum)),
-placed AS (SELECT r.*, coalesce(sum(size) OVER (PARTITION BY stratum ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead FROM r)
-SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE list_sum(list_transform(range(ahead // block, (ahead + size - 1) // block + 1), lambda b: (least(ahead + size, (b + 1) * block) - greatest(ahead, b * block)) * (quota // blocks + CASE WHEN (b * ({STRIDE} % blocks) + 23 + place) % blocks < quota % blocks THEN 1 ELSE 0 END))) END::BIGINT AS taken
-FROM placed JOIN plan USING (stratum)
+shuffled AS (SELECT stratum, b, row_number() OVER (PARTITION BY stratum ORDER BY md5('23|' || stratum || '|' || b), b) - 1 AS place FROM (SELECT stratum, unnest(range(blocks)) AS b FROM plan)),
+times AS (SELECT stratum, b, quota // blocks + CASE WHEN shuffled.place < quota % blocks THEN 1 ELSE 0 END AS times FROM shuffled JOIN plan USING (stratum)),
+placed AS (SELECT r.*, source_size, target, block, coalesce(sum(size) OVER (PARTITION BY stratum ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead FROM r JOIN plan USING (stratum)),
+pieces AS (SELECT *, unnest(range(ahead // block, CASE WHEN size = 0 THEN ahead // block + 1 ELSE (ahead + size - 1) // block + 1 END)) AS b FROM (SELECT *, row_number() OVER () AS nth FROM placed))
+SELECT doc_id, size, source_size, target, coalesce(sum((least(ahead + size, (b + 1) * block) - greatest(ahead, b * block)) * times), 0)::BIGINT AS taken
+FROM pieces LEFT JOIN times USING (stratum, b) GROUP BY nth, doc_id, size, source_size, target
 """
 
 

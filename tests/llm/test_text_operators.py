@@ -1,6 +1,7 @@
 """Operators on documents against brute force over the same rows."""
 
 import collections
+import fractions
 import itertools
 import math
 import re
@@ -10,12 +11,15 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from samples import prose
 
 from sievelake.llm import mixing, packing, quality, shards, simhash, suffixes, templates
 from sievelake.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Names that need quotes, or that helper columns once had.
+ODD_NAMES = ["a.b", "__id", "__drop", "__copies", "__copy", "__key", "__row", "row", "a`b c"]
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -290,12 +294,59 @@ def test_quotas_are_sainte_lague(spark):
         got[r.stratum] += r.quota
     want, t = collections.Counter(), {r.stratum: r.target for r in targets.collect()}
     size = mixing.block_size(total, 8, 16)
-    for _ in range(round(total / size)):
+    for _ in range(max(1, (2 * total + size) // (2 * size))):
         best = max((s for s in t if want[s] < 3 * -(-sizes[s] // size)), key=lambda s: t[s] / (2 * want[s] + 1))
         want[best] += 1
     assert got == want
 
 
+@pytest.mark.parametrize("total", [65028 * 6 + 3, 17 * 65536 // 2, 1, 0])
+def test_blocks_round_half_up(total):
+    size = mixing.block_size(total)
+    assert mixing.block_count(total, size) == max(1, math.floor(fractions.Fraction(total, size) + fractions.Fraction(1, 2)))
+
+
+def test_blocks_at_a_half(spark):
+    """21 words in blocks of 2 are 10.5 blocks, so 11: half to even would give 10."""
+    docs = spark.createDataFrame([(k, "a b c", f"s{k % 2}") for k in range(7)], "doc_id long, text string, source string")
+    got = mixing.mixed(docs, shards=2, per_shard=6).collect()
+    assert sum(t.words for r in got for t in r.takes) == sum(r.taken for r in got)
+    targets = mixing.source_targets(spark.createDataFrame([("vs0", 12), ("vs1", 9)], "stratum string, source_size long"))
+    assert sum(r.quota for r in mixing.block_quotas(targets, 21, 2, 6).collect()) == 11
+
+
+def test_shards_fill_their_quotas(docs):
+    """Every shard gets of each source as many whole blocks as its quota says; another seed takes other blocks."""
+    got = mixing.mixed(docs, shards=8, per_shard=16).collect()
+    sizes = collections.Counter()
+    for r in got:
+        sizes[r.source] += r.size
+        assert sum(t.words for t in r.takes) == r.taken
+    total = sum(sizes.values())
+    block = mixing.block_size(total, 8, 16)
+    strata = {s: "n" if s is None else f"v{s}" for s in sizes}
+    spark = docs.sparkSession
+    targets = mixing.source_targets(spark.createDataFrame([(strata[s], n) for s, n in sizes.items()], "stratum string, source_size long"))
+    quota = {(r.stratum, r.shard): r.quota for r in mixing.block_quotas(targets, total, 8, 16).collect()}
+    words = collections.Counter()
+    for r in got:
+        for t in r.takes:
+            words[strata[r.source], t.shard] += t.words
+    assert set(words) == set(quota)
+    for k, n in words.items():  # only a source's last block can be short
+        last = -sum(sizes[s] for s in sizes if strata[s] == k[0]) % block
+        assert quota[k] * block - 3 * last <= n <= quota[k] * block
+    other = mixing.mixed(docs, shards=8, per_shard=16, seed=24).collect()
+    assert collections.Counter((r.doc_id, r.taken) for r in got) != collections.Counter((r.doc_id, r.taken) for r in other)
+
+
+@pytest.mark.parametrize("name", ODD_NAMES)
+def test_mixed_documents_odd_names(docs, name):
+    wide = docs.withColumn(name, F.lit("x"))
+    out = mixing.mixed_documents(wide)
+    assert out.columns == wide.columns and out.count() > 0
+
+
 def test_mixed_documents(docs, no_docs):
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns and out.filter("text is null").count() == 0
@@ -395,20 +446,13 @@ def test_rows_without_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(2)
     got = collections.Counter((r.doc_id, r.text) for r in simhash.first_of_groups(docs).collect())
     assert got == collections.Counter([(None, prose(4000, 40)), (7, prose(4001, 60)), (7, prose(4002, 20)), (None, prose(4003, 400)), (None, prose(4004, 10))])
-    takes = mixing.mixed(docs.withColumn("row", spark_row_id()), keep=("row",)).collect()
     want = collections.Counter()
-    for r in takes:
+    for r in mixing.mixed(docs).collect():
         want[r.doc_id, r.size] += (2 * r.taken + r.size) // (2 * r.size)
     mixed = collections.Counter((r.doc_id, len(r.text.split())) for r in mixing.mixed_documents(docs).collect())
     assert mixed == +want
 
 
-def spark_row_id():
-    from pyspark.sql import functions as F
-
-    return F.monotonically_increasing_id()
-
-
 def test_suffixes_without_ids(spark):
     """Thousands of rows without an id: texts that agree in 15 bits of their hash are documents of their own."""
     rows = [(None, f"{prose(5000 + k, 30)} {k}") for k in range(3000)]
