@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest, xxh64_intdigest
 
-from .common import shuffle_partitions, text_of, written
+from .common import packed_row, quoted, shuffle_partitions, text_of, unpacked, written
 from .components import components
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -51,8 +51,8 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str =
             made = np.array([fingerprint(t, words, seed) for t in batch.column(1).cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made)], ["doc_id", "fingerprint"])
 
-    kind = dict(docs.select(F.col(id_col)).dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(make, f"doc_id {kind}, fingerprint long")
+    kind = docs.select(F.col(quoted(id_col)).alias("id")).dtypes[0][1]
+    return docs.select(F.col(quoted(id_col)).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(make, f"doc_id {kind}, fingerprint long")
 
 
 def _stars(prints: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -73,58 +73,93 @@ def _stars(prints: np.ndarray, most: int) -> list[tuple[int, int]]:
     return links
 
 
-def near_links(prints: DataFrame, most: int = 3, segments: int = 2) -> DataFrame:
+def _without(value: str, low: int, high: int, width: int) -> str:
+    """SQL for the bits of a value of `width` bits without those from low to high, moved together."""
+    kept = f"({value} & {(1 << low) - 1}L)"
+    return kept if high >= width else f"((shiftrightunsigned({value}, {high}) << {low}) | {kept})"
+
+
+def met_under_values(prints: DataFrame, most: int = 3, segments: int = 2, hot: int = 256, least_bits: int = 14) -> DataFrame:
+    """(key, entry, fingerprint): what is compared under each key. Any two fingerprints at `most` or fewer differing bits share a key.
+
+    A fingerprint is an entry under each segment's value, and looks up all
+    values in the Hamming ball of radius 1 around it. A value with over `hot`
+    entries in its ball is split by the bits outside the segment: cut into
+    most + 1 parts, two that near have some part alike, so each part's value
+    makes a key of its own. A key that is still hot is split by the bits left,
+    and so on while over least_bits are left: then so few different
+    fingerprints can share it that one task holds them.
+    """
+    width, spark = 64 // segments, prints.sparkSession
+    radius, mask = most // segments, (1 << width) - 1
+    if radius > 1 or segments not in (2, 4, 8):
+        raise ValueError("segments must be 2, 4 or 8, and over most / 2")
+    # 3 bits of a key are the segment, the others its value.
+    own = [f"(((shiftrightunsigned(fingerprint, {s * width}) & {mask}L) << 3) | {s}L)" for s in range(segments)]
+    keys = [f"named_struct('key', {k}, 'entry', true)" for k in own]
+    if radius:
+        keys += [f"named_struct('key', {k} ^ {1 << (bit + 3)}L, 'entry', false)" for k in own for bit in range(width)]
+    dealt = prints.repartition(shuffle_partitions(spark), "fingerprint")
+    met = dealt.select("fingerprint", F.explode(F.expr(f"array({', '.join(keys)})")).alias("k")).select("k.key", "k.entry", "fingerprint")
+    crowded = dealt.select(F.explode(F.expr(f"array({', '.join(own)})")).alias("key")).groupBy("key").count().filter(F.col("count") > hot)
+    around = ", ".join(["key", *(f"key ^ {1 << (bit + 3)}L" for bit in range(width) if radius)])
+    crowded = written(crowded.select(F.explode(F.expr(f"array({around})")).alias("key")).distinct(), "crowded", files=8)
+    rest = "case key & 7L " + " ".join(f"when {s} then {_without('fingerprint', s * width, (s + 1) * width, 64)}" for s in range(segments)) + " end"
+    met, left, parts = met.withColumn("rest", F.expr(rest)), 64 - width, []
+    while left > least_bits and not crowded.isEmpty():
+        parts.append(met.join(crowded, "key", "left_anti").select("key", "entry", "fingerprint"))
+        edges = [left * j // (most + 1) for j in range(most + 2)]
+        cuts = list(enumerate(zip(edges, edges[1:], strict=False)))
+        finer = [f"named_struct('key', xxhash64(key, {j}, shiftrightunsigned(rest, {lo}) & {(1 << (hi - lo)) - 1}L), 'rest', {_without('rest', lo, hi, left)})" for j, (lo, hi) in cuts]
+        left -= min(hi - lo for _, (lo, hi) in cuts)
+        met = met.join(crowded, "key", "left_semi").select("entry", "fingerprint", F.explode(F.expr(f"array({', '.join(finer)})")).alias("k"))
+        met = written(met.select("k.key", "entry", "fingerprint", "k.rest"), "split-values")
+        crowded = written(met.groupBy("key").count().filter(F.col("count") > (width + 1) * hot).select("key"), "crowded", files=8)
+    out = met.select("key", "entry", "fingerprint")
+    for part in parts:
+        out = out.union(part)
+    return out
+
+
+def near_links(prints: DataFrame, most: int = 3, segments: int = 2, hot: int = 256) -> DataFrame:
     """Links (a, b) with which fingerprints at `most` or fewer differing bits are connected as by all such pairs.
 
-    prints: distinct (fingerprint). Multi-index hashing: of two fingerprints
-    that near, some segment differs in at most most // segments bits. So every
-    fingerprint enters a table under each segment's value, and is looked up
-    under every value in the Hamming ball of radius 1 around it; where segments
-    may differ in 2 bits, the looked-up values enter the table too, for two
-    balls of radius 1 then share a value. Those that
-    meet under a value are verified over all 64 bits; instead of all pairs,
+    prints: distinct (fingerprint), none null; an empty table gives no links.
+    Multi-index hashing: of two fingerprints that near, some segment differs in
+    at most most // segments bits, so they meet under a value of it
+    (met_under_values) and are verified over all 64 bits. Instead of all pairs,
     which a dense group has too many of, only the links that connect them are
-    returned. Under a value every fingerprint met is compared, none is capped;
-    work per value is quadratic only in fingerprints that share a segment and
-    are yet far apart, and eight bytes each are held.
+    returned. Every fingerprint met is compared, none is capped.
     """
-    width, radius = 64 // segments, most // segments
-    if radius > 2 or 64 % segments:
-        raise ValueError("segments must divide 64 and be over most / 3")
-    mask = (1 << width) - 1
-    own = [f"(shiftrightunsigned(fingerprint, {s * width}) & {mask}L)" for s in range(segments)]
-    keys = []
-    for s, value in enumerate(own):
-        keys.append(f"named_struct('segment', {s}, 'value', {value}, 'entry', true)")
-        if radius:
-            keys += [f"named_struct('segment', {s}, 'value', {value} ^ {1 << bit}L, 'entry', {str(radius > 1).lower()})" for bit in range(width)]
-    met = prints.select("fingerprint", F.explode(F.expr(f"array({', '.join(keys)})")).alias("k")).select(F.expr("k.value * 8 + k.segment").alias("key") if width < 60 else F.xxhash64("k.segment", "k.value").alias("key"), F.expr("k.entry").alias("entry"), "fingerprint")
     spark = prints.sparkSession
-    dealt = met.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
+    dealt = met_under_values(prints, most, segments, hot).repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
+
+    def verify(key: np.ndarray, entry: np.ndarray, codes: np.ndarray):
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
+        ends = np.append(starts[1:], len(key))
+        held = np.add.reduceat(entry.astype(np.int64), starts)
+        out = []
+        for k in np.flatnonzero((ends - starts > 1) & (held > 0)):
+            out += _stars(np.unique(codes[starts[k] : ends[k]]).view(np.uint64), most)
+        pairs = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     def link(batches):
-        key, entry, codes = np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
-
-        def verify(last: int):
-            edges = np.flatnonzero(np.diff(key[:last])) + 1
-            starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [last]])
-            size = ends - starts
-            held = np.add.reduceat(entry[:last].astype(np.int64), starts)
-            out = []
-            for k in np.flatnonzero((size > 1) & (held > 0)):
-                out += _stars(np.unique(codes[starts[k] : ends[k]]).view(np.uint64), most)
-            pairs = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
+        held: list[list[np.ndarray]] = []  # of the last key, which may go on in the next batch
         for batch in batches:
+            if not batch.num_rows:
+                continue
             new = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(3)]
-            key, entry, codes = (np.concatenate(x) for x in zip((key, entry, codes), new, strict=True))
-            if len(key) and key[0] != key[-1]:
-                last = int(np.searchsorted(key, key[-1]))  # the last value may go on in the next batch
-                yield verify(last)
-                key, entry, codes = key[last:], entry[last:], codes[last:]
-        if len(key):
-            yield verify(len(key))
+            last = int(np.searchsorted(new[0], new[0][-1]))
+            if held and (last or held[-1][0][0] != new[0][0]):
+                held.append([x[:last] for x in new])
+                yield verify(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held = []
+            elif last:
+                yield verify(*(x[:last] for x in new))
+            held.append([x[last:] for x in new])
+        if held:
+            yield verify(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return dealt.mapInArrow(link, "a long, b long").distinct()
 
@@ -281,9 +316,9 @@ def first_of_similar(docs: DataFrame, words: int = 5, alike: float = 0.8, id_col
     hash of the text. Decisions go back by a key written with the rows, for
     ids may be null or repeated.
     """
-    kind = dict(docs.select(F.col(id_col)).dtypes)[id_col]
-    keyed = written(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
-    rows = keyed.select("__row", F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    kind = docs.select(F.col(quoted(id_col)).alias("id")).dtypes[0][1]
+    keyed = written(docs.select(packed_row(docs), F.monotonically_increasing_id().alias("nth")), "near-rows")
+    rows = keyed.select("nth", F.col(f"row.{quoted(id_col)}").alias("doc_id"), F.coalesce(F.col(f"row.{quoted(text_col)}").cast("string"), F.lit("")).alias("text"))
 
     def code(batches):
         for batch in batches:
@@ -306,7 +341,7 @@ def first_of_similar(docs: DataFrame, words: int = 5, alike: float = 0.8, id_col
     tried = written(near_pairs(classes, *FIRST), "near-pairs")
     met = tried.select(F.col("a").alias("class")).union(tried.select("b")).distinct()
     some = written(classes.join(met, "class"), "near-met")
-    texts = rows.join(some.select("class", F.col("first.row").alias("__row")), "__row").select("class", "text")
+    texts = rows.join(some.select("class", F.col("first.row").alias("nth")), "nth").select("class", "text")
     sets = written(texts.mapInArrow(shingle, "class long, shingles array<long>"), "near-sets")
     links = written(similar(tried, sets, alike), "near-links")
     group = components(links)
@@ -315,18 +350,18 @@ def first_of_similar(docs: DataFrame, words: int = 5, alike: float = 0.8, id_col
     if not more.isEmpty():
         group = components(links.union(more))
     named = classes.join(group, F.col("class") == F.col("node"), "left").select("first", F.coalesce("component", "class").alias("part"))
-    firsts = named.groupBy("part").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
-    return keyed.join(firsts, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    firsts = named.groupBy("part").agg(F.min("first").alias("first")).select(F.col("first.row").alias("nth"))
+    return keyed.join(firsts, "nth", "left_semi").select(*unpacked(docs.columns))
 
 
-def first_of_groups(docs: DataFrame, **options) -> DataFrame:
+def first_of_groups(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The first row of each near-duplicate group, that with the smallest id (null last); all columns as they are.
 
     Decisions go back by a key written with the rows, for ids may be null or repeated.
     """
-    name = options.pop("id_col", "doc_id")
-    keyed = written(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
-    groups = near_duplicates(keyed, id_col="__row", **options).select(F.col("doc_id").alias("__row"), "component_id")
-    order = F.struct(F.col("id").isNull(), "id", "__row")
-    firsts = groups.join(keyed.select("__row", F.col(name).alias("id")), "__row").groupBy("component_id").agg(F.min(order).alias("first"))
-    return keyed.join(firsts.select(F.col("first.__row").alias("__row")), "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = written(docs.select(packed_row(docs), F.monotonically_increasing_id().alias("nth")), "near-rows")
+    own = keyed.select("nth", F.col(f"row.{quoted(id_col)}").alias("id"), F.col(f"row.{quoted(options.pop('text_col', 'text'))}").alias("text"))
+    groups = near_duplicates(own, id_col="nth", **options).select(F.col("doc_id").alias("nth"), "component_id")
+    order = F.struct(F.col("id").isNull(), "id", "nth")
+    firsts = groups.join(own.select("nth", "id"), "nth").groupBy("component_id").agg(F.min(order).alias("first"))
+    return keyed.join(firsts.select(F.col("first.nth").alias("nth")), "nth", "left_semi").select(*unpacked(docs.columns))
