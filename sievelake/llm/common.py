@@ -54,9 +54,9 @@ def quoted(column: str) -> str:
     return "`" + column.replace("`", "``") + "`"
 
 
-def packed_row(df: DataFrame, name: str = "row") -> Column:
-    """All columns of df in one struct, so that helper columns beside it clash with none of them."""
-    return F.struct(*[F.col(quoted(c)) for c in df.columns]).alias(name)
+def packed_row(df: DataFrame, name: str = "row", columns: list[str] | None = None) -> Column:
+    """All columns of df (or those named) in one struct, so that helper columns beside it clash with none of them."""
+    return F.struct(*[F.col(quoted(c)) for c in (df.columns if columns is None else dict.fromkeys(columns))]).alias(name)
 
 
 def unpacked(columns: list[str], name: str = "row") -> list[Column]:
@@ -80,9 +80,9 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def source_key(column: str) -> Column:
-    """A key that is never null: null becomes 'n', any other value gets the prefix 'v'."""
-    c = F.col(quoted(column)).cast("string")
+def source_key(column: str, parsed: bool = False) -> Column:
+    """A key that is never null: null becomes 'n', any other value gets the prefix 'v'. parsed: the name is quoted where it must be."""
+    c = F.col(column if parsed else quoted(column)).cast("string")
     return F.when(c.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), c))
 
 

@@ -73,39 +73,50 @@ FROM pieces LEFT JOIN times USING (stratum, b) GROUP BY nth, doc_id, size, sourc
 
 
 
-def _root(v: str, floors: list[float]) -> list[str]:
-    """CTEs that add the Cholesky root of the scatter v.. to the one before, an entry at a time."""
-    p, steps, last = len(floors), [], v
-    for i in range(p):
-        for k in range(i + 1):
-            left = " - ".join([f"v{i}{k}", *(f"r{i}{j} * r{k}{j}" for j in range(k))])
-            value = f"sqrt(greatest({left}, {floors[i] ** 2!r}::DOUBLE))" if i == k else f"({left}) / r{k}{k}"
-            steps.append(f"{v}_{i}{k} AS (SELECT *, {value} AS r{i}{k} FROM {last})")
-            last = f"{v}_{i}{k}"
-    return steps
-
-
-def _distance(p: int) -> tuple[list[str], str]:
-    """Forward substitution: columns y0.. in order, each from those before, and the sum of their squares."""
-    ys = [f"(q{i} / {UNIT}::DOUBLE - m{i}" + "".join(f" - r{i}{k} * y{k}" for k in range(i)) + f") / r{i}{i} AS y{i}" for i in range(p)]
-    return ys, " + ".join(f"y{i} * y{i}" for i in range(p))
-
-
-def _with_distance(name: str, rows: str) -> list[str]:
-    ys, d2 = _distance(len(FEATURES))
-    steps, last = [], rows
-    for i, y in enumerate(ys):
-        steps.append(f"{name}_y{i} AS (SELECT *, {y} FROM {last})")
-        last = f"{name}_y{i}"
-    return [*steps, f"{name} AS (SELECT *, {d2} AS d2 FROM {last})"]
-
-
-def quality_sql(share: float = 0.75, rounds: int = 3, tail: float = 1e-5, least_rows: int = 100) -> str:
+def quality_sql(share: float = 0.75, steps: int = 10, tail: float = 1e-5, least_rows: int = 100) -> str:
+    """The estimates, all starts through all steps; where an operator's run stops earlier, further steps change nothing."""
     floors = list(FEATURES.values())
     p = len(floors)
     qs = range(p)
     pairs = [(i, k) for i in qs for k in range(i + 1)]
-    middle = lambda name, rows: f"""{name} AS (SELECT "group", {", ".join(f"max(mid) FILTER (f = {i}) AS x{i}" for i in qs)} FROM (SELECT "group", f, min(bin) * 20 + 10 AS mid FROM (SELECT *, sum(n) OVER (PARTITION BY "group", f ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY "group", f) AS total FROM (SELECT "group", f, floor(v / 20)::BIGINT AS bin, count(*) AS n FROM (SELECT "group", unnest([{", ".join(map(str, qs))}]) AS f, unnest([{", ".join(f"q{i}" for i in qs)}]) AS v FROM {rows}) GROUP BY ALL)) WHERE 2 * upto >= total GROUP BY ALL) GROUP BY 1)"""
+    ms = ", ".join(f"m{i}" for i in qs)
+    rs = ", ".join(f"r{i}{k}" for i, k in pairs)
+    group = '"group"'
+
+    def middle(name: str, rows: str) -> str:
+        per = f"SELECT {group}, f, v, sum(n) AS n FROM (SELECT {group}, n, unnest([{', '.join(map(str, qs))}]) AS f, unnest([{', '.join(f'q{i}' for i in qs)}]) AS v FROM {rows}) GROUP BY ALL"
+        upto = f"SELECT *, sum(n) OVER (PARTITION BY {group}, f ORDER BY v) AS upto, sum(n) OVER (PARTITION BY {group}, f) AS total FROM ({per})"
+        return f"{name} AS MATERIALIZED (SELECT {group}, {', '.join(f'min(v) FILTER (f = {i}) AS x{i}' for i in qs)} FROM ({upto}) WHERE 2 * upto >= total GROUP BY 1)"
+
+    # Each entry of the root from those before it in the same list.
+    entries = []
+    for i, k in pairs:
+        left = " - ".join([f"v{i}{k}", *(f"r{i}{j} * r{k}{j}" for j in range(k))])
+        entries.append(f"sqrt(greatest({left}, {floors[i] ** 2!r}::DOUBLE)) AS r{i}{k}" if i == k else f"({left}) / r{k}{k} AS r{i}{k}")
+    root = ", ".join([*entries, " * ".join(f"r{i}{i}" for i in qs) + " AS volume"])
+    forward = [f"(q{i} / {UNIT}::DOUBLE - m{i}" + "".join(f" - r{i}{k} * y{k}" for k in range(i)) + f") / r{i}{i} AS y{i}" for i in qs]
+    distance = ", ".join([*forward, " + ".join(f"y{i} * y{i}" for i in qs) + " AS d2"])
+
+    def concentrated(name: str, model: str, part: float, start: str = "start") -> list[str]:
+        factor = chi_square_consistency(p, part)
+        return [
+            f"near_{name} AS (SELECT c.*, {model}.* EXCLUDE ({group}, n, volume), {distance} FROM counts c JOIN {model} USING ({group}))",
+            f"bins_{name} AS MATERIALIZED (SELECT {group}, {start} AS start, greatest({LOWEST}, least({HIGHEST}, floor({BINS} * log2(d2 + 1e-6))))::INT AS bin, sum(n) AS n, {', '.join(f'sum(n * q{i}) AS s{i}' for i in qs)}, {', '.join(f'sum(n * q{i} * q{k}) AS p{i}{k}' for i, k in pairs)} FROM near_{name} GROUP BY ALL)",
+            f"kept_{name} AS (SELECT * FROM (SELECT *, sum(n) OVER (PARTITION BY {group}, start ORDER BY bin) - n AS ahead, sum(n) OVER (PARTITION BY {group}, start) AS total FROM bins_{name}) WHERE ahead < {part} * total)",
+            f"sum_{name} AS (SELECT {group}, start, max(total)::BIGINT AS n, sum(n)::DOUBLE AS h, {', '.join(f'sum(s{i})::DOUBLE / h / {UNIT} AS m{i}' for i in qs)}, {', '.join(f'sum(p{i}{k})::DOUBLE AS p{i}{k}' for i, k in pairs)} FROM kept_{name} GROUP BY 1, 2)",
+            f"sc_{name} AS (SELECT {group}, start, n, {ms}, {', '.join(f'(p{i}{k} / h / {UNIT**2} - m{i} * m{k}) * {factor!r}::DOUBLE + {floors[i] ** 2 if i == k else 0.0!r}::DOUBLE AS v{i}{k}' for i, k in pairs)} FROM sum_{name})",
+            f"{name} AS MATERIALIZED (SELECT {group}, start, n, {ms}, {rs}, volume FROM (SELECT *, {root} FROM sc_{name}))",
+        ]
+
+    forms = {1: lambda i: f"z{i} / sqrt(1 + z{i} * z{i})", 2: lambda i: f"CASE WHEN far > 0 THEN z{i} / far ELSE 0.0 END", 3: lambda i: f"sign(z{i})::DOUBLE"}
+
+    def scatter(t: int, i: int, k: int) -> str:
+        if i == k:
+            return f"s{i} * s{i} AS v{i}{i}"
+        size = f"sqrt(p{t}{i}{i} * p{t}{k}{k})"
+        return f"0.0::DOUBLE AS v{i}{k}" if t == 0 else f"CASE WHEN {size} > 0 THEN p{t}{i}{k} / {size} ELSE 0.0 END * s{i} * s{k} AS v{i}{k}"
+
+    starts = " UNION ALL ".join(f"SELECT {group}, {t} AS start, 0::BIGINT AS n, {', '.join(f'c{i} / {UNIT}::DOUBLE AS m{i}' for i in qs)}, {', '.join(scatter(t, i, k) for i, k in pairs)} FROM summed" for t in (0, *forms))
     parts = [
         r"d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce('v' || lang, 'n') AS lk, coalesce('v' || source, 'n') AS sk FROM documents)",
         rf"w AS (SELECT *, {WORDS.format(x='text')} AS ws, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM d)",
@@ -113,31 +124,29 @@ def quality_sql(share: float = 0.75, rounds: int = 3, tail: float = 1e-5, least_
         "twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1)",
         "cov AS (SELECT doc_id, sum(step)::BIGINT AS rep FROM (SELECT doc_id, least(8, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), i - 8)) AS step FROM twice) GROUP BY 1)",
         "st AS (SELECT w.doc_id, lk, sk, len(ws)::BIGINT AS n, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS wc, (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS sy, len(ls) AS nl, (len(ls) - len(list_distinct(ls)))::BIGINT AS dl, coalesce(rep, 0) AS rep FROM w LEFT JOIN cov ON cov.doc_id = w.doc_id)",
-        f"ft AS (SELECT *, n < 20 OR 100 * rep > 30 * n AS bad, round(ln(greatest(wc, 1) / greatest(n, 1)) * {UNIT})::BIGINT AS q0, round(ln(1 + 100 * sy / greatest(n, 1)) * {UNIT})::BIGINT AS q1, round(dl / greatest(nl, 1) * {UNIT})::BIGINT AS q2, round(rep / greatest(n, 1) * {UNIT})::BIGINT AS q3 FROM st)",
+        f"ft AS MATERIALIZED (SELECT *, n < 20 OR 100 * rep > 30 * n AS bad, floor(ln(greatest(wc, 1) / greatest(n, 1)) * {UNIT} + 0.5)::BIGINT AS q0, floor(ln(1 + 100 * sy / greatest(n, 1)) * {UNIT} + 0.5)::BIGINT AS q1, floor(dl / greatest(nl, 1) * {UNIT} + 0.5)::BIGINT AS q2, floor(rep / greatest(n, 1) * {UNIT} + 0.5)::BIGINT AS q3 FROM st)",
         "ok AS (SELECT * FROM ft WHERE NOT bad)",
-        "g AS (SELECT unnest(['2' || chr(31) || lk || chr(31) || sk, '1' || chr(31) || lk, '0']) AS \"group\", q0, q1, q2, q3 FROM ok)",
-        middle("med", "g"),
-        f"away AS (SELECT g.\"group\", {', '.join(f'abs(q{i} - x{i}) AS q{i}' for i in qs)} FROM g JOIN med USING (\"group\"))",
+        "counts AS MATERIALIZED (SELECT \"group\", q0, q1, q2, q3, count(*) AS n FROM (SELECT unnest(['2' || chr(31) || lk || chr(31) || sk, '1' || chr(31) || lk, '0']) AS \"group\", q0, q1, q2, q3 FROM ok) GROUP BY ALL)",
+        middle("med", "counts"),
+        f"away AS (SELECT c.{group}, n, {', '.join(f'abs(q{i} - x{i}) AS q{i}' for i in qs)} FROM counts c JOIN med USING ({group}))",
         middle("mad", "away"),
-        f"model0 AS (SELECT med.\"group\", 0::BIGINT AS n, {', '.join(f'med.x{i} / {UNIT}::DOUBLE AS m{i}' for i in qs)}, {', '.join(f'greatest(1.4826::DOUBLE * mad.x{i} / {UNIT}, {floors[i]!r}::DOUBLE) AS r{i}{k}' if i == k else f'0.0::DOUBLE AS r{i}{k}' for i, k in pairs)} FROM med JOIN mad USING (\"group\"))",
+        f"frame AS MATERIALIZED (SELECT med.{group}, {', '.join(f'med.x{i} AS c{i}, greatest(1.4826::DOUBLE * mad.x{i} / {UNIT}, {floors[i]!r}::DOUBLE) AS s{i}' for i in qs)} FROM med JOIN mad USING ({group}))",
+        f"z AS (SELECT c.{group}, n, {', '.join(f'(q{i} - c{i}) / {UNIT}::DOUBLE / s{i} AS z{i}' for i in qs)}, sqrt({' + '.join(f'z{i} * z{i}' for i in qs)}) AS far FROM counts c JOIN frame USING ({group}))",
+        f"b AS (SELECT {group}, n, {', '.join(f'{f(i)} AS b{t}{i}' for t, f in forms.items() for i in qs)} FROM z)",
+        f"summed AS MATERIALIZED (SELECT * FROM frame JOIN (SELECT {group}, {', '.join(f'sum(n * floor(b{t}{i} * b{t}{k} * 1e6 + 0.5)::BIGINT)::DOUBLE AS p{t}{i}{k}' for t in forms for i, k in pairs)} FROM b GROUP BY 1) USING ({group}))",
+        f"four AS MATERIALIZED (SELECT {group}, start, n, {ms}, {rs}, volume FROM (SELECT *, {root} FROM ({starts})))",
+        f"first AS (SELECT * FROM four WHERE start = 0)",
+        *concentrated("half", "first", 0.5, str(p)),
+        "model0 AS MATERIALIZED (SELECT * FROM four UNION ALL SELECT * FROM half)",
     ]
-    factor = chi_square_consistency(p, share)
-    for s in range(rounds):
-        parts += [
-            *_with_distance(f"near{s}", f"(SELECT g.*, model{s}.* EXCLUDE (\"group\", n) FROM g JOIN model{s} USING (\"group\"))"),
-            f"bins{s} AS (SELECT \"group\", greatest({LOWEST}, least({HIGHEST}, floor({BINS} * log2(d2 + 1e-6))))::INT AS bin, count(*) AS n, {', '.join(f'sum(q{i}) AS s{i}' for i in qs)}, {', '.join(f'sum(q{i} * q{k}) AS p{i}{k}' for i, k in pairs)} FROM near{s} GROUP BY ALL)",
-            f"kept{s} AS (SELECT * FROM (SELECT *, sum(n) OVER (PARTITION BY \"group\" ORDER BY bin) - n AS ahead, sum(n) OVER (PARTITION BY \"group\") AS total FROM bins{s}) WHERE ahead < {share} * total)",
-            f"sum{s} AS (SELECT \"group\", max(total)::BIGINT AS n, sum(n)::DOUBLE AS h, {', '.join(f'sum(s{i})::DOUBLE AS s{i}' for i in qs)}, {', '.join(f'sum(p{i}{k})::DOUBLE AS p{i}{k}' for i, k in pairs)} FROM kept{s} GROUP BY 1)",
-            f"mid{s} AS (SELECT *, {', '.join(f's{i} / h / {UNIT} AS m{i}' for i in qs)} FROM sum{s})",
-            f"sc{s} AS (SELECT \"group\", n, {', '.join(f'm{i}' for i in qs)}, {', '.join(f'(p{i}{k} / h / {UNIT**2} - m{i} * m{k}) * {factor!r}::DOUBLE + {floors[i] ** 2 if i == k else 0.0!r}::DOUBLE AS v{i}{k}' for i, k in pairs)} FROM mid{s})",
-            *_root(f"sc{s}", floors),
-            f"model{s + 1} AS (SELECT \"group\", n, {', '.join(f'm{i}' for i in qs)}, {', '.join(f'r{i}{k}' for i, k in pairs)} FROM sc{s}_{p - 1}{p - 1})",
-        ]
-    last = f"model{rounds}"
+    for step in range(steps):
+        parts += concentrated(f"model{step + 1}", f"model{step}", share)
+    columns = f"{ms}, {rs}"
     parts += [
+        f"least AS (SELECT {group}, n, {columns} FROM model{steps} QUALIFY row_number() OVER (PARTITION BY {group} ORDER BY volume, start) = 1)",
         "own AS (SELECT DISTINCT lk, sk FROM ok)",
-        f"best AS (SELECT lk, sk, m.* FROM (SELECT lk, sk, unnest(['2' || chr(31) || lk || chr(31) || sk, '1' || chr(31) || lk, '0']) AS \"group\", unnest([0, 1, 2]) AS nth FROM own) o JOIN {last} m USING (\"group\") WHERE m.n >= {least_rows} OR nth = 2 QUALIFY row_number() OVER (PARTITION BY lk, sk ORDER BY nth) = 1)",
-        *_with_distance("judged", '(SELECT ft.*, best.* EXCLUDE ("group", n, lk, sk) FROM ft LEFT JOIN best ON ft.lk = best.lk AND ft.sk = best.sk)'),
+        f"best AS (SELECT lk, sk, {columns} FROM (SELECT lk, sk, unnest(['2' || chr(31) || lk || chr(31) || sk, '1' || chr(31) || lk, '0']) AS \"group\", unnest([0, 1, 2]) AS nth FROM own) o JOIN least m USING ({group}) WHERE m.n >= {least_rows} OR nth = 2 QUALIFY row_number() OVER (PARTITION BY lk, sk ORDER BY nth) = 1)",
+        f"judged AS (SELECT ft.*, {distance} FROM ft LEFT JOIN best ON ft.lk = best.lk AND ft.sk = best.sk)",
     ]
     return f"WITH {', '.join(parts)} SELECT doc_id, n AS n_words, wc AS word_chars, sy AS n_symbols, dl AS n_dup_lines, rep AS n_repeat_words, bad AS base_failed, CASE WHEN bad THEN false ELSE coalesce(d2 <= {chi_square_cut(p, tail)!r}::DOUBLE, true) END AS kept FROM judged"
 
