@@ -23,11 +23,16 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 TEMPLATES = rf"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS nth, unnest(ls) AS line FROM d),
-t AS (SELECT *, list_transform({WORDS.format(x="line")}, lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS ts FROM l),
-k AS (SELECT doc_id, nth, [len(ts)::VARCHAR, '0', array_to_string(ts, ' ')]::VARCHAR AS key FROM t WHERE len(ts) >= 3
-  UNION ALL SELECT doc_id, nth, [len(ts)::VARCHAR, (j + 1)::VARCHAR, array_to_string(ts[1 : 2 + (len(ts) - 2) * j // 3], ' '), array_to_string(ts[2 + (len(ts) - 2) * (j + 1) // 3 + 1 :], ' ')]::VARCHAR FROM t, range(3) r(j) WHERE len(ts) >= 5),
-c AS (SELECT key, min(doc_id) AS first_id FROM (SELECT DISTINCT key, doc_id FROM k) GROUP BY key HAVING count(*) >= 10),
-g AS (SELECT DISTINCT k.doc_id, k.nth FROM k JOIN c USING (key) WHERE k.doc_id <> c.first_id)
+t AS MATERIALIZED (SELECT *, ts[1:2] AS head, array_to_string(ts, ' ') AS whole, len(ts) AS n FROM (SELECT *, list_transform({WORDS.format(x="line")}, lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS ts FROM l) WHERE len(ts) >= 3),
+w AS (SELECT n, head, whole, any_value(ts) AS ts, count(DISTINCT doc_id) AS docs FROM t GROUP BY n, head, whole),
+f AS (SELECT n, head, sum(docs) AS of_leaf FROM w GROUP BY n, head HAVING sum(docs) >= 10),
+k AS MATERIALIZED (SELECT w.*, of_leaf FROM w JOIN f USING (n, head)),
+e AS (SELECT n, head, of_leaf, docs, whole, unnest(range(3, n + 1)) AS pos, unnest(ts[3:]) AS token FROM k),
+c AS (SELECT n, head, pos, token FROM e WHERE token <> '<*>' GROUP BY n, head, pos, token HAVING sum(docs) >= greatest(10, ceil(0.02 * max(of_leaf)))),
+p AS (SELECT e.n, e.head, whole, count(*) AS fixed, string_agg(e.pos || ' ' || e.token, ' ' ORDER BY e.pos) AS template FROM e JOIN c ON c.n = e.n AND c.head = e.head AND c.pos = e.pos AND c.token = e.token GROUP BY e.n, e.head, whole HAVING count(*) + 2 >= greatest(4, ceil(0.6 * e.n))),
+y AS (SELECT doc_id, nth, [n::VARCHAR, 'whole', whole]::VARCHAR AS key FROM t UNION ALL SELECT doc_id, nth, [n::VARCHAR, head::VARCHAR, template]::VARCHAR FROM t JOIN p USING (n, head, whole)),
+r AS (SELECT key, min(doc_id) AS first_id FROM y GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+g AS (SELECT DISTINCT y.doc_id, y.nth FROM y JOIN r USING (key) WHERE y.doc_id <> r.first_id)
 SELECT d.doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, count(g.nth)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.nth) FILTER (g.nth IS NULL), '')) AS kept_sha256
 FROM d LEFT JOIN l ON l.doc_id = d.doc_id LEFT JOIN g ON g.doc_id = l.doc_id AND g.nth = l.nth GROUP BY d.doc_id, ls

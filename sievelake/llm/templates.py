@@ -5,98 +5,143 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
-
+from .common import packed_row, quoted, text_of, unpacked, written
+
+#: Leading tokens of a line that are levels of the tree, below its token count; shorter lines are in no leaf.
+LEADING, LEAST_TOKENS = 2, 3
+#: A token is learned as part of a leaf's templates if this share of the leaf's lines has it at its place (and least_docs of them).
+LEARNED = 0.02
+#: A template has at least so many learned or leading tokens, and this share of all its tokens.
+LEAST_FIXED, FIXED_SHARE = 4, 0.6
+#: Tokens over which a line, word for word, is a passage; share of the words of two documents from which they are copies.
+PASSAGE, COPY = 50, 0.8
 
-def template_keys(leading: int = 2, parts: int = 3, least_tokens: int = 3) -> str:
-    """SQL for the keys of the templates that a line `l` falls under (none if it has fewer than least_tokens tokens).
+_WORDS = r"filter(split(l, '[\\x20\\x09-\\x0D]+', -1), w -> w <> '')"
+_TOKENS = r"transform(ws, w -> if(w rlike '[0-9]', '<*>', w))"
+_DOC = ["doc_id", "text_key"]
 
-    The tree has a fixed depth: token count, then the leading tokens, where a
-    token with a digit is the variable field <*>. Under a leaf the rest of the
-    line is generalised: one template has all tokens as they are, and `parts`
-    more each have one part of the rest as a variable field. So two lines of a
-    leaf share a template if they agree outside one part. A key is the hash of
-    token count, part and tokens.
-    """
-    edges = [f"{leading} + (size(ts) - {leading}) * {j} div {parts}" for j in range(parts + 1)]
-    general = [f"xxhash64(size(ts), {j + 1}, slice(ts, 1, int({edges[j]})), slice(ts, int({edges[j + 1]}) + 1, size(ts)))" for j in range(parts)]
-    tokens = r"transform(filter(split(l, '[\\x20\\x09-\\x0D]+', -1), w -> w <> ''), w -> if(w rlike '[0-9]', '<*>', w))"
-    return f"""transform(array({tokens}), ts -> case when size(ts) < {least_tokens} then cast(array() as array<bigint>)
-        when size(ts) < {leading + parts} then array(xxhash64(size(ts), 0, ts))
-        else array(xxhash64(size(ts), 0, ts), {", ".join(general)}) end)[0]"""
 
+def _lines(fields: str) -> str:
+    """SQL for an array with a struct of `fields` for each line of `text` that is in a leaf; fields may use the words ws and the tokens ts."""
+    each = f"transform(array({_WORDS}), ws -> transform(array({_TOKENS}), ts -> if(size(ts) >= {LEAST_TOKENS}, named_struct({fields}), null))[0])[0]"
+    return f"filter(transform(split(text, '\\n', -1), l -> {each}), x -> x is not null)"
 
-#: Tokens over which a line, word for word, is a passage; share of the words of two documents from which they are copies.
-PASSAGE, COPY = 50, 0.8
-_WORDS = r"filter(split(l, '[\x20\x09-\x0D]+', -1), w -> w <> '')"
-#: A line as it is: 48 bits of its hash, its number of tokens, and 1. Keys of templates are made even beside it.
-_EXACT = f"transform(array({_WORDS}), ws -> (xxhash64(ws) & -65536L) | (least(size(ws), 32767) * 2 + 1))[0]"
 
+_LEAF = f"'leaf', xxhash64(size(ts), slice(ts, 1, {LEADING}))"
+_WHOLE = "'whole', xxhash64(ts)"
+_EXACT = "'exact', xxhash64(ws, 1), 'words', size(ws)"
+# The tokens after the leading ones, each with its place; those with a digit are variable anyway.
+_PLACED = f"'placed', transform(slice(ts, {LEADING + 1}, size(ts)), (t, i) -> if(t = '<*>', null, xxhash64(i, t)))"
 
-def _line_keys(passages: bool, **tree) -> str:
-    return f"concat(transform({template_keys(**tree)}, k -> k & -2L), array({_EXACT}))" if passages else template_keys(**tree)
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_key, text): a document is an id and a text, so rows without an id are told apart by their texts."""
+    rows = docs.select(F.col(quoted(id_col)).alias("doc_id"), text_of(text_col).alias("text"))
+    return rows.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
 
-def _repeated_passages(found: DataFrame, passage_docs: int) -> DataFrame:
-    """(doc_id, key) of passages that passage_docs or more documents have, from all documents but the first.
 
-    Not from a copy, which shares COPY of the words with the first document in
-    whole lines: it is left whole for near-duplicate removal to find.
-    """
-    exact = found.filter("(key & 1) = 1").withColumn("words", F.expr("shiftright(key & 65535L, 1)"))
-    passages = exact.filter(F.col("words") > PASSAGE)
-    firsts = passages.groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_id")).filter(F.col("n_docs") >= passage_docs)
-    later = written(passages.join(firsts, "key").filter(~F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "key", "first_id"), "passages")
-    pairs = later.select("doc_id", "first_id").distinct()
-    size = exact.groupBy("doc_id").agg(F.sum("words").alias("size"))
-    both = pairs.join(exact, "doc_id").join(exact.select(F.col("doc_id").alias("first_id"), "key"), ["first_id", "key"]).groupBy("doc_id", "first_id").agg(F.sum("words").alias("shared"))
-    sized = both.join(size, "doc_id").join(size.select(F.col("doc_id").alias("first_id"), F.col("size").alias("first_size")), "first_id")
-    copies = sized.filter(F.col("shared") >= COPY * F.greatest("size", "first_size")).select("doc_id", "first_id")
-    return later.join(copies, ["doc_id", "first_id"], "left_anti").select("doc_id", "key")
+def _first() -> Column:
+    """The order of documents: by id, null last, then by the text's hash."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
 
 
-def recurring_templates(docs: DataFrame, least_docs: int = 10, id_col: str = "doc_id", text_col: str = "text", passages: bool = False, **tree) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, key) of all templates of all documents, and (key, n_docs, first_id) of those in at least least_docs documents.
+def learned_templates(texts: DataFrame, lines: DataFrame, least_docs: int) -> DataFrame:
+    """(whole, template): the template learned for every different line of leaves with at least least_docs lines.
 
-    A document counts once for a template, however many of its lines fall
-    under it. Counts are partial sums before any shuffle.
+    texts: from _keyed; lines: (doc_id, text_key, leaf, whole), different ones.
+    In each leaf a token is counted at its place over all lines (one for each
+    document and different line). Those that are common there (LEARNED,
+    least_docs) are parts of templates; at all other places a line's template
+    has a variable field, as for any token with a digit. Lines whose template would be too general
+    (LEAST_FIXED, FIXED_SHARE) have none. A leaf has at most 1 / LEARNED learned
+    tokens for each place, so the set that its lines are held against is bounded.
     """
-    keys = f"array_distinct(flatten(transform(split(text, '\\n', -1), l -> {_line_keys(passages, **tree)})))"
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).select("doc_id", F.explode(F.expr(keys)).alias("key"))
-    found = written(rows, "template-keys")
-    counts = (found.filter("(key & 1) = 0") if passages else found).groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_id")).filter(F.col("n_docs") >= least_docs)
-    return found, written(counts, "templates")
-
-
-def without_recurring_lines(docs: DataFrame, least_docs: int = 10, id_col: str = "doc_id", text_col: str = "text", passage_docs: int | None = None, **tree) -> DataFrame:
+    wholes = lines.groupBy("leaf", "whole").agg(F.count("*").alias("n"))
+    leaves = wholes.groupBy("leaf").agg(F.sum("n").alias("of_leaf")).filter(F.col("of_leaf") >= least_docs)
+    kinds = written(wholes.join(leaves, "leaf"), "template-leaves")
+    placed = texts.select(F.explode(F.expr(_lines(f"{_LEAF}, {_WHOLE}, {_PLACED}"))).alias("l")).select("l.*").join(kinds.select("leaf", "whole"), ["leaf", "whole"], "left_semi")
+    tokens = written(placed.groupBy("leaf", "whole").agg(F.first("placed").alias("placed")).join(kinds, ["leaf", "whole"]), "template-kinds")
+    counts = tokens.select("leaf", "of_leaf", "n", F.explode("placed").alias("token")).filter("token is not null").groupBy("leaf", "token").agg(F.sum("n").alias("n"), F.max("of_leaf").alias("of_leaf"))
+    learned = counts.filter(F.col("n") >= F.greatest(F.lit(least_docs), F.ceil(LEARNED * F.col("of_leaf")))).groupBy("leaf").agg(F.collect_set("token").alias("learned"))
+    fixed = tokens.join(learned, "leaf").select("leaf", "whole", F.size("placed").alias("n"), F.array_sort(F.array_intersect("placed", "learned")).alias("fixed"))
+    enough = F.size("fixed") + LEADING >= F.greatest(F.lit(LEAST_FIXED), F.ceil(FIXED_SHARE * (F.col("n") + LEADING)))
+    return fixed.filter(enough).select("whole", F.xxhash64("leaf", "fixed").alias("template"))
+
+
+def recurring_lines(texts: DataFrame, lines: DataFrame, least_docs: int) -> DataFrame:
+    """(doc_id, text_key, whole) of lines whose template, or they themselves, at least least_docs documents have; not of the first of these."""
+    names = learned_templates(texts, lines, least_docs)
+    own = lines.select(*_DOC, "whole", F.col("whole").alias("key"))
+    keyed = written(own.unionByName(lines.join(names, "whole").select(*_DOC, "whole", F.col("template").alias("key"))), "template-keys")
+    held = keyed.select("key", *_DOC).distinct()
+    counts = held.groupBy("key").agg(F.count("*").alias("n_docs"), F.min(_first()).alias("first")).filter(F.col("n_docs") >= least_docs)
+    recurring = written(counts.select("key", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_key")), "templates")
+    own = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_key"))
+    return keyed.join(recurring, "key").filter(~own).select(*_DOC, "whole")
+
+
+def repeated_passages(exact: DataFrame, passage_docs: int) -> DataFrame:
+    """(doc_id, text_key, exact) of passages that passage_docs or more documents have, from all documents but the first.
+
+    exact: (doc_id, text_key, exact, words) of all lines, different ones. Not
+    from a copy, which shares COPY of the words with the first document in
+    whole lines: it is left whole for near-duplicate removal to find.
+    """
+    passages = exact.filter(F.col("words") > PASSAGE)
+    firsts = passages.groupBy("exact").agg(F.count("*").alias("n_docs"), F.min(_first()).alias("first")).filter(F.col("n_docs") >= passage_docs)
+    firsts = firsts.select("exact", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_key"))
+    own = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_key"))
+    later = written(passages.join(firsts, "exact").filter(~own).select(*_DOC, "exact", "first_id", "first_key"), "passages")
+    # A document is looked up by its text's hash and its id, which may be null.
+    key, first = F.xxhash64("text_key", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.xxhash64("first_key", F.coalesce(F.col("first_id").cast("string"), F.lit("")))
+    pairs = later.select(key.alias("doc"), first.alias("first")).distinct()
+    held = exact.select(key.alias("doc"), "exact", "words")
+    size = held.groupBy("doc").agg(F.sum("words").alias("size"))
+    both = pairs.join(held, "doc").join(held.select(F.col("doc").alias("first"), "exact"), ["first", "exact"]).groupBy("doc", "first").agg(F.sum("words").alias("shared"))
+    sized = both.join(size, "doc").join(size.select(F.col("doc").alias("first"), F.col("size").alias("first_size")), "first")
+    copies = sized.filter(F.col("shared") >= COPY * F.greatest("size", "first_size")).select("doc", "first")
+    return later.withColumns({"doc": key, "first": first}).join(copies, ["doc", "first"], "left_anti").select(*_DOC, "exact")
+
+
+def without_recurring_lines(docs: DataFrame, least_docs: int = 10, id_col: str = "doc_id", text_col: str = "text", passage_docs: int | None = None) -> DataFrame:
     """Documents without lines whose template recurs in at least least_docs documents.
 
-    With passage_docs, lines of over PASSAGE tokens that recur word for word in
-    so many documents go too (_repeated_passages). The document with the smallest id of a template keeps its lines, so that
-    nothing is lost from the whole; in all others they are dropped. Lines of
-    fewer than least_tokens tokens are never dropped; what is left keeps its
-    order and line breaks. Texts without such lines stay as they are, null too.
+    The tree has a fixed depth: token count, then the leading tokens, where a
+    token with a digit is the variable field <*>. Templates are learned in its
+    leaves (learned_templates); a line as it is counts as a template too. With
+    passage_docs, lines of over PASSAGE tokens that recur word for word in so
+    many documents go as well (repeated_passages). The first document of a
+    template (smallest id, null last, then smallest hash of the text) keeps its
+    lines, so that nothing is lost from the whole; in all others they are
+    dropped. Lines of fewer than LEAST_TOKENS tokens are never dropped; what is
+    left keeps its order and line breaks. Texts without such lines stay as they
+    are, null too.
 
     Returns the columns of docs, and n_lines and n_dropped (columns of these
-    names in docs are replaced). Rows that repeat an id count as separate
-    documents and keep or lose lines alike; null ids sort after all others; an
-    empty table gives no rows. A template that a third of all documents share
-    is one key with many rows: it is counted by partial sums, and Spark may
-    split its join.
+    names in docs are replaced). Rows with the same id and text are one
+    document and keep or lose lines alike; rows that repeat an id with another
+    text, and rows without an id, are documents of their own; an empty table
+    gives no rows. A template that a third of all documents share is one key
+    with many rows: it is counted by partial sums, and Spark may split its join.
     """
-    found, recurring = recurring_templates(docs, least_docs, id_col, text_col, passage_docs is not None, **tree)
-    drops = found.join(recurring, "key").filter(~F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "key")
-    if passage_docs is not None:
-        drops = drops.union(_repeated_passages(found, passage_docs))
-    # The set is of one document's keys, so its size is bounded by the text.
-    per_doc = drops.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("key").alias("__drop"))
+    texts, passages = _keyed(docs, id_col, text_col), passage_docs is not None
+    fields = ["leaf", "whole", *(["exact", "words"] if passages else [])]
+    found = texts.select(*_DOC, F.explode(F.expr(_lines(", ".join([_LEAF, _WHOLE, *([_EXACT] if passages else [])])))).alias("l")).select(*_DOC, *[f"l.{c}" for c in fields])
+    found = written(found.distinct(), "template-lines")
+    drops = recurring_lines(texts, found.select(*_DOC, "leaf", "whole").distinct() if passages else found, least_docs)
+    if passages:
+        drops = drops.union(repeated_passages(found.select(*_DOC, "exact", "words").distinct(), passage_docs))
+    # The set is of one document's lines, so its size is bounded by the text.
+    per_doc = drops.groupBy(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key")).agg(F.collect_set("whole").alias("gone"))
     wide = docs.drop("n_lines", "n_dropped")
-    text = F.col(text_col).cast("string")
-    inner = wide.join(per_doc, wide[id_col].eqNullSafe(F.col("__id")), "left").select(F.struct(*[F.col(c) for c in wide.columns]).alias("row"), text.alias("text"), F.col("__drop").alias("gone"))
+    inner = wide.select(packed_row(wide), F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text")).withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    joined = inner.join(per_doc, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key")), "left").select("row", "text", "gone")
     # Bound once in a lambda, lest Spark compute the lines anew for each use.
-    kept = f"transform(array(split(text, '\\n', -1)), ls -> if(gone is null, ls, filter(ls, l -> not arrays_overlap({_line_keys(passage_docs is not None, **tree)}, gone))))[0]"
-    split = inner.select("row", "text", "gone", F.expr(kept).alias("kept"))
+    marks = "array_contains(gone, xxhash64(ts))" + (" or array_contains(gone, xxhash64(ws, 1))" if passages else "")
+    lost = f"transform(array({_WORDS}), ws -> transform(array({_TOKENS}), ts -> size(ts) >= {LEAST_TOKENS} and ({marks}))[0])[0]"
+    kept = f"transform(array(split(text, '\\n', -1)), ls -> if(gone is null, ls, filter(ls, l -> not {lost})))[0]"
+    split = joined.select("row", "text", "gone", F.expr(kept).alias("kept"))
     whole = F.size(F.split("text", "\n", -1))
-    values: dict[str, Column] = {c: F.col(f"row.`{c}`") for c in wide.columns}
-    values[text_col] = F.when(F.col("gone").isNull() | (F.size("kept") == whole), F.col("text")).otherwise(F.array_join("kept", "\n"))
-    return split.select(*[c.alias(k) for k, c in values.items()], F.coalesce(whole, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(whole - F.size("kept"), F.lit(0)).cast("long").alias("n_dropped"))
+    values = dict(zip(wide.columns, unpacked(wide.columns), strict=True))
+    values[text_col] = F.when(F.col("gone").isNull() | (F.size("kept") == whole), F.col("text")).otherwise(F.array_join("kept", "\n")).alias(text_col)
+    return split.select(*values.values(), F.coalesce(whole, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(whole - F.size("kept"), F.lit(0)).cast("long").alias("n_dropped"))
