@@ -37,6 +37,10 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables of this process that written() has made, oldest first.
+_MADE: list[tuple[str, DataFrame]] = []
+
+
 def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors.
 
@@ -46,7 +50,33 @@ def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     (df if files is None else df.coalesce(files)).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    _MADE.append((path, made))
+    return made
+
+
+def table_mark() -> int:
+    """A mark for tables_since and drop_tables."""
+    return len(_MADE)
+
+
+def tables_since(mark: int) -> list[str]:
+    """Paths of the tables written since the mark that are still there."""
+    return [path for path, _ in _MADE[mark:]]
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that written() has made and that nothing reads any more."""
+    gone = set(paths)
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _MADE[:] = [x for x in _MADE if x[0] not in gone]
+
+
+def drop_tables(spark: SparkSession, mark: int, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Deletes the tables written since the mark but those in keep, the only ones that a plan not yet run may read."""
+    drop_paths(spark, [path for path, df in _MADE[mark:] if not any(df is k for k in keep)])
 
 
 def quoted(column: str) -> str:

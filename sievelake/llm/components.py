@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop_tables, table_mark, written
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -17,7 +17,11 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     path. Each round writes its links to the shared folder. The least
     neighbour is an aggregate, and the joins on it can be split by Spark where
     one node has very many links. Stops when the links stay as they were.
+
+    Links of a node to itself, repeated ones and both directions of one change
+    nothing; links with a null end are left out; without links there are no rows.
     """
+    mark = table_mark()
     links = written(links.select("a", "b").filter("a <> b").distinct(), "links")
     before = None
     for _ in range(rounds):
@@ -28,6 +32,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         small = down.join(down.groupBy("a").agg(F.min("b").alias("least")), "a")
         small = small.select(F.col("b").alias("a"), F.col("least").alias("b")).union(small.select("a", F.col("least").alias("b"))).filter("a <> b").distinct()
         links = written(small, "links")
+        drop_tables(links.sparkSession, mark, (links,))
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

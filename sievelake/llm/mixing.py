@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buckets_for, key_bucket, packed_row, prefix_sums, quoted, seeded_key, source_key, text_of, unpacked, word_count, written
+from .common import buckets_for, drop_tables, key_bucket, packed_row, prefix_sums, quoted, seeded_key, source_key, table_mark, text_of, unpacked, word_count, written
 
 #: Up to so many sources the plan goes to every task: a row a source, and at most a number for each block and source.
 BROADCAST_SOURCES = 10_000
@@ -108,8 +108,10 @@ def _sized(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: s
 def _mixed(rows: DataFrame, shards: int, per_shard: int, seed: int, limit: int, keep: tuple[str, ...] = ()) -> DataFrame:
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     block = block_size(total, shards, per_shard)
+    mark = table_mark()
     targets = written(source_targets(rows.groupBy("stratum").agg(F.sum("size").alias("source_size")), limit=limit), "mix-targets", files=8)
     plan = written(block_plan(targets, block_quotas(targets, total, shards, per_shard, limit), block, seed), "mix-plan", files=1)
+    drop_tables(rows.sparkSession, mark, (plan,))
     if plan.count() <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
     placed = prefix_sums(rows.withColumn("bucket", key_bucket("key", buckets_for(n))), ["stratum"], "bucket", ["key", "size", *keep], ["size"])

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import packed_row, quoted, source_key, text_of, unpacked, written
+from .common import drop_tables, packed_row, quoted, source_key, table_mark, text_of, unpacked, written
 
 SYMBOLS = "#*$%&|<>"
 BLANK_LETTERS = " \t\n\x0b\x0c\r"
@@ -258,10 +258,12 @@ def group_models(rows: DataFrame, least_rows: int = 100, **fit) -> DataFrame:
 def _judged(docs: DataFrame, keep: list[str], tail: float, least_rows: int, text_col: str, lang_col: str, source_col: str, **fit) -> DataFrame:
     """(row, stats, base_failed, distance, kept) of every row of docs, row with the columns in keep; statistics are written, and read again for the verdicts."""
     names, p = list(FEATURES), len(FEATURES)
+    mark = table_mark()
     counted = text_statistics(docs, text_col, keep)
     keys = [source_key(f"row.{quoted(c)}", parsed=True).alias(k) for c, k in ((lang_col, "lang_key"), (source_col, "source_key"))]
     rows = written(counted.select("row", "stats", *keys, base_failed().alias("base_failed"), *[c.alias(k) for k, c in feature_vector().items()]), "quality-rows")
     models = group_models(rows.filter(~F.col("base_failed")), least_rows, **fit)
+    drop_tables(docs.sparkSession, mark, (rows, models))
     distance = squared_distance([F.col(n) for n in names], [F.col(f"m{i}") for i in range(p)], {(i, k): F.col(f"r{i}{k}") for i in range(p) for k in range(i + 1)})
     judged = rows.join(models, ["lang_key", "source_key"], "left").withColumn("distance", distance)
     # One expression, so that no part of it is moved below and computed again there.

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest, xxh64_intdigest
 
-from .common import packed_row, quoted, shuffle_partitions, text_of, unpacked, written
+from .common import drop_tables, packed_row, quoted, shuffle_partitions, table_mark, text_of, unpacked, written
 from .components import components
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -173,12 +173,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, most: int =
     rows are kept; null ids are kept, and count as larger than any other; an
     empty table gives no rows.
     """
+    mark = table_mark()
     coded = written(fingerprints(docs, words, seed, id_col, text_col), "fingerprints")
-    distinct = coded.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"))
+    distinct = written(coded.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     group = components(near_links(distinct.select("fingerprint"), most, segments))
     named = distinct.join(group, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "first_id", F.coalesce("component", "fingerprint").alias("component"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    members = named.join(least, "component").select("fingerprint", "component_id")
+    members = written(named.join(least, "component").select("fingerprint", "component_id"), "fingerprint-members")
+    drop_tables(docs.sparkSession, mark, (coded, members))
     return coded.join(members, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
@@ -317,6 +319,7 @@ def first_of_similar(docs: DataFrame, words: int = 5, alike: float = 0.8, id_col
     ids may be null or repeated.
     """
     kind = docs.select(F.col(quoted(id_col)).alias("id")).dtypes[0][1]
+    mark = table_mark()
     keyed = written(docs.select(packed_row(docs), F.monotonically_increasing_id().alias("nth")), "near-rows")
     rows = keyed.select("nth", F.col(f"row.{quoted(id_col)}").alias("doc_id"), F.coalesce(F.col(f"row.{quoted(text_col)}").cast("string"), F.lit("")).alias("text"))
 
@@ -338,6 +341,7 @@ def first_of_similar(docs: DataFrame, words: int = 5, alike: float = 0.8, id_col
     coded = written(rows.mapInArrow(code, f"row long, doc_id {kind}, text_hash long, class long, codes binary"), "near-codes")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "row")
     classes = written(coded.groupBy("class").agg(F.min(order).alias("first"), F.min("codes").alias("codes")), "near-classes")
+    drop_tables(docs.sparkSession, mark, (keyed, classes))
     tried = written(near_pairs(classes, *FIRST), "near-pairs")
     met = tried.select(F.col("a").alias("class")).union(tried.select("b")).distinct()
     some = written(classes.join(met, "class"), "near-met")
@@ -350,7 +354,8 @@ def first_of_similar(docs: DataFrame, words: int = 5, alike: float = 0.8, id_col
     if not more.isEmpty():
         group = components(links.union(more))
     named = classes.join(group, F.col("class") == F.col("node"), "left").select("first", F.coalesce("component", "class").alias("part"))
-    firsts = named.groupBy("part").agg(F.min("first").alias("first")).select(F.col("first.row").alias("nth"))
+    firsts = written(named.groupBy("part").agg(F.min("first").alias("first")).select(F.col("first.row").alias("nth")), "near-firsts")
+    drop_tables(docs.sparkSession, mark, (keyed, firsts))
     return keyed.join(firsts, "nth", "left_semi").select(*unpacked(docs.columns))
 
 

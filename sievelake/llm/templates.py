@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed_row, quoted, text_of, unpacked, written
+from .common import drop_tables, packed_row, quoted, table_mark, text_of, unpacked, written
 
 #: Leading tokens of a line that are levels of the tree, below its token count; shorter lines are in no leaf.
 LEADING, LEAST_TOKENS = 2, 3
@@ -103,7 +103,7 @@ def repeated_passages(exact: DataFrame, passage_docs: int) -> DataFrame:
     return later.withColumns({"doc": key, "first": first}).join(copies, ["doc", "first"], "left_anti").select(*_DOC, "exact")
 
 
-def without_recurring_lines(docs: DataFrame, least_docs: int = 10, id_col: str = "doc_id", text_col: str = "text", passage_docs: int | None = None) -> DataFrame:
+def without_recurring_lines(docs: DataFrame, least_docs: int = 10, id_col: str = "doc_id", text_col: str = "text", passage_docs: int | None = None, counts: bool = True) -> DataFrame:
     """Documents without lines whose template recurs in at least least_docs documents.
 
     The tree has a fixed depth: token count, then the leading tokens, where a
@@ -117,13 +117,14 @@ def without_recurring_lines(docs: DataFrame, least_docs: int = 10, id_col: str =
     left keeps its order and line breaks. Texts without such lines stay as they
     are, null too.
 
-    Returns the columns of docs, and n_lines and n_dropped (columns of these
-    names in docs are replaced). Rows with the same id and text are one
+    Returns the columns of docs, and with counts n_lines and n_dropped (columns
+    of these names in docs are replaced). Rows with the same id and text are one
     document and keep or lose lines alike; rows that repeat an id with another
     text, and rows without an id, are documents of their own; an empty table
     gives no rows. A template that a third of all documents share is one key
     with many rows: it is counted by partial sums, and Spark may split its join.
     """
+    mark = table_mark()
     texts, passages = _keyed(docs, id_col, text_col), passage_docs is not None
     fields = ["leaf", "whole", *(["exact", "words"] if passages else [])]
     found = texts.select(*_DOC, F.explode(F.expr(_lines(", ".join([_LEAF, _WHOLE, *([_EXACT] if passages else [])])))).alias("l")).select(*_DOC, *[f"l.{c}" for c in fields])
@@ -132,8 +133,9 @@ def without_recurring_lines(docs: DataFrame, least_docs: int = 10, id_col: str =
     if passages:
         drops = drops.union(repeated_passages(found.select(*_DOC, "exact", "words").distinct(), passage_docs))
     # The set is of one document's lines, so its size is bounded by the text.
-    per_doc = drops.groupBy(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key")).agg(F.collect_set("whole").alias("gone"))
-    wide = docs.drop("n_lines", "n_dropped")
+    per_doc = written(drops.groupBy(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key")).agg(F.collect_set("whole").alias("gone")), "template-gone")
+    drop_tables(docs.sparkSession, mark, (per_doc,))
+    wide = docs.drop("n_lines", "n_dropped") if counts else docs
     inner = wide.select(packed_row(wide), F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text")).withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
     joined = inner.join(per_doc, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key")), "left").select("row", "text", "gone")
     # Bound once in a lambda, lest Spark compute the lines anew for each use.
@@ -144,4 +146,5 @@ def without_recurring_lines(docs: DataFrame, least_docs: int = 10, id_col: str =
     whole = F.size(F.split("text", "\n", -1))
     values = dict(zip(wide.columns, unpacked(wide.columns), strict=True))
     values[text_col] = F.when(F.col("gone").isNull() | (F.size("kept") == whole), F.col("text")).otherwise(F.array_join("kept", "\n")).alias(text_col)
-    return split.select(*values.values(), F.coalesce(whole, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(whole - F.size("kept"), F.lit(0)).cast("long").alias("n_dropped"))
+    numbers = {"n_lines": whole, "n_dropped": whole - F.size("kept")} if counts else {}
+    return split.select(*values.values(), *[F.coalesce(c, F.lit(0)).cast("long").alias(k) for k, c in numbers.items()])
