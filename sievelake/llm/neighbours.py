@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours: a vantage-point tree for every shard."""
+"""Approximate nearest neighbours: shards by a vantage-point partition, and a vantage-point tree for every shard."""
 
 from __future__ import annotations
 
@@ -6,13 +6,16 @@ import io
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop_tables, quoted, table_mark, written
 
 #: Vectors in a leaf, in a shard, and queries in a block: what bounds a task's memory.
 LEAF, SHARD, BLOCK = 64, 2048, 4096
+#: Regions of the partition at most, and sampled vectors for each that it is laid out by: what bounds the driver's memory.
+REGIONS, SAMPLED = 1024, 16
 #: Distances and scores nearer than this are told apart by the exact score.
 SLACK = 1e-9
 
@@ -67,16 +70,19 @@ class VantageTree:
         with np.load(io.BytesIO(data)) as held:
             return cls(held["ids"], held["vectors"].astype(np.float64), held["nodes"], held["order"])
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores (rows of k, nearest first, id -1 where there are fewer) of the queries' nearest vectors with another id.
 
         All queries of a block go down together. A half is left out for a
         query when the least distance that the triangle inequality allows in
         it, times factor, is over the distance of the query's k-th found:
-        exactly so with factor 1, and the more boldly the larger it is.
+        exactly so with factor 1, and the more boldly the larger it is. least:
+        scores below which a query needs nothing, as it has k at them or above.
         """
         units = queries / np.sqrt((queries * queries).sum(1, keepdims=True))
         best = np.full((len(queries), k), -np.inf)
+        if least is not None:
+            best[:] = least[:, None]
         met: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def look(rows: np.ndarray, places: np.ndarray) -> None:
@@ -134,51 +140,181 @@ def usable_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
 
     Rows that repeat an id count as one, with the least of their vectors.
     """
-    v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("vector")).filter("vec_id is not null and vector is not null")
+    v = F.transform(F.col(quoted(vector_col)), lambda x: x.cast("double"))
+    rows = vectors.select(F.col(quoted(id_col)).cast("long").alias("vec_id"), v.alias("vector")).filter("vec_id is not null and vector is not null")
     finite = F.forall("vector", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False)))
     square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
     one = rows.filter(finite).filter(square > 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     return one.withColumn("dim", F.size("vector"))
 
 
-def vantage_index(usable: DataFrame, shard_rows: int = SHARD) -> DataFrame:
-    """Trees of all vectors: (dim, shard, n, tree), a tree for about shard_rows vectors, dealt by the hash of the id."""
-    shards = max(1, -(-usable.count() // shard_rows))
+class Partition:
+    """Regions of space by vantage points: an inner node parts vectors by their distance from its point, a leaf is a region with a point of its own.
+
+    Laid out by a sample of units (rows of unit length), cut at the middle until there are
+    about `regions` leaves. Any vector belongs to one region.
+    """
+
+    def __init__(self, units: np.ndarray, regions: int):
+        self.nodes: list[tuple[np.ndarray, float, int, int]] = []
+        self.points: list[np.ndarray] = []
+        self.root = self._part(units, regions)
+
+    def _part(self, units: np.ndarray, regions: int) -> int:
+        """The node, or for a leaf -1 - its region."""
+        away = chords(units, units[:1])[:, 0] if len(units) else np.zeros(0)
+        half = np.median(away) if len(away) else 0.0
+        if regions < 2 or not (away <= half).any() or (away <= half).all():
+            self.points.append(units[len(units) // 2])
+            return -len(self.points)
+        at = len(self.nodes)
+        self.nodes.append((units[0], half, 0, 0))
+        near, far = self._part(units[away <= half], regions // 2), self._part(units[away > half], regions - regions // 2)
+        self.nodes[at] = (units[0], half, near, far)
+        return at
+
+    def regions_of(self, units: np.ndarray) -> np.ndarray:
+        out, todo = np.zeros(len(units), np.int64), [(self.root, np.arange(len(units)))]
+        while todo:
+            node, rows = todo.pop()
+            if node < 0:
+                out[rows] = -1 - node
+            elif len(rows):
+                point, half, near, far = self.nodes[node]
+                inner = chords(units[rows], point[None])[:, 0] <= half
+                todo += [(near, rows[inner]), (far, rows[~inner])]
+        return out
+
+
+def chords(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of unit vectors, rows of a from rows of b."""
+    return np.sqrt(np.maximum(0, 2 - 2 * a @ b.T))
+
+
+def _units(vectors: np.ndarray) -> np.ndarray:
+    return vectors / np.sqrt((vectors * vectors).sum(1, keepdims=True))
+
+
+def partitions(usable: DataFrame, shard_rows: int = SHARD, most: int = REGIONS) -> dict[int, Partition]:
+    """A partition for every dimension, with about a region for shard_rows vectors, laid out by the vectors of least seeded hash.
+
+    What comes to the driver is bounded by most * SAMPLED vectors in all.
+    """
+    regions = min(most, -(-usable.count() // shard_rows))
+    sample = usable.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(regions * SAMPLED).select("dim", "vector").toPandas()
+    return {int(dim): Partition(_units(_matrix(some["vector"])), max(1, round(regions * len(some) / len(sample)))) for dim, some in sample.groupby("dim")}
+
+
+def _placed(usable: DataFrame, parts: dict[int, Partition]) -> DataFrame:
+    """usable with the region of every vector; dimensions that the sample has none of are one region."""
+
+    def place(batches):
+        for batch in batches:
+            frame = batch.to_pandas()
+            frame["region"] = 0
+            for dim, some in frame.groupby("dim"):
+                if dim in parts:
+                    frame.loc[some.index, "region"] = parts[dim].regions_of(_units(_matrix(some["vector"])))
+            yield pa.RecordBatch.from_pandas(frame[["vec_id", "vector", "dim", "region"]], preserve_index=False)
+
+    return usable.mapInArrow(place, "vec_id long, vector array<double>, dim int, region long")
+
+
+def vantage_index(placed: DataFrame, parts: dict[int, Partition], shard_rows: int = SHARD) -> DataFrame:
+    """Trees of all vectors: (dim, region, shard, n, low, high, tree), with the range of distances from the region's vantage point.
+
+    A region with more than shard_rows vectors is dealt out to several shards
+    by the hash of the id, so that no task gets more than about as many.
+    """
+    sizes = placed.groupBy("dim", "region").agg(F.ceil(F.count("*") / shard_rows).alias("shards"))
+    dealt = placed.join(sizes, ["dim", "region"]).withColumn("shard", F.pmod(F.xxhash64("vec_id"), "shards").cast("int"))
 
     def grow(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("vec_id")
         tree = VantageTree(frame["vec_id"].to_numpy(np.int64), _matrix(frame["vector"]))
-        return pd.DataFrame({"dim": [frame["dim"].iloc[0]], "shard": [frame["shard"].iloc[0]], "n": [len(frame)], "tree": [tree.dump()]})
+        dim, region, shard = (int(frame[c].iloc[0]) for c in ("dim", "region", "shard"))
+        away = chords(tree.units, parts[dim].points[region][None]) if dim in parts else np.array([0.0, 2.0])
+        return pd.DataFrame({"dim": [dim], "region": [region], "shard": [shard], "n": [len(frame)], "low": [away.min()], "high": [away.max()], "tree": [tree.dump()]})
 
-    dealt = usable.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    return written(dealt.groupBy("dim", "shard").applyInPandas(grow, "dim int, shard int, n long, tree binary"), "vantage-trees")
+    return written(dealt.groupBy("dim", "region", "shard").applyInPandas(grow, "dim int, region long, shard int, n long, low double, high double, tree binary"), "vantage-trees")
 
 
-def search_index(index: DataFrame, queries: DataFrame, k: int = 5, factor: float = 1.0, block_rows: int = BLOCK) -> DataFrame:
-    """The k nearest indexed vectors of every query: query_id, rank, vec_id, score.
+def regions_to_search(queries: DataFrame, ranges: dict[int, pd.DataFrame], parts: dict[int, Partition], factor: float, first: bool) -> DataFrame:
+    """A row of queries for each region that it has to search: the nearest one (first), or all others that can hold something nearer than its k-th.
 
-    Queries (vec_id, vector, dim) go in blocks to every shard of their
-    dimension; a task has one tree and one block, and returns k rows for each
-    query. The best k of all shards are what a query gets; ties go to the
-    smaller id.
+    ranges: for each dimension the (region, low, high) of all regions. The
+    triangle inequality gives the least distance that any vector of a region
+    can have from a query; regions go when it, times factor, is over the
+    distance of the query's k-th so far (score `least`; null: under k found).
     """
-    blocks = max(1, -(-queries.count() // block_rows))
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks)).cast("int"))
-    met = asked.join(index.select("dim", "shard"), "dim").select("dim", "shard", "block", "vec_id", "vector")
-    trees = index.select(F.col("dim").alias("of_dim"), F.col("shard").alias("of_shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("of_block"), "tree")
+
+    def choose(batches):
+        for batch in batches:
+            frame = batch.to_pandas()
+            for dim, some in frame.groupby("dim"):
+                held = ranges.get(int(dim))
+                if held is None:
+                    continue
+                if dim in parts:
+                    away = chords(_units(_matrix(some["vector"])), np.array([parts[dim].points[r] for r in held["region"]]))
+                    bound = np.maximum(0, np.maximum(held["low"].to_numpy() - away, away - held["high"].to_numpy()))
+                else:
+                    away = bound = np.zeros((len(some), len(held)))
+                nearest = np.lexsort((away, bound), axis=1)[:, 0]
+                if first:
+                    row, place = np.arange(len(some)), nearest
+                else:
+                    least = some["least"].to_numpy(np.float64)
+                    reach = np.where(np.isnan(least), np.inf, np.sqrt(np.maximum(0, 2 - 2 * least)))
+                    asked = bound * factor <= reach[:, None] + 1e-6
+                    asked[np.arange(len(some)), nearest] = False
+                    row, place = np.nonzero(asked)
+                out = some.iloc[row].assign(region=held["region"].to_numpy()[place])
+                yield pa.RecordBatch.from_pandas(out[["dim", "region", "vec_id", "least", "vector"]], schema=kind, preserve_index=False)
+
+    kind = pa.schema([("dim", pa.int32()), ("region", pa.int64()), ("vec_id", pa.int64()), ("least", pa.float64()), ("vector", pa.list_(pa.float64()))])
+    return queries.select("dim", "vec_id", "least", "vector").mapInArrow(choose, "dim int, region long, vec_id long, least double, vector array<double>")
+
+
+def _searched(index: DataFrame, asked: DataFrame, k: int, factor: float, blocks: int) -> DataFrame:
+    """What every query finds in the shards of its regions: query_id, vec_id, score; up to k from a shard. A task has one tree and one block of queries."""
+    shards = asked.join(index.select("dim", "region", "shard"), ["dim", "region"]).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks)).cast("int"))
+    keys = ["dim", "region", "shard", "block"]
+    wanted = shards.select(*[F.col(c).alias(f"of_{c}") for c in keys]).distinct()
+    trees = wanted.join(index, [F.col(f"of_{c}") == F.col(c) for c in keys[:3]]).select(*[f"of_{c}" for c in keys], "tree")
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         names = left["vec_id"].to_numpy(np.int64)
-        ids, scores = VantageTree.load(right["tree"].iloc[0]).search(names, _matrix(left["vector"]), k, factor)
-        hit = np.isfinite(scores)
+        least = left["least"].to_numpy(np.float64)
+        ids, scores = VantageTree.load(right["tree"].iloc[0]).search(names, _matrix(left["vector"]), k, factor, np.where(np.isnan(least), -np.inf, least))
+        hit = ids >= 0
         return pd.DataFrame({"query_id": np.repeat(names, k).reshape(ids.shape)[hit], "vec_id": ids[hit], "score": scores[hit]})
 
-    found = met.groupBy("dim", "shard", "block").cogroup(trees.groupBy("of_dim", "of_shard", "of_block")).applyInPandas(search, "query_id long, vec_id long, score double")
+    return shards.groupBy(*keys).cogroup(trees.groupBy(*[f"of_{c}" for c in keys])).applyInPandas(search, "query_id long, vec_id long, score double")
+
+
+def search_index(index: DataFrame, queries: DataFrame, parts: dict[int, Partition], k: int = 5, factor: float = 1.0, block_rows: int = BLOCK) -> DataFrame:
+    """The k nearest indexed vectors of every query: query_id, rank, vec_id, score.
+
+    Queries (vec_id, vector, dim) first search the nearest region, then those
+    that the triangle inequality does not rule out (regions_to_search). The
+    best k of all are what a query gets; ties go to the smaller id.
+    """
+    mark = table_mark()
+    blocks = max(1, -(-queries.count() // block_rows))
+    found = index.groupBy("dim", "region").agg(F.min("low").alias("low"), F.max("high").alias("high")).orderBy("dim", "region").toPandas()
+    ranges = {int(dim): some for dim, some in found.groupby("dim")}
+    asked = queries.withColumn("least", F.lit(None).cast("double"))
+    near = written(_searched(index, regions_to_search(asked, ranges, parts, factor, True), k, factor, blocks), "vantage-first")
+    kth = near.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("scores")).select(F.col("query_id").alias("vec_id"), F.get("scores", F.lit(k - 1)).alias("least"))
+    far = _searched(index, regions_to_search(queries.join(kth, "vec_id", "left"), ranges, parts, factor, False), k, factor, blocks)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    out = near.union(far).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    out = written(out, "vantage-found")
+    drop_tables(index.sparkSession, mark, (out,))
+    return out
 
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, factor: float = 1.0, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD, block_rows: int = BLOCK) -> DataFrame:
@@ -186,7 +322,14 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, factor: float = 1.0
 
     Vectors that are null, zero or hold null or non-finite components take no
     part, nor do rows without an id; vectors of another dimension than the
-    query's are no candidates of it; an empty table gives no rows.
+    query's are no candidates of it; an empty table gives no rows. Where the
+    triangle inequality rules out little, as in many dimensions at factor 1,
+    every query meets every shard.
     """
+    mark = table_mark()
     usable = written(usable_vectors(vectors, id_col, vector_col), "vectors")
-    return search_index(vantage_index(usable, shard_rows), usable.filter(F.col("vec_id") % every == 0), k, factor, block_rows)
+    parts = partitions(usable, shard_rows)
+    placed = written(_placed(usable, parts), "placed-vectors")
+    out = search_index(vantage_index(placed, parts, shard_rows), placed.filter(F.col("vec_id") % every == 0), parts, k, factor, block_rows)
+    drop_tables(vectors.sparkSession, mark, (out,))
+    return out

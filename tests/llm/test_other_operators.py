@@ -84,6 +84,32 @@ def test_tree_prunes(spark):
     assert sum(seen) < 30 * 3000 / 4
 
 
+def test_regions_are_skipped(spark):
+    """In few dimensions most regions are ruled out at factor 1, and the result is still exact."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 1, (40, 4))
+    rows = [(i, [float(x) for x in centres[i % 40] + rng.normal(0, 0.02, 4)], 0) for i in range(2000)]
+    df = spark.createDataFrame(rows, VECTORS.replace("float", "double"))
+    usable = neighbours.usable_vectors(df)
+    parts = neighbours.partitions(usable, shard_rows=50)
+    placed = neighbours.written(neighbours._placed(usable, parts), "placed-vectors")
+    index = neighbours.vantage_index(placed, parts, 50)
+    asked, seen, kept = placed.filter("vec_id % 20 = 0"), [], neighbours.regions_to_search
+    try:
+        neighbours.regions_to_search = lambda *a: seen.append(kept(*a).count()) or kept(*a)
+        got = collections.defaultdict(list)
+        for r in neighbours.search_index(index, asked, parts).orderBy("query_id", "rank").collect():
+            got[r.query_id].append(r.vec_id)
+        first, more = seen
+    finally:
+        neighbours.regions_to_search = kept
+    regions = index.select("region").distinct().count()
+    assert regions > 20 and first == asked.count() == 100
+    assert more < 0.2 * first * regions
+    want = brute_nearest(rows, 20, 5)
+    assert {q: [i for i, _ in v] for q, v in want.items()} == dict(got)
+
+
 def test_search_empty(spark):
     assert neighbours.nearest(spark.createDataFrame([], VECTORS)).count() == 0
 
