@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def _ranked(df: DataFrame, pk: list[str], date: str | None, tie: list[str]) -> DataFrame:
-    order = ([F.col(date).desc_nulls_last()] if date else []) + [F.col(c) for c in tie]
-    return df.withColumn("__nth", F.row_number().over(Window.partitionBy(*pk).orderBy(*(order or [F.lit(0)]))))
+    # Rows that date and tie leave equal are told apart by the hash of all their columns, so that reruns agree.
+    order = ([F.col(date).desc_nulls_last()] if date else []) + [F.col(c) for c in tie] + [F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])]
+    return df.withColumn("__nth", F.row_number().over(Window.partitionBy(*pk).orderBy(*order)))
 
 
 def keep_latest(df: DataFrame, pk: list[str], date: str | None, tie: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .metrics import rate_anomaly
 
 
 def _moment(value, now: str) -> Column:
@@ -178,7 +177,3 @@ def scorecard(runs: DataFrame) -> DataFrame:
     by_run = held.groupBy("run_id").agg(*[F.max(F.coalesce(F.col("reason").rlike(p), F.lit(False)).cast("int")).alias(k) for k, p in (("completeness", "null|missing"), ("validity", "range|outlier|zscore|type"), ("uniqueness", "duplicate"))])
     rows = by_run.select(F.explode(F.create_map(*[x for k in ("completeness", "validity", "uniqueness") for x in (F.lit(k), F.col(k))])).alias("dimension", "failed"))
     return rows.groupBy("dimension").agg(F.count("*").alias("tested"), F.sum(1 - F.col("failed")).alias("passed"), F.round(100 * F.avg(1 - F.col("failed")), 4).alias("pass_pct"))
-
-
-def unusual_runs(runs: DataFrame) -> DataFrame:
-    return rate_anomaly(runs).filter("is_anomaly")

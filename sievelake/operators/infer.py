@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.align import engine_type
+from .quantiles import distinct_counts, value_counts
 
 # Names that a date column has, tried whole first and then as parts.
 DATE_NAMES = ["date", "timestamp", "created_at", "updated_at", "event_time", "time", "dt"]
@@ -43,9 +45,11 @@ def infer_spec(df: DataFrame) -> tuple[dict[str, str], str | None]:
 def infer_primary_key(df: DataFrame) -> list[str]:
     """One column with 90 % and more distinct values, id-like names first; else the smallest set of up to three of an id and up to five text or date columns that reaches that; else none."""
     names = sorted(df.columns, key=lambda c: not ID_LIKE.search(c))
-    total, *single = df.agg(F.count("*"), *[F.count_distinct(c) for c in names]).first()
+    total = df.count()
     if not total:
         return []
+    different = {r["column"]: r["n_distinct"] for r in distinct_counts(df, names).collect()}  # a row a column
+    single = [different[c] for c in names]
     ids = [(c, n) for c, n in zip(names, single, strict=True) if ID_LIKE.search(c)]
     for c, n in ids:
         if n >= 0.9 * total:
@@ -57,7 +61,10 @@ def infer_primary_key(df: DataFrame) -> list[str]:
     sets = [s for k in (2, 3) for s in combinations(pool, k) if pool[0] in s]
     if not sets:
         return []
-    ratios = df.agg(*[F.count_distinct(*s) for s in sets]).first()
+    # A row with a null in a set does not count for it. Sets are stacked as columns are, so that their values are dealt out.
+    whole = {str(k): F.when(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in s]), F.to_json(F.struct(*s))) for k, s in enumerate(sets)}
+    found = {r["column"]: r["n"] for r in value_counts(df, whole).groupBy("column").agg(F.count("*").alias("n")).collect()}
+    ratios = [found.get(str(k), 0) for k in range(len(sets))]
     for size in (2, 3):
         best = max(((r, s) for r, s in zip(ratios, sets, strict=True) if len(s) == size), default=(0, ()), key=lambda x: x[0])
         if best[0] >= 0.9 * total:

@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 
 def iqr_bounds(df: DataFrame, columns: list[str], k: float = 1.5, exact: bool = True) -> DataFrame:
-    """Quartiles and fences of all columns from one aggregation: column, q1, q3, iqr, low, high.
+    """Quartiles and fences of all columns: column, q1, q3, iqr, low, high.
 
-    exact=False takes approx_percentile, for columns of very many values.
+    exact=False takes approx_percentile, one aggregation and no exact ranks.
     """
-    at = (F.percentile if exact else F.approx_percentile)
-    quartiles = df.agg(*[at(F.col(c), F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in columns])
-    rows = quartiles.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c)[0].cast("double").alias("q1"), F.col(c)[1].cast("double").alias("q3")) for c in columns])).alias("b")).select("b.*")
+    if exact:
+        rows = quantiles(df, {c: F.col(c) for c in columns}, [0.25, 0.75]).select("column", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
+    else:
+        quartiles = df.agg(*[F.approx_percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in columns])
+        rows = quartiles.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c)[0].cast("double").alias("q1"), F.col(c)[1].cast("double").alias("q3")) for c in columns])).alias("b")).select("b.*")
     iqr = F.col("q3") - F.col("q1")
     return rows.withColumn("iqr", iqr).withColumn("low", F.col("q1") - k * iqr).withColumn("high", F.col("q3") + k * iqr)
 

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.tables import written
+from .quantiles import distinct_counts, quantiles, value_counts, wide
+
 ALPHA = 0.3
 ID_LIKE = re.compile(r"(^|_)(id|key|code|uuid|no)$|(id|key)$", re.I)
 
@@ -42,20 +45,22 @@ def adaptive_nulls(df: DataFrame, history: DataFrame) -> DataFrame:
 
 def distribution(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
     """Mean, deviation, extremes, percentiles, skewness, kurtosis, distinct count (null counts as a value) and decile boundaries of columns."""
-    at = F.percentile if exact else F.approx_percentile
-    distinct = F.count_distinct if exact else F.approx_count_distinct
-    rows = []
+    shares = [0.05, 0.25, 0.5, 0.75, 0.95, *[k / 10 for k in range(11)]]
+    rows, total = [], F.greatest(F.count(F.lit(1)), F.lit(1))
     for c in columns:
         x = F.col(c).cast("double")
-        q = at(x, F.array(*[F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95)]))
-        d = distinct(x) + F.max(x.isNull().cast("int"))
+        rough = [] if exact else [F.approx_count_distinct(x).alias("n_values"), F.approx_percentile(x, F.array(*map(F.lit, shares))).alias("q")]
         rows.append(F.struct(
-            F.lit(c).alias("column"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.min(x).alias("min"), F.max(x).alias("max"),
-            *[q[k].alias(n) for k, n in enumerate(("p5", "p25", "p50", "p75", "p95"))], F.skewness(x).alias("skewness"), F.kurtosis(x).alias("kurtosis"),
-            d.cast("long").alias("n_distinct"), (d / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("distinct_ratio"), at(x, F.array(*[F.lit(k / 10) for k in range(11)])).alias("boundaries"),
-            (F.count(F.when(x.isNull(), 1)) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("null_rate"),
+            F.lit(c).alias("column"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.min(x).alias("min"), F.max(x).alias("max"), F.skewness(x).alias("skewness"), F.kurtosis(x).alias("kurtosis"),
+            F.max(x.isNull().cast("int")).alias("has_null"), total.alias("rows"), (F.count(F.when(x.isNull(), 1)) / total).alias("null_rate"), *rough,
         ))
-    return _stacked(df, rows)
+    moments = _stacked(df, rows)
+    both = moments.join(quantiles(df, {c: F.col(c) for c in columns}, shares).withColumnRenamed("n_distinct", "n_values"), "column") if exact else moments
+    d = F.col("n_values") + F.coalesce("has_null", F.lit(0))
+    return both.select(
+        "column", "mean", "sd", "min", "max", *[F.col("q")[k].alias(n) for k, n in enumerate(("p5", "p25", "p50", "p75", "p95"))], "skewness", "kurtosis",
+        d.cast("long").alias("n_distinct"), (d / F.col("rows")).alias("distinct_ratio"), F.slice("q", 6, 11).alias("boundaries"), "null_rate",
+    )
 
 
 def merge_ema(stored: DataFrame, current: DataFrame) -> DataFrame:
@@ -73,32 +78,36 @@ def merge_ema(stored: DataFrame, current: DataFrame) -> DataFrame:
     )
 
 
-def columns(df: DataFrame) -> DataFrame:
-    """Kind, nulls, distinct values and share of every column, and quartiles and Tukey outliers of numbers."""
-    fences = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.75))).alias(f"__q_{c}") for c in numeric_columns(df)]) if numeric_columns(df) else None
-    wide = df.crossJoin(F.broadcast(fences)) if fences is not None else df
+def columns(df: DataFrame, samples: int = 3) -> DataFrame:
+    """Kind, nulls, distinct values and share of every column, its smallest values as samples, and quartiles and Tukey outliers of numbers."""
+    numbers = numeric_columns(df)
+    spark = df.sparkSession
+    wide_df = df
+    if numbers:
+        found = written(quantiles(df, {c: F.col(c) for c in numbers}, [0.25, 0.75]), "quartiles")
+        wide_df = df.crossJoin(F.broadcast(wide(found, numbers, F.col("q"), "__q_")))
     rows, total = [], F.count(F.lit(1))
     for f in df.schema.fields:
-        c, d = F.col(f.name), F.count_distinct(f.name)
-        number = isinstance(f.dataType, T.NumericType)
-        unique = d / F.greatest(total, F.lit(1))
-        if isinstance(f.dataType, T.BooleanType):
-            kind = F.lit("Boolean")
-        elif isinstance(f.dataType, (T.DateType, T.TimestampType)):
-            kind = F.lit("Date")
-        elif number:
-            whole = isinstance(f.dataType, T.IntegralType)
-            kind = F.when(F.lit(bool(ID_LIKE.search(f.name))) & (unique >= 0.9), "Identifier").otherwise("Integer" if whole else "Float")
-        else:
-            kind = F.when(F.lit(bool(ID_LIKE.search(f.name))) & (unique >= 0.9), "Identifier").when((d <= 50) | (unique <= 0.05), "Categorical").otherwise("String")
-        q1, q3 = (F.first(F.col(f"__q_{f.name}")[k]) if number else F.lit(None).cast("double") for k in (0, 1))
+        c, number = F.col(f.name), f.name in numbers
         if number:
             low, high = (F.col(f"__q_{f.name}")[a] + s * 1.5 * (F.col(f"__q_{f.name}")[1] - F.col(f"__q_{f.name}")[0]) for a, s in ((0, -1), (1, 1)))
             outliers = F.count(F.when((c < low) | (c > high), 1))
         else:
             outliers = F.lit(None).cast("long")
-        rows.append(F.struct(F.lit(f.name).alias("column"), kind.alias("kind"), F.count(F.when(c.isNull(), 1)).alias("nulls"), d.alias("n_distinct"), F.round(100 * unique, 4).alias("unique_pct"), F.round(q1, 4).alias("q1"), F.round(q3, 4).alias("q3"), outliers.alias("outliers")))
-    return _stacked(wide, rows)
+        q1, q3 = (F.first(F.col(f"__q_{f.name}")[k]) if number else F.lit(None).cast("double") for k in (0, 1))
+        rows.append(F.struct(F.lit(f.name).alias("column"), total.alias("rows"), F.count(F.when(c.isNull(), 1)).alias("nulls"), F.round(q1, 4).alias("q1"), F.round(q3, 4).alias("q3"), outliers.alias("outliers")))
+    stats = _stacked(wide_df, rows)
+    # What the declared type says of a column: Boolean, Date, a number (whole or not), or text.
+    types = [(f.name, "Boolean" if isinstance(f.dataType, T.BooleanType) else "Date" if isinstance(f.dataType, (T.DateType, T.TimestampType)) else ("Integer" if isinstance(f.dataType, T.IntegralType) else "Float") if f.name in numbers else "String", bool(ID_LIKE.search(f.name))) for f in df.schema.fields]
+    counts = value_counts(df, {c: F.col(f"`{c}`").cast("string") for c in df.columns})
+    # The smallest few of each part, then of all: no task holds a column's values.
+    nth = F.row_number().over(Window.partitionBy("column").orderBy("value"))
+    few = counts.withColumn("nth", nth).filter(F.col("nth") <= samples).groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("samples"))
+    joined = stats.join(F.broadcast(spark.createDataFrame(types, "column string, type string, id_like boolean")), "column").join(distinct_counts(df, df.columns), "column").join(few, "column", "left")
+    unique, d = F.col("n_distinct") / F.greatest("rows", F.lit(1)), F.col("n_distinct")
+    key = F.col("id_like") & (unique >= 0.9) & F.col("type").isin("Integer", "Float", "String")
+    kind = F.when(key, "Identifier").when((F.col("type") == "String") & ((d <= 50) | (unique <= 0.05)), "Categorical").otherwise(F.col("type"))
+    return joined.select("column", kind.alias("kind"), "nulls", "n_distinct", F.round(100 * unique, 4).alias("unique_pct"), "q1", "q3", "outliers", F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))
 
 
 def top_categories(df: DataFrame, names: list[str], k: int = 10) -> DataFrame:
@@ -110,12 +119,12 @@ def top_categories(df: DataFrame, names: list[str], k: int = 10) -> DataFrame:
 
 
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows that repeat a whole row, and values that repeat in each column of keys."""
-    out = None
-    for name, by in (("<row>", df.columns), *((k, [k]) for k in keys)):
-        part = df.groupBy(*by).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates")).select(F.lit(name).alias("key"), "duplicates")
-        out = part if out is None else out.union(part)
-    return out
+    """Rows that repeat a whole row, and values that repeat in each column of keys (null is a value). One pass over stacked keys, with partial sums."""
+    whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+    values = {"<row>": whole, **{k: F.coalesce(F.concat(F.lit("v"), F.col(f"`{k}`").cast("string")), F.lit("n")) for k in keys}}
+    counts = value_counts(df, values).groupBy("column").agg(F.sum(F.col("n") - 1).alias("duplicates"))
+    listed = df.sparkSession.createDataFrame([(k,) for k in values], "key string")
+    return listed.join(counts, F.col("key") == F.col("column"), "left").select("key", F.coalesce("duplicates", F.lit(0)).cast("long").alias("duplicates"))
 
 
 def range_anomalies(df: DataFrame) -> DataFrame:
@@ -132,7 +141,7 @@ def range_anomalies(df: DataFrame) -> DataFrame:
 def before(df: DataFrame, key: list[str], score: str, low: float, high: float, hours: str, k: float = 3.0) -> DataFrame:
     """A raw table before any repair: rows, nulls of the score (blank is null), scores out of bounds, repeated keys, Tukey outliers of hours."""
     s, h = F.col(score).try_cast("double"), F.col(hours).try_cast("double")
-    q = df.agg(F.percentile(h, F.array(F.lit(0.25), F.lit(0.75))).alias("__q"))
+    q = quantiles(df, {"hours": h}, [0.25, 0.75]).select(F.col("q").alias("__q"))
     wide = df.crossJoin(F.broadcast(q))
     iqr = F.col("__q")[1] - F.col("__q")[0]
     outside = (h < F.col("__q")[0] - k * iqr) | (h > F.col("__q")[1] + k * iqr)
@@ -149,16 +158,13 @@ def kinds(df: DataFrame) -> DataFrame:
         filled = F.greatest(F.count(c), F.lit(1))
         number = F.count(F.when(text.try_cast("double").isNotNull() & ~text.rlike("^0[0-9]"), 1)) / filled
         dated = F.count(F.when(F.try_to_timestamp(text).isNotNull() & text.rlike("^[0-9]{4}-"), 1)) / filled
-        d = F.count_distinct(c)
-        if isinstance(f.dataType, T.NumericType):
-            kind = F.lit("numeric")
-        elif isinstance(f.dataType, (T.DateType, T.TimestampType)):
-            kind = F.lit("date")
-        else:
-            kind = F.when(number >= 0.9, "numeric").when(dated >= 0.9, "date").when((d <= 50) | (d / total <= 0.5), "categorical").otherwise("text")
+        declared = "numeric" if isinstance(f.dataType, T.NumericType) else "date" if isinstance(f.dataType, (T.DateType, T.TimestampType)) else None
         value = text.try_cast("double")
-        rows.append(F.struct(F.lit(f.name).alias("column"), kind.alias("kind"), F.count(F.when(c.isNull(), 1)).alias("missing"), d.alias("n_distinct"), F.round(F.min(value), 4).alias("min"), F.round(F.max(value), 4).alias("max"), F.round(F.avg(value), 4).alias("mean")))
-    return _stacked(df, rows)
+        rows.append(F.struct(F.lit(f.name).alias("column"), F.lit(declared).cast("string").alias("declared"), total.alias("rows"), number.alias("number"), dated.alias("dated"), F.count(F.when(c.isNull(), 1)).alias("missing"), F.round(F.min(value), 4).alias("min"), F.round(F.max(value), 4).alias("max"), F.round(F.avg(value), 4).alias("mean")))
+    joined = _stacked(df, rows).join(distinct_counts(df, df.columns), "column")
+    few = (F.col("n_distinct") <= 50) | (F.col("n_distinct") / F.col("rows") <= 0.5)
+    kind = F.when(F.col("declared").isNotNull(), F.col("declared")).when(F.col("number") >= 0.9, "numeric").when(F.col("dated") >= 0.9, "date").when(few, "categorical").otherwise("text")
+    return joined.select("column", kind.alias("kind"), "missing", "n_distinct", "min", "max", "mean")
 
 
 def prepare(df: DataFrame, kind: dict[str, str], technical: tuple[str, ...] = ("run_id", "ingest_id", "_meta", "reject_reason")) -> DataFrame:
@@ -167,18 +173,35 @@ def prepare(df: DataFrame, kind: dict[str, str], technical: tuple[str, ...] = ("
     return df.select(*[casts.get(kind.get(c, ""), lambda x: x)(F.col(c)).alias(c) for c in df.columns if c not in technical])
 
 
+#: Words in a column's name that make it a measure.
+MEASURES = r"(?i)price|cost|amount|revenue|salary|bal|total|quantity|qty|score|rate|pct|percent|discount|value|age|hours|weight|size"
+#: Columns whose classes are looked at first.
+KNOWN_CLASSES = ["status", "category", "type", "segment", "class", "gender", "region"]
+
+
 def health(df: DataFrame) -> DataFrame:
-    """What a steward looks at first: columns like keys, the emptiest columns, ranges of numbers."""
-    k = kinds(df)
-    rows = df.agg(F.count("*").alias("rows"))
-    p = k.crossJoin(F.broadcast(rows))
-    key_like = p.filter("n_distinct >= 0.9 * rows and rows > 0").select("column", F.lit("key_like").alias("check"), (100.0 * F.col("n_distinct") / F.col("rows")).alias("value"))
+    """What a steward looks at first: columns like keys (not measures), the emptiest columns, ranges of numbers."""
+    p = written(kinds(df).crossJoin(F.broadcast(df.agg(F.count("*").alias("rows")))), "health")
+    key_like = p.filter("n_distinct >= 0.9 * rows and rows > 0").filter(~F.col("column").rlike(MEASURES)).select("column", F.lit("key_like").alias("check"), (100.0 * F.col("n_distinct") / F.col("rows")).alias("value"))
     empty = p.filter("missing > 0").select("column", F.lit("empty_pct").alias("check"), (100.0 * F.col("missing") / F.col("rows")).alias("value"))
-    return key_like.union(empty).withColumn("value", F.round("value", 4))
+    ranges = p.filter("kind = 'numeric' and min is not null").select("column", F.explode(F.array(*[F.struct(F.lit(f"range_{k}").alias("check"), F.col(k).alias("value")) for k in ("min", "max")])).alias("r")).select("column", "r.check", "r.value")
+    return key_like.union(empty).union(ranges).withColumn("value", F.round("value", 4))
+
+
+def class_column(df: DataFrame) -> str | None:
+    """The column whose classes are counted: the first text column with a known name (a word of it in KNOWN_CLASSES), else the first with 2 to 25 different values."""
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    known = [c for c in texts if set(re.split(r"[^a-z]+", c.lower())) & set(KNOWN_CLASSES)]
+    if known or not texts:
+        return known[0] if known else None
+    counts = {r["column"]: r["n_distinct"] for r in distinct_counts(df, texts).collect()}  # a row a column
+    return next((c for c in texts if 2 <= counts[c] <= 25), None)
 
 
-def class_balance(df: DataFrame, column: str, k: int = 25) -> DataFrame:
-    """The k most frequent classes; null is NULL, blank is SPACES."""
-    c = F.col(column).cast("string")
+def class_balance(df: DataFrame, column: str | None = None, k: int = 25) -> DataFrame:
+    """The k most frequent classes of a column (by default class_column's); null is NULL, blank is SPACES. Without such a column no rows."""
+    column = column or class_column(df)
+    c = F.lit(None).cast("string") if column is None else F.col(column).cast("string")
     label = F.when(c.isNull(), "NULL").when(F.trim(c) == "", "SPACES").otherwise(c)
-    return df.groupBy(label.alias("class")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "class").limit(k)
+    counts = (df.limit(0) if column is None else df).groupBy(label.alias("class")).agg(F.count("*").alias("n"))
+    return counts.orderBy(F.desc("n"), "class").limit(k)

@@ -48,10 +48,6 @@ def range_rules(checks: dict[str, tuple[float | None, float | None]]) -> Column:
     return F.when(joined != "", joined)
 
 
-def non_negative(columns: list[str]) -> Column:
-    return range_rules({c: (0, None) for c in columns})
-
-
 def induced_rules(conditions: list[str]) -> Column:
     """'induced_tree_rule_match' where any SQL condition holds; unknown is clean."""
     hit = F.lit(False)

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles, wide
+
 #: Fixed value: the order in which kinds of rules are tried.
 ORDER = ["composite_unique", "null_check", "range_check", "auto_iqr", "category_consistency"]
 
@@ -79,10 +81,10 @@ def rule_impact(zoned: DataFrame, rules: list[dict]) -> DataFrame:
 
 def column_impact(raw: DataFrame, clean: DataFrame, columns: list[str], k: float = 1.5) -> DataFrame:
     """Nulls, mean and outliers of every column before and after, by fences of the raw data."""
-    fences = raw.agg(*[F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in columns])
+    fences = wide(quantiles(raw, {c: F.col(c) for c in columns}, [0.25, 0.75]), columns, F.col("q"), "__q_")
     out = None
     for stage, df in (("before", raw), ("after", clean)):
-        joined = df.select(*columns).crossJoin(F.broadcast(fences.toDF(*[f"__q_{c}" for c in columns])))
+        joined = df.select(*columns).crossJoin(F.broadcast(fences))
         rows = []
         for c in columns:
             q1, q3 = F.col(f"__q_{c}")[0], F.col(f"__q_{c}")[1]

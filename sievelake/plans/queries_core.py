@@ -53,6 +53,18 @@ def quality_run_rows(spark, sf_dir):
     return tagged_orders(spark, sf_dir).select("row_id", "order_key", F.round("price", 2).alias("price"), F.coalesce("reject_reason", F.lit("")).alias("reject_reason"), "zone")
 
 
+TYPED = TableSpec("events", ["event_id"], required=["amount"], types={"amount": "DoubleType"}, tie=["event_id"])
+
+
+@query("""WITH d AS (SELECT event_id, CASE WHEN event_id % 13 = 4 THEN 'n/a' WHEN event_id % 17 = 5 THEN '' WHEN event_id % 19 = 6 THEN NULL ELSE printf('%.2f', value) END AS raw FROM events)
+SELECT event_id, CASE WHEN raw = 'n/a' THEN 'invalid_type_amount' WHEN raw IS NULL OR raw = '' THEN 'null_value_in_amount' ELSE '' END AS reject_reason, CASE WHEN raw IS NULL OR raw IN ('n/a', '') THEN 'quarantine' ELSE 'clean' END AS zone FROM d""")
+def typed_run_rows(spark, sf_dir):
+    k = F.col("event_id")
+    raw = F.when(k % 13 == 4, "n/a").when(k % 17 == 5, "").when(k % 19 == 6, F.lit(None)).otherwise(F.format_string("%.2f", "value"))
+    d = table(spark, sf_dir, "events").select("event_id", raw.alias("raw_amount")).withColumn("amount", F.col("raw_amount").try_cast("double"))
+    return tag(d, TYPED).select("event_id", F.coalesce("reject_reason", F.lit("")).alias("reject_reason"), "zone")
+
+
 @query(f"WITH {TAGGED} SELECT count(*)::BIGINT AS total, count(*) FILTER (reject_reason IS NULL)::BIGINT AS clean, round(100.0 * count(*) FILTER (reject_reason IS NULL) / count(*), 4) AS score, 100.0 * count(*) FILTER (reject_reason IS NULL) / count(*) >= 80 AS passed FROM tagged")
 def quality_score(spark, sf_dir):
     return metrics.quality_score(tagged_orders(spark, sf_dir))
@@ -267,9 +279,9 @@ def distribution_profile(spark, sf_dir):
     return p.select("column", *[F.round(c, 4).alias(c) for c in ("mean", "sd")], "min", "max", *[F.round(c, 4).alias(c) for c in ("p5", "p50", "p95", "kurtosis")], "n_distinct")
 
 
-@query("SELECT '<row>' AS key, (count(*) - count(DISTINCT (n_nationkey, n_name, n_regionkey)))::BIGINT AS duplicates FROM nation UNION ALL SELECT 'n_regionkey', (count(*) - count(DISTINCT n_regionkey))::BIGINT FROM nation")
+@query("SELECT '<row>' AS key, (count(*) - count(DISTINCT (o_custkey, o_orderstatus, o_orderpriority)))::BIGINT AS duplicates FROM orders UNION ALL SELECT 'o_custkey', (count(*) - count(DISTINCT o_custkey))::BIGINT FROM orders UNION ALL SELECT 'o_orderpriority', (count(*) - count(DISTINCT o_orderpriority))::BIGINT FROM orders")
 def duplicate_profile(spark, sf_dir):
-    return profile.duplicates(table(spark, sf_dir, "nation"), ["n_regionkey"])
+    return profile.duplicates(table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus", "o_orderpriority"), ["o_custkey", "o_orderpriority"])
 
 
 @query("SELECT 'c_acctbal' AS column, min(c_acctbal) AS min, max(c_acctbal) AS max, 'negative_money' AS issue FROM customer HAVING min(c_acctbal) < 0")
@@ -287,15 +299,15 @@ def _column_profile(spark, sf_dir):
 
 
 @query("""WITH f AS (SELECT quantile_cont(c_acctbal, 0.25) AS q1, quantile_cont(c_acctbal, 0.75) AS q3 FROM customer)
-SELECT 'c_acctbal' AS column, 'Float' AS kind, count(*) FILTER (c_acctbal IS NULL)::BIGINT AS nulls, count(DISTINCT c_acctbal)::BIGINT AS n_distinct, round(100.0 * count(DISTINCT c_acctbal) / count(*), 4) AS unique_pct, round(any_value(q1), 4) AS q1, round(any_value(q3), 4) AS q3, count(*) FILTER (c_acctbal < q1 - 1.5 * (q3 - q1) OR c_acctbal > q3 + 1.5 * (q3 - q1))::BIGINT AS outliers FROM customer, f
-UNION ALL SELECT 'c_mktsegment', 'Categorical', count(*) FILTER (c_mktsegment IS NULL), count(DISTINCT c_mktsegment), round(100.0 * count(DISTINCT c_mktsegment) / count(*), 4), NULL, NULL, NULL FROM customer""")
+SELECT 'c_acctbal' AS column, 'Float' AS kind, count(*) FILTER (c_acctbal IS NULL)::BIGINT AS nulls, count(DISTINCT c_acctbal)::BIGINT AS n_distinct, round(100.0 * count(DISTINCT c_acctbal) / count(*), 4) AS unique_pct, round(any_value(q1), 4) AS q1, round(any_value(q3), 4) AS q3, count(*) FILTER (c_acctbal < q1 - 1.5 * (q3 - q1) OR c_acctbal > q3 + 1.5 * (q3 - q1))::BIGINT AS outliers, array_to_string(list_sort(list(DISTINCT c_acctbal::VARCHAR))[1:3], ', ') AS samples FROM customer, f
+UNION ALL SELECT 'c_mktsegment', 'Categorical', count(*) FILTER (c_mktsegment IS NULL), count(DISTINCT c_mktsegment), round(100.0 * count(DISTINCT c_mktsegment) / count(*), 4), NULL, NULL, NULL, array_to_string(list_sort(list(DISTINCT c_mktsegment))[1:3], ', ') FROM customer""")
 def column_profile(spark, sf_dir):
-    return _column_profile(spark, sf_dir).filter(F.col("column").isin("c_acctbal", "c_mktsegment"))
+    return _column_profile(spark, sf_dir).filter(F.col("column").isin("c_acctbal", "c_mktsegment")).withColumn("samples", F.array_join("samples", ", "))
 
 
 @query("SELECT coalesce(CASE WHEN trim(c_mktsegment) = '' THEN 'SPACES' ELSE c_mktsegment END, 'NULL') AS class, count(*)::BIGINT AS n FROM customer GROUP BY 1 ORDER BY n DESC, class LIMIT 25")
 def class_balance(spark, sf_dir):
-    return profile.class_balance(table(spark, sf_dir, "customer"), "c_mktsegment")
+    return profile.class_balance(table(spark, sf_dir, "customer"))
 
 
 @query("""WITH old AS (SELECT o_totalprice AS v FROM orders WHERE o_orderkey % 2 = 0), new AS (SELECT o_totalprice * 1.2 AS v FROM orders WHERE o_orderkey % 2 = 1),
@@ -320,6 +332,6 @@ def profile_before(spark, sf_dir):
     return profile.before(dirty_orders(spark, sf_dir), ["order_key"], "price", 0, 500000, "price")
 
 
-@query("SELECT 'c_custkey' AS column, 'key_like' AS check, 100.0::DOUBLE AS value FROM (SELECT count(*) c FROM customer) WHERE c > 0 UNION ALL SELECT 'c_name', 'key_like', round(100.0 * count(DISTINCT c_name) / count(*), 4) FROM customer HAVING count(DISTINCT c_name) >= 0.9 * count(*) UNION ALL SELECT 'c_acctbal', 'key_like', round(100.0 * count(DISTINCT c_acctbal) / count(*), 4) FROM customer HAVING count(DISTINCT c_acctbal) >= 0.9 * count(*)")
+@query("SELECT 'c_custkey' AS column, 'key_like' AS check, 100.0::DOUBLE AS value FROM (SELECT count(*) c FROM customer) WHERE c > 0 UNION ALL SELECT 'c_name', 'key_like', round(100.0 * count(DISTINCT c_name) / count(*), 4) FROM customer HAVING count(DISTINCT c_name) >= 0.9 * count(*) UNION ALL SELECT 'c_custkey', 'range_min', min(c_custkey) FROM customer UNION ALL SELECT 'c_custkey', 'range_max', max(c_custkey) FROM customer UNION ALL SELECT 'c_nationkey', 'range_min', min(c_nationkey) FROM customer UNION ALL SELECT 'c_nationkey', 'range_max', max(c_nationkey) FROM customer UNION ALL SELECT 'c_acctbal', 'range_min', round(min(c_acctbal), 4) FROM customer UNION ALL SELECT 'c_acctbal', 'range_max', round(max(c_acctbal), 4) FROM customer")
 def health_checks(spark, sf_dir):
     return profile.health(table(spark, sf_dir, "customer"))
