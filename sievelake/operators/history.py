@@ -62,11 +62,12 @@ def search_rows(df: DataFrame, text: str, run_id: str | None = None) -> DataFram
     return found.filter(line.contains(text.lower()))
 
 
-def kpis(runs: DataFrame, durations: int = 20) -> DataFrame:
-    """Totals, mean score, and mean minutes of the last runs that did not fail (0.001 of a minute a row where no duration is kept)."""
-    last = runs.orderBy(F.desc("timestamp"), F.desc("run_id")).limit(durations).agg(F.round(F.avg(F.col("total_records") * 0.001), 4).alias("avg_minutes"))
+def kpis(runs: DataFrame, pipelines: DataFrame, last: int = 20) -> DataFrame:
+    """Totals and mean score of all quality runs, and mean minutes of the last pipeline runs that did not fail (of those with a duration)."""
+    recent = pipelines.filter(F.coalesce(F.col("state") != "failed", F.lit(True))).orderBy(F.desc("timestamp"), F.desc("run_id")).limit(last)
+    minutes = recent.agg(F.round(F.avg("duration_seconds") / 60, 2).alias("avg_minutes"))
     totals = runs.agg(F.sum("total_records").alias("records"), F.sum("quarantined_records").alias("quarantined"), F.round(F.avg("quality_score"), 4).alias("avg_score"))
-    return totals.crossJoin(last)
+    return totals.crossJoin(minutes)
 
 
 def score_series(runs: DataFrame, tables: list[str]) -> DataFrame:
@@ -119,13 +120,28 @@ def reconciliation(runs: DataFrame) -> DataFrame:
     return runs.select("run_id", F.col("total_records").alias("inbound"), F.col("clean_records").alias("delivered"), (F.col("total_records") - F.col("clean_records")).alias("gap"), F.when(share >= 95, "OK").when(share >= 90, "WARNING").otherwise("CRITICAL").alias("status"), F.round(share, 4).alias("integrity_pct"))
 
 
-def recommendations(runs: DataFrame, drifts: DataFrame, top: int = 3) -> DataFrame:
-    """What to do next: the foremost causes by rows, tables to restore, and drifts to settle."""
-    nth = F.row_number().over(Window.orderBy(F.desc("n"), "reason"))  # over distinct reasons
-    causes = clusters(runs).withColumn("nth", nth).filter(F.col("nth") <= top).select(F.lit("cause").alias("kind"), F.col("reason").alias("subject"), F.col("n").cast("double").alias("weight"))
-    low = latest_per(runs, "table_name").filter("quality_score < 70").select(F.lit("restore").alias("kind"), F.col("table_name").alias("subject"), F.col("quality_score").alias("weight"))
-    drifted = drifts.groupBy("table_name").agg(F.count("*").cast("double").alias("weight")).select(F.lit("drift").alias("kind"), F.col("table_name").alias("subject"), "weight")
-    return causes.unionByName(low).unionByName(drifted)
+#: What to do about rejects, by what their reason contains (tried in order).
+ACTIONS = [("primary_key", "FIX_SOURCE_KEY"), ("outlier", "TUNE_OUTLIER_RULE"), ("zscore", "TUNE_OUTLIER_RULE"), ("null", "FIX_SOURCE_NULLS"), ("missing", "FIX_SOURCE_NULLS"), ("duplicate", "REVIEW_KEY"), ("range", "REVIEW_RANGE")]
+
+
+def recommendations(runs: DataFrame, drifts: DataFrame, top: int = 3, restore_under: float = 70.0) -> DataFrame:
+    """What to do about the newest run of each table: (table_name, kind, action, weight, status).
+
+    A summary holds the score against its threshold. For tables under it come
+    the foremost causes by rows (those with an action), and under
+    restore_under the last good state to restore. Drifts are one item a table.
+    """
+    newest = latest_per(runs, "table_name")
+    passed = F.col("quality_score") >= F.col("effective_quality_threshold")
+    summary = newest.select("table_name", F.lit("summary").alias("kind"), F.lit("SUMMARY").alias("action"), F.col("quality_score").cast("double").alias("weight"), F.when(passed, "OK").otherwise("CRITICAL").alias("status"))
+    low = newest.filter(~passed)
+    action = F.coalesce(*[F.when(F.col("reason").contains(k), v) for k, v in ACTIONS])
+    causes = low.select("table_name", F.explode("quarantine_breakdown").alias("reason", "n")).withColumn("action", action).filter("action is not null").groupBy("table_name", "action").agg(F.sum("n").cast("double").alias("weight"))
+    nth = F.row_number().over(Window.partitionBy("table_name").orderBy(F.desc("weight"), "action"))
+    first = causes.withColumn("nth", nth).filter(F.col("nth") <= top).select("table_name", F.lit("cause").alias("kind"), "action", "weight", F.lit("RECOMMENDED").alias("status"))
+    restore = low.filter(F.col("quality_score") < restore_under).select("table_name", F.lit("restore").alias("kind"), F.lit("RESTORE_BACKUP").alias("action"), F.col("quality_score").cast("double").alias("weight"), F.lit("AVAILABLE").alias("status"))
+    drifted = drifts.groupBy("table_name").agg(F.count("*").cast("double").alias("weight")).select("table_name", F.lit("drift").alias("kind"), F.lit("SETTLE_DRIFT").alias("action"), "weight", F.lit("RECOMMENDED").alias("status"))
+    return summary.unionByName(first).unionByName(restore).unionByName(drifted)
 
 
 def trust_check(runs: DataFrame, drifts: DataFrame) -> DataFrame:
@@ -144,36 +160,101 @@ def catalog(registry: DataFrame, runs: DataFrame, drifts: DataFrame) -> DataFram
     return registry.join(newest, "table_name", "full_outer").join(pending, "table_name", "left").withColumn("pending", F.coalesce("pending", F.lit(0)))
 
 
-def activity(runs: DataFrame, drifts: DataFrame, limit: int = 50) -> DataFrame:
-    """Runs and drifts as one feed, newest first."""
-    a = runs.select("timestamp", F.lit("quality_run").alias("kind"), "table_name", F.col("run_id").alias("subject"))
-    b = drifts.select("timestamp", F.lit("schema_drift").alias("kind"), "table_name", F.concat_ws(":", "run_id", "column_name").alias("subject"))
-    return a.unionByName(b).orderBy(F.desc("timestamp"), "kind", "subject").limit(limit)
-
-
-def run_performance(runs: DataFrame, last: int = 100, recent: int = 6) -> DataFrame:
-    """Share of the last runs that met their threshold, and mean lag of the most recent."""
-    nth = runs.orderBy(F.desc("timestamp"), F.desc("run_id")).limit(last).withColumn("nth", F.row_number().over(Window.orderBy(F.desc("timestamp"), F.desc("run_id"))))
-    return nth.agg(F.round(100 * F.avg((F.col("quality_score") >= F.col("effective_quality_threshold")).cast("int")), 4).alias("success_pct"), F.round(F.avg(F.when(F.col("nth") <= recent, F.col("freshness_lag_hours"))), 4).alias("avg_lag"))
-
-
-def executive(runs: DataFrame, drifts: DataFrame) -> DataFrame:
-    """One row: health label, availability, fresh share, kinds of rejects in per cent, trend of the last two scores."""
-    flat = runs.select("total_records", F.explode_outer("quarantine_breakdown").alias("reason", "n"), "run_id")
-    kinds = flat.agg(
-        *[F.coalesce(F.sum(F.when(F.col("reason").rlike(p), F.col("n"))), F.lit(0)).alias(k) for k, p in (("missing", "null|missing"), ("duplicate", "duplicate"), ("invalid", "range|outlier|zscore|type"))]
-    )
-    w = Window.orderBy("timestamp", "run_id")
-    trend = runs.withColumn("before", F.lag("quality_score").over(w)).agg(F.max_by(F.col("quality_score") - F.col("before"), F.struct("timestamp", "run_id")).alias("trend"))
-    one = runs.agg(F.avg("quality_score").alias("score"), F.sum("total_records").alias("total"), F.avg((F.col("total_records") > 0).cast("int")).alias("up"), F.avg((F.col("freshness_lag_hours") <= 1).cast("int")).alias("fresh"))
-    wide = one.crossJoin(kinds).crossJoin(trend).crossJoin(drifts.agg(F.count("*").alias("n_drifts")))
+def activity(pipelines: DataFrame, runs: DataFrame, drifts: DataFrame, limit: int = 50) -> DataFrame:
+    """Pipeline runs, quality runs and drifts as one feed with levels, newest first."""
+    state = F.col("state")
+    level = F.when(state == "failed", "error").when(state.isin("quarantined", "warnings"), "warning").otherwise("info")
+    a = pipelines.select("timestamp", F.lit("pipeline").alias("kind"), "table_name", F.concat_ws(":", "run_id", "state").alias("subject"), level.alias("level"))
+    b = runs.select("timestamp", F.lit("quality_run").alias("kind"), "table_name", F.col("run_id").alias("subject"), F.when(F.col("quality_score") >= 90, "success").otherwise("warning").alias("level"))
+    c = drifts.select("timestamp", F.lit("schema_drift").alias("kind"), "table_name", F.concat_ws(":", "run_id", "column_name").alias("subject"), F.lit("error").alias("level"))
+    return a.unionByName(b).unionByName(c).orderBy(F.desc("timestamp"), "kind", "subject").limit(limit)
+
+
+def run_performance(pipelines: DataFrame, last: int = 100, recent: int = 6) -> DataFrame:
+    """Share of the last pipeline runs that did not fail, and mean seconds of the most recent ones (those with a duration, in whole seconds)."""
+    newest = [F.desc("timestamp"), F.desc("run_id")]
+    rate = pipelines.orderBy(*newest).limit(last).agg(F.round(100 * F.avg((~F.col("state").eqNullSafe("failed")).cast("int")), 1).alias("success_pct"))
+    latency = pipelines.orderBy(*newest).limit(recent).agg(F.round(F.avg(F.floor("duration_seconds")), 1).alias("avg_seconds"))
+    return rate.crossJoin(latency)
+
+
+def executive(runs: DataFrame, drifts: DataFrame, pipelines: DataFrame) -> DataFrame:
+    """One row: health label, share of pipeline runs that did not fail, fresh share, kinds of rejects in per cent, trend of the last two scores."""
+    flat = runs.select(F.explode("quarantine_breakdown").alias("reason", "n"))
+    kind = F.when(F.col("reason").rlike("null|missing"), "missing").when(F.col("reason").contains("duplicate"), "duplicate").when(F.col("reason").contains("drift"), "drift").otherwise("invalid")
+    kinds = flat.agg(*[F.coalesce(F.sum(F.when(kind == k, F.col("n"))), F.lit(0)).alias(k) for k in ("missing", "duplicate", "invalid")])
+    # The two newest runs as an aggregate: no task gets all runs.
+    order = F.struct("timestamp", "run_id")
+    last = runs.agg(F.max(F.struct(order.alias("at"), "quality_score")).alias("x"))
+    before = runs.crossJoin(F.broadcast(last)).filter(order < F.col("x.at")).agg(F.max_by("quality_score", order).alias("before"))
+    trend = last.crossJoin(before).select((F.col("x.quality_score") - F.col("before")).alias("trend"))
+    one = runs.agg(F.avg("quality_score").alias("score"), F.sum("total_records").alias("total"), F.avg((F.col("freshness_lag_hours") <= 1).cast("int")).alias("fresh"))
+    up = pipelines.agg(F.coalesce(F.avg((~F.col("state").eqNullSafe("failed")).cast("int")), F.lit(0.0)).alias("up"))
+    wide = one.crossJoin(kinds).crossJoin(trend).crossJoin(up).crossJoin(drifts.agg(F.count("*").alias("n_drifts")))
     pct = lambda c: F.round(100 * F.col(c) / F.greatest("total", F.lit(1)), 4)
-    return wide.select(F.when(F.col("score") >= 95, "HEALTHY").when(F.col("score") >= 88, "WATCH").otherwise("CRITICAL").alias("health"), F.round("score", 4).alias("score"), F.round(100 * F.col("up"), 4).alias("availability"), F.round(100 * F.col("fresh"), 4).alias("fresh_pct"), pct("missing").alias("missing_pct"), pct("duplicate").alias("duplicate_pct"), pct("invalid").alias("invalid_pct"), F.round("trend", 4).alias("trend"), "n_drifts")
-
-
-def scorecard(runs: DataFrame) -> DataFrame:
-    """Rules tested and passed by dimension: completeness, validity and uniqueness, a rule for each run."""
-    held = runs.select("run_id", F.explode_outer("quarantine_breakdown").alias("reason", "n"))
-    by_run = held.groupBy("run_id").agg(*[F.max(F.coalesce(F.col("reason").rlike(p), F.lit(False)).cast("int")).alias(k) for k, p in (("completeness", "null|missing"), ("validity", "range|outlier|zscore|type"), ("uniqueness", "duplicate"))])
-    rows = by_run.select(F.explode(F.create_map(*[x for k in ("completeness", "validity", "uniqueness") for x in (F.lit(k), F.col(k))])).alias("dimension", "failed"))
-    return rows.groupBy("dimension").agg(F.count("*").alias("tested"), F.sum(1 - F.col("failed")).alias("passed"), F.round(100 * F.avg(1 - F.col("failed")), 4).alias("pass_pct"))
+    health = F.when(F.col("score").isNull(), "No Data").when(F.col("score") >= 95, "Good").when(F.col("score") >= 88, "Warning").otherwise("Critical")
+    return wide.select(health.alias("health"), F.round("score", 4).alias("score"), F.round(100 * F.col("up"), 1).alias("availability"), F.round(100 * F.col("fresh"), 1).alias("fresh_pct"), pct("missing").alias("missing_pct"), pct("duplicate").alias("duplicate_pct"), pct("invalid").alias("invalid_pct"), F.round("trend", 4).alias("trend"), "n_drifts")
+
+
+#: Areas of the business, words in the names of their tables, and the points that their health loses when affected.
+AREAS = [
+    ("sales", ["sale", "order", "trans", "grocery", "bill", "invoice"], 2.0),
+    ("customer", ["user", "cust", "student", "mbti", "member", "client"], 5.0),
+    ("operations", ["prod", "item", "inventory", "stock", "supply", "course", "dirty"], 1.5),
+]
+
+
+def area_status(runs: DataFrame, drifts: DataFrame, pipelines: DataFrame) -> DataFrame:
+    """(area, status, health_pct, tables): Warning where a table of the area has rows held back, for reporting where pipelines failed or drifts came.
+
+    Tables of no area count for operations if no area is affected otherwise. Finance has no tables of its own and stays Normal.
+    """
+    names = F.lower("table_name")
+    held = runs.groupBy("table_name").agg(F.sum("quarantined_records").alias("q")).filter("q > 0").select("table_name")
+    flags = held.select("table_name", *[names.rlike("|".join(words)).alias(area) for area, words, _ in AREAS])
+    found = flags.agg(F.count("*").alias("n"), *[F.coalesce(F.max(area), F.lit(False)).alias(area) for area, _, _ in AREAS], *[F.array_sort(F.collect_set(F.when(F.col(area), F.col("table_name")))).alias(f"{area}_tables") for area, _, _ in AREAS])
+    rate = runs.agg(F.sum("quarantined_records").alias("q"), F.sum("total_records").alias("t")).select(F.when(F.col("t") > 0, F.round(100 - F.round(100 * F.col("q") / F.col("t"), 2), 1)).otherwise(0.0).alias("base"))
+    pipes = pipelines.agg(F.count("*").alias("runs"), F.count(F.when(F.col("state") == "failed", 1)).alias("failed"))
+    drifted = drifts.agg(F.count("*").alias("drifts"), F.array_sort(F.collect_set("table_name")).alias("drift_tables"))
+    one = found.crossJoin(rate).crossJoin(pipes).crossJoin(drifted)
+    none = ~F.col("sales") & ~F.col("customer") & ~F.col("operations")
+    hit = {area: (F.col(area) | (none & (F.col("n") > 0)) if area == "operations" else F.col(area)) for area, _, _ in AREAS}
+    available = F.when(F.col("runs") > 0, F.round(100 * (F.col("runs") - F.col("failed")) / F.col("runs"), 1)).otherwise(0.0)
+    row = lambda area, warn, health, tables: F.struct(F.lit(area).alias("area"), F.when(warn, "Warning").otherwise("Normal").alias("status"), health.alias("health_pct"), F.array_join(tables, ",").alias("tables"))
+    rows = [row(area, hit[area], F.when(hit[area], F.round(F.col("base") - points, 1)).otherwise(F.col("base")), F.col(f"{area}_tables")) for area, _, points in AREAS]
+    rows.append(row("reporting", (F.col("failed") > 0) | (F.col("drifts") > 0), F.when(F.col("failed") > 0, F.round(available - 3.0, 1)).otherwise(available), F.col("drift_tables")))
+    rows.append(row("finance", F.lit(False), F.col("base"), F.array().cast("array<string>")))
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def scorecard(runs: DataFrame, nulls: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Rules tested and passed by run and dimension.
+
+    nulls: (run_id, column, null_rate, tolerance); ranges: (run_id, column) of
+    columns with a range. Completeness has a rule for each column of nulls: its
+    rate is within its tolerance and no reason of the run names it and null.
+    Validity: the table is not empty, and for each column of ranges no reason
+    names it and outlier or range. Uniqueness: no reason names duplicates.
+    """
+    reasons = runs.select("run_id", F.explode("quarantine_breakdown").alias("reason", "n")).filter("n > 0").select("run_id", F.lower("reason").alias("reason"))
+
+    def named(columns: DataFrame, words: str) -> DataFrame:
+        """columns and hit: whether a reason of the run names the column and one of the words."""
+        hits = columns.join(reasons, "run_id").filter(F.col("reason").rlike(words) & F.col("reason").contains(F.lower("column"))).select("run_id", "column").distinct().withColumn("hit", F.lit(True))
+        return columns.join(hits, ["run_id", "column"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+
+    complete = named(nulls, "null").select("run_id", F.lit("completeness").alias("dimension"), (~F.col("hit") & (F.col("null_rate") <= F.col("tolerance"))).alias("passed"))
+    filled = runs.select("run_id", F.lit("validity").alias("dimension"), (F.col("total_records") > 0).alias("passed"))
+    within = named(ranges, "outlier|range").select("run_id", F.lit("validity").alias("dimension"), (~F.col("hit")).alias("passed"))
+    repeated = reasons.filter(F.col("reason").contains("duplicate")).select("run_id").distinct().withColumn("hit", F.lit(True))
+    unique = runs.select("run_id").join(repeated, "run_id", "left").select("run_id", F.lit("uniqueness").alias("dimension"), F.col("hit").isNull().alias("passed"))
+    rules = complete.unionByName(filled).unionByName(within).unionByName(unique)
+    return rules.groupBy("run_id", "dimension").agg(F.count("*").alias("tested"), F.sum(F.col("passed").cast("int")).alias("passed"), F.round(100 * F.avg(F.col("passed").cast("int")), 4).alias("pass_pct"))
+
+
+def compliance(runs: DataFrame) -> DataFrame:
+    """(table_name, share, rows, pct): rows in order, at risk (under review) and held back of all runs of a table."""
+    review = F.coalesce(F.sum("review_records"), F.lit(0)) if "review_records" in runs.columns else F.lit(0).cast("long")
+    sums = runs.groupBy("table_name").agg(F.sum("total_records").alias("t"), F.sum("quarantined_records").alias("q"), review.alias("r"))
+    rows = [F.struct(F.lit(k).alias("share"), c.alias("rows")) for k, c in (("compliant", F.greatest(F.col("t") - F.col("q") - F.col("r"), F.lit(0))), ("at_risk", F.col("r")), ("non_compliant", F.col("q")))]
+    return sums.select("table_name", "t", F.explode(F.array(*rows)).alias("x")).select("table_name", "x.share", "x.rows", F.round(100 * F.col("x.rows") / F.greatest("t", F.lit(1)), 1).alias("pct"))

@@ -105,3 +105,26 @@ DRIFTS = """drifts AS (SELECT run_id, table_name, "timestamp", 'col_' || (month(
   CASE month("timestamp") % 3 WHEN 0 THEN 1 ELSE 5 END AS severity,
   CASE month("timestamp") % 4 WHEN 0 THEN 'PENDING' WHEN 1 THEN 'APPROVED' ELSE 'REJECTED' END AS status
   FROM runs WHERE 100 * quarantined_records > 3 * total_records)"""
+
+
+def pipeline_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pipeline run for each quality run: its state, and seconds where they were kept."""
+    t = F.col("total_records")
+    state = F.when(t % 7 == 3, "failed").when(F.col("quality_score") >= F.col("effective_quality_threshold"), "success").otherwise("warnings")
+    return run_history(spark, sf_dir).select("run_id", "table_name", "timestamp", state.alias("state"), F.when(t % 11 != 4, 30.5 + t % 1000).alias("duration_seconds"))
+
+
+PIPELINES = """pipes AS (SELECT run_id, table_name, "timestamp", CASE WHEN total_records % 7 = 3 THEN 'failed' WHEN quality_score >= effective_quality_threshold THEN 'success' ELSE 'warnings' END AS state, CASE WHEN total_records % 11 <> 4 THEN 30.5::DOUBLE + total_records % 1000 END AS duration_seconds FROM runs)"""
+
+
+def run_profiles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Null rates with tolerances of two columns of each run, and its column with a range."""
+    r = run_history(spark, sf_dir)
+    rate = F.col("quarantined_records") / F.col("total_records")
+    rows = F.array(F.struct(F.lit("price").alias("column"), rate.alias("null_rate"), F.lit(0.03).alias("tolerance")), F.struct(F.lit("value").alias("column"), (rate / 2).alias("null_rate"), F.lit(0.02).alias("tolerance")))
+    return r.select("run_id", F.inline(rows)), r.select("run_id", F.when(F.col("table_name") == "lineitem", "discount").otherwise("price").alias("column"))
+
+
+PROFILES = """nulls AS (SELECT run_id, 'price' AS col, quarantined_records / total_records AS null_rate, 0.03::DOUBLE AS tolerance FROM runs UNION ALL SELECT run_id, 'value', quarantined_records / total_records / 2, 0.02 FROM runs),
+ranges AS (SELECT run_id, CASE WHEN table_name = 'lineitem' THEN 'discount' ELSE 'price' END AS col FROM runs),
+named AS (SELECT run_id, reason FROM runs r JOIN run_reasons q ON q.table_name = r.table_name AND q.month = r."timestamp")"""

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import drift, gold, history, metrics
-from .fixtures import DRIFTS, RUNS, drift_log, run_history
+from .fixtures import DRIFTS, PIPELINES, PROFILES, RUNS, drift_log, pipeline_runs, run_history, run_profiles, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -121,14 +123,12 @@ def history_latest(spark, sf_dir):
 
 @query("SELECT c_custkey FROM customer WHERE contains(lower(concat_ws(chr(31), c_custkey::VARCHAR, c_name, c_mktsegment)), '11') AND c_nationkey >= 0")
 def search_rows(spark, sf_dir):
-    from .fixtures import table
-
     return history.search_rows(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), "11").select("c_custkey")
 
 
-@query(f"""WITH {RUNS} SELECT sum(total_records)::BIGINT AS records, sum(quarantined_records)::BIGINT AS quarantined, round(avg(quality_score), 4) AS avg_score, (SELECT round(avg(total_records * 0.001::DOUBLE), 4) FROM (SELECT * FROM runs ORDER BY "timestamp" DESC, run_id DESC LIMIT 20)) AS avg_minutes FROM runs""")
+@query(f"""WITH {RUNS}, {PIPELINES} SELECT sum(total_records)::BIGINT AS records, sum(quarantined_records)::BIGINT AS quarantined, round(avg(quality_score), 4) AS avg_score, (SELECT round(avg(duration_seconds) / 60, 2) FROM (SELECT * FROM pipes WHERE state <> 'failed' ORDER BY "timestamp" DESC, run_id DESC LIMIT 20)) AS avg_minutes FROM runs""")
 def kpi_totals(spark, sf_dir):
-    return history.kpis(run_history(spark, sf_dir))
+    return history.kpis(run_history(spark, sf_dir), pipeline_runs(spark, sf_dir))
 
 
 @query(f"""WITH {RUNS} SELECT "timestamp", max(quality_score) FILTER (table_name = 'orders') AS orders, max(quality_score) FILTER (table_name = 'lineitem') AS lineitem, max(quality_score) FILTER (table_name = 'events') AS events FROM runs GROUP BY 1""")
@@ -167,11 +167,28 @@ def volume_reconciliation(spark, sf_dir):
     return history.reconciliation(run_history(spark, sf_dir))
 
 
-@query(f"""WITH {RUNS}, {DRIFTS}, {LATEST}, {CLUSTERS} SELECT * FROM (SELECT 'cause' AS kind, reason AS subject, n::DOUBLE AS weight FROM clusters ORDER BY n DESC, reason LIMIT 3) UNION ALL SELECT 'restore', table_name, quality_score FROM latest WHERE quality_score < 70 UNION ALL SELECT 'drift', table_name, count(*)::DOUBLE FROM drifts GROUP BY 2""")
+ACTIONS = "CASE WHEN contains(reason, 'primary_key') THEN 'FIX_SOURCE_KEY' WHEN contains(reason, 'outlier') OR contains(reason, 'zscore') THEN 'TUNE_OUTLIER_RULE' WHEN contains(reason, 'null') OR contains(reason, 'missing') THEN 'FIX_SOURCE_NULLS' WHEN contains(reason, 'duplicate') THEN 'REVIEW_KEY' WHEN contains(reason, 'range') THEN 'REVIEW_RANGE' END"
+
+
+@query(f"""WITH {RUNS}, {DRIFTS}, {LATEST}, low AS (SELECT * FROM latest WHERE quality_score < effective_quality_threshold),
+c AS (SELECT l.table_name, {ACTIONS} AS action, sum(n)::DOUBLE AS weight FROM low l JOIN run_reasons q ON q.table_name = l.table_name AND q.month = l."timestamp" WHERE {ACTIONS} IS NOT NULL GROUP BY 1, 2)
+SELECT table_name, 'summary' AS kind, 'SUMMARY' AS action, quality_score::DOUBLE AS weight, CASE WHEN quality_score >= effective_quality_threshold THEN 'OK' ELSE 'CRITICAL' END AS status FROM latest
+UNION ALL (SELECT table_name, 'cause', action, weight, 'RECOMMENDED' FROM c QUALIFY row_number() OVER (PARTITION BY table_name ORDER BY weight DESC, action) <= 3)
+UNION ALL SELECT table_name, 'restore', 'RESTORE_BACKUP', quality_score, 'AVAILABLE' FROM low WHERE quality_score < 70
+UNION ALL SELECT table_name, 'drift', 'SETTLE_DRIFT', count(*)::DOUBLE, 'RECOMMENDED' FROM drifts GROUP BY 1""")
 def recommendations(spark, sf_dir):
     return history.recommendations(run_history(spark, sf_dir), drift_log(spark, sf_dir))
 
 
+@query(f"""WITH {RUNS}, {DRIFTS}, x AS (SELECT *, 99.9::DOUBLE AS least FROM runs), low AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY table_name ORDER BY "timestamp" DESC, run_id DESC) AS nth FROM x) WHERE nth = 1 AND quality_score < least),
+c AS (SELECT l.table_name, {ACTIONS} AS action, sum(n)::DOUBLE AS weight FROM low l JOIN run_reasons q ON q.table_name = l.table_name AND q.month = l."timestamp" WHERE {ACTIONS} IS NOT NULL GROUP BY 1, 2)
+SELECT table_name, action, weight FROM c QUALIFY row_number() OVER (PARTITION BY table_name ORDER BY weight DESC, action) <= 3 UNION ALL SELECT table_name, 'RESTORE_BACKUP', quality_score FROM low WHERE quality_score < 99.5""")
+def recommended_causes(spark, sf_dir):
+    strict = run_history(spark, sf_dir).withColumn("effective_quality_threshold", F.lit(99.9))
+    found = history.recommendations(strict, drift_log(spark, sf_dir), restore_under=99.5)
+    return found.filter("kind in ('cause', 'restore')").select("table_name", "action", "weight")
+
+
 @query(f"""WITH {RUNS}, {DRIFTS}, {LATEST}, t AS (SELECT l.table_name, quality_score, (SELECT count(*) FROM drifts d WHERE d.table_name = l.table_name AND d.status = 'PENDING')::BIGINT AS pending FROM latest l) SELECT *, CASE WHEN quality_score < 95 AND pending > 0 THEN 'HALT_INGEST' WHEN quality_score < 95 OR pending > 0 THEN 'WARNING_SUSPECT' ELSE 'SAFE' END AS verdict FROM t""")
 def trust_check(spark, sf_dir):
     return history.trust_check(run_history(spark, sf_dir), drift_log(spark, sf_dir))
@@ -183,25 +200,49 @@ def table_catalog(spark, sf_dir):
     return history.catalog(registry, run_history(spark, sf_dir), drift_log(spark, sf_dir))
 
 
-@query(f"""WITH {RUNS}, {DRIFTS} SELECT * FROM (SELECT "timestamp", 'quality_run' AS kind, table_name, run_id AS subject FROM runs UNION ALL SELECT "timestamp", 'schema_drift', table_name, run_id || ':' || column_name FROM drifts) ORDER BY "timestamp" DESC, kind, subject LIMIT 50""")
+@query(f"""WITH {RUNS}, {DRIFTS}, {PIPELINES} SELECT * FROM (SELECT "timestamp", 'pipeline' AS kind, table_name, run_id || ':' || state AS subject, CASE state WHEN 'failed' THEN 'error' WHEN 'warnings' THEN 'warning' ELSE 'info' END AS level FROM pipes UNION ALL SELECT "timestamp", 'quality_run', table_name, run_id, CASE WHEN quality_score >= 90 THEN 'success' ELSE 'warning' END FROM runs UNION ALL SELECT "timestamp", 'schema_drift', table_name, run_id || ':' || column_name, 'error' FROM drifts) ORDER BY "timestamp" DESC, kind, subject LIMIT 50""")
 def activity_feed(spark, sf_dir):
-    return history.activity(run_history(spark, sf_dir), drift_log(spark, sf_dir))
+    return history.activity(pipeline_runs(spark, sf_dir), run_history(spark, sf_dir), drift_log(spark, sf_dir))
 
 
-@query(f"""WITH {RUNS}, l AS (SELECT *, row_number() OVER (ORDER BY "timestamp" DESC, run_id DESC) AS nth FROM runs QUALIFY nth <= 100) SELECT round(100.0 * avg((quality_score >= effective_quality_threshold)::INT), 4) AS success_pct, round(avg(freshness_lag_hours) FILTER (nth <= 6), 4) AS avg_lag FROM l""")
+@query(f"""WITH {RUNS}, {PIPELINES}, l AS (SELECT *, row_number() OVER (ORDER BY "timestamp" DESC, run_id DESC) AS nth FROM pipes QUALIFY nth <= 100) SELECT round(100.0 * avg((state <> 'failed')::INT), 1) AS success_pct, round(avg(floor(duration_seconds)) FILTER (nth <= 6), 1) AS avg_seconds FROM l""")
 def run_performance(spark, sf_dir):
-    return history.run_performance(run_history(spark, sf_dir))
+    return history.run_performance(pipeline_runs(spark, sf_dir))
 
 
-@query(f"""WITH {RUNS}, {DRIFTS}, k AS (SELECT coalesce(sum(n) FILTER (regexp_matches(reason, 'null|missing')), 0) AS missing, coalesce(sum(n) FILTER (contains(reason, 'duplicate')), 0) AS duplicate, coalesce(sum(n) FILTER (regexp_matches(reason, 'range|outlier|zscore|type')), 0) AS invalid FROM run_reasons),
+@query(f"""WITH {RUNS}, {DRIFTS}, {PIPELINES}, k AS (SELECT coalesce(sum(n) FILTER (regexp_matches(reason, 'null|missing')), 0) AS missing, coalesce(sum(n) FILTER (contains(reason, 'duplicate')), 0) AS duplicate, coalesce(sum(n) FILTER (NOT regexp_matches(reason, 'null|missing|duplicate|drift')), 0) AS invalid FROM run_reasons),
 t AS (SELECT quality_score - lag(quality_score) OVER (ORDER BY "timestamp", run_id) AS trend, row_number() OVER (ORDER BY "timestamp" DESC, run_id DESC) AS nth FROM runs),
-o AS (SELECT avg(quality_score) AS score, sum(total_records) AS total, avg((total_records > 0)::INT) AS up, avg((freshness_lag_hours <= 1)::INT) AS fresh FROM runs)
-SELECT CASE WHEN score >= 95 THEN 'HEALTHY' WHEN score >= 88 THEN 'WATCH' ELSE 'CRITICAL' END AS health, round(score, 4) AS score, round(100 * up, 4) AS availability, round(100 * fresh, 4) AS fresh_pct, round(100.0 * missing / total, 4) AS missing_pct, round(100.0 * duplicate / total, 4) AS duplicate_pct, round(100.0 * invalid / total, 4) AS invalid_pct, (SELECT round(trend, 4) FROM t WHERE nth = 1) AS trend, (SELECT count(*)::BIGINT FROM drifts) AS n_drifts FROM o, k""")
+o AS (SELECT avg(quality_score) AS score, sum(total_records) AS total, avg((freshness_lag_hours <= 1)::INT) AS fresh FROM runs)
+SELECT CASE WHEN score >= 95 THEN 'Good' WHEN score >= 88 THEN 'Warning' ELSE 'Critical' END AS health, round(score, 4) AS score, (SELECT round(100 * avg((state <> 'failed')::INT), 1) FROM pipes) AS availability, round(100 * fresh, 1) AS fresh_pct, round(100.0 * missing / total, 4) AS missing_pct, round(100.0 * duplicate / total, 4) AS duplicate_pct, round(100.0 * invalid / total, 4) AS invalid_pct, (SELECT round(trend, 4) FROM t WHERE nth = 1) AS trend, (SELECT count(*)::BIGINT FROM drifts) AS n_drifts FROM o, k""")
 def executive_overview(spark, sf_dir):
-    return history.executive(run_history(spark, sf_dir), drift_log(spark, sf_dir))
+    return history.executive(run_history(spark, sf_dir), drift_log(spark, sf_dir), pipeline_runs(spark, sf_dir))
+
+
+@query(f"""WITH {RUNS}, {DRIFTS}, {PIPELINES}, h AS (SELECT table_name FROM runs GROUP BY 1 HAVING sum(quarantined_records) > 0),
+f AS (SELECT count(*) AS n, coalesce(bool_or(regexp_matches(table_name, 'sale|order|trans|grocery|bill|invoice')), false) AS sales, coalesce(bool_or(regexp_matches(table_name, 'user|cust|student|mbti|member|client')), false) AS customer, coalesce(bool_or(regexp_matches(table_name, 'prod|item|inventory|stock|supply|course|dirty')), false) AS ops,
+  coalesce(string_agg(table_name, ',' ORDER BY table_name) FILTER (regexp_matches(table_name, 'sale|order|trans|grocery|bill|invoice')), '') AS st, coalesce(string_agg(table_name, ',' ORDER BY table_name) FILTER (regexp_matches(table_name, 'user|cust|student|mbti|member|client')), '') AS ct, coalesce(string_agg(table_name, ',' ORDER BY table_name) FILTER (regexp_matches(table_name, 'prod|item|inventory|stock|supply|course|dirty')), '') AS ot FROM h),
+b AS (SELECT round(100 - round(100.0 * sum(quarantined_records) / sum(total_records), 2), 1) AS base FROM runs), p AS (SELECT count(*) FILTER (state = 'failed') AS failed, round(100.0 * count(*) FILTER (state <> 'failed') / count(*), 1) AS available FROM pipes), d AS (SELECT count(*) AS drifts, coalesce(string_agg(DISTINCT table_name, ',' ORDER BY table_name), '') AS dt FROM drifts),
+a AS (SELECT *, ops OR (n > 0 AND NOT sales AND NOT customer) AS operations FROM f, b, p, d)
+SELECT 'sales' AS area, CASE WHEN sales THEN 'Warning' ELSE 'Normal' END AS status, CASE WHEN sales THEN round(base - 2.0, 1) ELSE base END AS health_pct, st AS tables FROM a
+UNION ALL SELECT 'customer', CASE WHEN customer THEN 'Warning' ELSE 'Normal' END, CASE WHEN customer THEN round(base - 5.0, 1) ELSE base END, ct FROM a
+UNION ALL SELECT 'operations', CASE WHEN operations THEN 'Warning' ELSE 'Normal' END, CASE WHEN operations THEN round(base - 1.5, 1) ELSE base END, ot FROM a
+UNION ALL SELECT 'reporting', CASE WHEN failed > 0 OR drifts > 0 THEN 'Warning' ELSE 'Normal' END, CASE WHEN failed > 0 THEN round(available - 3.0, 1) ELSE available END, dt FROM a
+UNION ALL SELECT 'finance', 'Normal', base, '' FROM a""")
+def executive_areas(spark, sf_dir):
+    return history.area_status(run_history(spark, sf_dir), drift_log(spark, sf_dir), pipeline_runs(spark, sf_dir))
+
+
+@query(f"""WITH {RUNS}, {PROFILES}, rules AS (
+  SELECT n.run_id, 'completeness' AS dimension, null_rate <= tolerance AND NOT EXISTS (SELECT 1 FROM named m WHERE m.run_id = n.run_id AND contains(reason, 'null') AND contains(reason, col)) AS passed FROM nulls n
+  UNION ALL SELECT run_id, 'validity', total_records > 0 FROM runs
+  UNION ALL SELECT r.run_id, 'validity', NOT EXISTS (SELECT 1 FROM named m WHERE m.run_id = r.run_id AND regexp_matches(reason, 'outlier|range') AND contains(reason, col)) FROM ranges r
+  UNION ALL SELECT run_id, 'uniqueness', NOT EXISTS (SELECT 1 FROM named m WHERE m.run_id = runs.run_id AND contains(reason, 'duplicate')) FROM runs)
+SELECT run_id, dimension, count(*)::BIGINT AS tested, sum(passed::INT)::BIGINT AS passed, round(100.0 * avg(passed::INT), 4) AS pass_pct FROM rules GROUP BY 1, 2""")
+def dimension_scorecard(spark, sf_dir):
+    return history.scorecard(run_history(spark, sf_dir), *run_profiles(spark, sf_dir))
 
 
-@query(f"""WITH {RUNS}, b AS (SELECT r.run_id, max(coalesce(regexp_matches(reason, 'null|missing'), false)::INT) AS completeness, max(coalesce(regexp_matches(reason, 'range|outlier|zscore|type'), false)::INT) AS validity, max(coalesce(contains(reason, 'duplicate'), false)::INT) AS uniqueness FROM runs r LEFT JOIN run_reasons q ON q.table_name = r.table_name AND q.month = r."timestamp" GROUP BY 1)
-SELECT d.dimension, count(*)::BIGINT AS tested, sum(1 - failed)::BIGINT AS passed, round(100.0 * avg(1 - failed), 4) AS pass_pct FROM (SELECT 'completeness' AS dimension, completeness AS failed FROM b UNION ALL SELECT 'validity', validity FROM b UNION ALL SELECT 'uniqueness', uniqueness FROM b) d GROUP BY 1""")
-def dimension_scorecard(spark, sf_dir):
-    return history.scorecard(run_history(spark, sf_dir))
+@query(f"""WITH {RUNS}, s AS (SELECT table_name, sum(total_records)::BIGINT AS t, sum(quarantined_records)::BIGINT AS q, sum(quarantined_records // 4)::BIGINT AS r FROM runs GROUP BY 1)
+SELECT table_name, 'compliant' AS share, t - q - r AS rows, round(100.0 * (t - q - r) / t, 1) AS pct FROM s UNION ALL SELECT table_name, 'at_risk', r, round(100.0 * r / t, 1) FROM s UNION ALL SELECT table_name, 'non_compliant', q, round(100.0 * q / t, 1) FROM s""")
+def compliance_shares(spark, sf_dir):
+    return history.compliance(run_history(spark, sf_dir).withColumn("review_records", F.expr("quarantined_records div 4")))
