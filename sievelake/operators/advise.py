@@ -56,19 +56,35 @@ CAUSES = [
 ]
 
 
-def root_cause(quarantine: DataFrame, history: DataFrame, settled: DataFrame, top: int = 3) -> DataFrame:
-    """The most frequent reasons of all rejected rows, their likely cause and the rule to add.
+#: Whom a ticket goes to and how pressing it is, by the rule that a cause calls for.
+TICKETS = [
+    (["keep_latest"], "Upstream Ingestion API / DB Exporter", "warning"),
+    (["null_check", "fillna", "parse_timestamp"], "Upstream Source Database / API Schema Validator", "critical"),
+    (["auto_iqr", "zscore", "range_check"], "Upstream Data Entry Client / CSV Producer", "warning"),
+]
+
+
+def root_cause(quarantine: DataFrame, history: DataFrame, settled: DataFrame, scores: DataFrame | None = None, top: int = 3) -> DataFrame:
+    """The most frequent reasons of all rejected rows, their likely cause, the rule to add and the ticket to write.
 
     history (reason, n) of earlier runs raises the confidence of growing ones
-    by 0.03; rules that were decided on before (settled: rule) are left out.
+    by 0.03. scores (current, average), a row of quality scores: a fall by over
+    10 raises it by 0.05, a rise by over 5 lowers it by 0.10, to 0.98 at most
+    and 0.50 at least. Rules that were decided on before (settled: rule) are
+    left out.
     """
     counts = quarantine.select(F.explode(reasons_of(F.col("reject_reason"))).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
     nth = F.row_number().over(Window.orderBy(F.desc("n"), "reason"))  # over distinct reasons
     first = counts.withColumn("nth", nth).filter(F.col("nth") <= top).join(history.select("reason", F.col("n").alias("was")), "reason", "left")
     entry = F.coalesce(*[F.when(F.col("reason").contains(k), F.struct(F.lit(c).alias("cause"), F.lit(r).alias("rule"), F.lit(p).alias("base"))) for k, c, r, p in CAUSES], F.struct(F.lit("unknown").alias("cause"), F.lit("review").alias("rule"), F.lit(0.5).alias("base")))
-    trend = F.when(F.col("n") > F.coalesce("was", F.lit(0)), 0.03).otherwise(0.0)
-    advised = first.withColumn("e", entry).select("reason", "n", "e.cause", "e.rule", F.round(F.least(F.col("e.base") + trend, F.lit(0.98)), 4).alias("confidence"))
-    return advised.join(settled.select("rule").distinct(), "rule", "left_anti")
+    growing = F.when(F.col("n") > F.coalesce("was", F.lit(0)), 0.03).otherwise(0.0)
+    moved = quarantine.sparkSession.range(1).select(F.lit(0.0).alias("delta")) if scores is None else scores.select((F.col("current") - F.col("average")).alias("delta"))
+    base = F.least(F.col("e.base") + growing, F.lit(0.98))
+    confidence = F.when(F.col("delta") < -10, F.least(base + 0.05, F.lit(0.98))).when(F.col("delta") > 5, F.greatest(base - 0.10, F.lit(0.50))).otherwise(base)
+    trend = F.when(F.col("delta") < -10, "sharp decline").when(F.col("delta") < -5, "decline").when(F.col("delta") > 5, "improving").otherwise("steady")
+    ticket = F.coalesce(*[F.when(F.col("e.rule").isin(rules), F.struct(F.lit(system).alias("system"), F.lit(severity).alias("severity"))) for rules, system, severity in TICKETS], F.struct(F.lit("Upstream Data Provider Exporter").alias("system"), F.lit("warning").alias("severity")))
+    advised = first.withColumn("e", entry).crossJoin(F.broadcast(moved)).withColumn("t", ticket)
+    return advised.select("reason", "n", "e.cause", "e.rule", F.round(confidence, 4).alias("confidence"), trend.alias("trend"), F.col("t.system").alias("ticket_system"), F.col("t.severity").alias("severity")).join(settled.select("rule").distinct(), "rule", "left_anti")
 
 
 def from_drift(df: DataFrame, stored: DataFrame, columns: list[str]) -> DataFrame:

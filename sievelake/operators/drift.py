@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.align import ENGINE_TYPES, engine_type
 
@@ -69,9 +68,3 @@ def null_rate(current: DataFrame, stored: DataFrame) -> DataFrame:
     now, was = F.col("null_rate"), F.col("ema_null_rate")
     status = F.when((was == 0) & (now > 0.05), "NEW_NULLS").when((now > 3 * was) & (now > 0.05), "CRITICAL").when((now > 2 * was) & (now > 0.03), "MODERATE").otherwise("STABLE")
     return current.select("column", "null_rate").join(stored.select("column", "ema_null_rate"), "column").withColumn("status", status)
-
-
-def diff_types(a: T.StructType, b: T.StructType) -> dict[str, tuple[str | None, str | None]]:
-    """Columns whose engine types differ between two schemas."""
-    x, y = ({f.name: engine_type(f.dataType) for f in s.fields} for s in (a, b))
-    return {c: (x.get(c), y.get(c)) for c in {*x, *y} if x.get(c) != y.get(c)}

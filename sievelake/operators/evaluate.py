@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -10,23 +10,45 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.round(F.when(b > 0, a / F.greatest(b, F.lit(1))).otherwise(0.0), 6)
 
 
-def detection(zoned: DataFrame, truth: DataFrame, row_id: str, key: list[str]) -> DataFrame:
-    """Precision, recall and accuracy of a run against labels (row_id, error_type; null for sound rows).
+def outcomes(rows: DataFrame, zoned: DataFrame, truth: DataFrame, row_id: str, key: list[str]) -> DataFrame:
+    """(row_id, error_type, outcome, reason, detected) of every labelled row.
 
-    Of rows that share a key, an error counts as found when at most one of
-    them is clean, and their original is not an error.
+    rows: the input, with its key; zoned: what a run made of it (row_id, zone,
+    reject_reason); truth: (row_id, error_type), null for sound rows. A row
+    that the run has neither clean nor quarantined is dropped. Where a key
+    repeats and at most one of its rows is clean, a duplicate counts as
+    detected, and sound rows of the key are no error. Else a row is detected
+    if it is not clean. Counts of a key come by partial sums, so that a key
+    with very many rows, null too, is no task of its own.
     """
-    joined = zoned.select(row_id, *key, (F.col("zone") == "clean").alias("clean")).join(truth.select(row_id, "error_type"), row_id)
-    w = Window.partitionBy(*key)
-    survivors = F.sum(F.col("clean").cast("int")).over(w)
-    group = F.count("*").over(w)
-    found = F.when(F.coalesce(F.col("error_type") == "duplicate", F.lit(False)) & (group > 1), survivors <= 1).otherwise(~F.col("clean"))
-    spared = (F.col("error_type").isNull()) & (group > 1) & (survivors == 1) & ~F.col("clean") & (F.coalesce(F.max((F.col("error_type") == "duplicate").cast("int")).over(w), F.lit(0)) == 1)
-    marked = joined.withColumn("bad", F.col("error_type").isNotNull()).withColumn("found", found & ~spared)
-    one = marked.agg(
-        F.count("*").alias("rows"), F.count(F.when(F.col("bad") & F.col("found"), 1)).alias("tp"), F.count(F.when(~F.col("bad") & F.col("found"), 1)).alias("fp"), F.count(F.when(F.col("bad") & ~F.col("found"), 1)).alias("fn")
-    )
-    return one.select("rows", "tp", "fp", "fn", _ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), _ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), _ratio(F.col("rows") - F.col("fp") - F.col("fn"), F.col("rows")).alias("accuracy"))
+    made = zoned.select(F.col(row_id).alias("of_row"), "zone", "reject_reason")
+    own = rows.select(row_id, *key).join(made, F.col(row_id) == F.col("of_row"), "left").withColumn("outcome", F.coalesce("zone", F.lit("dropped")))
+    groups = own.groupBy(*[F.col(c).alias(f"of_{c}") for c in key]).agg(F.count("*").alias("size"), F.count(F.when(F.col("outcome") == "clean", 1)).alias("survivors"))
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"of_{c}"))
+    marked = truth.select(row_id, "error_type").join(own.join(groups, same).select(row_id, "outcome", "reject_reason", ((F.col("size") > 1) & (F.col("survivors") <= 1)).alias("collapsed")), row_id, "left")
+    collapsed, outcome = F.coalesce("collapsed", F.lit(False)), F.coalesce("outcome", F.lit("dropped"))
+    detected = F.when(F.col("error_type") == "duplicate", collapsed).when(F.col("error_type").isNull() & collapsed, False).otherwise(outcome != "clean")
+    return marked.select(row_id, "error_type", outcome.alias("outcome"), F.coalesce("reject_reason", outcome).alias("reason"), detected.alias("detected"))
+
+
+def detection(found: DataFrame) -> DataFrame:
+    """Confusion, precision, recall and accuracy from outcomes()."""
+    bad, hit = F.col("error_type").isNotNull(), F.col("detected")
+    one = found.agg(*[F.count(F.when(c, 1)).alias(k) for k, c in (("tp", bad & hit), ("fp", ~bad & hit), ("fn", bad & ~hit), ("tn", ~bad & ~hit))], F.count("*").alias("rows"), F.count(F.when(F.col("outcome") == "dropped", 1)).alias("dropped"))
+    return one.select("rows", "dropped", "tp", "fp", "fn", "tn", _ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), _ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), _ratio(F.col("tp") + F.col("tn"), F.col("rows")).alias("accuracy"))
+
+
+def detection_by_type(found: DataFrame) -> DataFrame:
+    """Rows of each kind of error, those detected, and their share."""
+    return found.filter("error_type is not null").groupBy("error_type").agg(F.count("*").alias("actual"), F.count(F.when(F.col("detected"), 1)).alias("found"), F.round(F.avg(F.col("detected").cast("int")), 4).alias("rate"))
+
+
+def false_positives(found: DataFrame, k: int = 10) -> DataFrame:
+    """The most frequent reasons of sound rows that count as detected; 'dropped' where there is none."""
+    wrong = found.filter("error_type is null and detected")
+    return wrong.groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason").limit(k)
 
 
 def by_category(zoned: DataFrame, truth: DataFrame, row_id: str) -> DataFrame:

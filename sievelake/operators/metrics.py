@@ -93,8 +93,10 @@ def run_row(tagged: DataFrame, table_name: str, run_id: str) -> DataFrame:
     return quality_score(tagged).crossJoin(breakdown).select(F.lit(run_id).alias("run_id"), F.lit(table_name).alias("table_name"), F.col("total").alias("total_records"), F.col("clean").alias("clean_records"), (F.col("total") - F.col("clean")).alias("quarantined_records"), F.col("score").alias("quality_score"), "quarantine_breakdown")
 
 
-def lineage_row(spark_df: DataFrame, run_id: str, table_name: str, source: str, target: str, quarantine: str) -> DataFrame:
-    return spark_df.limit(1).select(F.lit(run_id).alias("run_id"), F.lit(table_name).alias("table_name"), F.struct(F.lit(source).alias("source"), F.lit(target).alias("target"), F.lit(quarantine).alias("quarantine")).alias("paths"))
+def lineage_rows(runs: DataFrame, raw: str, active: str, quarantine: str) -> DataFrame:
+    """(run_id, table_name, paths) of every run: where its rows came from and where its clean and rejected ones went, under the three folders."""
+    place = lambda folder: F.concat(F.lit(f"{folder}/"), "table_name")
+    return runs.select("run_id", "table_name", F.struct(place(raw).alias("source"), place(active).alias("target"), F.concat(place(quarantine), F.lit("/run_id="), "run_id").alias("quarantine")).alias("paths"))
 
 
 def alerts(runs: DataFrame, drifts: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,7 +38,7 @@ def candidate_keys(a: DataFrame, b: DataFrame) -> DataFrame:
     unique = F.col("a_unique") | F.col("b_unique")
     score = rate + F.when(named, 0.5).otherwise(0.0) + F.when(unique, 0.25).otherwise(0.0)
     fitting = p.filter((F.col("shared") >= 2) & (rate >= 0.5) & (named | unique))
-    return fitting.select("a_column", "b_column", "shared", F.round(rate, 6).alias("rate"), F.round(score, 6).alias("score"), "a_unique", "b_unique")
+    return fitting.select("a_column", "b_column", "shared", F.round(rate, 6).alias("rate"), F.round(score, 6).alias("score"), "a_unique", "b_unique", "a_distinct", "b_distinct")
 
 
 def roles(a: DataFrame, ka: str, b: DataFrame, kb: str) -> DataFrame:
@@ -54,10 +56,31 @@ def match_rate(a: DataFrame, ka: str, b: DataFrame, kb: str) -> DataFrame:
     return joined.agg(F.count("*").alias("rows"), F.count("__hit").alias("matched"), F.round(F.count("__hit") / F.greatest(F.count("*"), F.lit(1)), 6).alias("match_rate"))
 
 
-def analyze(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Candidate keys from best to worst, each STRONG (rate 0.9 and more) or POSSIBLE."""
-    verdict = F.when(F.col("rate") >= 0.9, "STRONG").otherwise("POSSIBLE")
-    return candidate_keys(a, b).withColumn("verdict", verdict)
+def analyze(a: DataFrame, b: DataFrame, alternatives: int = 3) -> DataFrame:
+    """The best pair of keys (place 1) and its alternatives: roles, match rate of the base's keys, verdict.
+
+    The base keeps its rows and the lookup adds columns: of two sides the one
+    whose key is not unique, of two unique ones the larger table, else b. A
+    pair is STRONG if 90 % of the base's different keys are found and a side is
+    unique, else POSSIBLE. No candidate, no rows.
+    """
+    rows = a.agg(F.count("*").alias("a_rows")).crossJoin(b.agg(F.count("*").alias("b_rows")))
+    pairs = candidate_keys(a, b).orderBy(F.desc("score"), "a_column", "b_column").limit(1 + alternatives)
+    place = F.row_number().over(Window.orderBy(F.desc("score"), "a_column", "b_column"))  # of a few pairs
+    p = pairs.withColumn("place", place).crossJoin(F.broadcast(rows))
+    base_a = F.when(F.col("a_unique") & F.col("b_unique"), F.col("a_rows") >= F.col("b_rows")).otherwise(~F.col("a_unique") & F.col("b_unique"))
+    cardinality = F.when(F.col("a_unique") & F.col("b_unique"), "1:1").when(F.col("a_unique") | F.col("b_unique"), "1:N").otherwise("N:M")
+    p = p.withColumn("base", F.when(base_a, "a").otherwise("b"))
+    match = F.round(100 * F.col("shared") / F.greatest(F.when(F.col("base") == "a", F.col("a_distinct")).otherwise(F.col("b_distinct")), F.lit(1)), 2)
+    verdict = F.when((match >= 90) & (F.col("a_unique") | F.col("b_unique")), "STRONG").otherwise("POSSIBLE")
+    return p.select("place", "a_column", "b_column", "shared", "rate", "score", cardinality.alias("cardinality"), "base", match.alias("match_pct"), verdict.alias("verdict"))
+
+
+def name_mappings(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(a_column, b_column) of columns whose names differ only in case, blanks, hyphens and underscores."""
+    bare = lambda c: re.sub(r"[\s_-]+", "", c.lower())
+    found = [(x, y) for x in a.columns for y in b.columns if x != y and bare(x) == bare(y)]
+    return a.sparkSession.createDataFrame(found, "a_column string, b_column string")
 
 
 def date_formats(df: DataFrame, sample: int = 200) -> DataFrame:
@@ -71,8 +94,6 @@ def date_formats(df: DataFrame, sample: int = 200) -> DataFrame:
 
 def join(a: DataFrame, b: DataFrame, ka: str, kb: str, how: str = "left", order: tuple[str, ...] = (), suffix: str = "_lookup") -> DataFrame:
     """a joined to b, one row of b (the first by `order`) for each key: keys compared as text, columns of b that a has get the suffix; adds matched."""
-    from pyspark.sql import Window
-
     nth = F.row_number().over(Window.partitionBy("__k").orderBy(*[F.col(c) for c in (order or (kb,))]))
     one = b.withColumn("__k", key_text(F.col(kb))).filter("__k is not null").withColumn("__nth", nth).filter("__nth = 1").drop("__nth")
     one = one.select(F.col("__k").alias("__kb"), F.lit(True).alias("__hit"), *[F.col(c).alias(f"{c}{suffix}" if c in a.columns else c) for c in b.columns if c != kb])

@@ -23,16 +23,44 @@ def _candidates(a: DataFrame, b: DataFrame, x: str, y: str) -> DataFrame:
     return left.join(right, "__key").select(x, y).distinct()
 
 
-def similarity_join(a: DataFrame, b: DataFrame, col_a: str, col_b: str, t: float) -> DataFrame:
-    """Pairs of distinct texts of two columns with a hybrid score of t or more: a, b, score.
+def _ranked_grams(texts: DataFrame, frequency: DataFrame) -> DataFrame:
+    """(text, grams): the different bigrams of every text, rarest over all texts first, each with the share of the text's squared norm that it and those after it have."""
+    counts = texts.select("text", F.explode(bigrams(F.col("text"))).alias("gram")).groupBy("text", "gram").agg(F.count("*").alias("n")).join(frequency, "gram")
+    ranked = counts.groupBy("text").agg(F.array_sort(F.collect_list(F.struct("texts", "gram", "n"))).alias("grams"))  # bounded by the text
+    norm = "aggregate(grams, 0L, (s, g) -> s + g.n * g.n)"
+    return ranked.select("text", F.expr(f"transform(grams, (g, k) -> named_struct('gram', g.gram, 'left', aggregate(slice(grams, k + 1, size(grams)), 0L, (s, o) -> s + o.n * o.n) / {norm}))").alias("grams"))
+
 
-    Blocking by shared tokens and bigrams: texts that share neither score 0.
-    A score of t needs a cosine or containment, and so a shared bigram; no
-    pair is lost for t > 0.
+def similarity_join(a: DataFrame, b: DataFrame, col_a: str, col_b: str, t: float) -> DataFrame:
+    """Pairs of distinct texts of two columns with a hybrid score of t or more: a, b, score. No pair is lost for t > 0.
+
+    A prefix filter finds the candidates. Where one text contains the other,
+    the shorter one's rarest bigram is in the longer. Else the score is at most
+    0.3 and 0.3 times the cosine, so that the cosine is t / 0.3 - 1 or more:
+    texts share one of the rarest bigrams of the first, those without which
+    the others' part of its norm is too small. For t over 0.6 only containment
+    is left, for t of 0.3 and less every shared token and bigram counts. Texts
+    of one character are looked up among the characters of all.
     """
     left = a.select(normal(F.col(col_a)).alias("a")).filter("a is not null and a <> ''").distinct()
     right = b.select(normal(F.col(col_b)).alias("b")).filter("b is not null and b <> ''").distinct()
-    return _candidates(left, right, "a", "b").withColumn("score", hybrid_score(F.col("a"), F.col("b"))).filter(F.col("score") >= t)
+    letters = lambda df, c: df.select(c, F.explode(F.array_distinct(F.split(c, ""))).alias("__key"))
+    single = left.filter(F.length("a") == 1).join(letters(right, "b"), F.col("a") == F.col("__key")).select("a", "b")
+    single = single.union(letters(left, "a").join(right.filter(F.length("b") == 1), F.col("__key") == F.col("b")).select("a", "b"))
+    cosine = t / 0.3 - 1
+    if cosine <= 0:
+        pairs = _candidates(left, right, "a", "b")
+    else:
+        grams = left.select(F.col("a").alias("text")).union(right.select("b")).select(F.explode(F.array_distinct(bigrams(F.col("text")))).alias("gram"))
+        frequency = grams.groupBy("gram").agg(F.count("*").alias("texts"))
+        x, y = (_ranked_grams(df.select(F.col(c).alias("text")), frequency) for df, c in ((left, "a"), (right, "b")))
+        # The part of the norm from a gram on is a squared cosine's bound; a little slack for rounding.
+        rare = F.filter("grams", lambda g: g["left"] >= min(1.0, cosine) ** 2 - 1e-9) if cosine <= 1 else F.slice("grams", 1, 1)
+        first = lambda df, c, g: df.select(F.col("text").alias(c), F.explode(g).alias("g")).select(c, F.col("g.gram").alias("__key"))
+        pairs = first(x, "a", rare).join(first(y, "b", F.col("grams")), "__key").select("a", "b")
+        pairs = pairs.union(first(x, "a", F.slice("grams", 1, 1)).join(first(y, "b", F.col("grams")), "__key").select("a", "b"))
+        pairs = pairs.union(first(x, "a", F.col("grams")).join(first(y, "b", F.slice("grams", 1, 1)), "__key").select("a", "b"))
+    return pairs.union(single).distinct().withColumn("score", hybrid_score(F.col("a"), F.col("b"))).filter(F.col("score") >= t)
 
 
 def score_values(df: DataFrame, column: str, mapping: dict[str, str]) -> DataFrame:
@@ -103,7 +131,3 @@ def apply_reviews(mapping: DataFrame, reviews: DataFrame) -> tuple[DataFrame, Da
     joined = mapping.join(r, F.col("key") == F.col("__k"), "full_outer").filter("decision is null or decision <> 'reject'")
     out = joined.select(F.coalesce("key", "__k").alias("key"), F.when(F.col("decision") == "override", F.col("__t")).otherwise(F.coalesce("target", "__t")).alias("target"))
     return out, reviews.agg(F.round(F.coalesce(F.avg((F.col("decision") == "override").cast("int")), F.lit(0.0)), 6).alias("override_rate"))
-
-
-def semantic_value(column: str) -> Column:
-    return F.col(f"{column}_semantic.category")

@@ -13,24 +13,13 @@ META = ("run_id", "ingest_id", "rejected_at", "reject_reason", "reasons", "zone"
 
 
 def write_quarantine(df: DataFrame, path: str, ingest_id: str) -> None:
-    """Writes rows of a run (run_id) into a table by run; rows of the same ingest that other runs wrote are replaced."""
-    spark = df.sparkSession
-    new = df.withColumn("ingest_id", F.lit(ingest_id))
-    if _exists(spark, path):
-        old = spark.read.parquet(path)
-        stale = old.filter(F.col("ingest_id") == ingest_id).select("run_id").distinct()
-        rest = old.filter(F.col("ingest_id") != ingest_id).join(stale, "run_id", "left_semi")
-        staged = f"{path}.staged-{uuid.uuid4().hex}"
-        new.unionByName(rest, allowMissingColumns=True).write.partitionBy("run_id").parquet(staged)
-        out = spark.read.option("basePath", staged).parquet(staged)
-        # Runs of this one ingest that have no rows left: few, and by name only.
-        gone = [r[0] for r in stale.join(out.select("run_id").distinct(), "run_id", "left_anti").collect()]
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
-        for run in gone:
-            _drop(spark, f"{path}/run_id={run}")
-        _drop(spark, staged)
-    else:
-        new.write.partitionBy("run_id").parquet(path)
+    """Writes the rejected rows of a run (run_id) into a table by ingest and run; all earlier rows of the same ingest are replaced.
+
+    An ingest is one folder, overwritten as a whole: other ingests are neither
+    read nor touched, rows never stand twice, and a write that failed is
+    repaired by writing again.
+    """
+    df.drop("ingest_id").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("run_id").parquet(f"{path}/ingest_id={ingest_id}")
 
 
 def _file(spark: SparkSession, path: str):
@@ -38,27 +27,24 @@ def _file(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _file(spark, path)
-    return fs.exists(p)
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    fs, p = _file(spark, path)
-    fs.delete(p, True)
-
+def upserted(existing: DataFrame, new: DataFrame, pk: list[str], order: tuple[str, ...] = ()) -> DataFrame:
+    """new rows, and existing ones whose key is not among them; of new rows that share a key the first by `order` (then by the hash of the row).
 
-def upserted(existing: DataFrame, new: DataFrame, pk: list[str]) -> DataFrame:
-    """new rows, and existing ones whose key is not among them; of new rows that share a key, one."""
-    one = new.dropDuplicates(pk)
-    return existing.join(one.select(*pk), pk, "left_anti").unionByName(one, allowMissingColumns=True)
+    A row with a null in its key equals no other: it replaces none and stays beside the rest.
+    """
+    whole = F.lit(True)
+    for c in pk:
+        whole = whole & F.col(c).isNotNull()
+    nth = F.row_number().over(Window.partitionBy(*pk).orderBy(*[F.col(c) for c in order], F.xxhash64(*[F.col(f"`{c}`") for c in new.columns])))
+    one = new.filter(whole).withColumn("__nth", nth).filter("__nth = 1").drop("__nth")
+    return existing.join(one.select(*pk), pk, "left_anti").unionByName(one, allowMissingColumns=True).unionByName(new.filter(~whole), allowMissingColumns=True)
 
 
-def upsert(new: DataFrame, path: str, pk: list[str]) -> None:
+def upsert(new: DataFrame, path: str, pk: list[str], order: tuple[str, ...] = ()) -> None:
     """Writes the next version of a table beside the others and then points to it: a failure leaves the table as it was."""
     spark = new.sparkSession
     version = latest_version(spark, path)
-    out = upserted(spark.read.parquet(f"{path}/v{version}"), new, pk) if version is not None else new.dropDuplicates(pk)
+    out = upserted(new.limit(0) if version is None else spark.read.parquet(f"{path}/v{version}"), new, pk, order)
     target = 0 if version is None else version + 1
     staged = f"{path}/.staged-{uuid.uuid4().hex}"
     out.write.parquet(staged)
@@ -117,8 +103,3 @@ def retain(df: DataFrame, ts: str, days: int, now: str) -> DataFrame:
 def compact(df: DataFrame, path: str, keys: list[str], files: int) -> None:
     """A table written anew in few files, clustered by key."""
     df.repartitionByRange(files, *keys).sortWithinPartitions(*keys).write.mode("errorifexists").parquet(path)
-
-
-def latest_rows(df: DataFrame, pk: list[str], ts: str) -> DataFrame:
-    nth = F.row_number().over(Window.partitionBy(*pk).orderBy(F.desc(ts)))
-    return df.withColumn("__nth", nth).filter("__nth = 1").drop("__nth")

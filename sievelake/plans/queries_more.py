@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import align
-from ..operators import advise, dash, evaluate, infer, metrics, profile, profile_store, relate, repair, semantic, sinks
+from ..functions.tables import scratch
+from ..operators import advise, dash, evaluate, infer, metrics, profile, profile_store, relate, repair, semantic, sinks, zones
 from ..sources import read
 from ..streaming import stream
 from .fixtures import DIRTY, RUNS, dirty_orders, run_history, table
@@ -28,42 +26,41 @@ def query(sql: str | None = None):
     return add
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared folder of the session; on one machine without that setting, in a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # ---- E: relations ------------------------------------------------------------
 
 
 @query("""WITH x AS (SELECT unnest(['o_orderkey', 'o_custkey']) AS c, unnest([o_orderkey, o_custkey]) AS v FROM orders), y AS (SELECT unnest(['c_custkey', 'c_nationkey']) AS c, unnest([c_custkey, c_nationkey::BIGINT]) AS v FROM customer),
 xs AS (SELECT c, v, count(*) AS n FROM x GROUP BY 1, 2), ys AS (SELECT c, v, count(*) AS n FROM y GROUP BY 1, 2), xd AS (SELECT c, count(*) AS d, max(n) = 1 AS u FROM xs GROUP BY 1), yd AS (SELECT c, count(*) AS d, max(n) = 1 AS u FROM ys GROUP BY 1),
-s AS (SELECT xs.c AS a, ys.c AS b, count(*)::BIGINT AS shared FROM xs JOIN ys ON xs.v = ys.v GROUP BY 1, 2)
-SELECT a AS a_column, b AS b_column, shared, round(shared / least(xd.d, yd.d), 6) AS rate, round(shared / least(xd.d, yd.d) + CASE WHEN xd.u OR yd.u THEN 0.25 ELSE 0 END, 6)::DOUBLE AS score, xd.u AS a_unique, yd.u AS b_unique, CASE WHEN shared / least(xd.d, yd.d) >= 0.9 THEN 'STRONG' ELSE 'POSSIBLE' END AS verdict FROM s JOIN xd ON xd.c = a JOIN yd ON yd.c = b WHERE shared >= 2 AND shared / least(xd.d, yd.d) >= 0.5 AND (xd.u OR yd.u)""")
+s AS (SELECT xs.c AS a, ys.c AS b, count(*)::BIGINT AS shared FROM xs JOIN ys ON xs.v = ys.v GROUP BY 1, 2),
+p AS (SELECT a, b, shared, round(shared / least(xd.d, yd.d), 6) AS rate, round(shared / least(xd.d, yd.d) + CASE WHEN xd.u OR yd.u THEN 0.25 ELSE 0 END, 6)::DOUBLE AS score, xd.u AS au, yd.u AS bu, xd.d AS ad, yd.d AS bd FROM s JOIN xd ON xd.c = a JOIN yd ON yd.c = b WHERE shared >= 2 AND shared / least(xd.d, yd.d) >= 0.5 AND (xd.u OR yd.u)),
+r AS (SELECT *, row_number() OVER (ORDER BY score DESC, a, b)::INT AS place, CASE WHEN au AND bu THEN CASE WHEN (SELECT count(*) FROM orders) >= (SELECT count(*) FROM customer) THEN 'a' ELSE 'b' END WHEN NOT au AND bu THEN 'a' ELSE 'b' END AS base FROM p QUALIFY place <= 4),
+m AS (SELECT *, round(100.0 * shared / CASE WHEN base = 'a' THEN ad ELSE bd END, 2) AS match_pct FROM r)
+SELECT place, a AS a_column, b AS b_column, shared, rate, score, CASE WHEN au AND bu THEN '1:1' WHEN au OR bu THEN '1:N' ELSE 'N:M' END AS cardinality, base, match_pct, CASE WHEN match_pct >= 90 AND (au OR bu) THEN 'STRONG' ELSE 'POSSIBLE' END AS verdict FROM m""")
 def relationship_report(spark, sf_dir):
     return relate.analyze(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"))
 
 
+@query("SELECT 'c_custKey' AS a_column, 'c_cust_key' AS b_column FROM customer UNION SELECT 'Nation Key', 'nation_key' FROM nation")
+def column_name_mappings(spark, sf_dir):
+    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("c_custKey"), F.col("c_nationkey").alias("Nation Key"), "c_name")
+    b = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("c_cust_key"), F.col("c_nationkey").alias("nation_key"), "c_name")
+    return relate.name_mappings(a, b)
+
+
 @query("SELECT (SELECT count(DISTINCT o_custkey) = count(o_custkey) FROM orders) AS a_unique, true AS b_unique, 'N:1' AS cardinality, 'b' AS lookup")
 def join_roles(spark, sf_dir):
     return relate.roles(table(spark, sf_dir, "orders"), "o_custkey", table(spark, sf_dir, "customer"), "c_custkey")
 
 
-@query("SELECT count(*)::BIGINT AS rows, count(c_custkey)::BIGINT AS matched, round(count(c_custkey) / count(*), 6) AS match_rate FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 3 > 0) ON o_custkey = c_custkey")
+@query("SELECT count(*)::BIGINT AS rows, count(o_custkey)::BIGINT AS matched, round(count(o_custkey) / count(*), 6) AS match_rate FROM customer LEFT JOIN (SELECT DISTINCT o_custkey FROM orders) ON o_custkey = c_custkey")
 def join_match_rate(spark, sf_dir):
-    return relate.match_rate(table(spark, sf_dir, "orders"), "o_custkey", table(spark, sf_dir, "customer").filter("c_custkey % 3 > 0"), "c_custkey")
+    return relate.match_rate(table(spark, sf_dir, "customer"), "c_custkey", table(spark, sf_dir, "orders"), "o_custkey")
 
 
-@query("SELECT o_orderkey, c_name, c_custkey IS NOT NULL AS matched FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 > 0) ON o_custkey = c_custkey")
+@query("SELECT c_custkey, c_name, o_orderkey, o_custkey IS NOT NULL AS matched FROM customer LEFT JOIN (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1) ON o_custkey = c_custkey")
 def reconciled_join(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").filter("c_custkey % 3 > 0").withColumn("c_custkey", F.col("c_custkey").cast("double"))
-    return relate.join(table(spark, sf_dir, "orders"), c, "o_custkey", "c_custkey").select("o_orderkey", "c_name", "matched")
+    o = table(spark, sf_dir, "orders").withColumn("o_custkey", F.col("o_custkey").cast("double"))
+    return relate.join(table(spark, sf_dir, "customer"), o, "c_custkey", "o_custkey", order=("o_orderkey",)).select("c_custkey", "c_name", "o_orderkey", "matched")
 
 
 @query("SELECT 'o_iso' AS \"column\", 'ISO' AS form UNION ALL SELECT 'o_dmy', 'DD/MM/YYYY'")
@@ -82,10 +79,10 @@ parts AS (SELECT a, b, CASE WHEN contains(a, b) OR contains(b, a) THEN 1.0 ELSE
 raw AS (SELECT a, b, 0.4::DOUBLE * c + 0.3::DOUBLE * CASE WHEN t > 0 THEN t ELSE g END + 0.3::DOUBLE * s AS r FROM parts), scored AS (SELECT a, b, CASE WHEN r >= 0.95 THEN 1.0::DOUBLE ELSE round(r, 6) END AS score FROM raw)"""
 
 
-@query(f"WITH pairs AS (SELECT DISTINCT lower(trim(x.p_type)) AS a, lower(trim(y.p_type)) AS b FROM (SELECT p_type FROM part) x, (SELECT p_type FROM part WHERE p_size < 25) y), {SCORE} SELECT * FROM scored WHERE score >= 0.6")
+@query(f"WITH pairs AS (SELECT DISTINCT lower(trim(x.p_type)) AS a, lower(trim(y.p_type)) AS b FROM (SELECT DISTINCT p_type FROM part) x, (SELECT DISTINCT p_type FROM part) y), {SCORE} SELECT * FROM scored WHERE score >= 0.6")
 def similarity_join(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    return semantic.similarity_join(p, p.filter("p_size < 25"), "p_type", "p_type", 0.6)
+    return semantic.similarity_join(p, p, "p_type", "p_type", 0.6)
 
 
 KEYS = "keys AS (SELECT * FROM (VALUES ('1-urgent', 'urgent'), ('2-high', 'high'), ('3-medium', 'medium'), ('4-not specified', 'none'), ('5-low', 'low')) t(key, target))"
@@ -128,16 +125,34 @@ def reviewed_mapping(spark, sf_dir):
     return semantic.apply_reviews(brands.select("key", "target"), reviews)[0]
 
 
+# PSI of values `new` against the deciles of `old`.
+PSI = """b AS (SELECT quantile_cont(v, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS b FROM old), k AS (SELECT len(list_filter(b[2:10], lambda x: v > x)) AS bucket FROM new, b),
+c AS (SELECT bucket, count(*) AS n FROM k GROUP BY 1), s AS (SELECT greatest(coalesce(n, 0) / (SELECT count(*) FROM new), 1e-6) AS a, 0.1 AS e FROM range(10) r(i) LEFT JOIN c ON c.bucket = r.i), psi AS (SELECT round(abs(sum((a - e) * ln(a / e))), 6) AS psi FROM s)"""
+
+
 # ---- F: advice -----------------------------------------------------------------
 
 
-@query(f"WITH {TAGGED} SELECT reason, n, cause, rule, round(least(base + 0.03, 0.98), 4)::DOUBLE AS confidence FROM (SELECT p AS reason, count(*)::BIGINT AS n FROM (SELECT CASE WHEN contains(p, '=') THEN 'outlier_price' ELSE p END AS p FROM (SELECT trim(unnest(string_split(reject_reason, ';'))) AS p FROM tagged WHERE reject_reason IS NOT NULL)) GROUP BY 1 ORDER BY n DESC, reason LIMIT 3) JOIN (VALUES ('missing_primary_key', 'keys lost at the source', 'null_check', 0.95), ('null_value_in_price', 'fields left empty at the source', 'fillna', 0.90), ('duplicate_records', 'the source sends records again', 'keep_latest', 0.92), ('outlier_price', 'unit or typing errors', 'auto_iqr', 0.80), ('range_violation_price', 'values beyond what is possible', 'range_check', 0.88), ('missing_date', 'dates lost or in another form', 'parse_timestamp', 0.85)) c(r, cause, rule, base) ON r = reason")
+@query(f"""WITH {TAGGED}, reasons AS (SELECT order_date, CASE WHEN contains(p, '=') THEN 'outlier_price' ELSE p END AS reason FROM (SELECT order_date, trim(unnest(string_split(reject_reason, ';'))) AS p FROM tagged WHERE reject_reason IS NOT NULL)),
+was AS (SELECT reason, count(*) * 3 AS was FROM reasons WHERE order_date < TIMESTAMP '1997-01-01' GROUP BY 1), top AS (SELECT reason, count(*)::BIGINT AS n FROM reasons GROUP BY 1 ORDER BY n DESC, reason LIMIT 3),
+c AS (SELECT * FROM (VALUES ('missing_primary_key', 'keys lost at the source', 'null_check', 0.95), ('null_value_in_price', 'fields left empty at the source', 'fillna', 0.90), ('duplicate_records', 'the source sends records again', 'keep_latest', 0.92), ('outlier_price', 'unit or typing errors', 'auto_iqr', 0.80), ('range_violation_price', 'values beyond what is possible', 'range_check', 0.88), ('missing_date', 'dates lost or in another form', 'parse_timestamp', 0.85)) c(r, cause, rule, base)),
+s AS (SELECT 100.0 * count(*) FILTER (reject_reason IS NULL) / count(*) - 100.0 * count(*) FILTER (reject_reason IS NULL AND order_date < TIMESTAMP '1997-01-01') / count(*) FILTER (order_date < TIMESTAMP '1997-01-01') AS delta FROM tagged),
+b AS (SELECT top.*, cause, rule, least(base + CASE WHEN n > coalesce(was, 0) THEN 0.03 ELSE 0.0 END, 0.98) AS base, delta FROM top JOIN c ON r = reason LEFT JOIN was USING (reason), s WHERE rule <> 'parse_timestamp')
+SELECT reason, n, cause, rule, round(CASE WHEN delta < -10 THEN least(base + 0.05, 0.98) WHEN delta > 5 THEN greatest(base - 0.10, 0.50) ELSE base END, 4)::DOUBLE AS confidence, CASE WHEN delta < -10 THEN 'sharp decline' WHEN delta < -5 THEN 'decline' WHEN delta > 5 THEN 'improving' ELSE 'steady' END AS trend,
+  CASE rule WHEN 'keep_latest' THEN 'Upstream Ingestion API / DB Exporter' WHEN 'auto_iqr' THEN 'Upstream Data Entry Client / CSV Producer' WHEN 'range_check' THEN 'Upstream Data Entry Client / CSV Producer' ELSE 'Upstream Source Database / API Schema Validator' END AS ticket_system, CASE WHEN rule IN ('null_check', 'fillna') THEN 'critical' ELSE 'warning' END AS severity FROM b""")
 def root_causes(spark, sf_dir):
-    none = spark.createDataFrame([], "reason string, n long")
-    return advise.root_cause(tagged_orders(spark, sf_dir).filter("zone = 'quarantine'"), none, spark.createDataFrame([], "rule string"))
+    t = tagged_orders(spark, sf_dir)
+    rejected, early = t.filter("zone = 'quarantine'"), F.col("order_date") < F.lit("1997-01-01").cast("timestamp")
+    history = rejected.filter(early).select(F.explode(metrics.reasons_of(F.col("reject_reason"))).alias("reason")).groupBy("reason").agg((3 * F.count("*")).alias("n"))
+    share = lambda c: 100 * F.count(F.when(c & (F.col("zone") == "clean"), 1)) / F.count(F.when(c, 1))
+    scores = t.agg(share(F.lit(True)).alias("current"), share(early).alias("average"))
+    return advise.root_cause(rejected, history, spark.createDataFrame([("parse_timestamp",)], "rule string"), scores)
 
 
-@query()
+@query("""WITH q AS (SELECT count(*) AS n, count(DISTINCT c_custkey) AS k, count(DISTINCT c_mktsegment) AS m, round(quantile_cont(c_nationkey, 0.25), 4) AS n1, round(quantile_cont(c_nationkey, 0.75), 4) AS n3, round(quantile_cont(c_acctbal, 0.25), 4) AS a1, round(quantile_cont(c_acctbal, 0.75), 4) AS a3, min(c_acctbal) AS low FROM customer)
+SELECT 'composite_unique' AS rule_type, 'c_custkey' AS "column", 'Quarantine' AS action, printf('%.2f', round(100.0 * k / n, 4)) || ' % distinct' AS rationale FROM q WHERE k >= 0.9 * n
+UNION ALL SELECT 'auto_iqr', 'c_nationkey', 'Review', printf('fence %.2f to %.2f', n1 - 3 * (n3 - n1), n3 + 3 * (n3 - n1)) FROM q UNION ALL SELECT 'auto_iqr', 'c_acctbal', 'Review', printf('fence %.2f to %.2f', a1 - 3 * (a3 - a1), a3 + 3 * (a3 - a1)) FROM q
+UNION ALL SELECT 'category_consistency', 'c_mktsegment', 'Review', m || ' categories' FROM q WHERE m BETWEEN 2 AND 25 UNION ALL SELECT 'range_check', 'c_acctbal', 'Quarantine', 'negative_money' FROM q WHERE low < 0""")
 def recommended_rules(spark, sf_dir):
     return advise.recommend_rules(table(spark, sf_dir, "customer"))
 
@@ -152,7 +167,7 @@ def dashboard_profile(spark, sf_dir):
     return profile.kinds(table(spark, sf_dir, "customer").select("c_name", "c_acctbal")).select("column", "missing", "n_distinct", "mean")
 
 
-@query()
+@query(f"WITH old AS (SELECT o_totalprice AS v FROM orders), new AS (SELECT o_totalprice * 3 AS v FROM orders), {PSI} SELECT 'o_totalprice' AS \"column\", 'iqr_multiplier' AS parameter, 2.5::DOUBLE AS value, 0.83::DOUBLE AS confidence FROM psi WHERE psi > 0.25")
 def drift_advice(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_totalprice")
     stored = profile.distribution(o, ["o_totalprice"]).select("column", "boundaries", F.lit(0.0).alias("ema_null_rate"))
@@ -268,14 +283,31 @@ def _truth(d: DataFrame) -> DataFrame:
     return d.select("row_id", F.when(F.col("order_key").isNull(), "missing_key").when(F.col("price").isNull(), "missing_price").when(F.col("price") < 0, "negative").when(F.col("row_id") % 2 == 1, "duplicate").alias("error_type"))
 
 
-@query(f"""WITH {TRUTH}, j AS (SELECT row_id, order_key, reject_reason IS NULL AS clean, error_type FROM tagged JOIN truth USING (row_id)),
-w AS (SELECT *, sum(clean::INT) OVER k AS survivors, count(*) OVER k AS grp, max(coalesce(error_type = 'duplicate', false)::INT) OVER k AS dup FROM j WINDOW k AS (PARTITION BY order_key)),
-m AS (SELECT error_type IS NOT NULL AS bad, CASE WHEN coalesce(error_type = 'duplicate', false) AND grp > 1 THEN survivors <= 1 ELSE NOT clean END AND NOT (error_type IS NULL AND grp > 1 AND survivors = 1 AND NOT clean AND dup = 1) AS found FROM w),
-c AS (SELECT count(*)::BIGINT AS rows, count(*) FILTER (bad AND found)::BIGINT AS tp, count(*) FILTER (NOT bad AND found)::BIGINT AS fp, count(*) FILTER (bad AND NOT found)::BIGINT AS fn FROM m)
-SELECT *, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round((rows - fp - fn) / rows, 6) AS accuracy FROM c""")
-def detection_quality(spark, sf_dir):
+# Of the run's rows, those that repeat a key are gone: dropped, not quarantined.
+FOUND = f"""{TRUTH}, made AS (SELECT row_id, order_key, error_type, CASE WHEN reject_reason = 'duplicate_records' THEN 'dropped' WHEN reject_reason IS NULL THEN 'clean' ELSE 'quarantined' END AS outcome, reject_reason FROM tagged JOIN truth USING (row_id)),
+w AS (SELECT *, count(*) OVER k > 1 AND count(*) FILTER (outcome = 'clean') OVER k <= 1 AS collapsed FROM made WINDOW k AS (PARTITION BY order_key)),
+found AS (SELECT *, CASE WHEN error_type = 'duplicate' THEN collapsed WHEN error_type IS NULL AND collapsed THEN false ELSE outcome <> 'clean' END AS detected FROM w)"""
+
+
+def _found(spark, sf_dir):
     t = tagged_orders(spark, sf_dir)
-    return evaluate.detection(t, _truth(t), "row_id", ["order_key"])
+    return evaluate.outcomes(t.select("row_id", "order_key"), t.filter("reject_reason is null or reject_reason <> 'duplicate_records'"), _truth(t), "row_id", ["order_key"])
+
+
+@query(f"""WITH {FOUND}, c AS (SELECT count(*)::BIGINT AS rows, count(*) FILTER (outcome = 'dropped')::BIGINT AS dropped, count(*) FILTER (error_type IS NOT NULL AND detected)::BIGINT AS tp, count(*) FILTER (error_type IS NULL AND detected)::BIGINT AS fp, count(*) FILTER (error_type IS NOT NULL AND NOT detected)::BIGINT AS fn, count(*) FILTER (error_type IS NULL AND NOT detected)::BIGINT AS tn FROM found)
+SELECT *, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round((tp + tn) / rows, 6) AS accuracy FROM c""")
+def detection_quality(spark, sf_dir):
+    return evaluate.detection(_found(spark, sf_dir))
+
+
+@query(f"WITH {FOUND} SELECT error_type, count(*)::BIGINT AS actual, count(*) FILTER (detected)::BIGINT AS found, round(avg(detected::INT), 4) AS rate FROM found WHERE error_type IS NOT NULL GROUP BY 1")
+def detection_rates(spark, sf_dir):
+    return evaluate.detection_by_type(_found(spark, sf_dir))
+
+
+@query(f"WITH {FOUND} SELECT CASE WHEN outcome = 'dropped' THEN 'dropped' ELSE reject_reason END AS reason, count(*)::BIGINT AS n FROM found WHERE error_type IS NULL AND detected GROUP BY 1 ORDER BY n DESC, reason LIMIT 10")
+def false_positive_reasons(spark, sf_dir):
+    return evaluate.false_positives(_found(spark, sf_dir))
 
 
 @query(f"""WITH {ZONED}, p AS (SELECT row_id, coalesce(error_type, 'none') AS said, CASE WHEN price IS NULL THEN 'null_check' WHEN price < 0 THEN 'range_check' ELSE 'none' END AS "is" FROM zoned), c AS (SELECT DISTINCT unnest([said, "is"]) AS category FROM p)
@@ -335,12 +367,15 @@ def xml_round_trip(spark, sf_dir):
     return read.read_any(spark, path, "xml").select("p_partkey", F.col("p_size").cast("int").alias("p_size"))
 
 
-@query("SELECT 2::BIGINT AS files, 1::BIGINT AS fresh")
+@query("SELECT 2 * count(*)::BIGINT AS files, count(*) FILTER (first_id % 2 = 1)::BIGINT AS fresh FROM (SELECT min(event_id) AS first_id FROM events GROUP BY event_type)")
 def duplicate_files(spark, sf_dir):
+    """A file for each kind of event lands twice; of kinds whose first id is odd the second one has other values."""
     path = scratch(spark, "landed")
-    n = table(spark, sf_dir, "nation")
-    n.coalesce(1).write.json(f"{path}/a")
-    n.filter("n_nationkey < 5").coalesce(1).write.json(f"{path}/b")
+    e = table(spark, sf_dir, "events").select("event_type", "event_id", "value")
+    odd = e.groupBy("event_type").agg((F.min("event_id") % 2).alias("odd"))
+    land = lambda df, name: df.repartition("event_type").sortWithinPartitions("event_type", "event_id").write.partitionBy("event_type").json(f"{path}/{name}")
+    land(e, "a")
+    land(e.join(odd, "event_type").withColumn("value", F.col("value") + F.col("odd")).drop("odd"), "b")
     digests = read.file_digests(spark, path).filter("path like '%.json'")
     seen = digests.filter("path like '%/a/%'").select("sha256", F.lit("SUCCEEDED").alias("status"))
     return digests.agg(F.count("*").alias("files")).crossJoin(read.new_files(digests, seen).agg(F.count("*").alias("fresh")))
@@ -366,14 +401,14 @@ def key_upsert(spark, sf_dir):
     return sinks.read_latest(spark, path)
 
 
-@query("SELECT n_nationkey, CASE WHEN n_nationkey < 5 THEN 'r2' ELSE 'r1' END AS run_id FROM nation WHERE n_nationkey < 5 OR n_nationkey >= 10")
+@query("SELECT event_id, CASE WHEN event_type <> 'click' THEN 'r1' ELSE 'r2' END AS run_id, CASE WHEN event_type <> 'click' THEN 'i2' ELSE 'i1' END AS ingest_id FROM events")
 def quarantine_rewrite(spark, sf_dir):
     path = scratch(spark, "quarantine")
-    n = table(spark, sf_dir, "nation")
-    sinks.write_quarantine(n.filter("n_nationkey < 10").withColumn("run_id", F.lit("r1")), path, "i1")
-    n.filter("n_nationkey >= 10").withColumns({"run_id": F.lit("r1"), "ingest_id": F.lit("i2")}).write.mode("append").partitionBy("run_id").parquet(path)
-    sinks.write_quarantine(n.filter("n_nationkey < 5").withColumn("run_id", F.lit("r2")), path, "i1")
-    return read.read_table(spark, path).select("n_nationkey", "run_id")
+    e = table(spark, sf_dir, "events").select("event_id", "event_type")
+    sinks.write_quarantine(e.withColumn("run_id", F.lit("r1")), path, "i1")
+    sinks.write_quarantine(e.filter("event_type <> 'click'").withColumn("run_id", F.lit("r1")), path, "i2")
+    sinks.write_quarantine(e.filter("event_type = 'click'").withColumn("run_id", F.lit("r2")), path, "i1")
+    return read.read_table(spark, path).select("event_id", "run_id", "ingest_id")
 
 
 @query("SELECT c_custkey::VARCHAR AS id, CASE WHEN c_custkey % 2 = 0 THEN '''=' || c_name ELSE c_name END AS name FROM customer")
@@ -418,12 +453,25 @@ def stream_append(spark, sf_dir):
     return read.read_table(spark, out).select("subreddit", "id", "title", "event_time")
 
 
-@query("SELECT 'p' || (event_id - event_id % 2)::VARCHAR AS id FROM events GROUP BY 1")
+@query("SELECT 'p' || event_id::VARCHAR AS id FROM events UNION ALL SELECT 'new' || event_id::VARCHAR FROM events WHERE event_type = 'click'")
 def stream_dedup(spark, sf_dir):
-    source, out, mark = _posts(spark, sf_dir), scratch(spark, "stream"), scratch(spark, "mark")
-    posts = stream.dedup_posts(stream.parse(stream.files(spark, source)), "3650 days")
-    q = stream.fan_out(posts, [lambda b, k: b.select("id").write.mode("overwrite").parquet(f"{out}/{k}")], mark, once=True)
-    q.awaitTermination()
+    """Every post comes again ten minutes later, which the watermark's hour covers; a second load brings new posts, and late ones that it leaves out."""
+    source, out, mark = scratch(spark, "posts"), scratch(spark, "stream"), scratch(spark, "mark")
+    e = table(spark, sf_dir, "events").withColumn("seconds", F.unix_timestamp("ts").cast("double"))
+    newest = e.agg(F.max("seconds").alias("newest"))
+
+    def load(df: DataFrame, prefix: str, seconds) -> DataFrame:
+        post = F.struct(F.col("event_type").alias("subreddit"), F.concat(F.lit(prefix), F.col("event_id").cast("string")).alias("id"), F.lit("t").alias("title"), seconds.alias("created_utc"), F.col("user_id").cast("string").alias("author"), F.lit(1).alias("score"))
+        return df.select(F.to_json(post).alias("value"))
+
+    def arrive(loads: DataFrame) -> None:
+        loads.write.mode("append").text(source)
+        posts = stream.dedup_posts(stream.parse(stream.files(spark, source)), "1 hour")
+        stream.fan_out(posts, [lambda b, k: b.select("id").write.mode("overwrite").parquet(f"{out}/{k}")], mark, once=True).awaitTermination()
+
+    arrive(load(e, "p", F.col("seconds")).union(load(e, "p", F.col("seconds") + 600)))
+    click = e.filter("event_type = 'click'").crossJoin(F.broadcast(newest))
+    arrive(load(click, "new", F.col("newest") + 3600).union(load(click, "late", F.col("seconds") - 86400)))
     return spark.read.option("recursiveFileLookup", "true").parquet(out)
 
 
@@ -468,13 +516,38 @@ def run_document(spark, sf_dir):
     return metrics.run_row(tagged_orders(spark, sf_dir), "orders", "run-1").drop("quarantine_breakdown")
 
 
+@query(f"WITH {RUNS} SELECT run_id, table_name, 'raw/' || table_name AS source, 'active/' || table_name AS target, 'quarantine/' || table_name || '/run_id=' || run_id AS quarantine FROM runs")
+def lineage_paths(spark, sf_dir):
+    return metrics.lineage_rows(run_history(spark, sf_dir), "raw", "active", "quarantine").select("run_id", "table_name", "paths.*")
+
+
+@query(f"WITH {TAGGED} SELECT row_id, reject_reason, 'run-1' AS run_id, CASE WHEN reject_reason = 'duplicate_records' THEN 'duplicates' WHEN contains(reject_reason, '=') THEN 'outliers' ELSE 'invalid' END AS part FROM tagged WHERE reject_reason IS NOT NULL")
+def assembled_quarantine(spark, sf_dir):
+    t = tagged_orders(spark, sf_dir).filter("zone = 'quarantine'")
+    kind = F.when(F.col("reject_reason") == "duplicate_records", "duplicates").when(F.col("reject_reason").contains("="), "outliers").otherwise("invalid")
+    parts = [t.filter(kind == k).select("row_id", "reject_reason", *extra) for k, extra in (("invalid", ["status"]), ("duplicates", ["order_key"]), ("outliers", ["price"]))]
+    return zones.assemble_quarantine([p.withColumn("part", F.lit(k)) for p, k in zip(parts, ("invalid", "duplicates", "outliers"), strict=True)], "run-1", "2030-01-01").select("row_id", "reject_reason", "run_id", "part")
+
+
+@query(f"WITH {DIRTY} SELECT row_id, price, priority AS priority_semantic FROM dirty")
+def selected_columns(spark, sf_dir):
+    d = dirty_orders(spark, sf_dir).withColumn("priority_semantic", F.col("priority"))
+    return align.select_schema(d, {"row_id": "IntegerType", "price": "DoubleType", "not_there": "StringType"}, ("priority_semantic",))
+
+
+@query(f"WITH {DIRTY}, m AS (SELECT * FROM (VALUES ('1-urgent', 'urgent'), ('2-high', 'high'), ('3-medium', 'medium'), ('4-not specified', 'none'), ('5-low', 'low')) t(key, value)) SELECT row_id, value AS target FROM dirty LEFT JOIN m ON lower(trim(priority)) = key")
+def mapped_priorities(spark, sf_dir):
+    mapping = spark.createDataFrame([(k.lower(), v) for k, v in PRIORITIES.items()], "key string, value string")
+    return semantic.map_lookup(dirty_orders(spark, sf_dir), mapping, "priority", "target").select("row_id", "target")
+
+
 @query("SELECT o_orderkey::DOUBLE AS o_orderkey, o_orderdate, o_orderstatus FROM orders")
 def prepared_frame(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("o_orderdate"), "o_orderstatus", F.lit("r").alias("run_id"))
     return profile.prepare(o, {"o_orderkey": "numeric", "o_orderdate": "date"})
 
 
-@query()
+@query(f"WITH old AS (SELECT o_totalprice AS v FROM orders WHERE o_orderkey % 2 = 0), new AS (SELECT o_totalprice AS v FROM orders WHERE o_orderkey % 2 = 1), {PSI} SELECT 'o_totalprice' AS \"column\", psi, CASE WHEN psi > 0.25 THEN 'CRITICAL' WHEN psi > 0.1 THEN 'MODERATE' ELSE 'STABLE' END AS status, (SELECT count(*) FILTER (v IS NULL) / count(*) FROM new)::DOUBLE AS null_rate, 'STABLE' AS null_status FROM psi")
 def profile_cycle(spark, sf_dir):
     path, o = scratch(spark, "profiles"), table(spark, sf_dir, "orders")
     profile_store.cycle(o.filter("o_orderkey % 2 = 0"), path, "orders", ["o_totalprice"])

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from sievelake.functions import align
 from sievelake.functions.similarity import hybrid_score
-from sievelake.operators import advise, dash, dedup, outliers, profile, repair, sinks, validate, zones
+from sievelake.operators import advise, dash, dedup, evaluate, outliers, profile, quantiles, repair, semantic, sinks, validate, zones
 from sievelake.plans.quality_run import TableSpec, run
-from sievelake.sources.read import guarded_query
+from sievelake.sources.read import guarded_query, read_jdbc
 
 
 def test_names():
@@ -154,3 +154,69 @@ def test_zscores_come_after_the_other_rules(spark):
     spec = TableSpec("t", ["k"], None, [], {"price": (0, 1e6)}, [], zscore=["price"], tie=["r"])
     tagged, _ = run(spark.createDataFrame(rows, "k int, price double, r int"), spec, "r1")
     assert {r.k: r.reject_reason for r in tagged.filter("zone = 'quarantine'").collect()} == {100: "price_zscore", 101: "range_violation_price"}
+
+
+def test_tree_rules(spark):
+    """Rows over 10 in a, or under 3 in b, are rejected: the tree finds both conditions and parts the rows without an error."""
+    rows = [(float(a), float(b)) for a in range(20) for b in range(20)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    bad = "a > 10 or b < 3"
+    rules, auc = advise.tree_rules(df.filter(f"not ({bad})"), df.filter(bad), ["a", "b"])
+    assert auc > 0.999
+    held = df.select("a", "b", (F.expr(" or ".join(f"({r})" for r in rules)) == F.expr(bad)).alias("same"))
+    assert held.filter("not same").count() == 0
+
+
+def test_exact_quantiles(spark):
+    """Quantiles and distinct counts of values dealt out over ranges are those of one sorted list; an empty column has none."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = [*map(float, rng.normal(0, 1, 500).round(2)), *[7.0] * 300, 1e12]
+    df = spark.createDataFrame([(v, int(v) % 5, None) for v in x] + [(None, None, None)], "x double, y int, z double").repartition(7)
+    shares = [0.0, 0.05, 0.25, 0.5, 0.9, 1.0]
+    got = {r["column"]: r for r in quantiles.quantiles(df, {c: F.col(c) for c in ("x", "y", "z")}, shares).collect()}
+    assert np.allclose(got["x"].q, np.quantile(x, shares)) and got["x"].n_distinct == len(set(x))
+    assert np.allclose(got["y"].q, np.quantile([int(v) % 5 for v in x], shares)) and got["y"].n_distinct == 5
+    assert got["z"].q == [None] * 6 and got["z"].n_distinct == 0
+    plan = profile.distribution(df, ["x"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan and "count(distinct" not in plan.lower()
+
+
+def test_jdbc_rows(spark):
+    """The guarded reader against the database that Spark itself brings along."""
+    options = {"url": "jdbc:derby:memory:guarded;create=true", "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    spark.createDataFrame([(k, k * 2) for k in range(9)], "id int, twice int").write.format("jdbc").options(**options).option("dbtable", "pairs").save()
+    assert {tuple(r) for r in read_jdbc(spark, options, 'SELECT "id", "twice" FROM pairs WHERE "id" > 5 -- the last', 10).collect()} == {(6, 12), (7, 14), (8, 16)}
+    with pytest.raises(ValueError, match="over 4 rows"):
+        read_jdbc(spark, options, 'SELECT "id" FROM pairs', 4)
+    with pytest.raises(ValueError, match="single SELECT"):
+        read_jdbc(spark, options, "SELECT 1 FROM pairs; DELETE FROM pairs", 4)
+
+
+@pytest.mark.parametrize("t", [0.2, 0.35, 0.45, 0.6, 0.62, 0.85])
+def test_similarity_join_loses_no_pair(spark, t):
+    """All pairs whose score is high enough, held against the score of every pair; single characters too."""
+    texts = ["copper", "copper wire", "wire copper", "copper wires", "a", "b", "ab", "xylophone", "5-low", "l", "low", "5-lo", "lowest", "the copper", "opper", "aaaa", "aa", "aaab"]
+    df = spark.createDataFrame([(x,) for x in texts], "x string")
+    pairs = df.crossJoin(df.withColumnRenamed("x", "y")).withColumn("score", hybrid_score(F.col("x"), F.col("y"))).filter(F.col("score") >= t)
+    want = {(r.x, r.y): r.score for r in pairs.collect()}
+    assert {(r.a, r.b): r.score for r in semantic.similarity_join(df, df, "x", "x", t).collect()} == want
+
+
+def test_detection_counts_dropped_rows(spark):
+    """A row that is neither clean nor quarantined is a dropped one; of a repeated key the original is no error."""
+    rows = spark.createDataFrame([(k, "k1" if k < 2 else f"k{k}") for k in range(7)] + [(7, None), (8, None)], "id int, key string")
+    zoned = spark.createDataFrame([(0, "clean", None), (2, "quarantine", "r"), (3, "clean", None), (4, "quarantine", "q"), (6, "clean", None), (7, "clean", None), (8, "clean", None)], "id int, zone string, reject_reason string")
+    truth = spark.createDataFrame([(0, None), (1, "duplicate"), (2, "bad"), (3, "bad"), (4, None), (5, None), (6, None), (7, None), (8, "duplicate")], "id int, error_type string")
+    found = evaluate.outcomes(rows, zoned, truth, "id", ["key"])
+    one = evaluate.detection(found).first()
+    assert (one.rows, one.dropped, one.tp, one.fp, one.fn, one.tn) == (9, 2, 2, 2, 2, 3)
+    assert {tuple(r) for r in evaluate.false_positives(found).collect()} == {("q", 1), ("dropped", 1)}
+
+
+def test_upsert_keeps_one_row_of_a_key(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.upsert(spark.createDataFrame([(1, 5, "a"), (1, 4, "b"), (None, 1, "c")], "k int, o int, v string"), path, ["k"], ("o",))
+    sinks.upsert(spark.createDataFrame([(2, 1, "d"), (2, 2, "e"), (None, 2, "f")], "k int, o int, v string"), path, ["k"], ("o",))
+    assert {tuple(r) for r in sinks.read_latest(spark, path).collect()} == {(1, 4, "b"), (None, 1, "c"), (2, 1, "d"), (None, 2, "f")}
