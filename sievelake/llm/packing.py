@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from typing import ClassVar
@@ -12,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import quoted, text_of, written
 
 #: Pieces of words that a Python worker remembers the ids of (about 200 bytes each); others are encoded again.
 REMEMBERED = 1_000_000
@@ -20,6 +21,9 @@ REMEMBERED = 1_000_000
 BROADCAST_PARTITIONS = 2_000_000
 
 
+# Fixed values of the vocabulary file: what it does to texts before it cuts them, and the pattern that it cuts by.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # Fixed values of the vocabulary file: its pattern of pieces, for texts of printable ASCII and Latin-1 letters.
 _LETTER = "a-z\u00df-\u00f6\u00f8-\u00ff"
 _PIECE = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[0-9]|[^\x20\x09-\x0d{_LETTER}0-9]+")
@@ -36,6 +40,22 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256)]
 
 
+def _is_known(vocabulary: str) -> bool:
+    """Whether the file cuts texts into pieces of words as PieceIds does; if not, the tokenizer itself gets whole texts."""
+    with open(vocabulary, encoding="utf-8") as file:
+        held = json.load(file)
+    before = (held.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    split, byte_level = before[0], before[-1]
+    return (
+        len(before) == 2
+        and (held.get("normalizer") or {}).get("normalizers") == _NORMALIZERS
+        and (split.get("type"), split.get("pattern"), split.get("behavior"), split.get("invert")) == ("Split", {"Regex": _SPLIT}, "Removed", True)
+        and (byte_level.get("type"), byte_level.get("add_prefix_space"), byte_level.get("use_regex")) == ("ByteLevel", False, False)
+        and held.get("truncation") is None
+        and all(_SPECIAL in t["content"] and t["special"] and not t["lstrip"] and not t["rstrip"] for t in held.get("added_tokens", []))
+    )
+
+
 class PieceIds(dict):
     """Ids of lower-case pieces of words as bytes, found as they are asked for.
 
@@ -53,6 +73,7 @@ class PieceIds(dict):
         self.model = self.tokenizer.model
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.letters = _byte_letters()
+        self.known = _is_known(vocabulary)
 
     @classmethod
     def of(cls, vocabulary: str) -> PieceIds:
@@ -68,6 +89,8 @@ class PieceIds(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
+        if not self.known:
+            return self.whole(text)
         if _SPECIAL not in text and _PLAIN.fullmatch(text):
             return b"".join(map(self.__getitem__, _PIECE.findall(text.lower())))
         return b"".join(self.encode(w) if _SPECIAL not in w and _PLAIN.fullmatch(w) else self.whole(w) for w in _BLANK.split(text))
@@ -95,8 +118,8 @@ def token_runs(docs: DataFrame, vocabulary: str, end_id: int = 1, id_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([part] * len(n), pa.int32()), pa.array(ends - n), pa.array(n), pa.array(codes, pa.binary())], ["doc_id", "part", "part_start", "n", "ids"])
             at = int(ends[-1]) if len(ends) else at
 
-    kind = dict(docs.select(F.col(id_col)).dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    kind = docs.select(F.col(quoted(id_col)).alias("id")).dtypes[0][1]
+    rows = docs.select(F.col(quoted(id_col)).alias("doc_id"), text_of(text_col).alias("text"))
     return written(rows.mapInArrow(encode, f"doc_id {kind}, part int, part_start long, n long, ids binary"), "token-runs")
 
 
@@ -108,7 +131,9 @@ def packed(docs: DataFrame, vocabulary: str, length: int = 2048, end_id: int = 1
     stream; pass two cuts at multiples of `length` and returns a row for each
     piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Null and empty texts have end_id alone; repeated rows are packed again;
+    Documents follow one another as the input's partitions hold them, so that
+    files split in another way are packed in another order; every id is packed
+    once either way. Null and empty texts have end_id alone; repeated rows are packed again;
     null ids are kept; an empty table gives no rows.
     """
     runs = token_runs(docs, vocabulary, end_id, id_col, text_col)

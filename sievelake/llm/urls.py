@@ -8,8 +8,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, seeded_key
+from .common import ascii_lower, quoted, seeded_key, written
 
+#: Parts of the labelled rows by host: a row's suffix statistics come from the other parts, so that no label describes itself.
+FOLDS = 5
 #: Labelled rows that the trees are fitted on, at most: those of the lowest seeded keys.
 FIT_ROWS = 200_000
 
@@ -59,31 +61,46 @@ def lexical_features(url: str, host: str, path: str) -> dict[str, Column]:
     }
 
 
+def _suffix(host: str) -> Column:
+    return F.substring_index(host, ".", -1)
+
+
+def _fold(host: str) -> Column:
+    return F.pmod(F.xxhash64(host, F.lit(11)), F.lit(FOLDS)).cast("int")
+
+
 def suffix_statistics(labelled: DataFrame, host: str, label: str) -> DataFrame:
-    """For every last label of a host: how many labelled rows it has, and their smoothed share of blocked ones."""
-    return labelled.groupBy(F.substring_index(host, ".", -1).alias("suffix")).agg(F.count("*").alias("suffix_rows"), ((F.sum(label) + 1) / (F.count("*") + 2)).alias("suffix_share"))
+    """(suffix, by_part): for every last label of a host the labelled rows, and the blocked ones, in each of the FOLDS parts."""
+    parts = [F.struct(F.count(F.when(F.col("fold") == k, 1)).alias("n"), F.coalesce(F.sum(F.when(F.col("fold") == k, F.col(label))), F.lit(0)).alias("blocked")) for k in range(FOLDS)]
+    return labelled.withColumn("fold", _fold(host)).groupBy(_suffix(host).alias("suffix")).agg(F.array(*parts).alias("by_part"))
 
 
-def _featured(urls: DataFrame, statistics: DataFrame) -> tuple[DataFrame, list[str]]:
+def _featured(urls: DataFrame, statistics: DataFrame, out_of_fold: bool, leave_out: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
+    """urls and their features f_..; out_of_fold: statistics of a row's suffix without the part that its host is in, as for labelled rows."""
     own = lexical_features("url", "host", "path")
-    joined = urls.withColumn("suffix", F.substring_index("host", ".", -1)).join(statistics, "suffix", "left")
-    columns = {**own, "suffix_rows": F.log1p(F.coalesce("suffix_rows", F.lit(0))), "suffix_share": F.coalesce("suffix_share", F.lit(0.5))}
-    return joined.select(*urls.columns, *[c.cast("double").alias(f"f_{k}") for k, c in columns.items()]), [f"f_{k}" for k in columns]
+    joined = urls.withColumns({"suffix": _suffix("host"), "fold": _fold("host") if out_of_fold else F.lit(-1)}).join(statistics, "suffix", "left")
+    sums = {k: F.expr(f"aggregate(transform(by_part, (x, k) -> if(k = fold, 0L, x.{k})), 0L, (s, x) -> s + x)") for k in ("n", "blocked")}
+    n, blocked = (F.coalesce(c, F.lit(0)) for c in sums.values())
+    columns = {**own, "suffix_rows": F.log1p(n), "suffix_share": (blocked + 1) / (n + 2)}
+    kept = {k: c for k, c in columns.items() if k not in leave_out}
+    return joined.select(*urls.columns, *[c.cast("double").alias(f"f_{k}") for k, c in kept.items()]), [f"f_{k}" for k in kept]
 
 
-def fit_url_trees(labelled: DataFrame, fit_rows: int = FIT_ROWS, trees: int = 10, depth: int = 3, seed: int = 5) -> tuple[GBTClassificationModel | None, DataFrame]:
+def fit_url_trees(labelled: DataFrame, fit_rows: int = FIT_ROWS, trees: int = 10, depth: int = 3, seed: int = 5, leave_out: tuple[str, ...] = ()) -> tuple[GBTClassificationModel | None, DataFrame]:
     """Boosted trees and suffix statistics from (url, host, path, label), label 1 for blocked.
 
     The trees see at most fit_rows rows, both labels with equal weight in all;
-    suffix statistics come from all rows. With one label alone there is nothing to part and the model is None.
+    suffix statistics come from all rows, and for a row that the trees see from
+    the rows of other hosts. leave_out: features to do without. With one label
+    alone there is nothing to part and the model is None.
     """
-    statistics = suffix_statistics(labelled, "host", "label")
-    n, blocked = labelled.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    statistics = written(suffix_statistics(labelled, "host", "label"), "suffix-statistics", files=8)
+    n, blocked = statistics.select(F.inline("by_part")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0))).first()
     if blocked in (0, n):
         return None, statistics
     if n > fit_rows:
         labelled = labelled.orderBy(seeded_key(seed, F.col("url")), "url").limit(fit_rows)
-    rows, names = _featured(labelled, statistics)
+    rows, names = _featured(labelled, statistics, True, leave_out)
     weight = F.when(F.col("label") == 1, 1 / blocked).otherwise(1 / (n - blocked)) * n
     vectors = VectorAssembler(inputCols=names, outputCol="features").transform(rows).select("features", weight.alias("weight"), F.col("label").cast("double").alias("label"))
     return GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, stepSize=0.2, weightCol="weight", minWeightFractionPerNode=0.005).fit(vectors), statistics
@@ -100,8 +117,8 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str]], labelled: DataF
     there are no trees), a row for every row of pages; an empty table gives
     none.
     """
-    host, path = url_parts(F.col(url_col))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), host.alias("host"), path.alias("path"))
+    host, path = url_parts(F.col(quoted(url_col)))
+    rows = pages.select(F.col(quoted(id_col)).alias("page_id"), F.coalesce(F.col(quoted(url_col)).cast("string"), F.lit("")).alias("url"), host.alias("host"), path.alias("path"))
     ruled = rows.withColumn("held", fitting_rule(F.col("host"), F.col("path"), rules))
     if labelled is None:
         known = ruled.filter("held is not null").select("url", "host", "path", (F.col("held.verdict") == "block").cast("int").alias("label"))
@@ -114,7 +131,7 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str]], labelled: DataF
         scored = ruled.withColumn("score", F.lit(None).cast("double"))
     else:
         only = F.col("score") >= threshold
-        featured, names = _featured(ruled, F.broadcast(statistics) if statistics.count() <= 10_000 else statistics)
+        featured, names = _featured(ruled, F.broadcast(statistics) if statistics.count() <= 10_000 else statistics, False, fit.get("leave_out", ()))
         vectors = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep").transform(featured)
         scored = model.transform(vectors).withColumn("score", F.when(F.col("held").isNull(), vector_to_array("probability")[1]))
     return scored.select("page_id", "host", "path", F.col("held.rule").alias("rule"), F.coalesce("held.verdict", F.when(only, "block").otherwise("allow")).alias("verdict"), "score")

@@ -191,7 +191,7 @@ def normalise_archives(archives: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield pd.DataFrame(rows)
 
-    spread = archives.select("archive").repartition(max(1, archives.count()), "archive")
+    spread = archives.select("archive").repartition(max(1, archives.count()))
     return written(spread.mapInPandas(rewrite, INDEX), "warc-index")
 
 

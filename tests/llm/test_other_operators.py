@@ -170,6 +170,46 @@ def test_url_trees_held_out(spark):
     assert sum((r.verdict == "block") == (r.y == 1) for r in got) >= 0.97 * len(got)
 
 
+def brute_features(url, held):
+    """The features of a URL in plain Python; held: suffix to (labelled, blocked) rows."""
+    host, path = brute_url(url)
+    shares = [url.count(c) / len(url) for c in set(url)]
+    query = url.split("?", 1)[1].split("#")[0] if "?" in url else ""
+    suffix = host.rsplit(".", 1)[-1]
+    n, blocked = held.get(suffix, (0, 0))
+    digits = sum(c in "0123456789" for c in url) / len(url)
+    own = [len(url), len(host), host.count("."), len(path), path.count("/"), digits, host.count("-"), -sum(x * math.log2(x) for x in shares), len(query.split("&")) if query else 0, int("#" in url), int(url.startswith("https:")), len(suffix)]
+    return [*own, math.log1p(n), (blocked + 1) / (n + 2)]
+
+
+def tree_value(node, x):
+    while node.subtreeDepth():
+        split = node.split()
+        node = node.leftChild() if x[split.featureIndex()] <= split.threshold() else node.rightChild()
+    return node.prediction()
+
+
+def test_url_tree_verdicts(spark):
+    """Every verdict of the trees follows from features in plain Python and a walk down the trees; no label is among its own statistics."""
+    rows = [(k, f"http://{'x' * (k % 7)}a{k}.{('biz', 'org', 'info')[k % 3]}/p{k % 5}/?q={k}{'&z=1' * (k % 4)}", "") for k in range(240)]
+    labelled = spark.createDataFrame([(u, int(u.count("&") > 1 or ".biz" in u)) for _, u, _ in rows], "url string, label int")
+    h, p = urls.url_parts(F.col("url"))
+    known = labelled.select("url", h.alias("host"), p.alias("path"), "label")
+    model, statistics = urls.fit_url_trees(known)
+    held = {r.suffix: (sum(x.n for x in r.by_part), sum(x.blocked for x in r.by_part)) for r in statistics.collect()}
+    assert held["biz"] == (80, 80)
+    got = {r.page_id: r.verdict for r in urls.url_verdicts(spark.createDataFrame(rows, "page_id long, url string, html string"), [], labelled=labelled).collect()}
+    trees, weights = [t._call_java("rootNode") for t in model.trees], model.treeWeights
+    for k, u, _ in rows:
+        x = brute_features(u, held)
+        margin = sum(w * tree_value(t, x) for t, w in zip(trees, weights, strict=True))
+        if abs(margin) > 1e-9:
+            assert got[k] == ("block" if margin > 0 else "allow"), u
+    # Out of fold: a suffix that one host alone has tells the trees nothing of it.
+    alone, names = urls._featured(known.limit(1).withColumns({"host": F.lit("only.one"), "label": F.lit(1)}), urls.suffix_statistics(known.limit(1).withColumns({"host": F.lit("only.one"), "label": F.lit(1)}), "host", "label"), True)
+    assert alone.select("f_suffix_share", "f_suffix_rows").first() == (0.5, 0.0)
+
+
 def pages():
     made = [(i, f"http://h{i}.org/{i}", f"<p>page {i} été {'x' * (i % 50)}</p>") for i in range(60)]
     made += [(100 + i, f"http://c.org/{i}", "<p>copy</p>") for i in range(25)]

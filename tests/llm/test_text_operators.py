@@ -3,6 +3,7 @@
 import collections
 import fractions
 import itertools
+import json
 import math
 import re
 import zlib
@@ -10,6 +11,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import tokenizers
 import xxhash
 from pyspark.sql import functions as F
 from samples import prose
@@ -439,6 +441,19 @@ def test_mixed_documents(docs, no_docs):
     assert mixing.mixed(no_docs).count() == 0 and mixing.mixed_documents(no_docs).count() == 0
 
 
+def test_packing_other_vocabulary(docs, doc_rows, tmp_path):
+    """A vocabulary file that cuts texts in another way goes through the tokenizer itself."""
+    with open(VOCABULARY, encoding="utf-8") as file:
+        held = json.load(file)
+    held["normalizer"]["normalizers"] = held["normalizer"]["normalizers"][:2]  # keeps capitals
+    other = str(tmp_path / "other.json")
+    with open(other, "w", encoding="utf-8") as file:
+        json.dump(held, file)
+    tokenizer = tokenizers.Tokenizer.from_file(other)
+    want = collections.Counter((r[0], zlib.crc32(np.array([*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 1], "<u4").tobytes())) for r in doc_rows)
+    assert collections.Counter((r.doc_id, r.ids_crc32) for r in packing.packed(docs, other, length=1 << 20).collect() if r.length == r.doc_tokens) == want
+
+
 @pytest.mark.parametrize("length", [2048, 64])
 def test_packing(docs, doc_rows, length):
     from tokenizers import Tokenizer
