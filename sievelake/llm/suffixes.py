@@ -10,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, text_of, written
+from .common import quoted, shuffle_partitions, text_of, written
 
 #: Length of the short strings that mark suffixes worth sorting.
 MARK = 32
 #: Bytes whose marks are found at once, and suffixes that are sorted at once.
 SLAB, SORTED = 1 << 20, 20_000
+#: Bytes of texts whose runs are held at once.
+LISTED = 16 << 20
 #: Suffixes that share a mark and go into one task together; more are dealt out and their results merged.
 TOGETHER = 4096
 #: Depth to which multikey quicksort orders suffixes before blind tries take over.
@@ -80,30 +82,55 @@ class BlindTrie:
         return out
 
 
+def multikey_quicksort(words: np.ndarray, group: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the rows of `words` in order of group and of their first `levels` symbols, and where rows begin that differ from the one before in these.
+
+    Three-way radix quicksort: a part is cut at the symbol of its middle row
+    into rows below, alike and above; those alike go on with the next symbol.
+    All parts are cut in the same pass, one numpy operation for each step.
+    """
+    order = np.argsort(group, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = np.diff(group[order]) != 0
+    depth = np.zeros(len(order), np.int64)
+    while True:
+        starts = np.flatnonzero(new)
+        size = np.diff(np.append(starts, len(order)))
+        part = np.cumsum(new) - 1
+        place = np.flatnonzero((size[part] > 1) & (depth < levels))
+        if not len(place):
+            return order, new
+        rows, part = order[place], part[place]
+        symbol = words[rows, depth[place]]
+        middle = starts + size // 2
+        at = middle[part]
+        pivot = words[order[at], depth[at]]
+        side = np.where(symbol < pivot, 0, np.where(symbol == pivot, 1, 2))
+        key = 3 * part + side
+        rank = np.argsort(key, kind="stable")
+        order[place], key, side = rows[rank], key[rank], side[rank]
+        new[place[1:]] |= np.diff(key) != 0
+        depth[place] += side == 1
+
+
 def deep_shallow_order(strings: np.ndarray, group: np.ndarray, shallow: int = SHALLOW) -> np.ndarray:
     """Places of the rows of `strings` (uint8, as wide as a multiple of 8) in order of (group, string).
 
-    Multikey quicksort on symbols of 8 bytes: rows that are alike so far are
-    parted by their next symbol, down to `shallow` bytes. Groups still alike
-    there go to blind tries, unless all their rows are equal.
+    Multikey quicksort on symbols of 8 bytes orders rows down to `shallow`
+    bytes. Groups still alike there go to blind tries, unless all their rows
+    are equal.
     """
     words = strings.view(">u8").astype(np.uint64)
-    order = np.argsort(group, kind="stable")
-    same = group[order]
-    for level in range(min(shallow // 8, words.shape[1])):
-        rank = np.lexsort((words[order, level], same))
-        order, same = order[rank], same[rank]
-        new = np.ones(len(order), bool)
-        new[1:] = (np.diff(same) != 0) | (words[order[1:], level] != words[order[:-1], level])
-        same = np.cumsum(new)
-    edges = np.flatnonzero(np.diff(same, prepend=-1, append=-1))
-    starts, ends = edges[:-1], edges[1:]
-    rest = words[order][:, min(shallow // 8, words.shape[1]) :]
+    levels = min(shallow // 8, words.shape[1])
+    order, new = multikey_quicksort(words, group, levels)
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(order))
+    rest = words[order][:, levels:]
     unlike = (rest != rest[np.repeat(starts, ends - starts)]).any(1)
     for a, b in zip(starts, ends, strict=True):
         if b - a > 1 and unlike[a:b].any():
             rows = order[a:b]
-            trie = BlindTrie([strings[r, shallow:].tobytes() for r in rows])
+            trie = BlindTrie([strings[r, 8 * levels :].tobytes() for r in rows])
             order[a:b] = rows[trie.order()]
     return order
 
@@ -256,7 +283,7 @@ def _sorted_chunk(rows: dict[str, np.ndarray], length: int) -> tuple[list, list]
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, text and a key of the text that tells apart rows that repeat an id."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     return rows.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
 
 
@@ -269,6 +296,16 @@ def _unpacked(run: np.ndarray) -> tuple[np.ndarray, ...]:
     return run >> 16, (run >> 8) & 255, run & 255
 
 
+def _by_bytes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts whose texts (column 2) have about LISTED bytes at most, or are one text."""
+    _, bounds = _bytes_of(batch.column(2))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + LISTED, side="right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _runs(keyed: DataFrame, length: int) -> DataFrame:
     """(mark, whole, doc_id, text_key, run) of every run of every text; of equal runs in a batch of texts only the first.
 
@@ -278,7 +315,7 @@ def _runs(keyed: DataFrame, length: int) -> DataFrame:
     """
 
     def list_runs(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in _by_bytes(whole)):
             ids = batch.column(0).fill_null(_LATE).to_numpy()
             keys = batch.column(1).to_numpy()
             data, bounds = _bytes_of(batch.column(2))
@@ -446,6 +483,8 @@ def without_repeats(docs: DataFrame, length: int = 100, together: int = TOGETHER
     other), rows that repeat an id with another text are documents of their
     own; an empty table gives no rows.
     """
+    if not MARK < length <= 255 + MARK:
+        raise ValueError(f"length must be over {MARK} and {255 + MARK} at most")
     keyed = _keyed(docs, id_col, text_col)
     ranges = repeated_ranges(keyed, length, together)
     per_doc = ranges.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_list(F.struct("low", "high")).alias("spans"))

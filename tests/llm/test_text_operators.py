@@ -73,6 +73,21 @@ def test_blind_trie_and_order():
         assert n == want
 
 
+def test_multikey_quicksort():
+    rng = np.random.default_rng(4)
+    words = rng.integers(0, 4, (500, 3)).astype(np.uint64) * np.uint64(1 << 62)
+    group = rng.integers(0, 7, 500)
+    order, new = suffixes.multikey_quicksort(words, group, 2)
+    keys = [(group[k], *words[k, :2].tolist()) for k in order]
+    assert keys == sorted(keys) and new.tolist() == [True, *(a != b for a, b in zip(keys, keys[1:], strict=False))]
+
+
+@pytest.mark.parametrize("length", [20, 32, 288])
+def test_suffix_length_is_bounded(docs, length):
+    with pytest.raises(ValueError, match="length"):
+        suffixes.without_repeats(docs, length)
+
+
 def brute_statistics(text):
     words = WORD.findall(text or "")
     lines = [x for x in (text or "").split("\n") if WORD.search(x)]
