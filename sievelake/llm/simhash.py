@@ -19,8 +19,9 @@ _COUNTED = 1 << 16
 #: Seeded fingerprints of a text. Texts with a similarity of 0.8 share one of the 64 segments of 16 bits in 99 of 100 cases.
 SEEDS = 16
 #: Fingerprints compared at first and among classes not joined yet, and the bits in which those may differ. Texts with a
-#: similarity of 0.8 differ in 39 of 256 bits and 155 of 1,024 with spreads of 6 and 12, those of a few words in more.
-FIRST, SECOND = (4, 64), (16, 220)
+#: similarity of 0.8 differ in 39 of 256 bits and 154 of 1,024 with spreads of 6 and 11 (short ones in fewer), texts with one
+#: of 0.63 in 220 of 1,024 with a spread of 13: most pairs of a large loose group are not held against their texts.
+FIRST, SECOND = (4, 64), (16, 196)
 _FACTORS = np.random.default_rng(42).integers(1 << 63, size=SEEDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -297,6 +298,19 @@ def near_pairs(classes: DataFrame, compared: int, most: int) -> DataFrame:
     return dealt.mapInArrow(link, "a long, b long").distinct()
 
 
+def close_pairs(pairs: DataFrame, classes: DataFrame, most: int) -> DataFrame:
+    """The pairs (a, b) of classes (class, codes) whose seeded fingerprints, all of them, differ in `most` bits at most."""
+
+    def near(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, SEEDS) for c in (2, 3))
+            yield batch.filter(pa.array(np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most)).select(["a", "b"])
+
+    left = classes.select(F.col("class").alias("a"), F.col("codes").alias("x"))
+    right = classes.select(F.col("class").alias("b"), F.col("codes").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(near, "a long, b long")
+
+
 def similar(pairs: DataFrame, sets: DataFrame, alike: float) -> DataFrame:
     """The pairs (a, b) whose sets (class, shingles) have a Jaccard similarity of `alike` or more."""
     left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("x"))
@@ -312,11 +326,12 @@ def first_of_similar(docs: DataFrame, words: int = 5, alike: float = 0.8, id_col
     Jaccard similarity of `alike` or more; groups are joined by such pairs.
     Texts with equal sets are one class, so that copies never meet in pairs.
     Candidates come from near_pairs: first links that connect dense groups,
-    then, of classes that these have not joined, all near pairs. Every one is
-    held against the sets themselves, so no row goes without a partner. The
-    first row has the smallest id, null last, and of equal ids the smallest
-    hash of the text. Decisions go back by a key written with the rows, for
-    ids may be null or repeated.
+    then, of classes that these have not joined, all near pairs. Those near in
+    all fingerprints are held against the sets themselves, so no row goes
+    without a partner. The first row has the smallest id, null last, and of
+    equal ids the smallest hash of the text. Decisions go back by a key written
+    with the rows, for ids may be null or repeated. Null and blank texts have
+    no shingles and are one class; an empty table gives no rows.
     """
     kind = docs.select(F.col(quoted(id_col)).alias("id")).dtypes[0][1]
     mark = table_mark()
@@ -342,15 +357,19 @@ def first_of_similar(docs: DataFrame, words: int = 5, alike: float = 0.8, id_col
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "row")
     classes = written(coded.groupBy("class").agg(F.min(order).alias("first"), F.min("codes").alias("codes")), "near-classes")
     drop_tables(docs.sparkSession, mark, (keyed, classes))
-    tried = written(near_pairs(classes, *FIRST), "near-pairs")
-    met = tried.select(F.col("a").alias("class")).union(tried.select("b")).distinct()
-    some = written(classes.join(met, "class"), "near-met")
-    texts = rows.join(some.select("class", F.col("first.row").alias("nth")), "nth").select("class", "text")
-    sets = written(texts.mapInArrow(shingle, "class long, shingles array<long>"), "near-sets")
-    links = written(similar(tried, sets, alike), "near-links")
+
+    def held_against_texts(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs, "near-pairs")
+        asked = written(classes.join(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), "class").select("class", F.col("first.row").alias("nth")), "near-asked")
+        sets = written(rows.join(asked, "nth").select("class", "text").mapInArrow(shingle, "class long, shingles array<long>"), "near-sets")
+        return written(similar(pairs, sets, alike), "near-links")
+
+    tried = written(near_pairs(classes, *FIRST), "near-tried")
+    links = held_against_texts(close_pairs(tried, classes, SECOND[1]))
     group = components(links)
-    parts = some.join(group, F.col("class") == F.col("node"), "left").select("class", "codes", F.coalesce("component", "class").alias("part"))
-    more = written(similar(near_pairs(parts, *SECOND).join(tried, ["a", "b"], "left_anti"), sets, alike), "near-links")
+    met = tried.select(F.col("a").alias("class")).union(tried.select("b")).distinct()
+    parts = written(classes.join(met, "class").join(group, F.col("class") == F.col("node"), "left").select("class", "codes", F.coalesce("component", "class").alias("part")), "near-parts")
+    more = held_against_texts(near_pairs(parts, *SECOND).join(tried, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         group = components(links.union(more))
     named = classes.join(group, F.col("class") == F.col("node"), "left").select("first", F.coalesce("component", "class").alias("part"))

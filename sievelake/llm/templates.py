@@ -56,11 +56,14 @@ def learned_templates(texts: DataFrame, lines: DataFrame, least_docs: int) -> Da
     (LEAST_FIXED, FIXED_SHARE) have none. A leaf has at most 1 / LEARNED learned
     tokens for each place, so the set that its lines are held against is bounded.
     """
-    wholes = lines.groupBy("leaf", "whole").agg(F.count("*").alias("n"))
+    wholes = lines.groupBy("leaf", "whole").agg(F.count("*").alias("n"), F.min(_first()).alias("first"))
     leaves = wholes.groupBy("leaf").agg(F.sum("n").alias("of_leaf")).filter(F.col("of_leaf") >= least_docs)
     kinds = written(wholes.join(leaves, "leaf"), "template-leaves")
-    placed = texts.select(F.explode(F.expr(_lines(f"{_LEAF}, {_WHOLE}, {_PLACED}"))).alias("l")).select("l.*").join(kinds.select("leaf", "whole"), ["leaf", "whole"], "left_semi")
-    tokens = written(placed.groupBy("leaf", "whole").agg(F.first("placed").alias("placed")).join(kinds, ["leaf", "whole"]), "template-kinds")
+    # The tokens of a kind of line come from the first document that has it, so that few texts are read again and no token list of any other line is made.
+    wanted = kinds.groupBy(F.col("first.doc_id").alias("of_id"), F.col("first.text_key").alias("of_key")).agg(F.collect_list("whole").alias("wanted"))
+    once = texts.join(written(wanted, "template-wanted"), F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key")))
+    placed = once.select("wanted", F.explode(F.expr(_lines(f"{_WHOLE}, {_PLACED}"))).alias("l")).filter(F.array_contains("wanted", F.col("l.whole"))).select("l.whole", "l.placed")
+    tokens = written(placed.groupBy("whole").agg(F.first("placed").alias("placed")).join(kinds.drop("first"), "whole"), "template-kinds")
     counts = tokens.select("leaf", "of_leaf", "n", F.explode("placed").alias("token")).filter("token is not null").groupBy("leaf", "token").agg(F.sum("n").alias("n"), F.max("of_leaf").alias("of_leaf"))
     learned = counts.filter(F.col("n") >= F.greatest(F.lit(least_docs), F.ceil(LEARNED * F.col("of_leaf")))).groupBy("leaf").agg(F.collect_set("token").alias("learned"))
     fixed = tokens.join(learned, "leaf").select("leaf", "whole", F.size("placed").alias("n"), F.array_sort(F.array_intersect("placed", "learned")).alias("fixed"))
