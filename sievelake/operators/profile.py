@@ -84,7 +84,7 @@ def columns(df: DataFrame, samples: int = 3) -> DataFrame:
     spark = df.sparkSession
     wide_df = df
     if numbers:
-        found = written(quantiles(df, {c: F.col(c) for c in numbers}, [0.25, 0.75]), "quartiles")
+        found = quantiles(df, {c: F.col(c) for c in numbers}, [0.25, 0.75])
         wide_df = df.crossJoin(F.broadcast(wide(found, numbers, F.col("q"), "__q_")))
     rows, total = [], F.count(F.lit(1))
     for f in df.schema.fields:

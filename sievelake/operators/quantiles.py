@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tables import written
+from ..functions.tables import drop_tables, table_mark, written
 
 
 def value_counts(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -29,6 +29,7 @@ def quantiles(df: DataFrame, columns: dict[str, Column], shares: list[float]) ->
     and of the values before it in its range. NaN counts as the largest value;
     a column without values has no distinct ones, and null quantiles.
     """
+    mark = table_mark()
     counts = value_counts(df, {k: c.cast("double") for k, c in columns.items()})
     dealt = written(counts.repartitionByRange("column", "value").withColumn("part", F.spark_partition_id()), "value-counts")
     across = Window.partitionBy("column")
@@ -49,7 +50,10 @@ def quantiles(df: DataFrame, columns: dict[str, Column], shares: list[float]) ->
         q.append(F.when(p == low, F.col(f"a{i}")).otherwise((low + 1 - p) * F.col(f"a{i}") + (p - low) * F.col(f"b{i}")))
     found = found.select("column", "n_distinct", F.array(*q).alias("q"))
     listed = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
-    return listed.join(found, "column", "left").select("column", F.coalesce("n_distinct", F.lit(0)).cast("long").alias("n_distinct"), F.coalesce("q", F.array(*[F.lit(None).cast("double") for _ in shares])).alias("q"))
+    out = listed.join(found, "column", "left").select("column", F.coalesce("n_distinct", F.lit(0)).cast("long").alias("n_distinct"), F.coalesce("q", F.array(*[F.lit(None).cast("double") for _ in shares])).alias("q"))
+    out = written(out, "quantiles", files=1)  # a row a column
+    drop_tables(df.sparkSession, mark, (out,))
+    return out
 
 
 def wide(found: DataFrame, columns: list[str], value: Column, prefix: str) -> DataFrame:
