@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import drop_paths as drop_paths
+from ..functions.tables import drop_tables as drop_tables
+from ..functions.tables import scratch as fresh_path
+from ..functions.tables import table_mark as table_mark
+from ..functions.tables import tables_since as tables_since
+from ..functions.tables import written as written
+
 #: A word: a run of anything but the ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -17,68 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir.
-
-    Where the setting is absent (tests, one machine), a temporary folder of
-    this machine is taken and kept for the session.
-    """
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if found is None:
-        if not sc.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-        found = sc.getCheckpointDir()
-    return found
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-#: Tables of this process that written() has made, oldest first.
-_MADE: list[tuple[str, DataFrame]] = []
-
-
-def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors.
-
-    files: for tables of a row a group, into how many files at most, so that
-    Spark sees from their size whether they can be broadcast.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    (df if files is None else df.coalesce(files)).write.parquet(path)
-    made = spark.read.schema(df.schema).parquet(path)
-    _MADE.append((path, made))
-    return made
-
-
-def table_mark() -> int:
-    """A mark for tables_since and drop_tables."""
-    return len(_MADE)
-
-
-def tables_since(mark: int) -> list[str]:
-    """Paths of the tables written since the mark that are still there."""
-    return [path for path, _ in _MADE[mark:]]
-
-
-def drop_paths(spark: SparkSession, paths: list[str]) -> None:
-    """Deletes tables that written() has made and that nothing reads any more."""
-    gone = set(paths)
-    for path in paths:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    _MADE[:] = [x for x in _MADE if x[0] not in gone]
-
-
-def drop_tables(spark: SparkSession, mark: int, keep: tuple[DataFrame, ...] = ()) -> None:
-    """Deletes the tables written since the mark but those in keep, the only ones that a plan not yet run may read."""
-    drop_paths(spark, [path for path, df in _MADE[mark:] if not any(df is k for k in keep)])
-
-
 def quoted(column: str) -> str:
     """The name as Spark reads it whatever it holds: dots, blanks, backticks."""
     return "`" + column.replace("`", "``") + "`"
