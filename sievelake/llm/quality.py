@@ -19,7 +19,11 @@ UNIT = 1_000
 BINS, LOWEST, HIGHEST = 64, -1280, 2560
 
 _WORDS = r"filter(split(text, '[\\x20\\x09-\\x0D]+', -1), w -> w <> '')"
-_WINDOWS = "if(size(ws) < 8, array(), transform(sequence(1, size(ws) - 7), i -> xxhash64(slice(ws, i, 8))))"
+# Hashes of all windows of 8 words: of pairs of words, of pairs of these two places on, of pairs of those four places on.
+_WINDOWS = """if(size(ws) < 8, array(), transform(array(transform(ws, w -> xxhash64(w))),
+    h1 -> transform(array(zip_with(h1, slice(h1, 2, size(h1)), (a, b) -> xxhash64(a, b))),
+    h2 -> transform(array(zip_with(h2, slice(h2, 3, size(h2)), (a, b) -> xxhash64(a, b))),
+    h4 -> slice(zip_with(h4, slice(h4, 5, size(h4)), (a, b) -> xxhash64(a, b)), 1, size(ws) - 7))[0])[0])[0])"""
 # Positions of windows whose hash another window has too: neighbours in sorted order.
 _TWICE = """transform(array(sort_array(transform(hs, (h, i) -> named_struct('h', h, 'i', i)))), s -> sort_array(transform(
     filter(s, (x, k) -> coalesce(get(s, k - 1).h = x.h, false) or coalesce(get(s, k + 1).h = x.h, false)), x -> x.i)))[0]"""
