@@ -220,3 +220,34 @@ def test_upsert_keeps_one_row_of_a_key(spark, tmp_path):
     sinks.upsert(spark.createDataFrame([(1, 5, "a"), (1, 4, "b"), (None, 1, "c")], "k int, o int, v string"), path, ["k"], ("o",))
     sinks.upsert(spark.createDataFrame([(2, 1, "d"), (2, 2, "e"), (None, 2, "f")], "k int, o int, v string"), path, ["k"], ("o",))
     assert {tuple(r) for r in sinks.read_latest(spark, path).collect()} == {(1, 4, "b"), (None, 1, "c"), (2, 1, "d"), (None, 2, "f")}
+
+
+def test_kafka_options():
+    """What the reader asks Spark for, held without a broker: all topics from the earliest offset, and no failure on lost offsets."""
+    from sievelake.streaming import stream
+
+    class Reader:
+        def __init__(self):
+            self.asked = {}
+
+        def format(self, name):
+            self.asked["format"] = name
+            return self
+
+        def option(self, key, value):
+            self.asked[key] = str(value).lower()
+            return self
+
+        def options(self, **pairs):
+            self.asked |= {k: str(v).lower() for k, v in pairs.items()}
+            return self
+
+        def load(self):
+            return self.asked
+
+    class Session:
+        readStream = Reader()
+
+    asked = stream.kafka(Session(), "host:9092", "posts")
+    assert asked["format"] == "kafka" and asked["kafka.bootstrap.servers"] == "host:9092" and asked["subscribe"] == "posts"
+    assert asked["startingOffsets"] == "earliest" and asked["failOnDataLoss"] == "false"
