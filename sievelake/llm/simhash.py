@@ -22,6 +22,8 @@ SEEDS = 16
 #: similarity of 0.8 differ in 39 of 256 bits and 154 of 1,024 with spreads of 6 and 11 (short ones in fewer), texts with one
 #: of 0.63 in 220 of 1,024 with a spread of 13: most pairs of a large loose group are not held against their texts.
 FIRST, SECOND = (4, 64), (16, 196)
+#: Up to so many rows (two numbers each) whose texts are looked up go to every task; with more, texts are dealt out to them.
+BROADCAST_ROWS = 500_000
 _FACTORS = np.random.default_rng(42).integers(1 << 63, size=SEEDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -361,7 +363,8 @@ def first_of_similar(docs: DataFrame, words: int = 5, alike: float = 0.8, id_col
     def held_against_texts(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs, "near-pairs")
         asked = written(classes.join(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), "class").select("class", F.col("first.row").alias("nth")), "near-asked")
-        sets = written(rows.join(asked, "nth").select("class", "text").mapInArrow(shingle, "class long, shingles array<long>"), "near-sets")
+        side = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
+        sets = written(rows.join(side, "nth").select("class", "text").mapInArrow(shingle, "class long, shingles array<long>"), "near-sets")
         return written(similar(pairs, sets, alike), "near-links")
 
     tried = written(near_pairs(classes, *FIRST), "near-tried")

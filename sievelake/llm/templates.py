@@ -13,6 +13,8 @@ LEADING, LEAST_TOKENS = 2, 3
 LEARNED = 0.02
 #: A template has at least so many learned or leading tokens, and this share of all its tokens.
 LEAST_FIXED, FIXED_SHARE = 4, 0.6
+#: Up to so many kinds of lines (a hash each, and ids of their documents) go to every task; with more, texts are dealt out to them.
+BROADCAST_KINDS = 500_000
 #: Tokens over which a line, word for word, is a passage; share of the words of two documents from which they are copies.
 PASSAGE, COPY = 50, 0.8
 
@@ -22,9 +24,9 @@ _DOC = ["doc_id", "text_key"]
 
 
 def _lines(fields: str) -> str:
-    """SQL for an array with a struct of `fields` for each line of `text` that is in a leaf; fields may use the words ws and the tokens ts."""
+    """SQL for an array with a struct of `fields` for each line of `text`, null for one that is in no leaf; fields may use the words ws and the tokens ts."""
     each = f"transform(array({_WORDS}), ws -> transform(array({_TOKENS}), ts -> if(size(ts) >= {LEAST_TOKENS}, named_struct({fields}), null))[0])[0]"
-    return f"filter(transform(split(text, '\\n', -1), l -> {each}), x -> x is not null)"
+    return f"transform(split(text, '\\n', -1), l -> {each})"
 
 
 _LEAF = f"'leaf', xxhash64(size(ts), slice(ts, 1, {LEADING}))"
@@ -61,8 +63,10 @@ def learned_templates(texts: DataFrame, lines: DataFrame, least_docs: int) -> Da
     kinds = written(wholes.join(leaves, "leaf"), "template-leaves")
     # The tokens of a kind of line come from the first document that has it, so that few texts are read again and no token list of any other line is made.
     wanted = kinds.groupBy(F.col("first.doc_id").alias("of_id"), F.col("first.text_key").alias("of_key")).agg(F.collect_list("whole").alias("wanted"))
-    once = texts.join(written(wanted, "template-wanted"), F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key")))
-    placed = once.select("wanted", F.explode(F.expr(_lines(f"{_WHOLE}, {_PLACED}"))).alias("l")).filter(F.array_contains("wanted", F.col("l.whole"))).select("l.whole", "l.placed")
+    wanted = written(wanted, "template-wanted")
+    side = F.broadcast(wanted) if kinds.count() <= BROADCAST_KINDS else wanted
+    once = texts.join(side, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key")))
+    placed = once.select("wanted", F.explode(F.expr(_lines(f"{_WHOLE}, {_PLACED}"))).alias("l")).filter("l is not null and array_contains(wanted, l.whole)").select("l.whole", "l.placed")
     tokens = written(placed.groupBy("whole").agg(F.first("placed").alias("placed")).join(kinds.drop("first"), "whole"), "template-kinds")
     counts = tokens.select("leaf", "of_leaf", "n", F.explode("placed").alias("token")).filter("token is not null").groupBy("leaf", "token").agg(F.sum("n").alias("n"), F.max("of_leaf").alias("of_leaf"))
     learned = counts.filter(F.col("n") >= F.greatest(F.lit(least_docs), F.ceil(LEARNED * F.col("of_leaf")))).groupBy("leaf").agg(F.collect_set("token").alias("learned"))
@@ -130,24 +134,30 @@ def without_recurring_lines(docs: DataFrame, least_docs: int = 10, id_col: str =
     mark = table_mark()
     texts, passages = _keyed(docs, id_col, text_col), passage_docs is not None
     fields = ["leaf", "whole", *(["exact", "words"] if passages else [])]
-    found = texts.select(*_DOC, F.explode(F.expr(_lines(", ".join([_LEAF, _WHOLE, *([_EXACT] if passages else [])])))).alias("l")).select(*_DOC, *[f"l.{c}" for c in fields])
-    found = written(found.distinct(), "template-lines")
+    # The hashes of all lines of a document in their order: lines are counted by them, and found again at the end.
+    parsed = written(texts.select(*_DOC, F.expr(_lines(", ".join([_LEAF, _WHOLE, *([_EXACT] if passages else [])]))).alias("lines")), "template-lines")
+    found = parsed.select(*_DOC, F.explode("lines").alias("l")).filter("l is not null").select(*_DOC, *[f"l.{c}" for c in fields]).distinct()
+    found = written(found, "template-found")
     drops = recurring_lines(texts, found.select(*_DOC, "leaf", "whole").distinct() if passages else found, least_docs)
     if passages:
         drops = drops.union(repeated_passages(found.select(*_DOC, "exact", "words").distinct(), passage_docs))
-    # The set is of one document's lines, so its size is bounded by the text.
-    per_doc = written(drops.groupBy(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key")).agg(F.collect_set("whole").alias("gone")), "template-gone")
+    # Drops go back to the places of their lines, a row for each, so that very long texts cost no more than in proportion.
+    hashes = F.array("l.whole", "l.exact") if passages else F.array("l.whole")
+    places = parsed.select(*_DOC, F.posexplode("lines").alias("place", "l")).filter("l is not null").select(*_DOC, "place", F.explode(hashes).alias("hash"))
+    gone = drops.distinct().select(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key"), F.col("whole").alias("of_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key"))
+    per_doc = places.join(gone, same & (F.col("hash") == F.col("of_hash"))).groupBy("of_id", "of_key").agg(F.collect_set("place").alias("lost"))
+    per_doc = written(per_doc, "template-lost")
     drop_tables(docs.sparkSession, mark, (per_doc,))
     wide = docs.drop("n_lines", "n_dropped") if counts else docs
-    inner = wide.select(packed_row(wide), F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text")).withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = inner.join(per_doc, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key")), "left").select("row", "text", "gone")
+    # The text goes through the shuffle once, within the row.
+    inner = wide.select(packed_row(wide), F.col(quoted(id_col)).alias("doc_id"), F.xxhash64(text_of(text_col)).alias("text_key"))
+    joined = inner.join(per_doc, same, "left").select("row", F.col(f"row.{quoted(text_col)}").cast("string").alias("text"), "lost")
     # Bound once in a lambda, lest Spark compute the lines anew for each use.
-    marks = "array_contains(gone, xxhash64(ts))" + (" or array_contains(gone, xxhash64(ws, 1))" if passages else "")
-    lost = f"transform(array({_WORDS}), ws -> transform(array({_TOKENS}), ts -> size(ts) >= {LEAST_TOKENS} and ({marks}))[0])[0]"
-    kept = f"transform(array(split(text, '\\n', -1)), ls -> if(gone is null, ls, filter(ls, l -> not {lost})))[0]"
-    split = joined.select("row", "text", "gone", F.expr(kept).alias("kept"))
-    whole = F.size(F.split("text", "\n", -1))
+    kept = "transform(array(split(text, '\\n', -1)), ls -> named_struct('lines', if(lost is null, null, transform(array_except(sequence(0, size(ls) - 1), lost), i -> ls[i])), 'n', size(ls)))[0]"
+    split = joined.select("row", "text", "lost", F.expr(kept).alias("kept"))
+    whole = F.col("kept.n")
     values = dict(zip(wide.columns, unpacked(wide.columns), strict=True))
-    values[text_col] = F.when(F.col("gone").isNull() | (F.size("kept") == whole), F.col("text")).otherwise(F.array_join("kept", "\n")).alias(text_col)
-    numbers = {"n_lines": whole, "n_dropped": whole - F.size("kept")} if counts else {}
+    values[text_col] = F.when(F.col("lost").isNull(), F.col("text")).otherwise(F.array_join("kept.lines", "\n")).alias(text_col)
+    numbers = {"n_lines": whole, "n_dropped": F.when(F.col("lost").isNull(), 0).otherwise(F.size("lost"))} if counts else {}
     return split.select(*values.values(), *[F.coalesce(c, F.lit(0)).cast("long").alias(k) for k, c in numbers.items()])
