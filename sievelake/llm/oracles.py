@@ -1,8 +1,8 @@
 """DuckDB SQL for the queries that SQL can express at this size.
 
 Suffix sorting (op2) would need every 100-byte string as a row; op4's XXH64,
-op5's trees and op10's tokenizer have no SQL. Tests hold those against brute
-force.
+op5's trees, op10's tokenizer and op13's eigenvectors have no SQL. Tests hold
+those against brute force.
 """
 
 from __future__ import annotations
@@ -76,6 +76,32 @@ SELECT doc_id, size, source_size, target, coalesce(sum((least(ahead + size, (b +
 FROM pieces LEFT JOIN times USING (stratum, b) GROUP BY nth, doc_id, size, source_size, target
 """
 
+AUDIT = rf"""
+WITH l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS bad FROM labels GROUP BY 1),
+t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, {WORDS.format(x="coalesce(text, '')")} AS ws FROM documents),
+f AS MATERIALIZED (SELECT t.doc_id, part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad,
+  [CASE WHEN len(ws) < 50 THEN 'A' END, CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 'B' END, CASE WHEN 100 * (length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 5 * length(text) THEN 'C' END,
+   CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' END, CASE WHEN min(t.doc_id) OVER (PARTITION BY text) < t.doc_id THEN 'E' END] AS fails FROM t LEFT JOIN l ON l.doc_id = t.doc_id),
+k AS (SELECT part, list_filter(fails, lambda x: x IS NOT NULL) AS fails, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM f GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, step::INTEGER AS step, filter_order[step] AS letter, string_split(filter_order[1:step - 1], '') AS before FROM o, range(1, 6) r(step)),
+j AS (SELECT part, filter_order, step, letter, n, good, bad, list_contains(fails, letter) AS fails_it, len(list_intersect(fails, before)) > 0 AS gone, len(fails) = 1 AND list_contains(fails, letter) AS alone FROM k, s),
+r AS (SELECT part, filter_order, step, letter, coalesce(sum(n) FILTER (NOT gone AND NOT fails_it), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (fails_it AND NOT gone), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (fails_it AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (alone), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (fails_it AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(bad) FILTER (fails_it AND NOT gone), 0)::BIGINT AS toxic_lost FROM j GROUP BY ALL)
+SELECT * EXCLUDE (letter), (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM r
+"""
+
+PASSAGES = rf"""
+WITH d AS (SELECT row_number() OVER () AS nth, doc_id, {WORDS.format(x="coalesce(text, '')")} AS ws FROM documents),
+w AS MATERIALIZED (SELECT nth, doc_id, i, array_to_string(ws[i : i + 49], ' ') AS words FROM (SELECT *, unnest(range(1, len(ws) - 48)) AS i FROM d)),
+f AS (SELECT words, min(doc_id) AS first_id FROM w GROUP BY 1),
+g AS (SELECT DISTINCT nth, unnest(range(i, i + 50)) AS place FROM w JOIN f USING (words) WHERE first_id < doc_id),
+p AS (SELECT nth, unnest(range(1, len(ws) + 1)) AS place, unnest(ws) AS word FROM d),
+k AS (SELECT p.nth, string_agg(word, ' ' ORDER BY p.place) AS kept, count(*) AS n FROM p ANTI JOIN g ON g.nth = p.nth AND g.place = p.place GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (nth)
+"""
+
 
 
 def quality_sql(share: float = 0.75, steps: int = 10, tail: float = 1e-5, least_rows: int = 100) -> str:
@@ -156,4 +182,4 @@ def quality_sql(share: float = 0.75, steps: int = 10, tail: float = 1e-5, least_
     return f"WITH {', '.join(parts)} SELECT doc_id, n AS n_words, wc AS word_chars, sy AS n_symbols, dl AS n_dup_lines, rep AS n_repeat_words, bad AS base_failed, CASE WHEN bad THEN false ELSE coalesce(d2 <= {chi_square_cut(p, tail)!r}::DOUBLE, true) END AS kept FROM judged"
 
 
-ORACLES = {"op3_mcd": quality_sql(), "op1_vantage": VANTAGE, "op6_templates": TEMPLATES, "op7_interleave": INTERLEAVE, "op8_warc_members": WARC, "op9_sainte_lague": MIX}
+ORACLES = {"op3_mcd": quality_sql(), "op1_vantage": VANTAGE, "op6_templates": TEMPLATES, "op7_interleave": INTERLEAVE, "op8_warc_members": WARC, "op9_sainte_lague": MIX, "op11_term_matrix": AUDIT, "op12_fm_index": PASSAGES}

@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .audit import filter_audit
 from .common import table
 from .mixing import mixed
 from .neighbours import nearest
 from .oracles import ORACLES as ORACLES
 from .packing import packed
+from .passages import without_passages
 from .quality import quality_rules
 from .shards import interleaved_shards
 from .simhash import near_duplicates
@@ -20,6 +22,7 @@ from .suffixes import without_repeats
 from .templates import without_recurring_lines
 from .urls import url_verdicts
 from .warc import archived_pages
+from .whitening import whitened
 
 #: The host rules of the URL query.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -68,6 +71,21 @@ def concatenated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def audit_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = without_passages(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def whitened_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deviations beyond a long, which the contract asks for, are null."""
+    made = whitened(table(spark, sf_dir, "embeddings"))
+    return made.withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vantage": vantage_search,
     "op2_deep_shallow": suffix_dedup,
@@ -79,4 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_members": warc_members,
     "op9_sainte_lague": sainte_lague_mix,
     "op10_concat_cut": concatenated_windows,
+    "op11_term_matrix": audit_filters,
+    "op12_fm_index": passage_dedup,
+    "op13_bit_sliced": whitened_vectors,
 }
