@@ -10,7 +10,17 @@ from pyspark.sql import types as T
 
 # The engine's types, the nine date forms in the order tried, and what counts as epoch milliseconds.
 ENGINE_TYPES = {"IntegerType": "int", "DoubleType": "double", "TimestampType": "timestamp", "StringType": "string"}
-TIMESTAMP_FORMS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd", "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy", "MM/dd/yyyy", "yyyy/MM/dd", "dd-MM-yyyy"]
+TIMESTAMP_FORMS = [
+    "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'",
+    "yyyy-MM-dd'T'HH:mm:ss.SSS",
+    "yyyy-MM-dd'T'HH:mm:ss'Z'",
+    "yyyy-MM-dd'T'HH:mm:ss",
+    "yyyy-MM-dd HH:mm:ss.SSS",
+    "yyyy-MM-dd HH:mm:ss",
+    "yyyy-MM-dd",
+    "dd/MM/yyyy",
+    "MM/dd/yyyy",
+]
 EPOCH_MS = 100_000_000_000
 
 

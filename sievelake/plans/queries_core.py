@@ -109,7 +109,8 @@ def clean_and_rename(spark, sf_dir):
 def parse_texts(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     price = F.format_string("%.2f", "o_totalprice")
-    stamp = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "dd/MM/yyyy")).when(F.col("o_orderkey") % 3 == 1, F.unix_timestamp("o_orderdate").cast("string")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+    forms = [F.date_format("o_orderdate", f) for f in ("dd/MM/yyyy", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", "yyyy-MM-dd HH:mm:ss.SSS")] + [F.unix_timestamp("o_orderdate").cast("string")]
+    stamp = F.element_at(F.array(*forms), (F.col("o_orderkey") % len(forms) + 1).cast("int"))
     return o.select("o_orderkey", align.parse_int(F.concat(F.lit("USD "), F.floor("o_totalprice").cast("string"))).alias("whole"), align.parse_double(F.concat(F.lit("$ "), price)).alias("number"), align.parse_timestamp(stamp).alias("stamp"))
 
 

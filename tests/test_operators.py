@@ -30,10 +30,10 @@ def test_rename_keeps_taken_names(spark):
 
 
 def test_timestamps(spark):
-    texts = ["2024-03-05 01:02:03", "2024-03-05T01:02:03", "2024-03-05", "05/03/2024", "05-03-2024", "2024/03/05", "1709600523", "1709600523000", "x", "", None, "31/02/2024"]
+    texts = ["2024-03-05 01:02:03", "2024-03-05T01:02:03", "2024-03-05T01:02:03Z", "2024-03-05T01:02:03.000Z", "2024-03-05T01:02:03.000", "2024-03-05 01:02:03.000", "2024-03-05", "05/03/2024", "03/25/2024", "1709600523", "1709600523000", "x", "", None, "31/02/2024", "05-03-2024", "2024/03/05"]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(align.parse_timestamp(F.col("t")).cast("string")).collect()]
     day = "2024-03-05 00:00:00"
-    assert got == ["2024-03-05 01:02:03"] * 2 + [day] * 4 + ["2024-03-05 01:02:03"] * 2 + [None] * 4
+    assert got == ["2024-03-05 01:02:03"] * 6 + [day] * 2 + ["2024-03-25 00:00:00"] + ["2024-03-05 01:02:03"] * 2 + [None] * 6
 
 
 def test_numbers(spark):
