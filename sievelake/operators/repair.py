@@ -129,7 +129,14 @@ def apply_rules(df: DataFrame, rules: list[dict]) -> DataFrame:
     return df
 
 
-def redact(df: DataFrame, pk: list[str] = ()) -> DataFrame:
-    """'<redacted>' for every value of columns that are keys or named for persons; null stays."""
-    personal = re.compile(r"(^|_)(id|key|email|phone|name|address|ssn|passport)($|_)|custkey|user", re.I)
-    return df.withColumns({c: F.when(F.col(c).isNotNull(), F.lit("<redacted>")) for c in df.columns if c in pk or personal.search(c)})
+# Fixed value: words in a column's name that tell of a person or a thing.
+IDENTIFYING = re.compile(r"(^|_)(id|uuid|name|email|phone|mobile|tel|address|ssn)(_|$)", re.I)
+
+
+def redact(df: DataFrame, pk: list[str] | str = ()) -> DataFrame:
+    """'<redacted>' for every value of columns that are keys or have an identifying word in their name; null stays.
+
+    pk: names, or a text that joins them by commas; 'unknown' and blanks are no names.
+    """
+    keys = {k.strip() for k in (pk.split(",") if isinstance(pk, str) else pk)} - {"", "unknown"}
+    return df.withColumns({c: F.when(F.col(f"`{c}`").isNotNull(), F.lit("<redacted>")) for c in df.columns if c in keys or IDENTIFYING.search(c)})

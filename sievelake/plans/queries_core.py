@@ -159,9 +159,10 @@ def keyword_categories(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", repair.keyword_category(F.col("p_type"), {"metal": ["STEEL", "COPPER"], "small": ["small"]}, "other").alias("category"))
 
 
-@query("SELECT '<redacted>' AS c_custkey, CASE WHEN c_name IS NOT NULL THEN '<redacted>' END AS c_name, c_mktsegment FROM customer")
+@query("SELECT '<redacted>' AS c_custkey, CASE WHEN c_name IS NOT NULL THEN '<redacted>' END AS c_name, '<redacted>' AS contact_tel, c_nationkey AS hotel, c_mktsegment FROM customer")
 def redact_personal(spark, sf_dir):
-    return repair.redact(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), ["c_custkey"])
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.col("c_custkey").cast("string").alias("contact_tel"), F.col("c_nationkey").alias("hotel"), "c_mktsegment")
+    return repair.redact(c, "c_custkey")
 
 
 # ---- D: validation and zones -------------------------------------------------

@@ -251,3 +251,11 @@ def test_kafka_options():
     asked = stream.kafka(Session(), "host:9092", "posts")
     assert asked["format"] == "kafka" and asked["kafka.bootstrap.servers"] == "host:9092" and asked["subscribe"] == "posts"
     assert asked["startingOffsets"] == "earliest" and asked["failOnDataLoss"] == "false"
+
+
+def test_redaction(spark):
+    names = ["uuid", "user_mobile", "tel", "Email", "first_name", "ssn_hash", "address_2", "order_id", "telephone", "hotel", "idea", "custkey", "key", "user", "region"]
+    df = spark.createDataFrame([tuple("x" for _ in names), tuple(None for _ in names)], ", ".join(f"{n} string" for n in names))
+    one, none = repair.redact(df, "region, unknown").collect()
+    assert {n for n in names if one[n] == "<redacted>"} == {"uuid", "user_mobile", "tel", "Email", "first_name", "ssn_hash", "address_2", "order_id", "region"}
+    assert set(none) == {None}
