@@ -87,16 +87,23 @@ def standardize_date(column: Column) -> Column:
     )
 
 
+# Classes of rejected rows by what their reason contains, in the order tried.
+REJECT_CLASSES = [
+    ("duplicate_records", "unfixable"),
+    ("invalid_type_", "type_mismatch"),
+    ("null_value_in_", "null_values"),
+    ("missing_primary_key", "null_values"),
+    ("missing_date", "format_errors"),
+    ("outlier", "outliers"),
+    ("anomaly", "outliers"),
+    ("unsupervised", "outliers"),
+]
+
+
 def categorize_rejects(quarantine: DataFrame) -> DataFrame:
-    """Rows held back, by what could mend them."""
-    r = F.lower(F.coalesce("reject_reason", F.lit("")))
-    kind = (
-        F.when(r.contains("type") | r.contains("cast"), "type_mismatch")
-        .when(r.contains("null") | r.contains("missing"), "null_values")
-        .when(r.contains("format") | r.contains("date"), "format_errors")
-        .when(r.contains("outlier") | r.contains("range") | r.contains("expected") | r.contains("zscore"), "outliers")
-        .otherwise("unfixable")
-    )
+    """Rows held back, by what could mend them; a row with several reasons goes by the first class that fits."""
+    r = F.coalesce("reject_reason", F.lit(""))
+    kind = F.coalesce(*[F.when(r.contains(part), F.lit(name)) for part, name in REJECT_CLASSES], F.lit("unfixable"))
     return quarantine.groupBy(kind.alias("class")).agg(F.count("*").alias("n"))
 
 

@@ -85,7 +85,7 @@ def freshness(spark, sf_dir):
     return metrics.freshness(dirty_orders(spark, sf_dir), "order_date", "2030-01-01")
 
 
-@query(f"WITH {TAGGED} SELECT CASE WHEN contains(lower(reject_reason), 'type') OR contains(lower(reject_reason), 'cast') THEN 'type_mismatch' WHEN contains(lower(reject_reason), 'null') OR contains(lower(reject_reason), 'missing') THEN 'null_values' WHEN contains(lower(reject_reason), 'format') OR contains(lower(reject_reason), 'date') THEN 'format_errors' WHEN contains(lower(reject_reason), 'outlier') OR contains(lower(reject_reason), 'range') OR contains(lower(reject_reason), 'expected') OR contains(lower(reject_reason), 'zscore') THEN 'outliers' ELSE 'unfixable' END AS class, count(*)::BIGINT AS n FROM tagged WHERE reject_reason IS NOT NULL GROUP BY 1")
+@query(f"WITH {TAGGED} SELECT CASE WHEN contains(reject_reason, 'duplicate_records') THEN 'unfixable' WHEN contains(reject_reason, 'invalid_type_') THEN 'type_mismatch' WHEN contains(reject_reason, 'null_value_in_') OR contains(reject_reason, 'missing_primary_key') THEN 'null_values' WHEN contains(reject_reason, 'missing_date') THEN 'format_errors' WHEN regexp_matches(reject_reason, 'outlier|anomaly|unsupervised') THEN 'outliers' ELSE 'unfixable' END AS class, count(*)::BIGINT AS n FROM tagged WHERE reject_reason IS NOT NULL GROUP BY 1")
 def reject_classes(spark, sf_dir):
     return repair.categorize_rejects(tagged_orders(spark, sf_dir).filter("zone = 'quarantine'"))
 

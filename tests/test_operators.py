@@ -259,3 +259,9 @@ def test_redaction(spark):
     one, none = repair.redact(df, "region, unknown").collect()
     assert {n for n in names if one[n] == "<redacted>"} == {"uuid", "user_mobile", "tel", "Email", "first_name", "ssn_hash", "address_2", "order_id", "region"}
     assert set(none) == {None}
+
+
+def test_reject_classes(spark):
+    reasons = {"missing_date": "format_errors", "null_value_in_type": "null_values", "missing_primary_key": "null_values", "out_of_range_price": "unfixable", "outlier_price": "outliers", "unsupervised_anomaly": "outliers", "invalid_type_qty": "type_mismatch", "duplicate_records; null_value_in_x": "unfixable", None: "unfixable", "price=5 (expected [1, 2])": "unfixable"}
+    got = {r: repair.categorize_rejects(spark.createDataFrame([(r,)], "reject_reason string")).first()["class"] for r in reasons}
+    assert got == reasons
