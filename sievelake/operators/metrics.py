@@ -21,7 +21,7 @@ def _past(n: int = 15):
 
 
 def rate_anomaly(runs: DataFrame) -> DataFrame:
-    """z-score of each run's share held back against the 15 runs before (3 at least).
+    """z-score, without its sign, of each run's share held back against the 15 runs before (3 at least): falls are anomalies too.
 
     Population deviation, 0.05 at least; a change under 0.02 counts as none.
     """
@@ -30,7 +30,7 @@ def rate_anomaly(runs: DataFrame) -> DataFrame:
     w = _past()
     stats = rated.select("run_id", "table_name", "timestamp", "rate", F.avg("rate").over(w).alias("mean"), F.greatest(F.stddev_pop("rate").over(w), F.lit(0.05)).alias("sd"), F.count("rate").over(w).alias("n"))
     change = F.col("rate") - F.col("mean")
-    z = F.when((F.col("n") < 3) | (F.abs(change) < 0.02), 0.0).otherwise(change / F.col("sd"))
+    z = F.when((F.col("n") < 3) | (F.abs(change) < 0.02), 0.0).otherwise(F.abs(change) / F.col("sd"))
     return stats.select("run_id", "table_name", "timestamp", F.round("rate", 6).alias("rate"), F.round(z, 4).alias("z"), (z > 3).alias("is_anomaly"))
 
 

@@ -23,7 +23,7 @@ def query(sql: str | None = None):
 PAST = 'OVER (PARTITION BY table_name ORDER BY "timestamp", run_id ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING)'
 RATED = f"""{RUNS}, rated AS (SELECT *, quarantined_records / total_records AS rate FROM runs),
 zz AS (SELECT run_id, table_name, "timestamp", rate, avg(rate) {PAST} AS mean, greatest(stddev_pop(rate) {PAST}, 0.05) AS sd, count(rate) {PAST} AS n FROM rated),
-anomalies AS (SELECT run_id, table_name, "timestamp", rate, CASE WHEN n < 3 OR abs(rate - mean) < 0.02 THEN 0.0 ELSE (rate - mean) / sd END AS z FROM zz)"""
+anomalies AS (SELECT run_id, table_name, "timestamp", rate, CASE WHEN n < 3 OR abs(rate - mean) < 0.02 THEN 0.0 ELSE abs(rate - mean) / sd END AS z FROM zz)"""
 LATEST = """latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY table_name ORDER BY "timestamp" DESC, run_id DESC) AS nth, count(*) OVER (PARTITION BY table_name)::BIGINT AS n_rows FROM runs) WHERE nth = 1)"""
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievelake.functions import align
 from sievelake.functions.similarity import hybrid_score
-from sievelake.operators import advise, dash, dedup, evaluate, outliers, profile, quantiles, repair, semantic, sinks, validate, zones
+from sievelake.operators import advise, dash, dedup, evaluate, metrics, outliers, profile, quantiles, repair, semantic, sinks, validate, zones
 from sievelake.plans.quality_run import TableSpec, run
 from sievelake.sources.read import guarded_query, read_jdbc
 
@@ -265,3 +265,9 @@ def test_reject_classes(spark):
     reasons = {"missing_date": "format_errors", "null_value_in_type": "null_values", "missing_primary_key": "null_values", "out_of_range_price": "unfixable", "outlier_price": "outliers", "unsupervised_anomaly": "outliers", "invalid_type_qty": "type_mismatch", "duplicate_records; null_value_in_x": "unfixable", None: "unfixable", "price=5 (expected [1, 2])": "unfixable"}
     got = {r: repair.categorize_rejects(spark.createDataFrame([(r,)], "reject_reason string")).first()["class"] for r in reasons}
     assert got == reasons
+
+
+def test_falls_are_anomalies(spark):
+    rows = [(f"r{k}", "t", k, 100, 50 + k % 2) for k in range(10)] + [("fall", "t", 10, 100, 1)]
+    got = {r.run_id: (r.z, r.is_anomaly) for r in metrics.rate_anomaly(spark.createDataFrame(rows, "run_id string, table_name string, timestamp int, total_records int, quarantined_records int")).collect()}
+    assert got["fall"] == (9.9, True) and not got["r9"][1]
