@@ -100,7 +100,7 @@ def clusters(runs: DataFrame) -> DataFrame:
     """Reasons of all runs by category and column, and their share."""
     r = F.col("reason")
     category = F.when(r.contains("null") | r.contains("missing"), "completeness").when(r.contains("outlier") | r.contains("zscore"), "outlier").when(r.contains("range"), "validity").when(r.contains("duplicate"), "uniqueness").otherwise("other")
-    column = F.nullif(F.regexp_extract(r, r"(?:null_value_in|outlier|zscore|range_violation|invalid_type)_(\w+)$", 1), F.lit(""))
+    column = F.nullif(F.regexp_extract(r, r"(?:null_value_in|outlier|zscore|out_of_range|invalid_type)_(\w+)$", 1), F.lit(""))
     counts = runs.select(F.explode("quarantine_breakdown").alias("reason", "n")).groupBy("reason").agg(F.sum("n").alias("n"))
     return counts.select("reason", category.alias("category"), column.alias("column"), "n", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), 4).alias("share"))
 

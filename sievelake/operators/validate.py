@@ -35,7 +35,7 @@ def missing_date(column: str) -> Column:
 
 
 def range_rules(checks: dict[str, tuple[float | None, float | None]]) -> Column:
-    """'range_violation_<c>' for all columns outside their inclusive bounds, joined by '; '; null passes."""
+    """'out_of_range_<c>' for all columns outside their inclusive bounds, joined by '; '; null passes."""
     parts = []
     for c, (low, high) in checks.items():
         outside = F.lit(False)
@@ -43,7 +43,7 @@ def range_rules(checks: dict[str, tuple[float | None, float | None]]) -> Column:
             outside = outside | (F.col(c) < low)
         if high is not None:
             outside = outside | (F.col(c) > high)
-        parts.append(F.when(outside, F.lit(f"range_violation_{c}")))
+        parts.append(F.when(outside, F.lit(f"out_of_range_{c}")))
     joined = F.concat_ws("; ", *parts)
     return F.when(joined != "", joined)
 

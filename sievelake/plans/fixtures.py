@@ -47,7 +47,7 @@ def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     parts = [
         o.select(F.lit("orders").alias("table_name"), F.date_trunc("month", "o_orderdate").alias("month"), F.when(F.col("o_orderkey") % 97 == 0, "missing_primary_key").when(F.col("o_orderkey") % 53 == 1, "null_value_in_price").when(F.col("o_orderkey") % 101 == 2, "outlier_price").alias("reason"), F.col("o_totalprice").alias("value")),
-        l.select(F.lit("lineitem").alias("table_name"), F.date_trunc("month", "l_shipdate").alias("month"), F.when(F.col("l_orderkey") % 89 == 3, "range_violation_discount").when(F.col("l_orderkey") % 61 == 4, "duplicate_records").alias("reason"), F.col("l_extendedprice").alias("value")),
+        l.select(F.lit("lineitem").alias("table_name"), F.date_trunc("month", "l_shipdate").alias("month"), F.when(F.col("l_orderkey") % 89 == 3, "out_of_range_discount").when(F.col("l_orderkey") % 61 == 4, "duplicate_records").alias("reason"), F.col("l_extendedprice").alias("value")),
         e.select(F.lit("events").alias("table_name"), F.date_trunc("month", "ts").alias("month"), F.when(F.col("event_id") % 41 == 5, "missing_date").when(F.col("event_id") % 67 == 9, "null_value_in_value").alias("reason"), F.col("value")),
     ]
     rows = parts[0].union(parts[1]).union(parts[2])
@@ -76,7 +76,7 @@ def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RUNS = """run_rows AS (
   SELECT 'orders' AS table_name, date_trunc('month', o_orderdate)::TIMESTAMP AS month, CASE WHEN o_orderkey % 97 = 0 THEN 'missing_primary_key' WHEN o_orderkey % 53 = 1 THEN 'null_value_in_price' WHEN o_orderkey % 101 = 2 THEN 'outlier_price' END AS reason, o_totalprice AS value FROM orders
-  UNION ALL SELECT 'lineitem', date_trunc('month', l_shipdate)::TIMESTAMP, CASE WHEN l_orderkey % 89 = 3 THEN 'range_violation_discount' WHEN l_orderkey % 61 = 4 THEN 'duplicate_records' END, l_extendedprice FROM lineitem
+  UNION ALL SELECT 'lineitem', date_trunc('month', l_shipdate)::TIMESTAMP, CASE WHEN l_orderkey % 89 = 3 THEN 'out_of_range_discount' WHEN l_orderkey % 61 = 4 THEN 'duplicate_records' END, l_extendedprice FROM lineitem
   UNION ALL SELECT 'events', date_trunc('month', ts)::TIMESTAMP, CASE WHEN event_id % 41 = 5 THEN 'missing_date' WHEN event_id % 67 = 9 THEN 'null_value_in_value' END, value FROM events),
 run_reasons AS (SELECT table_name, month, reason, count(*)::BIGINT AS n FROM run_rows WHERE reason IS NOT NULL GROUP BY ALL),
 runs AS (SELECT table_name || '-' || strftime(month, '%Y%m') AS run_id, table_name, month AS "timestamp", count(*)::BIGINT AS total_records, count(*) FILTER (reason IS NULL)::BIGINT AS clean_records, count(reason)::BIGINT AS quarantined_records,

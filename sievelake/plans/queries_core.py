@@ -29,7 +29,7 @@ def query(sql: str | None = None):
 TAGGED = f"""{DIRTY},
 s1 AS (SELECT *, CASE WHEN order_key IS NULL THEN 'missing_primary_key' WHEN price IS NULL THEN 'null_value_in_price' END AS r1, CASE WHEN order_date IS NULL THEN 'missing_date' END AS r2 FROM dirty),
 s2 AS (SELECT *, concat_ws('; ', r1, r2) AS r12, row_number() OVER (PARTITION BY order_key, (r1 IS NULL AND r2 IS NULL) ORDER BY order_date DESC NULLS LAST, row_id) AS nth FROM s1),
-s3 AS (SELECT *, CASE WHEN r12 <> '' THEN r12 WHEN nth > 1 THEN 'duplicate_records' WHEN price < 0 OR price > 10000000 THEN 'range_violation_price' ELSE '' END AS r3 FROM s2),
+s3 AS (SELECT *, CASE WHEN r12 <> '' THEN r12 WHEN nth > 1 THEN 'duplicate_records' WHEN price < 0 OR price > 10000000 THEN 'out_of_range_price' ELSE '' END AS r3 FROM s2),
 f AS (SELECT quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.75) AS q3 FROM s3 WHERE r3 = ''),
 g AS (SELECT q1 - 3.0 * (q3 - q1) AS lo, q3 + 3.0 * (q3 - q1) AS hi FROM f),
 tagged AS (SELECT s3.* EXCLUDE (r1, r2, r12, nth, r3), CASE WHEN r3 <> '' THEN r3 WHEN price < lo OR price > hi THEN printf('price=%.2f (expected [%.2f, %.2f])', price, lo, hi) END AS reject_reason FROM s3, g)"""

@@ -149,7 +149,7 @@ def quality_projection(spark, sf_dir):
 
 
 CLUSTERS = """c AS (SELECT reason, sum(n)::BIGINT AS n FROM run_reasons GROUP BY 1),
-clusters AS (SELECT reason, CASE WHEN contains(reason, 'null') OR contains(reason, 'missing') THEN 'completeness' WHEN contains(reason, 'outlier') THEN 'outlier' WHEN contains(reason, 'range') THEN 'validity' WHEN contains(reason, 'duplicate') THEN 'uniqueness' ELSE 'other' END AS category, nullif(regexp_extract(reason, '(null_value_in|outlier|zscore|range_violation|invalid_type)_(\\w+)$', 2), '') AS "column", n, round(100.0 * n / sum(n) OVER (), 4) AS share FROM c)"""
+clusters AS (SELECT reason, CASE WHEN contains(reason, 'null') OR contains(reason, 'missing') THEN 'completeness' WHEN contains(reason, 'outlier') THEN 'outlier' WHEN contains(reason, 'range') THEN 'validity' WHEN contains(reason, 'duplicate') THEN 'uniqueness' ELSE 'other' END AS category, nullif(regexp_extract(reason, '(null_value_in|outlier|zscore|out_of_range|invalid_type)_(\\w+)$', 2), '') AS "column", n, round(100.0 * n / sum(n) OVER (), 4) AS share FROM c)"""
 
 
 @query(f"WITH {RUNS}, {CLUSTERS} SELECT * FROM clusters")

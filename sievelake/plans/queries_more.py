@@ -135,7 +135,7 @@ c AS (SELECT bucket, count(*) AS n FROM k GROUP BY 1), s AS (SELECT greatest(coa
 
 @query(f"""WITH {TAGGED}, reasons AS (SELECT order_date, CASE WHEN contains(p, '=') THEN 'outlier_price' ELSE p END AS reason FROM (SELECT order_date, trim(unnest(string_split(reject_reason, ';'))) AS p FROM tagged WHERE reject_reason IS NOT NULL)),
 was AS (SELECT reason, count(*) * 3 AS was FROM reasons WHERE order_date < TIMESTAMP '1997-01-01' GROUP BY 1), top AS (SELECT reason, count(*)::BIGINT AS n FROM reasons GROUP BY 1 ORDER BY n DESC, reason LIMIT 3),
-c AS (SELECT * FROM (VALUES ('missing_primary_key', 'keys lost at the source', 'null_check', 0.95), ('null_value_in_price', 'fields left empty at the source', 'fillna', 0.90), ('duplicate_records', 'the source sends records again', 'keep_latest', 0.92), ('outlier_price', 'unit or typing errors', 'auto_iqr', 0.80), ('range_violation_price', 'values beyond what is possible', 'range_check', 0.88), ('missing_date', 'dates lost or in another form', 'parse_timestamp', 0.85)) c(r, cause, rule, base)),
+c AS (SELECT * FROM (VALUES ('missing_primary_key', 'keys lost at the source', 'null_check', 0.95), ('null_value_in_price', 'fields left empty at the source', 'fillna', 0.90), ('duplicate_records', 'the source sends records again', 'keep_latest', 0.92), ('outlier_price', 'unit or typing errors', 'auto_iqr', 0.80), ('out_of_range_price', 'values beyond what is possible', 'range_check', 0.88), ('missing_date', 'dates lost or in another form', 'parse_timestamp', 0.85)) c(r, cause, rule, base)),
 s AS (SELECT 100.0 * count(*) FILTER (reject_reason IS NULL) / count(*) - 100.0 * count(*) FILTER (reject_reason IS NULL AND order_date < TIMESTAMP '1997-01-01') / count(*) FILTER (order_date < TIMESTAMP '1997-01-01') AS delta FROM tagged),
 b AS (SELECT top.*, cause, rule, least(base + CASE WHEN n > coalesce(was, 0) THEN 0.03 ELSE 0.0 END, 0.98) AS base, delta FROM top JOIN c ON r = reason LEFT JOIN was USING (reason), s WHERE rule <> 'parse_timestamp')
 SELECT reason, n, cause, rule, round(CASE WHEN delta < -10 THEN least(base + 0.05, 0.98) WHEN delta > 5 THEN greatest(base - 0.10, 0.50) ELSE base END, 4)::DOUBLE AS confidence, CASE WHEN delta < -10 THEN 'sharp decline' WHEN delta < -5 THEN 'decline' WHEN delta > 5 THEN 'improving' ELSE 'steady' END AS trend,

@@ -55,7 +55,7 @@ def test_type_checks_see_the_text(spark):
 def test_range_reasons_join(spark):
     df = spark.createDataFrame([(5.0, -1.0), (200.0, -1.0), (None, 3.0)], "a double, b double")
     got = [r[0] for r in df.select(validate.range_rules({"a": (0, 100), "b": (0, None)})).collect()]
-    assert got == ["range_violation_b", "range_violation_a; range_violation_b", None]
+    assert got == ["out_of_range_b", "out_of_range_a; out_of_range_b", None]
 
 
 def test_keep_latest_with_null_keys(spark):
@@ -153,7 +153,7 @@ def test_zscores_come_after_the_other_rules(spark):
     rows = [(k, 10.0 + k % 3, k) for k in range(40)] + [(100, 60.0, 100), (101, 1e9, 101)]
     spec = TableSpec("t", ["k"], None, [], {"price": (0, 1e6)}, [], zscore=["price"], tie=["r"])
     tagged, _ = run(spark.createDataFrame(rows, "k int, price double, r int"), spec, "r1")
-    assert {r.k: r.reject_reason for r in tagged.filter("zone = 'quarantine'").collect()} == {100: "price_zscore", 101: "range_violation_price"}
+    assert {r.k: r.reject_reason for r in tagged.filter("zone = 'quarantine'").collect()} == {100: "price_zscore", 101: "out_of_range_price"}
 
 
 def test_tree_rules(spark):
