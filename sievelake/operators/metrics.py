@@ -42,14 +42,25 @@ def adaptive_threshold(runs: DataFrame, base: float = 80.0, floor: float = 70.0)
 
 
 def reasons_of(reason: Column) -> Column:
-    """The single reasons of a text that joins them by ; or |, normalised."""
-    bare = F.transform(F.filter(F.transform(F.split(reason, r"[;|]"), lambda x: F.trim(x)), lambda x: x != ""), _normal)
-    return bare
+    """The single reasons of a text that joins them by ; or |, without the values in them; 'unknown' where there is none.
+
+    What stands before a = is the column of an outlier, or of a z-score where
+    it ends so; dots become underscores. Reasons are then as many as columns
+    and rules make them, whatever the rows hold.
+    """
+    parts = F.transform(F.split(F.coalesce(reason, F.lit("")), r"[;|]"), lambda x: _stripped(x))
+    keys = F.filter(F.transform(F.filter(parts, lambda x: x != ""), _normal), lambda x: x != "")
+    return F.when(F.size(keys) > 0, keys).otherwise(F.array(F.lit("unknown")))
+
+
+def _stripped(x: Column) -> Column:
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
 
 
 def _normal(x: Column) -> Column:
-    zscore = F.regexp_replace(x, r"^(\w+)_zscore\b.*$", "zscore_$1")
-    return F.when(x.rlike(r"^\w+_zscore\b"), zscore).when(x.rlike(r"^\w+="), F.regexp_replace(x, r"^(\w+)=.*$", "outlier_$1")).otherwise(x)
+    name = _stripped(F.substring_index(x, "=", 1))
+    named = F.when(name.endswith("_zscore"), F.concat(F.lit("zscore_"), F.regexp_replace(name, "_zscore$", ""))).otherwise(F.concat(F.lit("outlier_"), name))
+    return F.replace(F.when(x.contains("="), named).otherwise(x), F.lit("."), F.lit("_"))
 
 
 def reason_breakdown(quarantine: DataFrame, keep: int = 50) -> DataFrame:
@@ -88,8 +99,8 @@ def operational_impact(tagged: DataFrame, weights: dict[str, float], floor: floa
 
 def run_row(tagged: DataFrame, table_name: str, run_id: str) -> DataFrame:
     """The run's document: counts, score and a map of reasons."""
-    by_reason = tagged.select(F.explode_outer(reasons_of(F.col("reject_reason"))).alias("reason"), "zone").groupBy("reason").agg(F.count("*").alias("n"))
-    breakdown = by_reason.filter("reason is not null").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("reason", "n")))).alias("quarantine_breakdown"))
+    by_reason = tagged.filter("zone <> 'clean'").select(F.explode(reasons_of(F.col("reject_reason"))).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    breakdown = by_reason.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("reason", "n")))).alias("quarantine_breakdown"))
     return quality_score(tagged).crossJoin(breakdown).select(F.lit(run_id).alias("run_id"), F.lit(table_name).alias("table_name"), F.col("total").alias("total_records"), F.col("clean").alias("clean_records"), (F.col("total") - F.col("clean")).alias("quarantined_records"), F.col("score").alias("quality_score"), "quarantine_breakdown")
 
 

@@ -36,10 +36,13 @@ def flag_iqr(df: DataFrame, bounds: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def flag_zscore(df: DataFrame, columns: list[str], t: float = 3.0, of: DataFrame | None = None) -> DataFrame:
-    """Adds zscore_outliers: names of columns over t sample deviations from the mean; columns without spread are passed over.
+    """Adds zscore_outliers: 'c_zscore=z (val=c deviates > t\u03c3)' of columns over t sample deviations from the mean; columns without spread are passed over.
 
     of: the rows that means and deviations come from; df itself by default.
     """
     one = (df if of is None else of).agg(*[F.avg(c).alias(f"__m_{c}") for c in columns], *[F.stddev_samp(c).alias(f"__s_{c}") for c in columns])
-    hits = [F.when((F.col(f"__s_{c}") > 0) & (F.abs(F.col(c) - F.col(f"__m_{c}")) > t * F.col(f"__s_{c}")), F.lit(f"{c}_zscore")) for c in columns]
+    hits = []
+    for c in columns:
+        z = F.abs(F.col(c) - F.col(f"__m_{c}")) / F.col(f"__s_{c}")
+        hits.append(F.when((F.col(f"__s_{c}") > 0) & (z > t), F.concat(F.lit(f"{c}_zscore="), F.round(z, 2).cast("string"), F.lit(f" (val={c} deviates > {t}\u03c3)"))))
     return df.crossJoin(F.broadcast(one)).withColumn("zscore_outliers", F.array_compact(F.array(*hits))).drop(*one.columns)

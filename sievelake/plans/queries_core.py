@@ -40,7 +40,7 @@ def tagged_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BREAKDOWN = """parts AS (SELECT trim(unnest(regexp_split_to_array(reject_reason, '[;|]'))) AS p FROM tagged WHERE reject_reason IS NOT NULL),
-named AS (SELECT CASE WHEN regexp_matches(p, '^\\w+_zscore\\b') THEN regexp_replace(p, '^(\\w+)_zscore\\b.*$', 'zscore_\\1') WHEN regexp_matches(p, '^\\w+=') THEN regexp_replace(p, '^(\\w+)=.*$', 'outlier_\\1') ELSE p END AS reason FROM parts WHERE p <> '')"""
+named AS (SELECT replace(CASE WHEN contains(p, '=') THEN CASE WHEN split_part(p, '=', 1) LIKE '%\\_zscore' ESCAPE '\\' THEN 'zscore_' || regexp_replace(trim(split_part(p, '=', 1)), '_zscore$', '') ELSE 'outlier_' || trim(split_part(p, '=', 1)) END ELSE p END, '.', '_') AS reason FROM parts WHERE p <> '')"""
 
 
 @query(f"WITH {TAGGED}, {BREAKDOWN} SELECT reason, count(*)::BIGINT AS n FROM named GROUP BY reason")

@@ -153,7 +153,7 @@ def test_zscores_come_after_the_other_rules(spark):
     rows = [(k, 10.0 + k % 3, k) for k in range(40)] + [(100, 60.0, 100), (101, 1e9, 101)]
     spec = TableSpec("t", ["k"], None, [], {"price": (0, 1e6)}, [], zscore=["price"], tie=["r"])
     tagged, _ = run(spark.createDataFrame(rows, "k int, price double, r int"), spec, "r1")
-    assert {r.k: r.reject_reason for r in tagged.filter("zone = 'quarantine'").collect()} == {100: "price_zscore", 101: "out_of_range_price"}
+    assert {r.k: r.reject_reason for r in tagged.filter("zone = 'quarantine'").collect()} == {100: "price_zscore=6.21 (val=price deviates > 3.0\u03c3)", 101: "out_of_range_price"}
 
 
 def test_tree_rules(spark):
@@ -271,3 +271,24 @@ def test_falls_are_anomalies(spark):
     rows = [(f"r{k}", "t", k, 100, 50 + k % 2) for k in range(10)] + [("fall", "t", 10, 100, 1)]
     got = {r.run_id: (r.z, r.is_anomaly) for r in metrics.rate_anomaly(spark.createDataFrame(rows, "run_id string, table_name string, timestamp int, total_records int, quarantined_records int")).collect()}
     assert got["fall"] == (9.9, True) and not got["r9"][1]
+
+
+def test_reasons_are_keys_without_values(spark):
+    texts = {
+        "a; b": ["a", "b"],
+        "missing_date": ["missing_date"],
+        "product_weight_g=40000 (expected [1.0, 9.0])": ["outlier_product_weight_g"],
+        "score_zscore=4.2 (val=score deviates > 3.0)": ["zscore_score"],
+        "a.b=5 | c.d": ["outlier_a_b", "c_d"],
+        "price_zscore": ["price_zscore"],
+        " ; |": ["unknown"],
+        "": ["unknown"],
+        None: ["unknown"],
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "reject_reason string")
+    assert {r.reject_reason: r.k for r in df.select("reject_reason", metrics.reasons_of(F.col("reject_reason")).alias("k")).collect()} == texts
+    rows = spark.createDataFrame([("a; b",), ("a",), (None,)], "reject_reason string")
+    assert {r.reason: r.n for r in metrics.reason_breakdown(rows).collect()} == {"a": 2, "b": 1, "unknown": 1}
+    many = spark.createDataFrame([(f"r{k}",) for k in range(60) for _ in range(60 - k)], "reject_reason string")
+    found = {r.reason: r.n for r in metrics.reason_breakdown(many).collect()}
+    assert len(found) == 51 and found["other_reasons"] == sum(range(1, 11))
