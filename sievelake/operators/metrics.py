@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Names of columns that hold money, in the order tried.
-MONEY = ["total_revenue", "revenue", "total_price", "totalprice", "amount", "price", "cost", "salary", "value"]
+MONEY = ["total_sales", "sales", "revenue", "profit", "price", "amount", "total"]
 
 
 def quality_score(zoned: DataFrame, threshold: float = 80.0) -> DataFrame:
@@ -73,7 +73,9 @@ def reason_breakdown(quarantine: DataFrame, keep: int = 50) -> DataFrame:
 
 
 def money_column(columns: list[str]) -> str | None:
-    return next((c for m in MONEY for c in columns if m in c.lower()), None)
+    """The column whose name, in lower case, is the first of MONEY that there is; of columns with one name the last."""
+    by_name = {c.lower(): c for c in columns}
+    return next((by_name[m] for m in MONEY if m in by_name), None)
 
 
 def financial_value(quarantine: DataFrame) -> DataFrame:
@@ -89,11 +91,18 @@ def freshness(df: DataFrame, date: str, now: str) -> DataFrame:
     return df.agg(newest.alias("newest"), F.round(F.greatest(lag, F.lit(0.0)), 2).alias("lag_hours"))
 
 
-def operational_impact(tagged: DataFrame, weights: dict[str, float], floor: float = 0.2) -> DataFrame:
-    """For each rejected row the greatest weight of the columns its reason names (floor at least), summed, per cent of all rows."""
-    hits = [F.when(F.col("reject_reason").contains(c), F.lit(float(w))).otherwise(0.0) for c, w in weights.items()]
-    weight = F.greatest(F.lit(floor), F.lit(floor), *hits)
-    total = F.sum(F.when(F.col("reject_reason").isNotNull(), weight).otherwise(0.0))
+def operational_impact(tagged: DataFrame, weights: dict[str, float], pk: list[str] = (), date: str | None = None, floor: float = 0.2) -> DataFrame:
+    """For each rejected row the greatest weight of what its reason names (floor at least), summed, per cent of all rows.
+
+    Reasons of keys and duplicates weigh as the first key column (1.0 without a
+    weight), those of dates as the date column (0.5); other columns by their
+    names. Null and empty reasons weigh nothing.
+    """
+    r = F.col("reject_reason")
+    own = [(r.contains("primary") | r.contains("duplicate"), weights.get(pk[0], 1.0) if pk else 1.0), (r.contains("date"), weights.get(date, 0.5) if date else 0.5)]
+    own += [(r.contains(c), w) for c, w in weights.items() if c not in pk and c != date]
+    weight = F.greatest(F.lit(floor), F.lit(floor), *[F.when(hit, F.lit(float(w))).otherwise(0.0) for hit, w in own])
+    total = F.sum(F.when(r.isNotNull() & (r != ""), weight).otherwise(0.0))
     return tagged.agg(F.round(F.when(F.count("*") > 0, 100 * total / F.greatest(F.count("*"), F.lit(1))).otherwise(0.0), 4).alias("operational_impact"))
 
 

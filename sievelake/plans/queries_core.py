@@ -75,9 +75,9 @@ def quarantined_value(spark, sf_dir):
     return metrics.financial_value(tagged_orders(spark, sf_dir).filter("zone = 'quarantine'").select("price"))
 
 
-@query(f"WITH {TAGGED}, w AS (SELECT CASE WHEN reject_reason IS NULL THEN 0.0 ELSE greatest(0.2, CASE WHEN contains(reject_reason, 'primary_key') THEN 1.0 ELSE 0 END, CASE WHEN contains(reject_reason, 'date') THEN 0.8 ELSE 0 END, CASE WHEN contains(reject_reason, 'price') THEN 0.5 ELSE 0 END) END::DOUBLE AS w FROM tagged) SELECT round(100 * sum(w) / count(*), 4) AS operational_impact FROM w")
+@query(f"WITH {TAGGED}, w AS (SELECT CASE WHEN coalesce(reject_reason, '') = '' THEN 0.0 ELSE greatest(0.2, CASE WHEN contains(reject_reason, 'primary') OR contains(reject_reason, 'duplicate') THEN 0.9 ELSE 0 END, CASE WHEN contains(reject_reason, 'date') THEN 0.5 ELSE 0 END, CASE WHEN contains(reject_reason, 'price') THEN 0.4 ELSE 0 END) END::DOUBLE AS w FROM tagged) SELECT round(100 * sum(w) / count(*), 4) AS operational_impact FROM w")
 def operational_impact(spark, sf_dir):
-    return metrics.operational_impact(tagged_orders(spark, sf_dir), {"primary_key": 1.0, "date": 0.8, "price": 0.5})
+    return metrics.operational_impact(tagged_orders(spark, sf_dir), {"order_key": 0.9, "price": 0.4}, ORDERS.pk, ORDERS.date)
 
 
 @query(f"WITH {DIRTY} SELECT max(order_date) AS newest, round(greatest(date_diff('second', max(order_date), TIMESTAMP '2030-01-01') / 3600.0, 0.0), 2) AS lag_hours FROM dirty")

@@ -292,3 +292,18 @@ def test_reasons_are_keys_without_values(spark):
     many = spark.createDataFrame([(f"r{k}",) for k in range(60) for _ in range(60 - k)], "reject_reason string")
     found = {r.reason: r.n for r in metrics.reason_breakdown(many).collect()}
     assert len(found) == 51 and found["other_reasons"] == sum(range(1, 11))
+
+
+def test_operational_impact(spark):
+    rows = [("missing_primary_key",), ("duplicate_records",), ("missing_date",), ("out_of_range_price",), ("out_of_range_qty; missing_date",), ("other",), ("",), (None,)]
+    df = spark.createDataFrame(rows, "reject_reason string")
+    percent = lambda *weights: round(100 * sum(weights) / 8, 4)
+    assert metrics.operational_impact(df, {}).first()[0] == percent(1.0, 1.0, 0.5, 0.2, 0.5, 0.2)
+    assert metrics.operational_impact(df, {"id": 0.6, "day": 0.3, "price": 0.8, "qty": 0.7}, ["id"], "day").first()[0] == percent(0.6, 0.6, 0.3, 0.8, 0.7, 0.2)
+
+
+def test_financial_value(spark):
+    df = spark.createDataFrame([("1.5", 2.0, 9.0), ("x", 3.0, 9.0)], "Sales string, price double, total_price double")
+    assert metrics.financial_value(df).first()[0] == 1.5
+    assert metrics.financial_value(df.select("price", "total_price")).first()[0] == 5.0
+    assert metrics.financial_value(df.select("total_price")).first()[0] == 0.0
