@@ -31,14 +31,16 @@ def error_patterns(runs: DataFrame) -> DataFrame:
 
 
 def financial_impact(runs: DataFrame) -> DataFrame:
-    """Value held back by day, else rows times a fixed cost; running total and the table hit most."""
-    value = F.when(F.col("quarantined_financial_value") > 0, F.col("quarantined_financial_value")).otherwise(F.col("quarantined_records") * float(COST_OF_ROW))
-    priced = _dated(runs).withColumn("impact", value).withColumn("real", (F.col("quarantined_financial_value") > 0).cast("int"))
-    # Rounded first, so that the running total does not depend on the order of addition.
-    by_table = priced.groupBy("date", "table_name").agg(F.round(F.sum("impact"), 2).alias("impact"), F.max("real").alias("real"))
-    by_day = by_table.groupBy("date").agg(F.round(F.sum("impact"), 2).alias("impact"), F.max("real").alias("real"), F.max_by("table_name", F.struct("impact", "table_name")).alias("most_impacted"))
+    """Value held back by day: what runs state, else rows times a fixed cost; where it comes from, the running total, and the table with most rows held back (of equals that of the day's earliest run)."""
+    stated = F.coalesce(F.col("quarantined_financial_value") != 0, F.lit(False))
+    priced = _dated(runs).select("date", "table_name", "timestamp", F.col("quarantined_records").alias("rows"), F.when(stated, F.col("quarantined_financial_value")).otherwise(0.0).alias("real"), F.when(stated, 0.0).otherwise(F.col("quarantined_records") * float(COST_OF_ROW)).alias("estimated"), stated.cast("int").alias("stated"))
+    by_table = priced.groupBy("date", "table_name").agg(F.sum("rows").alias("rows"), F.min("timestamp").alias("first"), F.sum("real").alias("real"), F.sum("estimated").alias("estimated"), F.max("stated").alias("stated"))
+    order = F.struct(-F.col("rows"), "first", "table_name")
+    by_day = by_table.groupBy("date").agg(F.sum("rows").alias("quarantined"), F.round(F.sum("real") + F.sum("estimated"), 2).alias("impact"), F.max("stated").alias("stated"), F.sum("estimated").alias("estimated"), F.min_by("table_name", order).alias("most_impacted"))
+    source = F.when((F.col("stated") == 1) & (F.col("estimated") == 0), "real_financial_value").when(F.col("stated") == 1, "mixed").otherwise("flat_estimate")
+    # Days are rounded first, so that the running total does not depend on the order of addition.
     running = F.sum("impact").over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
-    return by_day.select("date", "impact", F.when(F.col("real") == 1, "actual").otherwise("estimated").alias("source"), F.round(running, 2).alias("cumulative"), "most_impacted")
+    return by_day.select("date", "quarantined", "impact", source.alias("source"), F.round(running, 2).alias("cumulative"), "most_impacted")
 
 
 def schema_drift(drifts: DataFrame) -> DataFrame:

@@ -84,34 +84,104 @@ def _normal_cdf(x: Column) -> Column:
 
 
 def projection(runs: DataFrame, last: int = 10, ahead: int = 7, sla: float = 95.0, crisis: float = 90.0) -> DataFrame:
-    """A line through the last scores of each table over days: forecast, stability and the chance to fall under the agreed level."""
-    nth = F.row_number().over(Window.partitionBy("table_name").orderBy(F.desc("timestamp"), F.desc("run_id")))
-    recent = runs.withColumn("nth", nth).filter(F.col("nth") <= last).withColumn("day", F.datediff("timestamp", F.lit("1990-01-01").cast("date")))
-    fit = recent.groupBy("table_name").agg(F.regr_slope("quality_score", "day").alias("slope"), F.regr_intercept("quality_score", "day").alias("at0"), F.max("day").alias("today"), F.coalesce(F.stddev_samp("quality_score"), F.lit(0.0)).alias("sd"), F.count("*").alias("n"))
-    raw = F.col("at0") + F.col("slope") * (F.col("today") + ahead)
-    forecast = F.least(F.greatest(raw, F.lit(0.0)), F.lit(100.0))
-    band = F.col("sd") * (1 + 0.1 * ahead)
-    breach = _normal_cdf((sla - forecast) / F.greatest(F.col("sd"), F.lit(0.01)))
-    days = F.when(F.col("slope") < 0, F.ceil((crisis - (F.col("at0") + F.col("slope") * F.col("today"))) / F.col("slope")))
-    return fit.select("table_name", F.round("slope", 6).alias("slope"), F.round(forecast, 4).alias("forecast"), F.round(F.greatest(forecast - band, F.lit(0.0)), 4).alias("low"), F.round(F.least(forecast + band, F.lit(100.0)), 4).alias("high"), F.round(F.greatest(F.lit(0.0), 100 - 10 * F.col("sd")), 4).alias("stability"), F.round(breach, 4).alias("breach"), F.when(days > 0, days).cast("long").alias("crisis_in_days"))
+    """A line through the last scores of each table, over days, and what it says of each of the next days.
+
+    Days are counted from the first of the scores with their fractions; scores
+    of one moment are taken a day apart. The band is the regression's standard
+    error (of n - 2; sqrt(2) for two scores; 0.5 at least), wider by a fifth
+    a day. Stability falls by 4 for each point of the scores' deviation, to 5
+    at least. The chance to miss `sla` is 99.9 where the newest score does, else
+    the greatest of any day's, within 0.1 and 99.9. Days until a crisis count
+    to the first forecast under `crisis` (`ahead` without one). Tables with one
+    run have no line and no rows.
+    """
+    w = Window.partitionBy("table_name")
+    newest = w.orderBy(F.desc("timestamp"), F.desc("run_id"))
+    recent = runs.withColumn("nth", F.row_number().over(newest)).filter(F.col("nth") <= last)
+    days = (F.unix_micros("timestamp") - F.min(F.unix_micros("timestamp")).over(w)) / 86_400e6
+    spread = F.max(F.unix_micros("timestamp")).over(w) > F.min(F.unix_micros("timestamp")).over(w)
+    placed = recent.withColumn("x", F.when(spread, days).otherwise((F.max("nth").over(w) - F.col("nth")).cast("double")))
+    y = F.col("quality_score").cast("double")
+    points = placed.groupBy("table_name").agg(F.array_sort(F.collect_list(F.struct("x", "nth", y.alias("y")))).alias("p"), F.count("*").cast("double").alias("n"), F.max("x").alias("today"), F.min_by(y, "nth").alias("newest"))
+    total = lambda term: F.aggregate("p", F.lit(0.0), lambda a, e: a + term(e))
+    sums = points.filter("n >= 2").select("*", total(lambda e: e.x).alias("sx"), total(lambda e: e.y).alias("sy"), total(lambda e: e.x * e.x).alias("sxx"), total(lambda e: e.x * e.y).alias("sxy"))
+    across = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
+    line = sums.withColumn("slope", F.when(across != 0, (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / across).otherwise(-0.5))
+    line = line.withColumn("at0", (F.col("sy") - F.col("slope") * F.col("sx")) / F.col("n")).withColumn("mean", F.col("sy") / F.col("n"))
+    sse = F.aggregate("p", F.lit(0.0), lambda a, e: a + F.pow(e.y - (F.col("slope") * e.x + F.col("at0")), F.lit(2.0)))
+    sd = F.sqrt(F.aggregate("p", F.lit(0.0), lambda a, e: a + F.pow(e.y - F.col("mean"), F.lit(2.0))) / F.col("n"))
+    error = F.greatest(F.sqrt(F.when(F.col("n") > 2, sse / (F.col("n") - 2)).otherwise(2.0)), F.lit(0.5))
+    line = line.withColumn("error", error).withColumn("stability", F.greatest(F.lit(5.0), F.least(F.lit(100.0), 100 - 4 * sd)))
+    each = line.select("*", F.explode(F.sequence(F.lit(1), F.lit(ahead))).alias("day"))
+    value = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("at0") + (F.col("today") + F.col("day")) * F.col("slope")))
+    each = each.withColumn("value", value).withColumn("projected", F.round("value", 2)).withColumn("margin", F.col("error") * (1 + 0.2 * F.col("day")))
+    chance = F.max(1 - _normal_cdf((F.col("projected") - sla) / F.col("error"))).over(w)
+    breach = F.when(F.col("newest") < sla, 99.9).otherwise(F.greatest(F.lit(0.1), F.least(F.lit(99.9), 100 * chance)))
+    first = F.min(F.when(F.col("projected") < crisis, F.struct("day", "projected"))).over(w)
+    severity = F.when(first.isNull(), "LOW").when(first["projected"] < 80, "CRITICAL").otherwise("WARNING")
+    part = F.when(first.isNull(), "None").when(F.col("slope") < -1, "Ingestion Pipeline Gateway").otherwise("Data Quality Validation Layer")
+    return each.select(
+        "table_name", "day", "projected", F.round(F.greatest(F.lit(0.0), F.col("value") - F.col("margin")), 2).alias("low"), F.round(F.least(F.lit(100.0), F.col("value") + F.col("margin")), 2).alias("high"), F.round("slope", 3).alias("slope"),
+        F.round("stability", 1).alias("stability"), F.round(breach, 1).alias("breach"), F.coalesce(first["day"], F.lit(ahead)).alias("days_until_crisis"), part.alias("impacted"), severity.alias("severity"),
+    )
+
+
+#: Categories of reasons by how they begin, by what they are, by a part of them, and all others.
+PREFIXES = [
+    ("outlier_", "ค่าผิดปกติ (IQR)"),
+    ("zscore_", "ค่าผิดปกติ (Z-score)"),
+    ("out_of_range_", "ค่านอกช่วงที่กำหนด"),
+    ("null_value_in_", "ค่าว่าง"),
+    ("invalid_type_", "ชนิดข้อมูลไม่ถูกต้อง"),
+]
+EXACT = [
+    ("missing_primary_key", "คีย์หลักว่าง"),
+    ("missing_date", "วันที่ว่าง"),
+    ("induced_tree_rule_match", "ตรงกฎที่ระบบเรียนรู้"),
+    ("other_reasons", "เหตุผลอื่น ๆ"),
+]
+DUPLICATE, DRIFTED, UNNAMED, OTHER = "ข้อมูลซ้ำ", "โครงสร้างข้อมูลเปลี่ยน", "ถูกกักกัน (ไม่ระบุเหตุผล)", "อื่น ๆ"
 
 
 def clusters(runs: DataFrame) -> DataFrame:
-    """Reasons of all runs by category and column, and their share."""
+    """Reasons of each table's newest run: category, the column they name, rows, per cent of the run's reasons and place.
+
+    Reasons that hold a value (a = in them) are one for each column. A run that
+    held rows back without a reason has the reason quarantined_<table>.
+    """
+    newest = latest_per(runs, "table_name")
+    unnamed = F.create_map(F.concat(F.lit("quarantined_"), "table_name"), F.col("quarantined_records").cast("long"))
+    parts = F.when(F.size("quarantine_breakdown") > 0, F.col("quarantine_breakdown").cast("map<string,bigint>")).when(F.col("quarantined_records") > 0, unnamed)
+    name = F.trim(F.substring_index("raw", "=", 1))
+    zscore = F.concat(F.lit("zscore_"), F.regexp_replace(name, "_zscore$", ""))
+    reason = F.when(F.col("raw").contains("="), F.when(name.endswith("_zscore"), zscore).otherwise(F.concat(F.lit("outlier_"), name))).otherwise(F.trim("raw"))
+    counts = newest.select("table_name", F.explode(parts).alias("raw", "k")).groupBy("table_name", reason.alias("reason")).agg(F.sum("k").alias("n"))
     r = F.col("reason")
-    category = F.when(r.contains("null") | r.contains("missing"), "completeness").when(r.contains("outlier") | r.contains("zscore"), "outlier").when(r.contains("range"), "validity").when(r.contains("duplicate"), "uniqueness").otherwise("other")
-    column = F.nullif(F.regexp_extract(r, r"(?:null_value_in|outlier|zscore|out_of_range|invalid_type)_(\w+)$", 1), F.lit(""))
-    counts = runs.select(F.explode("quarantine_breakdown").alias("reason", "n")).groupBy("reason").agg(F.sum("n").alias("n"))
-    return counts.select("reason", category.alias("category"), column.alias("column"), "n", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), 4).alias("share"))
-
-
-def cost_of_poor_data(runs: DataFrame) -> DataFrame:
-    """Correction (2 a row), lost opportunity (the value held back, else 50 for 5 % of rows) and risk (rows times severity of the score)."""
-    severity = F.when(F.col("quality_score") < 80, 3.0).when(F.col("quality_score") < 95, 2.0).otherwise(1.0)
-    q = F.col("quarantined_records")
-    value = F.col("quarantined_financial_value")
-    each = runs.select("table_name", (q * 2.0).alias("correction"), F.when(value > 0, value).otherwise(q * 0.05 * 50).alias("opportunity"), (q * severity).alias("risk"), q.alias("rows"), "total_records")
-    return each.groupBy("table_name").agg(*[F.round(F.sum(c), 2).alias(c) for c in ("correction", "opportunity", "risk")], F.round(100 * F.sum("rows") / F.sum("total_records"), 4).alias("kpi_impact_pct"))
+    kinds = [F.when(r.startswith(p), F.struct(F.lit(c).alias("category"), F.substring(r, len(p) + 1, 1 << 20).alias("column"))) for p, c in PREFIXES]
+    rest = F.coalesce(*[F.when(r == k, F.lit(c)) for k, c in EXACT], F.when(r.startswith("duplicate"), F.lit(DUPLICATE)), F.when(r.contains("drift"), F.lit(DRIFTED)), F.when(r.startswith("quarantined_"), F.lit(UNNAMED)), F.lit(OTHER))
+    kind = F.coalesce(*kinds, F.struct(rest.alias("category"), F.lit(None).cast("string").alias("column")))
+    w = Window.partitionBy("table_name")
+    return counts.select("table_name", F.row_number().over(w.orderBy(F.desc("n"), "reason")).alias("place"), "reason", kind["category"].alias("category"), kind["column"].alias("column"), "n", F.round(100 * F.col("n") / F.sum("n").over(w), 1).alias("share"))
+
+
+def cost_of_poor_data(runs: DataFrame, drifts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """What rows held back cost in all (or for each of `by`): correction (2 a row), lost opportunity, risk, and how far they bend two indicators.
+
+    Opportunity is the value held back, or 50 for one row in twenty where there
+    is none, both as whole numbers of the total. Risk is the rows times the
+    severity of the newest run with a drift (drifts: run_id, timestamp,
+    severity), 1 without one.
+    """
+    newest = drifts.groupBy("run_id").agg(F.max("timestamp").alias("at"), F.sum("severity").alias("severity")).agg(F.max_by("severity", F.struct("at", "run_id")).alias("drift"))
+    q, v = F.coalesce(F.sum("quarantined_records"), F.lit(0)), F.coalesce(F.sum("quarantined_financial_value"), F.lit(0.0))
+    total = F.coalesce(F.sum("total_records"), F.lit(0))
+    sums = runs.groupBy(*by).agg(q.alias("rows"), v.alias("value"), F.when(total == 0, 1).otherwise(total).alias("total")).crossJoin(F.broadcast(newest))
+    rate = 100 * F.col("rows") / F.col("total")
+    opportunity = F.when(F.col("value") > 0, F.col("value").cast("long")).otherwise((F.col("rows") * 0.05 * 50).cast("long"))
+    sales, stock = F.round(rate * 0.8, 2), F.round(F.when(F.col("drift").isNotNull(), F.col("drift") * rate * 0.3).otherwise(rate * 0.4), 2)
+    costs = sums.select(*by, (F.col("rows") * 2).alias("correction"), opportunity.alias("opportunity"), (F.col("rows") * F.coalesce("drift", F.lit(1))).alias("risk"), sales.alias("sales_impact_pct"), stock.alias("inventory_impact_pct"))
+    status = [F.when(F.col("sales_impact_pct") < 10, "WARN").otherwise("CRITICAL").alias("sales_status"), F.when(F.col("inventory_impact_pct") > 5, "CRITICAL").otherwise("OK").alias("inventory_status")]
+    return costs.select("*", (F.col("correction") + F.col("opportunity") + F.col("risk")).alias("total"), *status)
 
 
 def reconciliation(runs: DataFrame) -> DataFrame:

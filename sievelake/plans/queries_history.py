@@ -68,11 +68,11 @@ def gold_error_patterns(spark, sf_dir):
     return gold.error_patterns(run_history(spark, sf_dir))
 
 
-IMPACT = """i AS (SELECT "timestamp"::DATE AS date, table_name, round(CASE WHEN quarantined_financial_value > 0 THEN quarantined_financial_value ELSE quarantined_records * 11.0 END, 2)::DOUBLE AS impact, (quarantined_financial_value > 0)::INT AS real FROM runs),
-d AS (SELECT date, round(sum(impact), 2) AS impact, max(real) AS real, max_by(table_name, (impact, table_name)) AS most_impacted FROM i GROUP BY 1)"""
+IMPACT = """i AS (SELECT "timestamp"::DATE AS date, table_name, sum(quarantined_records) AS held, min("timestamp") AS first, sum(CASE WHEN quarantined_financial_value <> 0 THEN quarantined_financial_value ELSE 0.0 END)::DOUBLE AS real, sum(CASE WHEN quarantined_financial_value <> 0 THEN 0.0 ELSE quarantined_records * 11.0 END)::DOUBLE AS estimated, max((quarantined_financial_value <> 0)::INT) AS stated FROM runs GROUP BY 1, 2),
+d AS (SELECT date, sum(held)::BIGINT AS quarantined, round(sum(real) + sum(estimated), 2) AS impact, max(stated) AS stated, sum(estimated) AS estimated, min_by(table_name, (-held, first, table_name)) AS most_impacted FROM i GROUP BY 1)"""
 
 
-@query(f"WITH {RUNS}, {IMPACT} SELECT date, impact, CASE WHEN real = 1 THEN 'actual' ELSE 'estimated' END AS source, round(sum(impact) OVER (ORDER BY date), 2) AS cumulative, most_impacted FROM d")
+@query(f"WITH {RUNS}, {IMPACT} SELECT date, quarantined, impact, CASE WHEN stated = 1 AND estimated = 0 THEN 'real_financial_value' WHEN stated = 1 THEN 'mixed' ELSE 'flat_estimate' END AS source, round(sum(impact) OVER (ORDER BY date), 2) AS cumulative, most_impacted FROM d")
 def gold_financial_impact(spark, sf_dir):
     return gold.financial_impact(run_history(spark, sf_dir))
 
@@ -136,20 +136,26 @@ def score_series(spark, sf_dir):
     return history.score_series(run_history(spark, sf_dir), ["orders", "lineitem", "events"])
 
 
-CDF = "CASE WHEN x >= 0 THEN 0.5 * (1 + erf) ELSE 0.5 * (1 - erf) END"
-
-
-@query(f"""WITH {RUNS}, r AS (SELECT *, date_diff('day', DATE '1990-01-01', "timestamp"::DATE) AS day FROM (SELECT *, row_number() OVER (PARTITION BY table_name ORDER BY "timestamp" DESC, run_id DESC) AS nth FROM runs) WHERE nth <= 10),
-f AS (SELECT table_name, regr_slope(quality_score, day) AS slope, regr_intercept(quality_score, day) AS at0, max(day) AS today, coalesce(stddev_samp(quality_score), 0.0) AS sd FROM r GROUP BY 1),
-g AS (SELECT *, least(greatest(at0 + slope * (today + 7), 0.0), 100.0) AS forecast FROM f), h AS (SELECT *, (95.0::DOUBLE - forecast) / greatest(sd, 0.01) AS x FROM g), u AS (SELECT *, abs(x) / sqrt(2.0) AS z FROM h), v AS (SELECT *, 1 / (1 + 0.3275911::DOUBLE * z) AS t FROM u),
-w AS (SELECT *, 1 - (((((1.061405429::DOUBLE * t - 1.453152027::DOUBLE) * t) + 1.421413741::DOUBLE) * t - 0.284496736::DOUBLE) * t + 0.254829592::DOUBLE) * t * exp(-z * z) AS erf FROM v)
-SELECT table_name, round(slope, 6) AS slope, round(forecast, 4) AS forecast, round(greatest(forecast - sd * 1.7::DOUBLE, 0.0), 4) AS low, round(least(forecast + sd * 1.7::DOUBLE, 100.0), 4) AS high, round(greatest(0.0, 100 - 10 * sd), 4) AS stability, round({CDF}, 4) AS breach, CASE WHEN slope < 0 AND ceil((90.0 - (at0 + slope * today)) / slope) > 0 THEN ceil((90.0 - (at0 + slope * today)) / slope)::BIGINT END AS crisis_in_days FROM w""")
+@query(f"""WITH {RUNS}, r AS (SELECT *, row_number() OVER (PARTITION BY table_name ORDER BY "timestamp" DESC, run_id DESC) AS nth FROM runs QUALIFY nth <= 10),
+t AS (SELECT *, (epoch_us("timestamp") - min(epoch_us("timestamp")) OVER w) / 86400000000.0::DOUBLE AS d, max("timestamp") OVER w > min("timestamp") OVER w AS spread, max(nth) OVER w AS most FROM r WINDOW w AS (PARTITION BY table_name)),
+x AS (SELECT table_name, nth, quality_score AS y, CASE WHEN spread THEN d ELSE (most - nth)::DOUBLE END AS x FROM t),
+a AS (SELECT table_name, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy, max(x) AS today, min_by(y, nth) AS newest FROM x GROUP BY 1 HAVING count(*) >= 2),
+l AS (SELECT *, CASE WHEN n * sxx - sx * sx <> 0 THEN (n * sxy - sx * sy) / (n * sxx - sx * sx) ELSE -0.5 END AS slope FROM a), m AS (SELECT *, (sy - slope * sx) / n AS at0, sy / n AS mean FROM l),
+e AS (SELECT table_name, n, slope, at0, today, newest, greatest(5.0, least(100.0, 100 - 4 * sqrt(sum((y - mean) ** 2) / n))) AS stability, greatest(sqrt(CASE WHEN n > 2 THEN sum((y - slope * x - at0) ** 2) / (n - 2) ELSE 2.0 END), 0.5)::DOUBLE AS error FROM m JOIN x USING (table_name) GROUP BY table_name, n, slope, at0, today, newest),
+v AS (SELECT *, greatest(0.0, least(100.0, at0 + (today + day) * slope)) AS value, error * (1 + 0.2::DOUBLE * day) AS margin FROM e, range(1, 8) d(day)),
+z AS (SELECT *, round(value, 2) AS projected, abs(round(value, 2) - 95) / error / sqrt(2.0) AS z FROM v), u AS (SELECT *, 1 / (1 + 0.3275911::DOUBLE * z) AS t FROM z),
+w AS (SELECT *, 1 - (((((1.061405429::DOUBLE * t - 1.453152027::DOUBLE) * t) + 1.421413741::DOUBLE) * t - 0.284496736::DOUBLE) * t + 0.254829592::DOUBLE) * t * exp(-z * z) AS erf FROM u),
+c AS (SELECT table_name, max(CASE WHEN projected >= 95 THEN 0.5 * (1 - erf) ELSE 0.5 * (1 + erf) END) AS chance, min(day) FILTER (projected < 90) AS crisis, min_by(projected, day) FILTER (projected < 90) AS low FROM w GROUP BY 1)
+SELECT table_name, day::INTEGER AS day, projected, round(greatest(0.0, value - margin), 2) AS low, round(least(100.0, value + margin), 2) AS high, round(slope, 3) AS slope, round(stability, 1) AS stability, round(CASE WHEN newest < 95 THEN 99.9 ELSE greatest(0.1, least(99.9, 100 * chance)) END, 1)::DOUBLE AS breach, coalesce(crisis, 7)::INTEGER AS days_until_crisis,
+  CASE WHEN crisis IS NULL THEN 'None' WHEN slope < -1 THEN 'Ingestion Pipeline Gateway' ELSE 'Data Quality Validation Layer' END AS impacted, CASE WHEN crisis IS NULL THEN 'LOW' WHEN c.low < 80 THEN 'CRITICAL' ELSE 'WARNING' END AS severity FROM w JOIN c USING (table_name)""")
 def quality_projection(spark, sf_dir):
     return history.projection(run_history(spark, sf_dir))
 
 
-CLUSTERS = """c AS (SELECT reason, sum(n)::BIGINT AS n FROM run_reasons GROUP BY 1),
-clusters AS (SELECT reason, CASE WHEN contains(reason, 'null') OR contains(reason, 'missing') THEN 'completeness' WHEN contains(reason, 'outlier') THEN 'outlier' WHEN contains(reason, 'range') THEN 'validity' WHEN contains(reason, 'duplicate') THEN 'uniqueness' ELSE 'other' END AS category, nullif(regexp_extract(reason, '(null_value_in|outlier|zscore|out_of_range|invalid_type)_(\\w+)$', 2), '') AS "column", n, round(100.0 * n / sum(n) OVER (), 4) AS share FROM c)"""
+CLUSTERS = f"""newest AS (SELECT table_name, max("timestamp") AS month, max_by(quarantined_records, "timestamp") AS held FROM runs GROUP BY 1),
+c AS (SELECT table_name, reason, n FROM run_reasons JOIN newest USING (table_name, month) UNION ALL SELECT table_name, 'quarantined_' || table_name, held FROM newest ANTI JOIN run_reasons USING (table_name, month) WHERE held > 0),
+k AS (SELECT *, CASE {' '.join(f"WHEN starts_with(reason, '{p}') THEN '{c}'" for p, c in history.PREFIXES)} {' '.join(f"WHEN reason = '{p}' THEN '{c}'" for p, c in history.EXACT)} WHEN starts_with(reason, 'duplicate') THEN '{history.DUPLICATE}' WHEN contains(reason, 'drift') THEN '{history.DRIFTED}' WHEN starts_with(reason, 'quarantined_') THEN '{history.UNNAMED}' ELSE '{history.OTHER}' END AS category FROM c),
+clusters AS (SELECT table_name, (row_number() OVER (PARTITION BY table_name ORDER BY n DESC, reason))::INTEGER AS place, reason, category, nullif(regexp_extract(reason, '^(outlier_|zscore_|out_of_range_|null_value_in_|invalid_type_)(.*)$', 2), '') AS "column", n, round(100.0 * n / sum(n) OVER (PARTITION BY table_name), 1) AS share FROM k)"""
 
 
 @query(f"WITH {RUNS}, {CLUSTERS} SELECT * FROM clusters")
@@ -157,9 +163,14 @@ def reason_clusters(spark, sf_dir):
     return history.clusters(run_history(spark, sf_dir))
 
 
-@query(f"WITH {RUNS} SELECT table_name, round(sum(quarantined_records * 2.0::DOUBLE), 2) AS correction, round(sum(CASE WHEN quarantined_financial_value > 0 THEN quarantined_financial_value ELSE quarantined_records * 2.5::DOUBLE END), 2) AS opportunity, round(sum(quarantined_records * CASE WHEN quality_score < 80 THEN 3.0 WHEN quality_score < 95 THEN 2.0 ELSE 1.0 END::DOUBLE), 2) AS risk, round(100.0 * sum(quarantined_records) / sum(total_records), 4) AS kpi_impact_pct FROM runs GROUP BY 1")
+COSTS = """newest_drift AS (SELECT max_by(severity, (seen, run_id)) AS drift FROM (SELECT run_id, max("timestamp") AS seen, sum(severity)::BIGINT AS severity FROM drifts GROUP BY 1)),
+sums AS (SELECT coalesce(sum(quarantined_records), 0)::BIGINT AS held, coalesce(sum(quarantined_financial_value), 0.0) AS value, coalesce(nullif(sum(total_records), 0), 1) AS total FROM runs),
+costs AS (SELECT held * 2 AS correction, CASE WHEN value > 0 THEN trunc(value) ELSE trunc(held * 0.05 * 50) END::BIGINT AS opportunity, held * coalesce(drift, 1) AS risk, round(100.0 * held / total * 0.8, 2)::DOUBLE AS sales_impact_pct, round(CASE WHEN drift IS NOT NULL THEN drift * (100.0 * held / total) * 0.3 ELSE 100.0 * held / total * 0.4 END, 2)::DOUBLE AS inventory_impact_pct FROM sums, newest_drift)"""
+
+
+@query(f"WITH {RUNS}, {DRIFTS}, {COSTS} SELECT *, correction + opportunity + risk AS total, CASE WHEN sales_impact_pct < 10 THEN 'WARN' ELSE 'CRITICAL' END AS sales_status, CASE WHEN inventory_impact_pct > 5 THEN 'CRITICAL' ELSE 'OK' END AS inventory_status FROM costs")
 def cost_of_poor_data(spark, sf_dir):
-    return history.cost_of_poor_data(run_history(spark, sf_dir))
+    return history.cost_of_poor_data(run_history(spark, sf_dir), drift_log(spark, sf_dir))
 
 
 @query(f"WITH {RUNS}, s AS (SELECT *, 100.0 * clean_records / total_records AS share FROM runs) SELECT run_id, total_records AS inbound, clean_records AS delivered, total_records - clean_records AS gap, CASE WHEN share >= 95 THEN 'OK' WHEN share >= 90 THEN 'WARNING' ELSE 'CRITICAL' END AS status, round(share, 4) AS integrity_pct FROM s")

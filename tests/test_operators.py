@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievelake.functions import align
 from sievelake.functions.similarity import hybrid_score
-from sievelake.operators import advise, dash, dedup, evaluate, metrics, outliers, profile, quantiles, repair, semantic, sinks, validate, zones
+from sievelake.operators import advise, dash, dedup, evaluate, gold, history, metrics, outliers, profile, quantiles, repair, semantic, sinks, validate, zones
 from sievelake.plans.quality_run import TableSpec, run
 from sievelake.sources.read import guarded_query, read_jdbc
 
@@ -307,3 +307,52 @@ def test_financial_value(spark):
     assert metrics.financial_value(df).first()[0] == 1.5
     assert metrics.financial_value(df.select("price", "total_price")).first()[0] == 5.0
     assert metrics.financial_value(df.select("total_price")).first()[0] == 0.0
+
+
+RUN = "run_id string, table_name string, timestamp string, total_records long, quarantined_records long, quarantined_financial_value double, quality_score double, quarantine_breakdown map<string,bigint>"
+
+
+def _runs(spark, rows):
+    return spark.createDataFrame(rows, RUN).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+
+
+def test_projection(spark):
+    """A fall of two points a day through 100, 98, 96: under 90 on the fourth day, and the newest run misses no 95."""
+    rows = [(f"r{k}", "t", f"2024-01-0{k + 1}", 10, 0, 0.0, 100.0 - 2 * k, {}) for k in range(3)] + [("x", "one", "2024-01-01", 10, 0, 0.0, 90.0, {})]
+    rows += [(f"s{k}", "same", "2024-01-01", 10, 0, 0.0, s, {}) for k, s in enumerate((90.0, 94.0))]
+    got = history.projection(_runs(spark, rows))
+    falls = got.filter("table_name = 't'").orderBy("day").collect()
+    assert [r.projected for r in falls] == [94.0, 92.0, 90.0, 88.0, 86.0, 84.0, 82.0]
+    assert [(r.low, r.high) for r in falls][:2] == [(93.4, 94.6), (91.3, 92.7)]
+    first = falls[0]
+    assert (first.slope, first.stability, first.breach, first.days_until_crisis, first.impacted, first.severity) == (-2.0, 93.5, 99.9, 4, "Ingestion Pipeline Gateway", "WARNING")
+    rises = got.filter("table_name = 'same'").orderBy("day").collect()
+    assert (rises[0].projected, rises[0].low, rises[0].high, rises[0].slope, rises[0].breach, rises[0].severity) == (98.0, 96.3, 99.7, 4.0, 99.9, "LOW")
+    assert got.filter("table_name = 'one'").count() == 0
+
+
+def test_financial_impact(spark):
+    rows = [("a", "t", "2024-01-01", 10, 5, 40.0, 50.0, {}), ("b", "u", "2024-01-01 05:00:00", 10, 2, 0.0, 80.0, {}), ("c", "u", "2024-01-02", 10, 3, None, 70.0, {}), ("d", "t", "2024-01-03", 10, 1, 7.0, 90.0, {}), ("e", "u", "2024-01-03 01:00:00", 10, 1, 900.0, 90.0, {})]
+    got = [tuple(r) for r in gold.financial_impact(_runs(spark, rows)).orderBy("date").select("quarantined", "impact", "source", "cumulative", "most_impacted").collect()]
+    assert got == [(7, 62.0, "mixed", 62.0, "t"), (3, 33.0, "flat_estimate", 95.0, "u"), (2, 907.0, "real_financial_value", 1002.0, "t")]
+
+
+def test_cost_of_poor_data(spark):
+    runs = _runs(spark, [("a", "t", "2024-01-01", 100, 8, 0.0, 92.0, {}), ("b", "t", "2024-01-02", 100, 12, 0.0, 88.0, {})])
+    none = spark.createDataFrame([], "run_id string, timestamp string, severity int")
+    one = history.cost_of_poor_data(runs, none).first()
+    assert (one.correction, one.opportunity, one.risk, one.total, one.sales_impact_pct, one.inventory_impact_pct, one.sales_status, one.inventory_status) == (40, 50, 20, 110, 8.0, 4.0, "WARN", "OK")
+    drifts = spark.createDataFrame([("a", "2024-01-01", 1), ("b", "2024-01-02", 5), ("b", "2024-01-02", 1)], "run_id string, timestamp string, severity int")
+    one = history.cost_of_poor_data(runs.withColumn("quarantined_financial_value", F.lit(99.9)), drifts).first()
+    assert (one.correction, one.opportunity, one.risk, one.inventory_impact_pct, one.inventory_status) == (40, 199, 120, 18.0, "CRITICAL")
+
+
+def test_reason_clusters(spark):
+    runs = _runs(spark, [("a", "t", "2024-01-01", 10, 9, 0.0, 1.0, {"old": 9}), ("b", "t", "2024-01-02", 10, 8, 0.0, 1.0, {"study=40_0 (expected [1, 2])": 2, "study=41_0": 1, "out_of_range_price": 4, "missing_date": 1}), ("c", "u", "2024-01-01", 10, 3, 0.0, 1.0, {}), ("d", "v", "2024-01-01", 10, 0, 0.0, 1.0, {})])
+    got = [(r.table_name, r.place, r.reason, r.category, r.column, r.n, r.share) for r in history.clusters(runs).orderBy("table_name", "place").collect()]
+    assert got == [
+        ("t", 1, "out_of_range_price", "ค่านอกช่วงที่กำหนด", "price", 4, 50.0),
+        ("t", 2, "outlier_study", "ค่าผิดปกติ (IQR)", "study", 3, 37.5),
+        ("t", 3, "missing_date", "วันที่ว่าง", None, 1, 12.5),
+        ("u", 1, "quarantined_u", "ถูกกักกัน (ไม่ระบุเหตุผล)", None, 3, 100.0),
+    ]
