@@ -7,40 +7,140 @@ from functools import reduce
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import written
 from . import drift, profile
 from .metrics import reasons_of
 
-RULE = "rule_type string, column string, action string, rationale string"
+#: Parts of names whose values have bounds, in the order tried: parts, least and greatest value.
+DOMAINS = [
+    (["age"], 0.0, 120.0),
+    (["score", "humidity", "percent", "rate", "ratio"], 0.0, 100.0),
+    (["price", "salary", "income", "stock", "cost", "revenue", "amount", "fee", "balance"], 0.0, None),
+]
+#: Parts of names that are held to be times.
+TIMES = ["date", "timestamp", "time"]
+
 
+def recommend_rules(df: DataFrame, optional: tuple[str, ...] = (), domains: dict[str, tuple[float, float]] | None = None, k: float = 3.0) -> DataFrame:
+    """Rules that a table's profile calls for: rule_type, column, action, low, high, rationale.
 
-def recommend_rules(df: DataFrame) -> DataFrame:
-    """Rules that a table's profile calls for: uniqueness of identifiers, completeness, ranges by name, fences (3.0), categories, freshness."""
-    p = profile.columns(df)
-    of = lambda where, kind, action, why: p.filter(where).select(F.lit(kind).alias("rule_type"), "column", F.lit(action).alias("action"), why.alias("rationale"))
+    Uniqueness where rows repeat: of the columns named for ids together, or of
+    whole rows; completeness of columns with nulls (optional ones are only
+    reviewed); ranges of numbers by `domains` or by parts of their names; fences
+    of numbers that have values outside Tukey's; categories; freshness.
+    """
+    p = written(profile.columns(df), "profile")
+    ids = [c for c in df.columns if c.lower().endswith("_id") or c.lower() == "id"]
+    keys = ids or df.columns
+    repeated = profile.duplicates(df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in keys]), {"ignoreNullFields": "false"}).alias("key")), []).filter("duplicates > 0")
+    none = F.lit(None).cast("double")
+
+    def of(where: Column, kind: str, action: Column, why: Column, low: Column = none, high: Column = none) -> DataFrame:
+        return p.filter(where).select(F.lit(kind).alias("rule_type"), "column", action.alias("action"), low.alias("low"), high.alias("high"), why.alias("rationale"))
+
+    name, number = F.lower("column"), F.col("kind").isin("Integer", "Float")
+    needed = ~F.col("column").isin(*optional) | name.endswith("_id") | (name == "id") if optional else F.lit(True)
+    known = domains or {}
+    bounds = [F.when(F.col("column") == c, F.struct(F.lit(float(a)).alias("low"), F.lit(float(b)).alias("high"))) for c, (a, b) in known.items()]
+    bounds += [F.when(name.rlike("|".join(parts)), F.struct(F.lit(a).cast("double").alias("low"), F.lit(b).cast("double").alias("high"))) for parts, a, b in DOMAINS]
+    domain = F.coalesce(*bounds)
+    fence = [F.round(F.col("q1") - k * (F.col("q3") - F.col("q1")), 2), F.round(F.col("q3") + k * (F.col("q3") - F.col("q1")), 2)]
     parts = [
-        of("kind = 'Identifier'", "composite_unique", "Quarantine", F.concat(F.format_string("%.2f", "unique_pct"), F.lit(" % distinct"))),
-        of("nulls > 0", "null_check", "Review", F.concat(F.col("nulls").cast("string"), F.lit(" nulls"))),
-        of("kind in ('Float', 'Integer') and q3 > q1", "auto_iqr", "Review", F.concat(F.lit("fence "), F.format_string("%.2f", F.col("q1") - 3 * (F.col("q3") - F.col("q1"))), F.lit(" to "), F.format_string("%.2f", F.col("q3") + 3 * (F.col("q3") - F.col("q1"))))),
-        of("kind = 'Categorical' and n_distinct between 2 and 25", "category_consistency", "Review", F.concat(F.col("n_distinct").cast("string"), F.lit(" categories"))),
-        of("kind = 'Date'", "freshness", "Review", F.lit("dated table")),
-        profile.range_anomalies(df).select(F.lit("range_check").alias("rule_type"), "column", F.lit("Quarantine").alias("action"), F.col("issue").alias("rationale")),
+        repeated.select(F.lit("composite_unique").alias("rule_type"), F.lit(" + ".join(keys)).alias("column"), F.lit("Quarantine").alias("action"), none.alias("low"), none.alias("high"), F.concat(F.col("duplicates").cast("string"), F.lit(" repeated rows")).alias("rationale")),
+        of(F.col("nulls") > 0, "null_check", F.when(needed, "Quarantine").otherwise("Review"), F.concat(F.col("nulls").cast("string"), F.lit(" nulls"))),
+        of(number & domain.isNotNull(), "range_check", F.lit("Quarantine"), F.lit("bounds of what the name says"), domain["low"], domain["high"]),
+        of(number & (F.col("outliers") > 0), "auto_iqr", F.lit("Review"), F.concat(F.col("outliers").cast("string"), F.lit(" outliers")), *fence),
+        of((F.col("kind") == "Categorical") & (F.col("n_distinct") >= 2), "category_consistency", F.lit("Review"), F.concat(F.col("n_distinct").cast("string"), F.lit(" categories"))),
+        of((F.col("kind") == "Date") | name.rlike("|".join(TIMES)), "freshness", F.lit("Warning"), F.lit("dated table")),
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
-def column_roles(df: DataFrame) -> DataFrame:
-    """What a column is for (identifier, time, measure, dimension, text), how it adds up by default, and whether it is personal."""
-    k = profile.kinds(df).crossJoin(F.broadcast(df.agg(F.count("*").alias("rows"))))
-    c, kind = F.lower("column"), F.col("kind")
-    identifier = c.rlike("(^|_)(id|key|code|uuid|no)$|(id|key)$")
+# Words of a column's name, and parts of names, that tell what it is for.
+PERSONAL_WORDS = ["email", "phone", "mobile", "tel", "telephone", "address", "passport", "ssn", "birth", "birthday", "birthdate", "dob"]
+PERSONAL_PARTS = ["email", "idcard", "citizen", "nationalid", "dateofbirth"]
+PERSONS = ["customer", "first", "last", "full", "user", "contact", "person", "employee", "owner", "member", "client", "patient", "student", "given", "family", "middle", "sender", "receiver", "recipient"]
+PERSON_NAMES = ["name", "username", "fullname", "firstname", "lastname", "customername", "surname"]
+PERSONAL_THAI = ["ชื่อลูกค้า", "ชื่อผู้", "ชื่อจริง", "นามสกุล", "ชื่อ-สกุล", "อีเมล", "เบอร์โทร", "ที่อยู่", "บัตรประชาชน", "เลขบัตร"]
+IDENTIFIERS = ["id", "uuid"]
+CODES = ["code", "no", "sku", "key"]
+PERCENTS = ["pct", "percent", "percentage", "rate", "ratio", "score", "margin"]
+MONEY = ["sales", "revenue", "amount", "price", "cost", "profit", "income", "value", "spend"]
+AGES = ["age"]
+COUNTS = ["qty", "quantity", "count", "records", "rows", "units", "items"]
+DURATIONS = {"seconds": "seconds", "secs": "seconds", "sec": "seconds", "duration": "seconds", "minutes": "minutes", "mins": "minutes", "hours": "hours", "hrs": "hours", "lag": "hours", "days": "days"}
+MONEY_THAI = ["ยอด", "ราคา", "ต้นทุน", "กำไร"]
+AGES_THAI = ["อายุ"]
+COUNTS_THAI = ["จำนวน"]
+
+
+def name_words(c: Column) -> Column:
+    """Words of a name in lower case: cut where a capital follows, and at all but Latin and Thai letters and digits."""
+    spaced = F.lower(F.regexp_replace(c, "([a-z0-9])([A-Z])", "$1_$2"))
+    return F.filter(F.split(spaced, "[^a-z0-9\u0e00-\u0e7f]+"), lambda w: w != "")
+
+
+def is_personal(c: Column) -> Column:
+    """Whether a column's name tells of a person."""
+    words, any_part = name_words(c), lambda text, parts: reduce(lambda a, b: a | b, [text.contains(p) for p in parts])
+    joined = F.array_join(words, "")
+    before = F.try_element_at(words, (F.array_position(words, "name") - 1).cast("int"))
+    of_person = (F.array_position(words, "name") > 1) & F.coalesce(before.isin(PERSONS), F.lit(False))
+    return F.arrays_overlap(words, F.array(*map(F.lit, PERSONAL_WORDS))) | any_part(joined, PERSONAL_PARTS) | joined.isin(PERSON_NAMES) | of_person | any_part(c, PERSONAL_THAI)
+
+
+def name_roles(k: DataFrame) -> DataFrame:
+    """k (column, kind, min, max of profile.kinds) with role, unit, duration_unit, default_agg and is_personal: see column_roles."""
+    c, kind, words = F.col("column"), F.col("kind"), name_words(F.col("column"))
+
+    def has(english: list[str], thai: list[str] = ()) -> Column:
+        return reduce(lambda a, b: a | b, [c.contains(t) for t in thai], F.arrays_overlap(words, F.array(*map(F.lit, english))))
+
+    last = F.try_element_at(words, F.lit(-1))
+    identifier = F.coalesce(last.isin(IDENTIFIERS) | (F.try_element_at(words, F.lit(1)) == "id") | (last.isin(CODES) & (kind != "categorical")), F.lit(False))
     role = F.when(identifier, "identifier").when(kind == "date", "time").when(kind == "numeric", "measure").when(kind == "categorical", "dimension").otherwise("text")
-    rate = c.rlike("rate|pct|percent|discount|tax|score|age")
-    unit = F.when(c.rlike("price|amount|cost|revenue|bal"), "currency").when(rate, "ratio").when(c.rlike("qty|quantity|count|size"), "count")
-    personal = F.arrays_overlap(F.split(F.regexp_replace(c, "[^a-z]+", "_"), "_"), F.array(*map(F.lit, ["name", "email", "phone", "address", "ssn", "passport"])))
-    return k.select("column", "kind", role.alias("role"), F.when(role == "measure", unit).alias("unit"), F.when(role == "measure", F.when(rate, "avg").otherwise("sum")).alias("default_agg"), personal.alias("is_personal"))
+    first = F.get(F.filter(words, lambda w: w.isin(*DURATIONS)), F.lit(0))
+    seconds = F.create_map(*[F.lit(x) for pair in DURATIONS.items() for x in pair])[first]
+    percent = has(PERCENTS) & F.coalesce((F.col("min") >= 0) & (F.col("max") <= 100), F.lit(False))
+    unit = F.when(percent, "percent").when(has(MONEY, MONEY_THAI), "currency").when(has(AGES, AGES_THAI), "number").when(has(COUNTS, COUNTS_THAI), "count").when(first.isNotNull(), "duration").otherwise("number")
+    mean = (unit == "percent") | (unit == "duration") | ((unit == "number") & has(AGES, AGES_THAI))
+    out = k.withColumn("role", role)
+    measure = F.col("role") == "measure"
+    return out.withColumns({"unit": F.when(measure, unit), "duration_unit": F.when(measure & (unit == "duration"), seconds), "default_agg": F.when(measure, F.when(mean, "avg").otherwise("sum")), "is_personal": is_personal(c)})
+
+
+def column_roles(df: DataFrame) -> DataFrame:
+    """What a column is for, by the words of its name and its kind: identifier, time, measure (unit, how it adds up by default), dimension or text, and whether it is personal.
+
+    Words of percentages count only where all values are within 0 and 100.
+    """
+    return name_roles(profile.kinds(df)).select("column", "kind", "role", "unit", "duration_unit", "default_agg", "is_personal")
+
+
+def health(df: DataFrame, keys: int = 2, gaps: int = 3, ranges: int = 2) -> DataFrame:
+    """What a steward looks at first: the first few columns like keys, the emptiest ones, and extremes of the first few numbers that are no ids.
+
+    A column is like a key with 90 different values in 100 rows, unless it is a
+    date or a number that is no id. A number is an id by its role
+    (column_roles), or where its extremes are whole and have nine digits
+    or more, or 90 in 100 of its values are different.
+    """
+    place = F.array_position(F.array(*map(F.lit, df.columns)), F.col("column"))
+    p = written(name_roles(profile.kinds(df)).crossJoin(F.broadcast(df.agg(F.count("*").alias("rows")))).withColumn("place", place), "health")
+    dense = (F.col("rows") > 0) & (F.col("n_distinct") >= 0.9 * F.col("rows"))
+    whole = F.coalesce((F.col("min") == F.floor("min")) & (F.col("max") == F.floor("max")), F.lit(False))
+    long = F.greatest(F.abs("min"), F.abs("max")) >= 1e8
+    is_id = (F.col("role") == "identifier") | (whole & (long | dense))
+    number = F.col("kind") == "numeric"
+    key_like = p.filter((F.col("kind") != "date") & dense & (~number | is_id)).orderBy("place").limit(keys).select("column", F.lit("key_like").alias("check"), (100.0 * F.col("n_distinct") / F.col("rows")).alias("value"))
+    share = 100.0 * F.col("missing") / F.col("rows")
+    empty = p.filter("missing > 0").orderBy(share.desc(), "place").limit(gaps).select("column", F.lit("empty_pct").alias("check"), share.alias("value"))
+    first = p.filter(number & ~is_id).orderBy("place").limit(ranges)
+    extremes = first.select("column", F.explode(F.array(*[F.struct(F.lit(f"range_{k}").alias("check"), F.col(k).alias("value")) for k in ("min", "max")])).alias("r")).select("column", "r.check", "r.value")
+    return key_like.union(empty).union(extremes).withColumn("value", F.round("value", 4))
 
 
 #: What a reason points to, by what it contains: cause, suggested rule, confidence.

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +10,6 @@ from ..functions.tables import written
 from .quantiles import distinct_counts, quantiles, value_counts, wide
 
 ALPHA = 0.3
-ID_LIKE = re.compile(r"(^|_)(id|key|code|uuid|no)$|(id|key)$", re.I)
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -78,8 +75,28 @@ def merge_ema(stored: DataFrame, current: DataFrame) -> DataFrame:
     )
 
 
-def columns(df: DataFrame, samples: int = 3) -> DataFrame:
-    """Kind, nulls, distinct values and share of every column, its smallest values as samples, and quartiles and Tukey outliers of numbers."""
+#: Parts of a column's name that make it a date.
+DATED = ["date", "time", "timestamp", "_at", "dob"]
+
+
+def _declared(f: T.StructField) -> str:
+    """What type and name say of a column: Boolean, Identifier, Integer, Float, Date, else String, which its values tell more of."""
+    name = f.name.lower()
+    if isinstance(f.dataType, T.BooleanType):
+        return "Boolean"
+    if name.endswith("_id") or name == "id":
+        return "Identifier"
+    if isinstance(f.dataType, T.NumericType):
+        return "Integer" if isinstance(f.dataType, T.IntegralType) else "Float"
+    return "Date" if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)) or any(k in name for k in DATED) else "String"
+
+
+def columns(df: DataFrame, samples: int = 5) -> DataFrame:
+    """Kind, nulls, distinct values and share of every column, its smallest values as samples, and quartiles and Tukey outliers of numbers.
+
+    Text with 85 different values in 100 (of five rows or more) is an
+    Identifier, else with up to 25 different ones Categorical, else String.
+    """
     numbers = numeric_columns(df)
     spark = df.sparkSession
     wide_df = df
@@ -97,17 +114,15 @@ def columns(df: DataFrame, samples: int = 3) -> DataFrame:
         q1, q3 = (F.first(F.col(f"__q_{f.name}")[k]) if number else F.lit(None).cast("double") for k in (0, 1))
         rows.append(F.struct(F.lit(f.name).alias("column"), total.alias("rows"), F.count(F.when(c.isNull(), 1)).alias("nulls"), F.round(q1, 4).alias("q1"), F.round(q3, 4).alias("q3"), outliers.alias("outliers")))
     stats = _stacked(wide_df, rows)
-    # What the declared type says of a column: Boolean, Date, a number (whole or not), or text.
-    types = [(f.name, "Boolean" if isinstance(f.dataType, T.BooleanType) else "Date" if isinstance(f.dataType, (T.DateType, T.TimestampType)) else ("Integer" if isinstance(f.dataType, T.IntegralType) else "Float") if f.name in numbers else "String", bool(ID_LIKE.search(f.name))) for f in df.schema.fields]
+    types = [(f.name, _declared(f)) for f in df.schema.fields]
     counts = value_counts(df, {c: F.col(f"`{c}`").cast("string") for c in df.columns})
     # The smallest few of each part, then of all: no task holds a column's values.
     nth = F.row_number().over(Window.partitionBy("column").orderBy("value"))
     few = counts.withColumn("nth", nth).filter(F.col("nth") <= samples).groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("samples"))
-    joined = stats.join(F.broadcast(spark.createDataFrame(types, "column string, type string, id_like boolean")), "column").join(distinct_counts(df, df.columns), "column").join(few, "column", "left")
-    unique, d = F.col("n_distinct") / F.greatest("rows", F.lit(1)), F.col("n_distinct")
-    key = F.col("id_like") & (unique >= 0.9) & F.col("type").isin("Integer", "Float", "String")
-    kind = F.when(key, "Identifier").when((F.col("type") == "String") & ((d <= 50) | (unique <= 0.05)), "Categorical").otherwise(F.col("type"))
-    return joined.select("column", kind.alias("kind"), "nulls", "n_distinct", F.round(100 * unique, 4).alias("unique_pct"), "q1", "q3", "outliers", F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))
+    joined = stats.join(F.broadcast(spark.createDataFrame(types, "column string, type string")), "column").join(distinct_counts(df, df.columns), "column").join(few, "column", "left")
+    unique = F.when(F.col("rows") > 0, F.round(100 * F.col("n_distinct") / F.col("rows"), 2)).otherwise(0.0)
+    text = F.when((unique >= 85) & (F.col("rows") >= 5), "Identifier").when((F.col("n_distinct") <= 25) & (F.col("rows") > 0), "Categorical").otherwise("String")
+    return joined.select("column", F.when(F.col("type") == "String", text).otherwise(F.col("type")).alias("kind"), "nulls", "n_distinct", unique.alias("unique_pct"), "q1", "q3", "outliers", F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))
 
 
 def top_categories(df: DataFrame, names: list[str], k: int = 10) -> DataFrame:
@@ -127,13 +142,20 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     return listed.join(counts, F.col("key") == F.col("column"), "left").select("key", F.coalesce("duplicates", F.lit(0)).cast("long").alias("duplicates"))
 
 
+#: Parts of names whose values are held against a range.
+RANGE_MONEY = ["price", "salary", "income", "stock", "cost", "revenue", "amount"]
+RANGE_AGE = ["age"]
+RANGE_PERCENT = ["humidity", "percentage", "rate"]
+
+
 def range_anomalies(df: DataFrame) -> DataFrame:
-    """Columns whose values do not suit their names: money under 0, ages over 120, percentages outside 0 to 100."""
+    """Columns whose values do not suit their names, by parts of these: money under 0, else ages over 120, else percentages outside 0 to 100."""
     rows = [F.struct(F.lit(c).alias("column"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max")) for c in numeric_columns(df)]
+    named = lambda words: F.lower("column").rlike("|".join(words))
     issue = (
-        F.when(F.col("column").rlike("(?i)price|cost|amount|revenue|salary|bal") & (F.col("min") < 0), "negative_money")
-        .when(F.col("column").rlike("(?i)(^|_)age$") & ((F.col("max") > 120) | (F.col("min") < 0)), "impossible_age")
-        .when(F.col("column").rlike("(?i)percent|pct|rate|discount") & ((F.col("min") < 0) | (F.col("max") > 100)), "percentage_outside")
+        F.when(named(RANGE_MONEY) & (F.col("min") < 0), "negative_money")
+        .when(named(RANGE_AGE) & (F.col("max") > 120), "impossible_age")
+        .when(named(RANGE_PERCENT) & ((F.col("min") < 0) | (F.col("max") > 100)), "percentage_outside")
     )
     return _stacked(df, rows).withColumn("issue", issue).filter("issue is not null")
 
@@ -173,35 +195,25 @@ def prepare(df: DataFrame, kind: dict[str, str], technical: tuple[str, ...] = ("
     return df.select(*[casts.get(kind.get(c, ""), lambda x: x)(F.col(c)).alias(c) for c in df.columns if c not in technical])
 
 
-#: Words in a column's name that make it a measure.
-MEASURES = r"(?i)price|cost|amount|revenue|salary|bal|total|quantity|qty|score|rate|pct|percent|discount|value|age|hours|weight|size"
-#: Columns whose classes are looked at first.
-KNOWN_CLASSES = ["status", "category", "type", "segment", "class", "gender", "region"]
-
-
-def health(df: DataFrame) -> DataFrame:
-    """What a steward looks at first: columns like keys (not measures), the emptiest columns, ranges of numbers."""
-    p = written(kinds(df).crossJoin(F.broadcast(df.agg(F.count("*").alias("rows")))), "health")
-    key_like = p.filter("n_distinct >= 0.9 * rows and rows > 0").filter(~F.col("column").rlike(MEASURES)).select("column", F.lit("key_like").alias("check"), (100.0 * F.col("n_distinct") / F.col("rows")).alias("value"))
-    empty = p.filter("missing > 0").select("column", F.lit("empty_pct").alias("check"), (100.0 * F.col("missing") / F.col("rows")).alias("value"))
-    ranges = p.filter("kind = 'numeric' and min is not null").select("column", F.explode(F.array(*[F.struct(F.lit(f"range_{k}").alias("check"), F.col(k).alias("value")) for k in ("min", "max")])).alias("r")).select("column", "r.check", "r.value")
-    return key_like.union(empty).union(ranges).withColumn("value", F.round("value", 4))
+#: Columns whose classes are counted, in the order tried.
+KNOWN_CLASSES = ["label", "role", "category", "type", "status", "class", "gender", "country", "state", "sector", "transaction_type"]
 
 
 def class_column(df: DataFrame) -> str | None:
-    """The column whose classes are counted: the first text column with a known name (a word of it in KNOWN_CLASSES), else the first with 2 to 25 different values."""
+    """The column whose classes are counted: the first name of KNOWN_CLASSES that there is, in lower case, else the first text column with 2 to 25 different values."""
+    by_name = {c.lower(): c for c in df.columns}
+    known = next((by_name[k] for k in KNOWN_CLASSES if k in by_name), None)
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    known = [c for c in texts if set(re.split(r"[^a-z]+", c.lower())) & set(KNOWN_CLASSES)]
     if known or not texts:
-        return known[0] if known else None
+        return known
     counts = {r["column"]: r["n_distinct"] for r in distinct_counts(df, texts).collect()}  # a row a column
     return next((c for c in texts if 2 <= counts[c] <= 25), None)
 
 
 def class_balance(df: DataFrame, column: str | None = None, k: int = 25) -> DataFrame:
-    """The k most frequent classes of a column (by default class_column's); null is NULL, blank is SPACES. Without such a column no rows."""
+    """The k most frequent classes of a column (by default class_column's), dots as underscores; null is NULL, blank is SPACES. Without such a column no rows."""
     column = column or class_column(df)
-    c = F.lit(None).cast("string") if column is None else F.col(column).cast("string")
-    label = F.when(c.isNull(), "NULL").when(F.trim(c) == "", "SPACES").otherwise(c)
+    c = F.lit(None).cast("string") if column is None else F.col(f"`{column}`").cast("string")
+    label = F.when(c.isNull(), "NULL").when(F.trim(c) == "", "SPACES").otherwise(F.replace(c, F.lit("."), F.lit("_")))
     counts = (df.limit(0) if column is None else df).groupBy(label.alias("class")).agg(F.count("*").alias("n"))
     return counts.orderBy(F.desc("n"), "class").limit(k)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import align
-from ..operators import dedup, drift, metrics, outliers, profile, repair, validate, zones
+from ..operators import advise, dedup, drift, metrics, outliers, profile, repair, validate, zones
 from .fixtures import DIRTY, dirty_orders, table
 from .quality_run import TableSpec, tag
 
@@ -286,9 +286,9 @@ def duplicate_profile(spark, sf_dir):
     return profile.duplicates(table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus", "o_orderpriority"), ["o_custkey", "o_orderpriority"])
 
 
-@query("SELECT 'c_acctbal' AS column, min(c_acctbal) AS min, max(c_acctbal) AS max, 'negative_money' AS issue FROM customer HAVING min(c_acctbal) < 0")
+@query(f"WITH {DIRTY} SELECT 'price' AS column, min(price) AS min, max(price) AS max, 'negative_money' AS issue FROM dirty HAVING min(price) < 0 UNION ALL SELECT 'row_age', min(row_id), max(row_id), 'impossible_age' FROM dirty HAVING max(row_id) > 120 UNION ALL SELECT 'cust_rate', min(cust_key), max(cust_key), 'percentage_outside' FROM dirty HAVING min(cust_key) < 0 OR max(cust_key) > 100")
 def range_anomalies(spark, sf_dir):
-    return profile.range_anomalies(table(spark, sf_dir, "customer"))
+    return profile.range_anomalies(dirty_orders(spark, sf_dir).select("price", F.col("row_id").alias("row_age"), F.col("cust_key").alias("cust_rate"), "order_key"))
 
 
 @query("""SELECT "column", value, n, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS nth FROM (SELECT 'p_brand' AS "column", p_brand AS value, count(*)::BIGINT AS n FROM part GROUP BY 2 UNION ALL SELECT 'p_type', p_type, count(*) FROM part GROUP BY 2) QUALIFY nth <= 10""")
@@ -301,8 +301,8 @@ def _column_profile(spark, sf_dir):
 
 
 @query("""WITH f AS (SELECT quantile_cont(c_acctbal, 0.25) AS q1, quantile_cont(c_acctbal, 0.75) AS q3 FROM customer)
-SELECT 'c_acctbal' AS column, 'Float' AS kind, count(*) FILTER (c_acctbal IS NULL)::BIGINT AS nulls, count(DISTINCT c_acctbal)::BIGINT AS n_distinct, round(100.0 * count(DISTINCT c_acctbal) / count(*), 4) AS unique_pct, round(any_value(q1), 4) AS q1, round(any_value(q3), 4) AS q3, count(*) FILTER (c_acctbal < q1 - 1.5 * (q3 - q1) OR c_acctbal > q3 + 1.5 * (q3 - q1))::BIGINT AS outliers, array_to_string(list_sort(list(DISTINCT c_acctbal::VARCHAR))[1:3], ', ') AS samples FROM customer, f
-UNION ALL SELECT 'c_mktsegment', 'Categorical', count(*) FILTER (c_mktsegment IS NULL), count(DISTINCT c_mktsegment), round(100.0 * count(DISTINCT c_mktsegment) / count(*), 4), NULL, NULL, NULL, array_to_string(list_sort(list(DISTINCT c_mktsegment))[1:3], ', ') FROM customer""")
+SELECT 'c_acctbal' AS column, 'Float' AS kind, count(*) FILTER (c_acctbal IS NULL)::BIGINT AS nulls, count(DISTINCT c_acctbal)::BIGINT AS n_distinct, round(100.0 * count(DISTINCT c_acctbal) / count(*), 2) AS unique_pct, round(any_value(q1), 4) AS q1, round(any_value(q3), 4) AS q3, count(*) FILTER (c_acctbal < q1 - 1.5 * (q3 - q1) OR c_acctbal > q3 + 1.5 * (q3 - q1))::BIGINT AS outliers, array_to_string(list_sort(list(DISTINCT c_acctbal::VARCHAR))[1:5], ', ') AS samples FROM customer, f
+UNION ALL SELECT 'c_mktsegment', 'Categorical', count(*) FILTER (c_mktsegment IS NULL), count(DISTINCT c_mktsegment), round(100.0 * count(DISTINCT c_mktsegment) / count(*), 2), NULL, NULL, NULL, array_to_string(list_sort(list(DISTINCT c_mktsegment))[1:5], ', ') FROM customer""")
 def column_profile(spark, sf_dir):
     return _column_profile(spark, sf_dir).filter(F.col("column").isin("c_acctbal", "c_mktsegment")).withColumn("samples", F.array_join("samples", ", "))
 
@@ -334,6 +334,6 @@ def profile_before(spark, sf_dir):
     return profile.before(dirty_orders(spark, sf_dir), ["order_key"], "price", 0, 500000, "price")
 
 
-@query("SELECT 'c_custkey' AS column, 'key_like' AS check, 100.0::DOUBLE AS value FROM (SELECT count(*) c FROM customer) WHERE c > 0 UNION ALL SELECT 'c_name', 'key_like', round(100.0 * count(DISTINCT c_name) / count(*), 4) FROM customer HAVING count(DISTINCT c_name) >= 0.9 * count(*) UNION ALL SELECT 'c_custkey', 'range_min', min(c_custkey) FROM customer UNION ALL SELECT 'c_custkey', 'range_max', max(c_custkey) FROM customer UNION ALL SELECT 'c_nationkey', 'range_min', min(c_nationkey) FROM customer UNION ALL SELECT 'c_nationkey', 'range_max', max(c_nationkey) FROM customer UNION ALL SELECT 'c_acctbal', 'range_min', round(min(c_acctbal), 4) FROM customer UNION ALL SELECT 'c_acctbal', 'range_max', round(max(c_acctbal), 4) FROM customer")
+@query("SELECT 'c_custkey' AS column, 'key_like' AS check, 100.0::DOUBLE AS value FROM (SELECT count(*) c FROM customer) WHERE c > 0 UNION ALL SELECT 'c_name', 'key_like', round(100.0 * count(DISTINCT c_name) / count(*), 4) FROM customer HAVING count(DISTINCT c_name) >= 0.9 * count(*) UNION ALL SELECT 'c_nationkey', 'range_min', min(c_nationkey) FROM customer UNION ALL SELECT 'c_nationkey', 'range_max', max(c_nationkey) FROM customer UNION ALL SELECT 'c_acctbal', 'range_min', round(min(c_acctbal), 4) FROM customer UNION ALL SELECT 'c_acctbal', 'range_max', round(max(c_acctbal), 4) FROM customer")
 def health_checks(spark, sf_dir):
-    return profile.health(table(spark, sf_dir, "customer"))
+    return advise.health(table(spark, sf_dir, "customer"))

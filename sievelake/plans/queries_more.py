@@ -149,17 +149,25 @@ def root_causes(spark, sf_dir):
     return advise.root_cause(rejected, history, spark.createDataFrame([("parse_timestamp",)], "rule string"), scores)
 
 
-@query("""WITH q AS (SELECT count(*) AS n, count(DISTINCT c_custkey) AS k, count(DISTINCT c_mktsegment) AS m, round(quantile_cont(c_nationkey, 0.25), 4) AS n1, round(quantile_cont(c_nationkey, 0.75), 4) AS n3, round(quantile_cont(c_acctbal, 0.25), 4) AS a1, round(quantile_cont(c_acctbal, 0.75), 4) AS a3, min(c_acctbal) AS low FROM customer)
-SELECT 'composite_unique' AS rule_type, 'c_custkey' AS "column", 'Quarantine' AS action, printf('%.2f', round(100.0 * k / n, 4)) || ' % distinct' AS rationale FROM q WHERE k >= 0.9 * n
-UNION ALL SELECT 'auto_iqr', 'c_nationkey', 'Review', printf('fence %.2f to %.2f', n1 - 3 * (n3 - n1), n3 + 3 * (n3 - n1)) FROM q UNION ALL SELECT 'auto_iqr', 'c_acctbal', 'Review', printf('fence %.2f to %.2f', a1 - 3 * (a3 - a1), a3 + 3 * (a3 - a1)) FROM q
-UNION ALL SELECT 'category_consistency', 'c_mktsegment', 'Review', m || ' categories' FROM q WHERE m BETWEEN 2 AND 25 UNION ALL SELECT 'range_check', 'c_acctbal', 'Quarantine', 'negative_money' FROM q WHERE low < 0""")
+@query(f"""WITH {DIRTY}, q AS (SELECT count(*) AS n, count(*) FILTER (price IS NULL) AS nulls, quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.75) AS q3, count(DISTINCT priority) AS prios, count(DISTINCT status) AS states FROM dirty),
+f AS (SELECT *, (SELECT count(*) FROM dirty WHERE price < q1 - 1.5 * (q3 - q1) OR price > q3 + 1.5 * (q3 - q1)) AS outliers, (SELECT n - count(DISTINCT order_id) FROM (SELECT coalesce(order_key, -1) AS order_id FROM dirty)) AS again FROM q)
+SELECT 'composite_unique' AS rule_type, 'order_id' AS "column", 'Quarantine' AS action, NULL::DOUBLE AS low, NULL::DOUBLE AS high, again || ' repeated rows' AS rationale FROM f WHERE again > 0
+UNION ALL SELECT 'null_check', 'price', 'Quarantine', NULL, NULL, nulls || ' nulls' FROM f WHERE nulls > 0 UNION ALL SELECT 'null_check', 'order_id', 'Quarantine', NULL, NULL, count(*) || ' nulls' FROM dirty WHERE order_key IS NULL HAVING count(*) > 0
+UNION ALL SELECT 'range_check', 'price', 'Quarantine', 0.0, NULL, 'bounds of what the name says' FROM f
+UNION ALL SELECT 'auto_iqr', 'price', 'Review', round(round(q1, 4) - 3 * (round(q3, 4) - round(q1, 4)), 2), round(round(q3, 4) + 3 * (round(q3, 4) - round(q1, 4)), 2), outliers || ' outliers' FROM f WHERE outliers > 0
+UNION ALL SELECT 'category_consistency', 'status', 'Review', NULL, NULL, states || ' categories' FROM f WHERE states BETWEEN 2 AND 25 UNION ALL SELECT 'category_consistency', 'priority', 'Review', NULL, NULL, prios || ' categories' FROM f WHERE prios BETWEEN 2 AND 25
+UNION ALL SELECT 'freshness', 'date_text', 'Warning', NULL, NULL, 'dated table' FROM f""")
 def recommended_rules(spark, sf_dir):
-    return advise.recommend_rules(table(spark, sf_dir, "customer"))
+    return advise.recommend_rules(dirty_orders(spark, sf_dir).select(F.col("order_key").alias("order_id"), "price", "status", "priority", "date_text"))
 
 
-@query("SELECT * FROM (VALUES ('l_orderkey', 'numeric', 'identifier', NULL, NULL, false), ('l_quantity', 'numeric', 'measure', 'count', 'sum', false), ('l_discount', 'numeric', 'measure', 'ratio', 'avg', false), ('l_shipdate', 'date', 'time', NULL, NULL, false), ('l_returnflag', 'categorical', 'dimension', NULL, NULL, false)) t(\"column\", kind, role, unit, default_agg, is_personal)")
+@query("""WITH s AS (SELECT min(l_discount) >= 0 AND max(l_discount) <= 100 AS d, min(l_extendedprice) >= 0 AND max(l_extendedprice) <= 100 AS p FROM lineitem)
+SELECT * FROM (VALUES ('order_key', 'numeric', 'identifier', NULL, NULL, NULL, false), ('l_quantity', 'numeric', 'measure', 'count', NULL, 'sum', false), ('ShipDate', 'date', 'time', NULL, NULL, NULL, false), ('l_returnflag', 'categorical', 'dimension', NULL, NULL, NULL, false), ('message_count', 'numeric', 'measure', 'count', NULL, 'sum', false), ('lagDays', 'numeric', 'measure', 'duration', 'hours', 'avg', false), ('customerName', 'categorical', 'dimension', NULL, NULL, NULL, true)) t("column", kind, role, unit, duration_unit, default_agg, is_personal)
+UNION ALL SELECT 'discount_rate', 'numeric', 'measure', CASE WHEN d THEN 'percent' ELSE 'number' END, NULL, CASE WHEN d THEN 'avg' ELSE 'sum' END, false FROM s UNION ALL SELECT 'price_score', 'numeric', 'measure', CASE WHEN p THEN 'percent' ELSE 'currency' END, NULL, CASE WHEN p THEN 'avg' ELSE 'sum' END, false FROM s""")
 def column_roles(spark, sf_dir):
-    return advise.column_roles(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_shipdate", "l_returnflag"))
+    l = table(spark, sf_dir, "lineitem")
+    names = {"l_orderkey": "order_key", "l_quantity": "l_quantity", "l_shipdate": "ShipDate", "l_returnflag": "l_returnflag", "l_discount": "discount_rate", "l_extendedprice": "price_score", "l_linenumber": "message_count", "l_tax": "lagDays", "l_linestatus": "customerName"}
+    return advise.column_roles(l.select(*[F.col(c).alias(n) for c, n in names.items()]))
 
 
 @query("SELECT 'c_name' AS \"column\", count(*) FILTER (c_name IS NULL)::BIGINT AS missing, count(DISTINCT c_name)::BIGINT AS n_distinct, NULL::DOUBLE AS mean FROM customer UNION ALL SELECT 'c_acctbal', count(*) FILTER (c_acctbal IS NULL), count(DISTINCT c_acctbal), round(avg(c_acctbal), 4) FROM customer")
@@ -261,9 +269,9 @@ def dash_quality_runs(spark, sf_dir):
     return dash.quality_dataset(run_history(spark, sf_dir)).select("run_id", "quality_score", "gate_result")
 
 
-@query("SELECT 'rows' AS widget, count(*)::DOUBLE AS value FROM orders UNION ALL SELECT 'total_o_totalprice', round(sum(o_totalprice), 4) FROM orders")
+@query("SELECT 'rows' AS widget, count(*)::DOUBLE AS value FROM orders UNION ALL SELECT 'total_total_price', round(sum(o_totalprice), 4) FROM orders")
 def default_dashboard(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
+    o = table(spark, sf_dir, "orders").withColumnRenamed("o_totalprice", "total_price")
     spec = dash.default_spec([r.asDict() for r in advise.column_roles(o).collect()])
     widgets = dash.compute(o, spec, {}, {})
     kpis = [w["id"] for w in spec if w["type"] == "kpi"]

@@ -356,3 +356,72 @@ def test_reason_clusters(spark):
         ("t", 3, "missing_date", "วันที่ว่าง", None, 1, 12.5),
         ("u", 1, "quarantined_u", "ถูกกักกัน (ไม่ระบุเหตุผล)", None, 3, 100.0),
     ]
+
+
+def _roles(spark, values: dict):
+    df = spark.createDataFrame([tuple(v) for v in zip(*values.values(), strict=True)], list(values))
+    return {r["column"]: r for r in advise.column_roles(df).collect()}
+
+
+def test_column_roles(spark):
+    got = _roles(spark, {"message_count": [1, 200], "page_id": [1, 2], "passRate": [1.0, 99.0], "bigRate": [1.0, 101.0], "Sales": [1.5, 2.5], "age": [3, 200], "mins_open": [1, 2], "Hotel": ["a", "b"], "contact_name": ["x", "y"], "ชื่อลูกค้า": ["x", "y"], "country_code": ["a", "b"], "sku": [1, 2], "ยอดขาย": [1, 2], "storage": [1, 2], "e-mail": ["x", "y"]})
+    told = {c: (r.role, r.unit, r.default_agg, r.is_personal) for c, r in got.items()}
+    assert told == {
+        "message_count": ("measure", "count", "sum", False),
+        "page_id": ("identifier", None, None, False),
+        "passRate": ("measure", "percent", "avg", False),
+        "bigRate": ("measure", "number", "sum", False),
+        "Sales": ("measure", "currency", "sum", False),
+        "age": ("measure", "number", "avg", False),
+        "mins_open": ("measure", "duration", "avg", False),
+        "Hotel": ("dimension", None, None, False),
+        "contact_name": ("dimension", None, None, True),
+        "ชื่อลูกค้า": ("dimension", None, None, True),
+        "country_code": ("dimension", None, None, False),
+        "sku": ("identifier", None, None, False),
+        "ยอดขาย": ("measure", "currency", "sum", False),
+        "storage": ("measure", "number", "sum", False),
+        "e-mail": ("dimension", None, None, True),
+    }
+    assert got["mins_open"].duration_unit == "minutes"
+
+
+def test_health(spark):
+    """Whole numbers and names are like keys, doubles are not; of many columns the first two keys, three gaps and two ranges."""
+    rows = [(k, k + 0.5, f"n{k}", 123_456_789, k % 3, None if k % 2 else "a", None if k % 5 else "b", None if k % 10 else "c", "d" if k else None) for k in range(20)]
+    df = spark.createDataFrame(rows, "page_id int, amount double, name string, phone_no int, grade int, a string, b string, c string, d string")
+    got = [(r["column"], r.check, r.value) for r in advise.health(df).collect()]
+    assert [x for x in got if x[1] == "key_like"] == [("page_id", "key_like", 100.0), ("name", "key_like", 100.0)]
+    assert [x for x in got if x[1] == "empty_pct"] == [("c", "empty_pct", 90.0), ("b", "empty_pct", 80.0), ("a", "empty_pct", 50.0)]
+    assert {x[0] for x in got if x[1] == "range_min"} == {"amount", "grade"}
+
+
+def test_column_kinds(spark):
+    rows = [(k, k, float(k), f"t{k}", f"x{k % 3}", f"y{k % 30}", True, f"d{k % 40}", 1) for k in range(60)]
+    df = spark.createDataFrame(rows, "id int, n int, f double, t string, c string, s string, b boolean, created_at string, score_id int")
+    kinds = {r["column"]: r.kind for r in profile.columns(df).collect()}
+    assert kinds == {"id": "Identifier", "n": "Integer", "f": "Float", "t": "Identifier", "c": "Categorical", "s": "String", "b": "Boolean", "created_at": "Date", "score_id": "Identifier"}
+
+
+def test_range_anomalies(spark):
+    df = spark.createDataFrame([(-1.0, -1, 121, 130, -1.0, 101, -5.0)], "income double, bal int, storage int, average_cost int, exchange_rate double, humidity int, discount double")
+    assert {r["column"]: r.issue for r in profile.range_anomalies(df).collect()} == {"income": "negative_money", "storage": "impossible_age", "average_cost": "impossible_age", "exchange_rate": "percentage_outside", "humidity": "percentage_outside"}
+
+
+def test_class_column(spark):
+    df = spark.createDataFrame([("a.b", "x", f"k{k}", k % 2) for k in range(30)], "Region string, Status string, key string, ROLE int")
+    assert profile.class_column(df) == "ROLE" and profile.class_column(df.drop("ROLE")) == "Status"
+    assert profile.class_column(df.select("key")) is None
+    assert [tuple(r) for r in profile.class_balance(df, "Region").collect()] == [("a_b", 30)]
+
+
+def test_recommended_rules(spark):
+    rows = [("C-101", 28, "Female", 55000), ("C-102", 34, "Male", 62000), ("C-103", None, "Female", 48000), ("C-104", 145, "Male", 75000), ("C-105", 42, "Female", 3500000), ("C-106", 31, "Non-Binary", 58000), ("C-101", 28, "Female", 55000)]
+    df = spark.createDataFrame(rows, "customer_id string, age int, gender string, income int")
+    got = {(r.rule_type, r["column"]): (r.action, r.low, r.high) for r in advise.recommend_rules(df).collect()}
+    assert got["composite_unique", "customer_id"] == ("Quarantine", None, None)
+    assert got["null_check", "age"] == ("Quarantine", None, None) and got["range_check", "age"] == ("Quarantine", 0.0, 120.0)
+    assert got["range_check", "income"] == ("Quarantine", 0.0, None) and got["auto_iqr", "income"][0] == "Review"
+    assert got["category_consistency", "gender"][0] == "Review"
+    asked = {(r.rule_type, r["column"]): (r.action, r.low, r.high) for r in advise.recommend_rules(df, optional=("age",), domains={"age": (18, 100)}).collect()}
+    assert asked["null_check", "age"][0] == "Review" and asked["range_check", "age"] == ("Quarantine", 18.0, 100.0)
