@@ -24,13 +24,19 @@ def apply_schema_drift(df: DataFrame, spec: dict[str, str]) -> tuple[DataFrame,
     return df, df.sparkSession.createDataFrame(rows, DRIFT)
 
 
-def evaluate_proposal(drift: DataFrame, allow_new: bool = True, max_columns: int | None = None, n_columns: int = 0, require_approval: bool = False) -> DataFrame:
-    """Severity (new 1, missing 5, changed type 5) and status of the proposal that a drift makes."""
+def evaluate_proposal(drift: DataFrame, n_columns: int = 0, allow_new: bool = True, max_columns: int = 50, require_approval: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
+    """Severity (new 1, missing 5, changed type 5), status and reason of the proposal that a drift makes (or each of `by`).
+
+    New columns alone are approved where no approval is asked for, and refused
+    where none are allowed; tables of over max_columns (n_columns are there
+    now) are refused; all else waits. Without a drift status is null.
+    """
     severity = F.sum(F.when(F.col("error") == "new_column", 1).otherwise(5))
     added = F.count(F.when(F.col("error") == "new_column", 1))
-    refused = (added > 0) & (F.lit(not allow_new) | (F.lit(max_columns is not None) & (added + n_columns > (max_columns or 0))))
-    status = F.when(refused, "REJECTED").when(F.lit(require_approval) | (severity >= 5), "PENDING").otherwise("APPROVED")
-    return drift.agg(F.coalesce(severity, F.lit(0)).alias("severity"), added.alias("n_new"), status.alias("status"))
+    safe, wide = F.count("*") == added, F.lit(n_columns > max_columns)
+    status = F.when(F.count("*") == 0, None).when(safe & F.lit(allow_new and not require_approval) & ~wide, "APPROVED").when((safe & F.lit(not allow_new)) | wide, "REJECTED").otherwise("PENDING")
+    reason = F.when(status == "APPROVED", None).when(safe & F.lit(not allow_new), "new columns are not allowed").when(wide, f"{n_columns} columns are over the limit of {max_columns}").when(~safe, "missing columns or changed types").when(status.isNotNull(), "waits for approval")
+    return drift.groupBy(*by).agg(F.coalesce(severity, F.lit(0)).cast("long").alias("severity"), added.alias("n_new"), status.alias("status"), reason.alias("reason"))
 
 
 def group_proposals(proposals: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 from itertools import combinations
 
@@ -11,11 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.align import engine_type
-from .quantiles import distinct_counts, value_counts
+from .quantiles import value_counts
 
-# Names that a date column has, tried whole first and then as parts.
-DATE_NAMES = ["date", "timestamp", "created_at", "updated_at", "event_time", "time", "dt"]
-ID_LIKE = re.compile(r"(^|_)(id|key|code|no|uuid)$|(id|key)$", re.I)
+# Names that a date column has, and parts of one.
+DATE_NAMES = ["updated_at", "created_at", "timestamp", "date", "time"]
+DATE_PARTS = ["date", "time", "timestamp"]
 
 
 def infer_spec(df: DataFrame) -> tuple[dict[str, str], str | None]:
@@ -37,39 +36,35 @@ def infer_spec(df: DataFrame) -> tuple[dict[str, str], str | None]:
         for c in texts:
             if not found[f"{c}:zero"]:
                 spec[c] = "IntegerType" if found[f"{c}:whole"] else "DoubleType" if found[f"{c}:number"] else "TimestampType" if found[f"{c}:time"] else "StringType"
-    low = {c.lower(): c for c in spec}
-    date = next((low[n] for n in DATE_NAMES if n in low), None) or next((c for n in DATE_NAMES for c in spec if n in c.lower()), None)
+    date = next((c for c in spec if c.lower() in DATE_NAMES), None) or next((c for c in spec if any(p in c.lower() for p in DATE_PARTS)), None)
     return spec, date
 
 
-def infer_primary_key(df: DataFrame) -> list[str]:
-    """One column with 90 % and more distinct values, id-like names first; else the smallest set of up to three of an id and up to five text or date columns that reaches that; else none."""
-    names = sorted(df.columns, key=lambda c: not ID_LIKE.search(c))
-    total = df.count()
-    if not total:
-        return []
-    different = {r["column"]: r["n_distinct"] for r in distinct_counts(df, names).collect()}  # a row a column
-    single = [different[c] for c in names]
-    ids = [(c, n) for c, n in zip(names, single, strict=True) if ID_LIKE.search(c)]
-    for c, n in ids:
-        if n >= 0.9 * total:
-            return [c]
-    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.DateType, T.TimestampType, T.BooleanType)) and not ID_LIKE.search(f.name)]
+def id_candidates(columns: list[str], table_name: str = "") -> list[str]:
+    """Columns that may be ids, best first: one that is named for the table's id, then all that have id in their names."""
+    exact = [c for c in columns if c.lower() in ("id", f"{table_name}_id", f"{table_name}id")][:1]
+    return exact + [c for c in columns if "id" in c.lower() and c not in exact]
+
+
+def infer_primary_key(df: DataFrame, table_name: str = "", least: float = 0.9, extras: int = 5, most: int = 3) -> list[str]:
+    """The columns that tell rows apart: the first id whose different values are 90 in 100 rows; else the smallest set of the first id and up to two text, date or boolean columns (of the first five) that is, of equals the densest; else none.
+
+    Rows with a null in a key do not count for it. Without an id there is no
+    key; without rows the first id is taken.
+    """
+    ids = id_candidates(df.columns, table_name)
     if not ids:
-        return next(([c] for c, n in zip(names, single, strict=True) if n >= 0.9 * total), [])
-    pool = [ids[0][0], *texts[:5], *[c for c, _ in ids[1:2]]]
-    sets = [s for k in (2, 3) for s in combinations(pool, k) if pool[0] in s]
-    if not sets:
         return []
-    # A row with a null in a set does not count for it. Sets are stacked as columns are, so that their values are dealt out.
-    whole = {str(k): F.when(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in s]), F.to_json(F.struct(*s))) for k, s in enumerate(sets)}
-    found = {r["column"]: r["n"] for r in value_counts(df, whole).groupBy("column").agg(F.count("*").alias("n")).collect()}
-    ratios = [found.get(str(k), 0) for k in range(len(sets))]
-    for size in (2, 3):
-        best = max(((r, s) for r, s in zip(ratios, sets, strict=True) if len(s) == size), default=(0, ()), key=lambda x: x[0])
-        if best[0] >= 0.9 * total:
-            return list(best[1])
-    return []
+    total = df.count()
+    if not total:
+        return ids[:1]
+    texts = [f.name for f in df.schema.fields if f.name != ids[0] and isinstance(f.dataType, (T.StringType, T.DateType, T.BooleanType))][:extras]
+    keys = [(c,) for c in ids] + [(ids[0], *more) for size in range(1, most) for more in combinations(texts, size)]
+    # Sets are stacked as columns are, so that their values are dealt out.
+    whole = {str(k): F.when(reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in s]), F.to_json(F.struct(*[F.col(f"`{c}`") for c in s]))) for k, s in enumerate(keys)}
+    found = {int(r["column"]): r["n"] for r in value_counts(df, whole).groupBy("column").agg(F.count("*").alias("n")).collect()}  # a row a key
+    fit = [(len(key), k if len(key) == 1 else -found.get(k, 0), k, key) for k, key in enumerate(keys) if found.get(k, 0) >= least * total]
+    return list(min(fit)[3]) if fit else []
 
 
 def input_guards(df: DataFrame, pk: list[str], strict: bool = False, sample: int = 100, longest: int = 150) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ def key_text(c: Column) -> Column:
 
 
 def _kind(t: T.DataType) -> str:
-    return "number" if isinstance(t, T.NumericType) else "date" if isinstance(t, (T.DateType, T.TimestampType)) else "text"
+    return "number" if isinstance(t, T.NumericType) else "text"
 
 
 def _values(df: DataFrame) -> DataFrame:
@@ -25,7 +26,7 @@ def _values(df: DataFrame) -> DataFrame:
 
 
 def candidate_keys(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs of columns of one kind that may join: at least two shared values and half of the smaller side's, of one name or unique on a side.
+    """Pairs of columns of one kind that may join: at least two shared values and half of the smaller side's, of one name (but for case and signs) or unique on a side.
 
     Score: share of the smaller side + 0.5 for one name + 0.25 for a unique side. All pairs come from one join on values.
     """
@@ -34,7 +35,8 @@ def candidate_keys(a: DataFrame, b: DataFrame) -> DataFrame:
     shared = x.select(F.col("column").alias("a_column"), "kind", "value").join(y.select(F.col("column").alias("b_column"), "kind", "value"), ["kind", "value"]).groupBy("a_column", "b_column").agg(F.count("*").alias("shared"))
     p = shared.join(side(x, "a"), "a_column").join(side(y, "b"), "b_column")
     rate = F.col("shared") / F.least("a_distinct", "b_distinct")
-    named = F.lower("a_column") == F.lower("b_column")
+    bare = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    named = bare("a_column") == bare("b_column")
     unique = F.col("a_unique") | F.col("b_unique")
     score = rate + F.when(named, 0.5).otherwise(0.0) + F.when(unique, 0.25).otherwise(0.0)
     fitting = p.filter((F.col("shared") >= 2) & (rate >= 0.5) & (named | unique))
@@ -83,13 +85,17 @@ def name_mappings(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.sparkSession.createDataFrame(found, "a_column string, b_column string")
 
 
+#: Forms of dates and what they are called, in the order tried.
+DATE_FORMS = [(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}", "YYYY-MM-DD"), (r"^[0-9]{2}/[0-9]{2}/[0-9]{4}$", "DD/MM/YYYY")]
+
+
 def date_formats(df: DataFrame, sample: int = 200) -> DataFrame:
-    """Text columns of whose first values 90 % and more are dates, and in which form (the sample is the feature)."""
-    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    iso, dmy = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}", r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}"
-    rows = [F.struct(F.lit(c).alias("column"), F.avg(F.col(c).rlike(iso).cast("int")).alias("iso"), F.avg(F.col(c).rlike(dmy).cast("int")).alias("dmy")) for c in texts]
-    form = F.when(F.col("iso") >= 0.9, "ISO").when(F.col("dmy") >= 0.9, "DD/MM/YYYY")
-    return df.limit(sample).agg(F.array(*rows).alias("r")).select(F.inline("r")).select("column", form.alias("form")).filter("form is not null")
+    """Text columns of whose first values (nulls apart) 90 % and more are dates, and in which form (the sample is the feature)."""
+    parts = [df.select(F.lit(f.name).alias("column"), F.col(f"`{f.name}`").alias("value")).filter("value is not null").limit(sample) for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if not parts:
+        return df.sparkSession.createDataFrame([], "column string, form string")
+    form = F.coalesce(*[F.when(F.avg(F.col("value").rlike(p).cast("int")) >= 0.9, F.lit(name)) for p, name in DATE_FORMS])
+    return reduce(DataFrame.union, parts).groupBy("column").agg(form.alias("form")).filter("form is not null")
 
 
 def join(a: DataFrame, b: DataFrame, ka: str, kb: str, how: str = "left", order: tuple[str, ...] = (), suffix: str = "_lookup") -> DataFrame:

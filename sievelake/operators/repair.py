@@ -65,25 +65,30 @@ def keyword_category(column: Column, categories: dict[str, list[str]], fallback:
 
 
 def standardize_date(column: Column) -> Column:
-    """yyyy-MM-dd from '21 Jul 2569', d-m-y, d/m/y or y-m-d; a year over 2500 is Buddhist; anything else stays."""
-    text = F.trim(column)
-    named = F.regexp_extract(text, r"^(\d{1,2})\s+([A-Za-z]{3})[A-Za-z]*\s+(\d{4})$", 0) != ""
-    numbered = F.regexp_extract(text, r"^(\d{1,2})[-/](\d{1,2})[-/](\d{4})$", 0) != ""
-    year_first = F.regexp_extract(text, r"^(\d{4})-(\d{1,2})-(\d{1,2})$", 0) != ""
-    months = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in MONTHS.items()))
-
-    def form(pattern: str, y: int, m: int, d: int, month: Column | None = None) -> Column:
-        year = F.regexp_extract(text, pattern, y).try_cast("int")
-        month = month if month is not None else F.lpad(F.regexp_extract(text, pattern, m), 2, "0")
-        return F.concat_ws("-", F.lpad(F.when(year > 2500, year - 543).otherwise(year).cast("string"), 4, "0"), month, F.lpad(F.regexp_extract(text, pattern, d), 2, "0"))
-
-    by_name = r"^(\d{1,2})\s+([A-Za-z]{3})[A-Za-z]*\s+(\d{4})$"
-    month = F.try_element_at(months, F.lower(F.regexp_extract(text, by_name, 2)))
+    """yyyy-MM-dd from '21 Jul 2569' (anywhere in the text) or three numbers with - or / between them; a year over 2500 is Buddhist.
+
+    A first number over 1000 is the year, else the day; a month name that is
+    none is January; empty text is null, anything else stays but for its blanks.
+    """
+    text = F.trim(F.regexp_replace(F.trim(column.cast("string")), r"\s+", " "))
+    number = lambda c: c.try_cast("int")
+    by_name = r"([0-9]+)\s+([A-Za-z]+)\s+([0-9]+)"
+    day, name, year = (F.regexp_extract(text, by_name, k) for k in (1, 2, 3))
+    months = F.create_map(*chain.from_iterable((F.lit(k), F.lit(int(v))) for k, v in MONTHS.items()))
+    month = F.coalesce(F.try_element_at(months, F.lower(F.substring(name, 1, 3))), F.lit(1))
+    parts = F.split(text, "[-/]")
+    one, two, three = (number(F.trim(F.get(parts, F.lit(k)))) for k in range(3))
+    numbered = (F.size(parts) == 3) & one.isNotNull() & two.isNotNull() & three.isNotNull()
+
+    def form(y: Column, m: Column, d: Column) -> Column:
+        return F.format_string("%04d-%02d-%02d", F.when(y > 2500, y - 543).otherwise(y), m, d)
+
     return (
-        F.when(named & month.isNotNull(), form(by_name, 3, 2, 1, month))
-        .when(numbered, form(r"^(\d{1,2})[-/](\d{1,2})[-/](\d{4})$", 3, 2, 1))
-        .when(year_first, form(r"^(\d{4})-(\d{1,2})-(\d{1,2})$", 1, 2, 3))
-        .otherwise(column)
+        F.when(column.isNull() | (column.cast("string") == ""), F.lit(None).cast("string"))
+        .when((day != "") & number(day).isNotNull() & number(year).isNotNull(), form(number(year), month, number(day)))
+        .when(numbered & (one > 1000), form(one, two, three))
+        .when(numbered, form(three, two, one))
+        .otherwise(text)
     )
 
 

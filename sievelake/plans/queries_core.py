@@ -119,9 +119,16 @@ def schema_drift_rows(spark, sf_dir):
     return drift.apply_schema_drift(table(spark, sf_dir, "customer"), {"c_custkey": "DoubleType", "c_name": "StringType", "c_acctbal": "IntegerType", "c_phone": "StringType"})[1]
 
 
-@query("SELECT 12::BIGINT AS severity, 2::BIGINT AS n_new, 'PENDING' AS status")
+# Drifts of one run: columns of customers that came, went or changed, a set for each nation.
+DRIFTED = """drifted AS (SELECT c_nationkey AS nation, e AS error FROM customer, unnest(CASE c_nationkey % 3 WHEN 0 THEN ['new_column'] WHEN 1 THEN ['new_column', 'missing_column'] ELSE ['type_mismatch'] END) t(e))"""
+
+
+@query(f"WITH {DRIFTED}, s AS (SELECT nation, sum(CASE error WHEN 'new_column' THEN 1 ELSE 5 END)::BIGINT AS severity, count(*) FILTER (error = 'new_column')::BIGINT AS n_new, count(*) FILTER (error <> 'new_column') = 0 AS safe FROM drifted GROUP BY 1) SELECT nation, severity, n_new, CASE WHEN safe THEN 'APPROVED' ELSE 'PENDING' END AS status, CASE WHEN NOT safe THEN 'missing columns or changed types' END AS reason FROM s")
 def schema_proposal(spark, sf_dir):
-    return drift.evaluate_proposal(schema_drift_rows(spark, sf_dir))
+    k = F.col("c_nationkey") % 3
+    errors = F.when(k == 0, F.array(F.lit("new_column"))).when(k == 1, F.array(F.lit("new_column"), F.lit("missing_column"))).otherwise(F.array(F.lit("type_mismatch")))
+    drifted = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.explode(errors).alias("error"))
+    return drift.evaluate_proposal(drifted, 8, require_approval=False, by=("nation",))
 
 
 # ---- C: repairs -------------------------------------------------------------
@@ -150,7 +157,8 @@ def standardize_values(spark, sf_dir):
 def standardize_dates(spark, sf_dir):
     d = dirty_orders(spark, sf_dir)
     day = F.when(F.col("row_id") % 4 == 0, F.concat_ws("-", F.substring("date_text", 9, 2), F.substring("date_text", 6, 2), (F.substring("date_text", 1, 4).try_cast("int") + 543).cast("string")))
-    text = F.when(F.col("date_text").contains("/"), F.col("date_text")).otherwise(F.coalesce(day, F.col("date_text")))
+    year_first = F.when(F.col("row_id") % 4 == 2, F.replace("date_text", F.lit("-"), F.lit("/")))
+    text = F.when(F.col("date_text").contains("/"), F.col("date_text")).otherwise(F.coalesce(day, year_first, F.col("date_text")))
     return d.select("row_id", repair.standardize_date(text).alias("day"))
 
 

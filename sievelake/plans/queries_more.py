@@ -63,7 +63,7 @@ def reconciled_join(spark, sf_dir):
     return relate.join(table(spark, sf_dir, "customer"), o, "c_custkey", "o_custkey", order=("o_orderkey",)).select("c_custkey", "c_name", "o_orderkey", "matched")
 
 
-@query("SELECT 'o_iso' AS \"column\", 'ISO' AS form UNION ALL SELECT 'o_dmy', 'DD/MM/YYYY'")
+@query("SELECT 'o_iso' AS \"column\", 'YYYY-MM-DD' AS form FROM orders HAVING avg((strftime(o_orderdate, '%Y-%m-%d') SIMILAR TO '[0-9]{4}-[0-9]{2}-[0-9]{2}')::INT) >= 0.9 UNION ALL SELECT 'o_dmy', 'DD/MM/YYYY' FROM orders HAVING avg((strftime(o_orderdate, '%d/%m/%Y') SIMILAR TO '[0-9]{2}/[0-9]{2}/[0-9]{4}')::INT) >= 0.9")
 def date_forms(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     return relate.date_formats(o.select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_iso"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("o_dmy"), "o_orderstatus"))
@@ -486,7 +486,8 @@ def stream_dedup(spark, sf_dir):
 # ---- A, B, C, F, G, K: specs, keys, guards, programs --------------------------------
 
 
-@query("SELECT * FROM (VALUES ('o_orderkey', 'IntegerType', false), ('code', 'StringType', false), ('price', 'DoubleType', false), ('o_orderdate', 'TimestampType', true), ('o_orderstatus', 'StringType', false)) t(\"column\", kind, is_date)")
+@query("""WITH s AS (SELECT max(o_orderkey) <= 2147483647 AS whole, count(*) FILTER (o_orderkey % 1000 < 100000) > 0 AS zeros, max(o_totalprice) IS NOT NULL AS priced FROM orders)
+SELECT 'o_orderkey' AS "column", CASE WHEN whole THEN 'IntegerType' ELSE 'DoubleType' END AS kind, false AS is_date FROM s UNION ALL SELECT 'code', CASE WHEN zeros THEN 'StringType' ELSE 'IntegerType' END, false FROM s UNION ALL SELECT 'price', CASE WHEN priced THEN 'DoubleType' END, false FROM s UNION ALL SELECT 'o_orderdate', 'TimestampType', true FROM s UNION ALL SELECT 'o_orderstatus', 'StringType', false FROM s""")
 def inferred_spec(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     raw = o.select(F.col("o_orderkey").cast("string").alias("o_orderkey"), F.lpad((F.col("o_orderkey") % 1000).cast("string"), 6, "0").alias("code"), F.format_string("%.2f", "o_totalprice").alias("price"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"), "o_orderstatus")
@@ -494,11 +495,14 @@ def inferred_spec(spark, sf_dir):
     return spark.createDataFrame([(c, t, c == date) for c, t in spec.items()], "column string, kind string, is_date boolean")
 
 
-@query("SELECT CASE WHEN count(DISTINCT (l_orderkey, l_linenumber::VARCHAR)) >= 0.9 * count(*) THEN 'l_orderkey,line' ELSE '' END AS lineitem_key, 'o_orderkey' AS orders_key FROM lineitem")
+@query("""WITH l AS (SELECT count(DISTINCT l_orderkey) >= 0.9 * count(*) AS one, count(DISTINCT (l_orderkey, l_linenumber::VARCHAR)) >= 0.9 * count(*) AS two FROM lineitem), o AS (SELECT count(DISTINCT o_orderkey) >= 0.9 * count(*) AS one FROM orders)
+SELECT CASE WHEN l.one THEN 'line_id' WHEN l.two THEN 'line_id,line' ELSE '' END AS lineitem_key, CASE WHEN o.one THEN 'orders_id' ELSE '' END AS orders_key, '' AS customer_key FROM l, o""")
 def inferred_keys(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", F.col("l_linenumber").cast("string").alias("line"))
-    o = table(spark, sf_dir, "orders").select("o_totalprice", "o_orderkey")
-    return spark.createDataFrame([(",".join(infer.infer_primary_key(l)), ",".join(infer.infer_primary_key(o)))], "lineitem_key string, orders_key string")
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("line_id"), "l_quantity", F.col("l_linenumber").cast("string").alias("line"))
+    o = table(spark, sf_dir, "orders").select("o_totalprice", F.col("o_custkey").alias("cust_id"), F.col("o_orderkey").alias("orders_id"))
+    c = table(spark, sf_dir, "customer").select("c_name", "c_mktsegment")
+    keys = [",".join(infer.infer_primary_key(d, name)) for d, name in ((l, "lineitem"), (o, "orders"), (c, "customer"))]
+    return spark.createDataFrame([tuple(keys)], "lineitem_key string, orders_key string, customer_key string")
 
 
 @query("SELECT 'missing_key' AS finding, 'doc_key' AS \"column\", 'fail' AS action UNION ALL SELECT 'long_text', 'text', 'warn' FROM (SELECT avg(length(text)) AS n FROM documents) WHERE n > 150")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievelake.functions import align
 from sievelake.functions.similarity import hybrid_score
-from sievelake.operators import advise, dash, dedup, evaluate, gold, history, metrics, outliers, profile, quantiles, repair, semantic, sinks, validate, zones
+from sievelake.operators import advise, dash, dedup, drift, evaluate, gold, history, infer, metrics, outliers, profile, quantiles, relate, repair, semantic, sinks, validate, zones
 from sievelake.plans.quality_run import TableSpec, run
 from sievelake.sources.read import guarded_query, read_jdbc
 
@@ -42,7 +42,8 @@ def test_numbers(spark):
 
 
 def test_dates(spark):
-    texts = {"21 Jul 2569": "2026-07-21", "5/3/2567": "2024-03-05", "2567-3-5": "2024-03-05", "05-03-2024": "2024-03-05", "soon": "soon", "21 Xyz 2020": "21 Xyz 2020"}
+    texts = {"21 Jul 2569": "2026-07-21", "5/3/2567": "2024-03-05", "2567-3-5": "2024-03-05", "05-03-2024": "2024-03-05", "soon": "soon", "21 Xyz 2020": "2020-01-21"}
+    texts |= {"2024/3/5": "2024-03-05", "2567/03/05": "2024-03-05", "on 1  August 2020 at": "2020-08-01", "a-b-c": "a-b-c", "1-2": "1-2", "": None, None: None, "2024-03-05 10:00": "2024-03-05 10:00"}
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", repair.standardize_date(F.col("t")).alias("d")).collect()
     assert {r.t: r.d for r in got} == texts
 
@@ -116,10 +117,16 @@ def test_hybrid_score(spark):
 
 
 def test_safe_csv(spark):
-    df = spark.createDataFrame([("=1+1", "-5", True, 1e9, "x"), ("@a", "+1.5", False, 0.25, "y")], "a string, b string, c boolean, d double, e string")
-    out = sinks.safe_csv(df, {"d": "n", "e": "n"})
-    assert out.columns == ["a", "b", "c", "n", "n (2)"]
-    assert [tuple(r) for r in out.collect()] == [("'=1+1", "-5", "TRUE", "1000000000", "x"), ("'@a", "+1.5", "FALSE", "0.25", "y")]
+    df = spark.createDataFrame([("=1+1", "-5", True, 1e9, "x"), ("@a", "+1.5", False, 0.25, "y"), ("-.5", "-1e5", None, None, "-x")], "a string, b string, c boolean, d double, e string")
+    out = sinks.safe_csv(df, {"d": "n", "e": "n", "a": "=b"})
+    assert out.columns == ["'=b", "b", "c", "n [d]", "n [e]"]
+    assert [tuple(r) for r in out.collect()] == [("'=1+1", "-5", "TRUE", "1000000000", "x"), ("'@a", "+1.5", "FALSE", "0.25", "y"), ("-.5", "-1e5", None, None, "'-x")]
+    assert sinks.header_labels(["a", "b", "c"], {"a": "b", "b": "b", "c": "a"}) == ["b [a]", "b", "a"]
+    numbers = {1e16: "10000000000000000", 3.0: "3", 0.1: "0.1", -2.5e-7: "-0.00000025", 123456789.125: "123456789.125", 1.5e8: "150000000", -0.0: "0", float("inf"): "", float("nan"): "", 1.2345e10: "12345000000", 12345678901.25: "12345678901.25", 5e-324: "0." + "0" * 323 + "5"}
+    got = spark.createDataFrame([(n,) for n in numbers], "n double").select(sinks.positional(F.col("n"))).collect()
+    assert [r[0].rstrip("0") if n == 5e-324 else r[0] for n, r in zip(numbers, got, strict=True)][:-1] == list(numbers.values())[:-1]
+    days = spark.createDataFrame([("2024-01-05", "2024-01-05"), ("2024-01-06", "2024-01-06 10:00:00.5"), (None, None)], "a string, b string").select(*[F.col(c).cast("timestamp").alias(c) for c in "ab"])
+    assert [tuple(r) for r in sinks.safe_csv(days).collect()] == [("2024-01-05", "2024-01-05 00:00:00"), ("2024-01-06", "2024-01-06 10:00:00.500000"), (None, None)]
 
 
 def test_tree_paths_negate_else_branches():
@@ -425,3 +432,40 @@ def test_recommended_rules(spark):
     assert got["category_consistency", "gender"][0] == "Review"
     asked = {(r.rule_type, r["column"]): (r.action, r.low, r.high) for r in advise.recommend_rules(df, optional=("age",), domains={"age": (18, 100)}).collect()}
     assert asked["null_check", "age"][0] == "Review" and asked["range_check", "age"] == ("Quarantine", 18.0, 100.0)
+
+
+def test_primary_keys(spark):
+    rows = [(k // 4, f"c{k % 4}", k % 2 == 0, k, k * 1.5) for k in range(40)]
+    df = spark.createDataFrame(rows, "student_id int, course string, late boolean, n int, score double")
+    assert infer.infer_primary_key(df, "scores") == ["student_id", "course"]
+    assert infer.infer_primary_key(df.withColumnRenamed("n", "scores_id"), "scores") == ["scores_id"]
+    assert infer.infer_primary_key(df.withColumn("width", F.col("n")), "scores") == ["width"]
+    assert infer.infer_primary_key(df.select("course", "n"), "scores") == []
+    assert infer.infer_primary_key(df.select("student_id", "late"), "scores") == []
+    assert infer.infer_primary_key(df.limit(0), "scores") == ["student_id"]
+
+
+def test_date_columns(spark):
+    named = lambda *names: infer.infer_spec(spark.createDataFrame([tuple("x" for _ in names)], list(names)))[1]
+    assert named("order_date", "time", "updated_at") == "time" and named("a", "lifetime", "order_date") == "lifetime" and named("a", "dt") is None
+
+
+def test_names_of_keys(spark):
+    a = spark.createDataFrame([(k % 5,) for k in range(20)], "studentId int")
+    b = spark.createDataFrame([(k % 5,) for k in range(10)], "`student-ID` int")
+    assert [(r.a_column, r.b_column, r.score) for r in relate.candidate_keys(a, b).collect()] == [("studentId", "student-ID", 1.5)]
+
+
+def test_date_forms(spark):
+    rows = [(None, f"0{k % 9 + 1}/02/2024", "1/2/2024") for k in range(300)] + [("2024-01-05 10:00", "x", None) for _ in range(100)]
+    df = spark.createDataFrame(rows, "a string, b string, c string").coalesce(1)
+    assert {r["column"]: r.form for r in relate.date_formats(df).collect()} == {"a": "YYYY-MM-DD", "b": "DD/MM/YYYY"}
+
+
+def test_proposals(spark):
+    new, changed = (spark.createDataFrame([("c", e)], "column string, error string") for e in ("new_column", "type_mismatch"))
+    status = lambda d, **policy: drift.evaluate_proposal(d, **policy).first().status
+    assert status(new) == "PENDING" and status(new, require_approval=False) == "APPROVED" and status(new, allow_new=False) == "REJECTED"
+    assert status(new, n_columns=51, require_approval=False) == "REJECTED" and status(new, n_columns=50, require_approval=False) == "APPROVED"
+    assert status(changed, require_approval=False) == "PENDING" and status(changed, allow_new=False) == "PENDING" and status(changed, n_columns=51) == "REJECTED"
+    assert drift.evaluate_proposal(new.union(changed)).first().severity == 6 and status(new.limit(0)) is None
