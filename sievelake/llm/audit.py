@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import itertools
 import json
+import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -14,10 +16,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, prefix_sums, quoted, text_of, written
+from .common import quoted, shuffle_partitions, text_of, written
 
 #: Bytes of texts that a shard of the matrix holds, unless one text has more.
-SHARD = 4 << 20
+SHARD = 16 << 20
+#: Words of shards, repeated over shards, that are numbered in one task together.
+TOGETHER = 1 << 20
 #: The filters, in the order of their bits.
 FILTERS = "ABCDE"
 CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -43,8 +47,12 @@ def _shards_of(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[tu
         yield held
 
 
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), np.int64, len(words))
+
+
 def _local_shards(rows: DataFrame, size: int) -> DataFrame:
-    """Shards whose column numbers count the shard's own words: shard, docs, starts, columns, counts, words.
+    """Shards whose column numbers count the shard's own words: shard, docs, starts, columns, counts, words (in order of their hashes), n_words.
 
     docs has what else there is to know of each text: id, part, digest, whether
     it fails C and D. bytes.split() cuts at the six ASCII blanks alone.
@@ -53,70 +61,117 @@ def _local_shards(rows: DataFrame, size: int) -> DataFrame:
     def build(batches):
         task = TaskContext.get().partitionId()
         for nth, held in enumerate(_shards_of(batches, size)):
-            columns, counts, starts, numbers, docs = [], [], [0], {}, []
+            columns, counts, starts, numbers, docs = array("i"), array("i"), [0], {}, []
             for doc_id, part, text in held:
                 found = Counter(text.split())
-                columns += [numbers.setdefault(w, len(numbers)) for w in found]
-                counts += found.values()
+                columns.extend([numbers.setdefault(w, len(numbers)) for w in found])
+                counts.extend(found.values())
                 starts.append(len(columns))
                 capitals = len(text) - len(text.translate(None, CAPITALS))
                 points = len(text.decode("utf-8", "replace"))
-                docs.append((doc_id, part, hashlib.sha256(text).digest(), 100 * capitals > 5 * points, len(text.translate(None, SIGNS)) < len(text)))
-            kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("part", pa.string()), ("digest", pa.binary()), ("fails_c", pa.bool_()), ("fails_d", pa.bool_())]))
-            names = [("doc_id", "part", "digest", "fails_c", "fails_d")] * len(docs)
+                docs.append({"doc_id": doc_id, "part": part, "digest": hashlib.sha256(text).digest(), "fails_c": 100 * capitals > 5 * points, "fails_d": len(text.translate(None, SIGNS)) < len(text)})
+            words = list(numbers)
+            order = np.argsort(_hashes(words), kind="stable")
+            place = np.empty(len(words), np.int32)
+            place[order] = np.arange(len(words))
+            kind = pa.struct([("doc_id", pa.int64()), ("part", pa.string()), ("digest", pa.binary()), ("fails_c", pa.bool_()), ("fails_d", pa.bool_())])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([(task << 32) | nth]),
-                    pa.array([[dict(zip(n, d, strict=True)) for n, d in zip(names, docs, strict=True)]], kind),
-                    pa.array([starts], pa.list_(pa.int32())),
-                    pa.array([np.array(columns, np.int32)], pa.list_(pa.int32())),
-                    pa.array([np.array(counts, np.int32)], pa.list_(pa.int32())),
-                    pa.array([list(numbers)], pa.list_(pa.binary())),
+                    _one(pa.array(docs, kind)),
+                    _one(pa.array(starts, pa.int32())),
+                    _one(pa.array(place[np.array(columns, np.int32)])),
+                    _one(pa.array(np.array(counts, np.int32))),
+                    _one(pa.array(words, pa.binary()).take(pa.array(order))),
+                    pa.array([len(words)]),
                 ],
-                ["shard", "docs", "starts", "columns", "counts", "words"],
+                ["shard", "docs", "starts", "columns", "counts", "words", "n_words"],
             )
 
     docs = "array<struct<doc_id:long,part:string,digest:binary,fails_c:boolean,fails_d:boolean>>"
-    return rows.mapInArrow(build, f"shard long, docs {docs}, starts array<int>, columns array<int>, counts array<int>, words array<binary>")
+    return rows.mapInArrow(build, f"shard long, docs {docs}, starts array<int>, columns array<int>, counts array<int>, words array<binary>, n_words long")
+
 
+def _one(values: pa.Array) -> pa.Array:
+    """All values as one list."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
-def dictionary(words: DataFrame) -> DataFrame:
-    """(word, number): every word once, numbered from 0 without gaps; numbers depend on the set of words alone.
 
-    Ranks come from sums over buckets of the words' hashes, so that no task
-    sees all words.
+def number_words(local: DataFrame, together: int = TOGETHER, keep_words: bool = False) -> DataFrame:
+    """(shard, bucket, words, numbers): the words of each shard that fall into a bucket (null if not kept), and their numbers in the dictionary of all shards.
+
+    A number is the bucket (upper 32 bits) and the place of the word among the
+    bucket's different words in order, so it depends on the set of words and
+    the count of buckets alone. Buckets are ranges of the words' hashes, of
+    about `together` words; a shard has one row for each, however often a word
+    stands in its texts, and no task sees more than its buckets' words.
     """
-    found = words.select("word").distinct()
-    found = written(found.select("word", F.xxhash64("word").alias("hash")), "words")
-    buckets = buckets_for(found.count())
-    dealt = found.select("word", "hash", F.expr(f"shiftright(shiftrightunsigned(hash, 32) * {buckets}L, 32)").alias("bucket"), F.lit(1).alias("one"))
-    return prefix_sums(dealt, [], "bucket", ["hash", "word"], ["one"]).select("word", F.col("one_before").alias("number"))
+    total = local.agg(F.sum("n_words")).first()[0] or 0
+    buckets = max(shuffle_partitions(local.sparkSession), -(-total // together))
+
+    def deal(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                words = batch.column(1).slice(k, 1).flatten()
+                bucket = _hashes(words.to_pylist()) * buckets >> 32
+                cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]).astype(np.int32) if len(bucket) else np.zeros(1, np.int32)
+                shard = batch.column(0).slice(k, 1).take(pa.array(np.zeros(len(cuts) - 1, np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), shard, pa.ListArray.from_arrays(pa.array(cuts), words)], ["bucket", "shard", "words"])
+
+    dealt = local.select("shard", "words").mapInArrow(deal, "bucket long, shard long, words array<binary>")
+    dealt = dealt.repartition(shuffle_partitions(local.sparkSession), "bucket").sortWithinPartitions("bucket")
+
+    def number(batches):
+        def result(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = [(b.column(1)[k], b.column(2).slice(k, 1).flatten()) for b in held for k in range(b.num_rows)]
+            bucket = held[0].column(0)[0].as_py()
+            places = {w: (bucket << 32) | n for n, w in enumerate(sorted({w for _, ws in rows for w in ws.to_pylist()}))}
+            for shard, ws in rows:
+                numbers = np.fromiter((places[w] for w in ws.to_pylist()), np.int64, len(ws))
+                yield pa.RecordBatch.from_arrays([pa.array([shard.as_py()]), pa.array([bucket]), _one(ws) if keep_words else pa.nulls(1, pa.list_(pa.binary())), _one(pa.array(numbers))], ["shard", "bucket", "words", "numbers"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            bucket = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a < b and held and held[-1].column(0)[0].as_py() != bucket[a]:
+                    yield from result(held)
+                    held = []
+                if a < b:
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield from result(held)
+
+    return dealt.mapInArrow(number, "shard long, bucket long, words array<binary>, numbers array<long>")
+
+
+def dictionary(local: DataFrame, together: int = TOGETHER) -> DataFrame:
+    """(word, number) of every different word of the shards."""
+    return number_words(local, together, keep_words=True).select(F.explode(F.arrays_zip("words", "numbers")).alias("e")).select(F.col("e.words").alias("word"), F.col("e.numbers").alias("number")).distinct()
 
 
-def document_term_matrix(rows: DataFrame, size: int = SHARD) -> DataFrame:
+def document_term_matrix(rows: DataFrame, size: int = SHARD, together: int = TOGETHER) -> DataFrame:
     """Compressed sparse rows, a shard of the matrix in each row of the result: shard, docs, starts, columns, counts.
 
     rows: doc_id, part, text. Document d of a shard has the entries starts[d]
     to starts[d + 1] - 1 of columns (numbers of words in the dictionary of all
     texts) and counts. Shards are made once and written; the dictionary is made
     from each shard's own words and goes back to it by a join, so that texts
-    are read once and no (document, word) pair is shuffled. A word of all
-    shards is one row a shard there, which Spark can split.
+    are read once and no (document, word) pair is shuffled by itself.
     """
     local = written(_local_shards(rows, size), "term-shards")
-    words = local.select("shard", F.posexplode("words").alias("place", "word"))
-    numbered = words.join(dictionary(words), "word").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("place", "number"))).alias("found"))
-    numbers = numbered.select("shard", F.col("found.number").alias("numbers"))
+    numbered = number_words(local, together).select("shard", "bucket", "numbers").groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("bucket", "numbers"))).alias("found"))
     # A shard of empty texts has no words, and then no numbers.
-    both = local.drop("words").join(numbers, "shard", "left")
+    both = local.drop("words", "n_words").join(numbered.select("shard", F.flatten("found.numbers").alias("numbers")), "shard", "left")
 
     def renumber(batches):
         for batch in batches:
             for k in range(batch.num_rows):
                 one = batch.slice(k, 1)
                 columns, numbers = one.column(3).flatten().to_numpy(), one.column(5).flatten().to_numpy()
-                offsets = pa.array([0, len(columns)], pa.int32())
-                yield pa.RecordBatch.from_arrays([*(one.column(c) for c in range(3)), pa.ListArray.from_arrays(offsets, pa.array(numbers[columns] if len(columns) else columns.astype(np.int64))), one.column(4)], ["shard", "docs", "starts", "columns", "counts"])
+                columns = numbers[columns] if len(columns) else columns.astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*(one.column(c) for c in range(3)), _one(pa.array(columns)), one.column(4)], ["shard", "docs", "starts", "columns", "counts"])
 
     kinds = {f.name: f.dataType.simpleString() for f in local.schema.fields}
     return both.mapInArrow(renumber, f"shard long, docs {kinds['docs']}, starts array<int>, columns array<long>, counts array<int>")
