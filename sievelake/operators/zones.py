@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import dedup
 from .quantiles import quantiles, wide
 
 #: Fixed value: the order in which kinds of rules are tried.
@@ -14,14 +15,20 @@ ORDER = ["composite_unique", "null_check", "range_check", "auto_iqr", "category_
 
 
 def duplicate_mask(df: DataFrame, columns: list[str], keep: str = "first", order: list[str] = (), name: str = "is_duplicate") -> DataFrame:
-    """Marks rows that repeat a key: all but the first, all but the last, or all (keep='none'). Null keys are equal to one another."""
-    w = Window.partitionBy(*columns)
+    """Marks rows that repeat a key: all but the first, all but the last, or all (keep='none'). Null keys are equal to one another.
+
+    Neither form gathers the rows of a key: firsts come from dedup.mark_first,
+    counts are made before the shuffle, and keys that repeat come back by a
+    join, which Spark can split.
+    """
     if keep == "none":
-        mask = F.count(F.lit(1)).over(w) > 1
-    else:
-        by = [F.col(c).asc() if keep == "first" else F.col(c).desc() for c in order]
-        mask = F.row_number().over(w.orderBy(*by)) > 1
-    return df.withColumn(name, mask)
+        keys = [F.col(f"`{c}`") for c in columns]
+        repeated = df.groupBy(*[k.alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("__n")).filter("__n > 1")
+        same = reduce(lambda a, b: a & b, [k.eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+        return df.join(repeated, same, "left").withColumn(name, F.col("__n").isNotNull()).drop("__n", *[f"__k{i}" for i in range(len(keys))])
+    by = [F.col(c).asc() if keep == "first" else F.col(c).desc() for c in order]
+    by += [F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])]
+    return dedup.mark_first(df, columns, by, name).withColumn(name, ~F.col(name))
 
 
 def category_mask(column: str, allowed: list[str]) -> Column:

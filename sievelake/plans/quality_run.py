@@ -39,7 +39,8 @@ def tag(df: DataFrame, spec: TableSpec) -> DataFrame:
     types = validate.type_checks(spec.types)
     nulls = F.when(types.isNull(), validate.null_checks(spec.required)) if spec.types else validate.null_checks(spec.required)
     checks = validate.with_reasons(df, [validate.missing_key(spec.pk), nulls, types], (validate.missing_date(spec.date),) if spec.date else ())
-    # Rows without a reason are ranked by themselves, so that a rejected row never hides a clean one of its key.
+    # Rows without a reason are ranked by themselves, so that a rejected row never hides a clean one of its key. Null
+    # keys, which are all rejected, are dealt out (dedup.mark_first).
     whole = F.size("reasons") == 0
     marked = dedup.split_duplicates(checks.withColumn("__whole", whole), [*spec.pk, "__whole"], spec.date, spec.tie)
     reasons: Column = F.when(~F.col("__whole"), F.col("reasons")).when(F.col("is_duplicate"), F.array(F.lit("duplicate_records"))).otherwise(F.array_compact(F.array(validate.range_rules(spec.ranges))) if spec.ranges else F.array().cast("array<string>"))

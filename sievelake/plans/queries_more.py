@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import align
 from ..functions.tables import scratch
-from ..operators import advise, dash, evaluate, infer, metrics, profile, profile_store, relate, repair, semantic, sinks, zones
+from ..operators import advise, dash, evaluate, infer, metrics, profile, profile_store, relate, repair, semantic, sinks, versions, zones
 from ..sources import read
 from ..streaming import stream
 from .fixtures import DIRTY, RUNS, dirty_orders, run_history, table
@@ -404,9 +404,9 @@ def ingestion_summary(spark, sf_dir):
 def key_upsert(spark, sf_dir):
     path = scratch(spark, "upsert")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
-    sinks.upsert(c, path, ["c_custkey"])
-    sinks.upsert(c.filter("c_custkey % 4 = 0").withColumn("c_acctbal", F.lit(1.0)).unionByName(c.agg((F.max("c_custkey") + 1).alias("c_custkey"), F.lit(2.0).alias("c_acctbal"))), path, ["c_custkey"])
-    return sinks.read_latest(spark, path)
+    versions.upsert(c, path, ["c_custkey"])
+    versions.upsert(c.filter("c_custkey % 4 = 0").withColumn("c_acctbal", F.lit(1.0)).unionByName(c.agg((F.max("c_custkey") + 1).alias("c_custkey"), F.lit(2.0).alias("c_acctbal"))), path, ["c_custkey"])
+    return versions.read(spark, path)
 
 
 @query("SELECT event_id, CASE WHEN event_type <> 'click' THEN 'r1' ELSE 'r2' END AS run_id, CASE WHEN event_type <> 'click' THEN 'i2' ELSE 'i1' END AS ingest_id FROM events")
@@ -434,9 +434,19 @@ def retained_events(spark, sf_dir):
 
 @query("SELECT p_partkey, p_size FROM part")
 def compacted_table(spark, sf_dir):
-    path = scratch(spark, "compact")
-    sinks.compact(table(spark, sf_dir, "part").select("p_partkey", "p_size"), path, ["p_partkey"], 2)
-    return read.read_table(spark, path)
+    path, p = scratch(spark, "compact"), table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    for part in range(2):
+        versions.append(p.filter(F.col("p_partkey") % 2 == part), path)
+    versions.cluster(spark, path, ["p_partkey", "p_size"], file_rows=500)
+    return versions.read(spark, path)
+
+
+@query("SELECT p_partkey, p_size FROM part WHERE p_size BETWEEN 10 AND 20 AND p_partkey <= (SELECT max(p_partkey) // 2 FROM part)")
+def clustered_box(spark, sf_dir):
+    path, p = scratch(spark, "clustered"), table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    versions.append(p, path)
+    versions.cluster(spark, path, ["p_partkey", "p_size"], file_rows=500)
+    return versions.read(spark, path, {"p_size": (10, 20), "p_partkey": (None, p.agg(F.max("p_partkey")).first()[0] // 2)})
 
 
 @query(f"WITH {TAGGED} SELECT row_id, order_key, price FROM tagged WHERE reject_reason IS NOT NULL")

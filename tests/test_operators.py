@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievelake.functions import align
 from sievelake.functions.similarity import hybrid_score
-from sievelake.operators import advise, dash, dedup, drift, evaluate, gold, history, infer, metrics, outliers, profile, quantiles, relate, repair, semantic, sinks, validate, zones
+from sievelake.operators import advise, dash, dedup, drift, evaluate, gold, history, infer, metrics, outliers, profile, quantiles, relate, repair, semantic, sinks, validate, versions, zones
 from sievelake.plans.quality_run import TableSpec, run
 from sievelake.sources.read import guarded_query, read_jdbc
 
@@ -148,11 +148,77 @@ def test_class_balance(spark):
 
 def test_failed_upsert_leaves_the_table(spark, tmp_path):
     path = str(tmp_path / "t")
-    sinks.upsert(spark.createDataFrame([(1, "a")], "k int, v string"), path, ["k"])
+    versions.upsert(spark.createDataFrame([(1, "a")], "k int, v string"), path, ["k"])
     bad = spark.createDataFrame([(2, "x")], "k int, v string").withColumn("v", F.raise_error(F.lit("boom")).cast("string"))
     with pytest.raises(Exception, match="boom"):
-        sinks.upsert(bad, path, ["k"])
-    assert [tuple(r) for r in sinks.read_latest(spark, path).collect()] == [(1, "a")]
+        versions.upsert(bad, path, ["k"])
+    assert [tuple(r) for r in versions.read(spark, path).collect()] == [(1, "a")]
+
+
+def test_two_writers(spark, tmp_path, monkeypatch):
+    """A writer that another overtakes between its reading and its publishing loses nothing: both rows are there."""
+    path, publish, overtaken = str(tmp_path / "t"), versions._publish, []
+    versions.upsert(spark.createDataFrame([(k, "old") for k in range(10)], "k int, v string"), path, ["k"])
+
+    def late(s, p, version):
+        if not overtaken:
+            overtaken.append(version.number)
+            versions.upsert(spark.createDataFrame([(3, "other"), (20, "other")], "k int, v string"), path, ["k"])
+        publish(s, p, version)
+
+    monkeypatch.setattr(versions, "_publish", late)
+    assert versions.upsert(spark.createDataFrame([(3, "mine"), (30, "mine")], "k int, v string"), path, ["k"]).number == 2
+    got = {r.k: r.v for r in versions.read(spark, path).collect()}
+    assert overtaken == [1] and got == {k: "old" for k in range(10)} | {3: "mine", 20: "other", 30: "mine"}
+    assert {r.k for r in versions.read(spark, path, number=0).collect()} == set(range(10))
+    with pytest.raises(versions.Conflict):
+        versions.replace(versions.read(spark, path), path, versions.at_version(spark, path, 1))
+
+
+def test_upsert_writes_touched_files_alone(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.range(10_000).select(F.col("id").alias("k"), (F.col("id") % 7).alias("v"))
+    versions.upsert(rows, path, ["k"], file_rows=200)
+    before = {r.file for r in versions._file_list(spark, path, versions.latest(spark, path)).collect()}
+    versions.upsert(rows.filter("k >= 5000 and k < 5100").withColumn("v", F.lit(-1)).withColumn("w", F.lit("new")), path, ["k"], file_rows=200)
+    after = {r.file for r in versions._file_list(spark, path, versions.latest(spark, path)).collect()}
+    assert len(before) >= 45 and len(before - after) <= 0.05 * len(before)
+    got = versions.read(spark, path)
+    assert got.columns == ["k", "v", "w"] and got.count() == 10_000 and got.filter("v = -1 and w = 'new'").count() == 100
+    versions.upsert(spark.createDataFrame([(20_000, 1)], "k long, v long"), path, ["k"], file_rows=200)
+    assert after < {r.file for r in versions._file_list(spark, path, versions.latest(spark, path)).collect()}
+    assert set(versions.vacuum(spark, path, keep=1)) == before - after and versions.read(spark, path).count() == 10_001
+
+
+def test_boxes_read_few_files(spark, tmp_path):
+    """In Z order a box over either or both keys meets few files, and its rows are those of a scan; a reader of the version before goes on."""
+    path = str(tmp_path / "t")
+    rows = spark.range(20_000).select((F.col("id") % 200).alias("x"), F.format_string("n%03d", (F.col("id") * 7 % 250)).alias("y"), "id")
+    versions.append(rows.repartition(4), path)
+    before = versions.read(spark, path)
+    versions.cluster(spark, path, ["x", "y"], file_rows=400)
+    files = versions._file_list(spark, path, versions.latest(spark, path))
+    total = files.count()
+    for box, most in (({"x": (50, 60)}, 0.35), ({"y": ("n100", "n110")}, 0.35), ({"x": (50, 60), "y": ("n100", "n110")}, 0.12)):
+        assert files.filter(versions.overlapping(box)).count() <= most * total
+        want = rows
+        for c, (a, b) in box.items():
+            want = want.filter(F.col(c).between(a, b))
+        assert sorted(versions.read(spark, path, box).collect()) == sorted(want.collect())
+    assert total >= 45 and before.count() == versions.read(spark, path).count() == 20_000
+
+
+def test_first_of_hot_keys(spark):
+    """A third of the rows has a null key and a third one key: no window has more than a part of them, and firsts are those of one window."""
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, k * 37 % 1000, k) for k in range(3000)]
+    df = spark.createDataFrame(rows, "k int, o int, r int").repartition(6)
+    got = dedup.mark_first(df, ["k"], [F.col("o"), F.col("r")], "first")
+    firsts = {}
+    for k, o, r in rows:
+        firsts[k] = min(firsts.get(k, (o, r)), (o, r))
+    assert {(r.k, r.o, r.r) for r in got.filter("first").collect()} == {(k, *v) for k, v in firsts.items()} and got.count() == 3000
+    twice = dedup.mark_first(df.select(F.lit(1).alias("k")), ["k"], [F.col("k")], "first")
+    assert twice.filter("first").count() == 1
 
 
 def test_zscores_come_after_the_other_rules(spark):
@@ -224,9 +290,9 @@ def test_detection_counts_dropped_rows(spark):
 
 def test_upsert_keeps_one_row_of_a_key(spark, tmp_path):
     path = str(tmp_path / "t")
-    sinks.upsert(spark.createDataFrame([(1, 5, "a"), (1, 4, "b"), (None, 1, "c")], "k int, o int, v string"), path, ["k"], ("o",))
-    sinks.upsert(spark.createDataFrame([(2, 1, "d"), (2, 2, "e"), (None, 2, "f")], "k int, o int, v string"), path, ["k"], ("o",))
-    assert {tuple(r) for r in sinks.read_latest(spark, path).collect()} == {(1, 4, "b"), (None, 1, "c"), (2, 1, "d"), (None, 2, "f")}
+    versions.upsert(spark.createDataFrame([(1, 5, "a"), (1, 4, "b"), (None, 1, "c")], "k int, o int, v string"), path, ["k"], ("o",))
+    versions.upsert(spark.createDataFrame([(2, 1, "d"), (2, 2, "e"), (None, 2, "f")], "k int, o int, v string"), path, ["k"], ("o",))
+    assert {tuple(r) for r in versions.read(spark, path).collect()} == {(1, 4, "b"), (None, 1, "c"), (2, 1, "d"), (None, 2, "f")}
 
 
 def test_kafka_options():
