@@ -6,8 +6,6 @@ import hashlib
 import itertools
 import json
 import zlib
-from array import array
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,138 +18,167 @@ from .common import quoted, shuffle_partitions, text_of, written
 
 #: Bytes of texts that a shard of the matrix holds, unless one text has more.
 SHARD = 16 << 20
-#: Words of shards, repeated over shards, that are numbered in one task together.
-TOGETHER = 1 << 20
 #: The filters, in the order of their bits.
 FILTERS = "ABCDE"
 CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SIGNS = b"#$%&*|"
+#: Whether a byte is one of the six ASCII blanks.
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 # ---- document-term matrix --------------------------------------------------
 
 
-def _shards_of(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[tuple]]:
-    """Rows (doc_id, part, text bytes) of about `size` bytes at most, or one text."""
-    held, total = [], 0
+def _shards_of(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list, list, list[bytes]]]:
+    """Ids, parts and texts of about `size` bytes at most, or of one text."""
+    ids, parts, texts, total = [], [], [], 0
     for batch in batches:
-        texts = batch.column(2).cast(pa.large_binary())
+        column = batch.column(2).cast(pa.large_binary())
         for k in range(batch.num_rows):
-            text = texts[k].as_py()
-            if held and total + len(text) > size:
-                yield held
-                held, total = [], 0
-            held.append((batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), text))
+            text = column[k].as_py()
+            if ids and total + len(text) > size:
+                yield ids, parts, texts
+                ids, parts, texts, total = [], [], [], 0
+            ids.append(batch.column(0)[k].as_py())
+            parts.append(batch.column(1)[k].as_py())
+            texts.append(text)
             total += len(text)
-    if held:
-        yield held
+    if ids:
+        yield ids, parts, texts
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(zlib.crc32, words), np.int64, len(words))
+def words_of(data: np.ndarray) -> tuple[pa.BinaryArray, np.ndarray]:
+    """The words of bytes, what stands between the six ASCII blanks, and where each begins."""
+    inside = ~BLANK[data]
+    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)])
+    buffers = [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[inside])]
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), buffers), starts
 
 
-def _local_shards(rows: DataFrame, size: int) -> DataFrame:
-    """Shards whose column numbers count the shard's own words: shard, docs, starts, columns, counts, words (in order of their hashes), n_words.
+def _packed(values: np.ndarray) -> bytes:
+    """32-bit numbers as compressed bytes."""
+    return pa.Codec("zstd", 1).compress(values.astype(np.int32).tobytes(), asbytes=True)
 
+
+def _numbers(packed: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.Codec("zstd").decompress(packed, 4 * n, asbytes=True), np.int32) if n else np.zeros(0, np.int32)
+
+
+def _local_shards(rows: DataFrame, size: int, ranges: int) -> DataFrame:
+    """Two kinds of rows. With null `range` a shard whose column numbers count its own words, in order of these words' hashes: shard, docs, starts, entries, columns, counts (packed).
+
+    With a range the shard's words whose hashes are in it, joined by blanks.
     docs has what else there is to know of each text: id, part, digest, whether
-    it fails C and D. bytes.split() cuts at the six ASCII blanks alone.
+    it fails C and D.
     """
 
     def build(batches):
         task = TaskContext.get().partitionId()
-        for nth, held in enumerate(_shards_of(batches, size)):
-            columns, counts, starts, numbers, docs = array("i"), array("i"), [0], {}, []
-            for doc_id, part, text in held:
-                found = Counter(text.split())
-                columns.extend([numbers.setdefault(w, len(numbers)) for w in found])
-                counts.extend(found.values())
-                starts.append(len(columns))
+        kind = pa.struct([("doc_id", pa.int64()), ("part", pa.string()), ("digest", pa.binary()), ("fails_c", pa.bool_()), ("fails_d", pa.bool_())])
+        for nth, (ids, parts, texts) in enumerate(_shards_of(batches, size)):
+            docs = []
+            for doc_id, part, text in zip(ids, parts, texts, strict=True):
                 capitals = len(text) - len(text.translate(None, CAPITALS))
                 points = len(text.decode("utf-8", "replace"))
                 docs.append({"doc_id": doc_id, "part": part, "digest": hashlib.sha256(text).digest(), "fails_c": 100 * capitals > 5 * points, "fails_d": len(text.translate(None, SIGNS)) < len(text)})
-            words = list(numbers)
-            order = np.argsort(_hashes(words), kind="stable")
-            place = np.empty(len(words), np.int32)
-            place[order] = np.arange(len(words))
-            kind = pa.struct([("doc_id", pa.int64()), ("part", pa.string()), ("digest", pa.binary()), ("fails_c", pa.bool_()), ("fails_d", pa.bool_())])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([(task << 32) | nth]),
-                    _one(pa.array(docs, kind)),
-                    _one(pa.array(starts, pa.int32())),
-                    _one(pa.array(place[np.array(columns, np.int32)])),
-                    _one(pa.array(np.array(counts, np.int32))),
-                    _one(pa.array(words, pa.binary()).take(pa.array(order))),
-                    pa.array([len(words)]),
-                ],
-                ["shard", "docs", "starts", "columns", "counts", "words", "n_words"],
-            )
+            words, at = words_of(np.frombuffer(b"\n".join(texts), np.uint8))
+            encoded = words.dictionary_encode()
+            distinct = encoded.dictionary.to_pylist()
+            hashes = np.fromiter(map(zlib.crc32, distinct), np.int64, len(distinct))
+            order = np.argsort(hashes, kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            # An entry for each document and word: they are counted in order of both.
+            bounds = np.cumsum([len(t) + 1 for t in texts])
+            entry = np.sort((np.searchsorted(bounds, at, side="right") << 32) | place[encoded.indices.to_numpy()])
+            first = np.flatnonzero(np.diff(entry, prepend=-1))
+            counts = np.diff(np.append(first, len(entry)))
+            starts = np.searchsorted(entry[first] >> 32, np.arange(len(ids) + 1))
+            shard, cells = (task << 32) | nth, entry[first] & 0xFFFFFFFF
+            head = [[shard], [None], [None], [docs], [starts.tolist()], [len(first)], [_packed(cells)], [_packed(counts)]]
+            cuts = np.searchsorted(hashes[order] * ranges >> 32, np.arange(ranges + 1))
+            held = [r for r in range(ranges) if cuts[r] < cuts[r + 1]]
+            sorted_words = [distinct[k] for k in order]
+            rest = [[shard] * len(held), held, [b" ".join(sorted_words[cuts[r] : cuts[r + 1]]) for r in held], *[[None] * len(held)] * 5]
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(kind), pa.list_(pa.int32()), pa.int64(), pa.binary(), pa.binary()]
+            for columns in (head, rest):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["shard", "range", "words", "docs", "starts", "entries", "columns", "counts"])
 
     docs = "array<struct<doc_id:long,part:string,digest:binary,fails_c:boolean,fails_d:boolean>>"
-    return rows.mapInArrow(build, f"shard long, docs {docs}, starts array<int>, columns array<int>, counts array<int>, words array<binary>, n_words long")
-
-
-def _one(values: pa.Array) -> pa.Array:
-    """All values as one list."""
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+    return rows.mapInArrow(build, f"shard long, range long, words binary, docs {docs}, starts array<int>, entries long, columns binary, counts binary")
 
 
-def number_words(local: DataFrame, together: int = TOGETHER, keep_words: bool = False) -> DataFrame:
-    """(shard, bucket, words, numbers): the words of each shard that fall into a bucket (null if not kept), and their numbers in the dictionary of all shards.
+def number_words(local: DataFrame) -> DataFrame:
+    """(shard, range, words, n, numbers): for the words of a shard in a range of hashes their places (packed) among all different words of the range.
 
-    A number is the bucket (upper 32 bits) and the place of the word among the
-    bucket's different words in order, so it depends on the set of words and
-    the count of buckets alone. Buckets are ranges of the words' hashes, of
-    about `together` words; a shard has one row for each, however often a word
-    stands in its texts, and no task sees more than its buckets' words.
+    A word's number in the dictionary of all shards is its range (upper 32
+    bits) and this place, in order of first appearance by shard. A word is sent
+    once for each shard, however often it stands in its texts, and no task
+    holds more than the words of one range.
     """
-    total = local.agg(F.sum("n_words")).first()[0] or 0
-    buckets = max(shuffle_partitions(local.sparkSession), -(-total // together))
-
-    def deal(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                words = batch.column(1).slice(k, 1).flatten()
-                bucket = _hashes(words.to_pylist()) * buckets >> 32
-                cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]).astype(np.int32) if len(bucket) else np.zeros(1, np.int32)
-                shard = batch.column(0).slice(k, 1).take(pa.array(np.zeros(len(cuts) - 1, np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), shard, pa.ListArray.from_arrays(pa.array(cuts), words)], ["bucket", "shard", "words"])
-
-    dealt = local.select("shard", "words").mapInArrow(deal, "bucket long, shard long, words array<binary>")
-    dealt = dealt.repartition(shuffle_partitions(local.sparkSession), "bucket").sortWithinPartitions("bucket")
+    words = local.filter("range is not null").select("range", "shard", "words")
+    dealt = words.repartition(shuffle_partitions(local.sparkSession), "range").sortWithinPartitions("range", "shard")
 
     def number(batches):
-        def result(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows = [(b.column(1)[k], b.column(2).slice(k, 1).flatten()) for b in held for k in range(b.num_rows)]
-            bucket = held[0].column(0)[0].as_py()
-            places = {w: (bucket << 32) | n for n, w in enumerate(sorted({w for _, ws in rows for w in ws.to_pylist()}))}
-            for shard, ws in rows:
-                numbers = np.fromiter((places[w] for w in ws.to_pylist()), np.int64, len(ws))
-                yield pa.RecordBatch.from_arrays([pa.array([shard.as_py()]), pa.array([bucket]), _one(ws) if keep_words else pa.nulls(1, pa.list_(pa.binary())), _one(pa.array(numbers))], ["shard", "bucket", "words", "numbers"])
+        def result(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held)
+            joined = rows.column(2).to_pylist()
+            words, at = words_of(np.frombuffer(b" ".join(joined), np.uint8))
+            places = words.dictionary_encode().indices.to_numpy()
+            cuts = np.searchsorted(at, np.cumsum([0, *(len(j) + 1 for j in joined)]))
+            n = np.diff(cuts)
+            packed = [_packed(places[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+            return pa.RecordBatch.from_arrays([rows.column(1).combine_chunks(), rows.column(0).combine_chunks(), rows.column(2).combine_chunks(), pa.array(n), pa.array(packed, pa.binary())], ["shard", "range", "words", "n", "numbers"])
 
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            bucket = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+            range_ = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(range_)) + 1).tolist(), len(range_)]
             for a, b in zip(cuts, cuts[1:], strict=False):
-                if a < b and held and held[-1].column(0)[0].as_py() != bucket[a]:
-                    yield from result(held)
+                if a < b and held and held[-1].column(0)[0].as_py() != range_[a]:
+                    yield result(held)
                     held = []
                 if a < b:
                     held.append(batch.slice(a, b - a))
         if held:
-            yield from result(held)
+            yield result(held)
 
-    return dealt.mapInArrow(number, "shard long, bucket long, words array<binary>, numbers array<long>")
+    return dealt.mapInArrow(number, "shard long, range long, words binary, n long, numbers binary")
 
 
-def dictionary(local: DataFrame, together: int = TOGETHER) -> DataFrame:
+def dictionary(local: DataFrame) -> DataFrame:
     """(word, number) of every different word of the shards."""
-    return number_words(local, together, keep_words=True).select(F.explode(F.arrays_zip("words", "numbers")).alias("e")).select(F.col("e.words").alias("word"), F.col("e.numbers").alias("number")).distinct()
 
+    def list_words(batches):
+        for batch in batches:
+            for shard, range_, words, n, numbers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(words.split(b" ")), pa.array((range_ << 32) | _numbers(numbers, n).astype(np.int64))], ["word", "number"])
+
+    return number_words(local).mapInArrow(list_words, "word binary, number long").distinct()
 
-def document_term_matrix(rows: DataFrame, size: int = SHARD, together: int = TOGETHER) -> DataFrame:
+
+def _numbered_shards(rows: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """The shards as they are written, and the whole ones with their words' numbers beside them."""
+    ranges = max(shuffle_partitions(rows.sparkSession), 4 * rows.rdd.getNumPartitions())
+    local = written(_local_shards(rows, size, ranges), "term-shards")
+    found = number_words(local).groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("range", "n", "numbers"))).alias("found"))
+    # A shard of empty texts has no words, and then no numbers.
+    return local, local.filter("range is null").select("shard", "docs", "starts", "entries", "columns", "counts").join(found, "shard", "left")
+
+
+def _csr(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Shards as compressed sparse rows: shard, docs, starts, columns (numbers of words in the dictionary of all texts), counts."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            one = batch.slice(k, 1)
+            n, found = one.column(3)[0].as_py(), one.column(6)[0].as_py() or []
+            numbers = np.concatenate([(f["range"] << 32) | _numbers(f["numbers"], f["n"]).astype(np.int64) for f in found]) if found else np.zeros(0, np.int64)
+            yield one.column(0), one.column(1), one.column(2).flatten().to_numpy(), numbers[_numbers(one.column(4)[0].as_py(), n)], _numbers(one.column(5)[0].as_py(), n)
+
+
+def document_term_matrix(rows: DataFrame, size: int = SHARD) -> DataFrame:
     """Compressed sparse rows, a shard of the matrix in each row of the result: shard, docs, starts, columns, counts.
 
     rows: doc_id, part, text. Document d of a shard has the entries starts[d]
@@ -160,37 +187,28 @@ def document_term_matrix(rows: DataFrame, size: int = SHARD, together: int = TOG
     from each shard's own words and goes back to it by a join, so that texts
     are read once and no (document, word) pair is shuffled by itself.
     """
-    local = written(_local_shards(rows, size), "term-shards")
-    numbered = number_words(local, together).select("shard", "bucket", "numbers").groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("bucket", "numbers"))).alias("found"))
-    # A shard of empty texts has no words, and then no numbers.
-    both = local.drop("words", "n_words").join(numbered.select("shard", F.flatten("found.numbers").alias("numbers")), "shard", "left")
+    local, numbered = _numbered_shards(rows, size)
 
-    def renumber(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                one = batch.slice(k, 1)
-                columns, numbers = one.column(3).flatten().to_numpy(), one.column(5).flatten().to_numpy()
-                columns = numbers[columns] if len(columns) else columns.astype(np.int64)
-                yield pa.RecordBatch.from_arrays([*(one.column(c) for c in range(3)), _one(pa.array(columns)), one.column(4)], ["shard", "docs", "starts", "columns", "counts"])
+    def shards(batches):
+        for shard, docs, starts, columns, counts in _csr(batches):
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v)) for v in (starts, columns, counts)]
+            yield pa.RecordBatch.from_arrays([shard, docs, *lists], ["shard", "docs", "starts", "columns", "counts"])
 
-    kinds = {f.name: f.dataType.simpleString() for f in local.schema.fields}
-    return both.mapInArrow(renumber, f"shard long, docs {kinds['docs']}, starts array<int>, columns array<long>, counts array<int>")
+    docs = local.schema["docs"].dataType.simpleString()
+    return numbered.mapInArrow(shards, f"shard long, docs {docs}, starts array<int>, columns array<long>, counts array<int>")
 
 
-def row_statistics(matrix: DataFrame) -> DataFrame:
+def document_statistics(rows: DataFrame, size: int = SHARD) -> DataFrame:
     """A row for each document of the matrix: what docs has of it, n_words (the row's sum) and n_distinct (its entries that are not zero)."""
 
     def read_rows(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                one = batch.slice(k, 1)
-                starts, counts = one.column(2).flatten().to_numpy(), one.column(4).flatten().to_numpy()
-                sums = np.diff(np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])[starts])
-                entries = np.diff(np.concatenate([[0], np.cumsum(counts != 0)])[starts])
-                docs = one.column(1).flatten()
-                yield pa.RecordBatch.from_arrays([*docs.flatten(), pa.array(sums), pa.array(entries.astype(np.int64))], ["doc_id", "part", "digest", "fails_c", "fails_d", "n_words", "n_distinct"])
+        for _, docs, starts, columns, counts in _csr(batches):
+            sums = np.diff(np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])[starts])
+            # Within a row no column stands twice, so its entries are its different words.
+            entries = np.diff(np.concatenate([[0], np.cumsum((counts != 0) & (columns >= 0))])[starts])
+            yield pa.RecordBatch.from_arrays([*docs.flatten().flatten(), pa.array(sums), pa.array(entries.astype(np.int64))], ["doc_id", "part", "digest", "fails_c", "fails_d", "n_words", "n_distinct"])
 
-    return matrix.mapInArrow(read_rows, "doc_id long, part string, digest binary, fails_c boolean, fails_d boolean, n_words long, n_distinct long")
+    return _numbered_shards(rows, size)[1].mapInArrow(read_rows, "doc_id long, part string, digest binary, fails_c boolean, fails_d boolean, n_words long, n_distinct long")
 
 
 # ---- audit -----------------------------------------------------------------
@@ -251,7 +269,7 @@ def filter_audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """
     rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.coalesce(F.col(quoted(part_col)).cast("string"), F.lit("")).alias("part"), text_of(text_col).alias("text"))
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic")
-    failed = failed_filters(row_statistics(document_term_matrix(rows, size)), labels)
+    failed = failed_filters(document_statistics(rows, size), labels)
     at = F.array_sort(F.collect_list(F.struct("failed", "n", "good", "toxic")))
     parts = failed.groupBy("part").agg(at.alias("sets"))  # 32 sets at most
     out = parts.select("part", "sets", F.explode(_steps()).alias("s"))
@@ -265,7 +283,7 @@ def filter_audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         "part",
         "s.filter_order",
         "s.step",
-        total("n", f"(x.failed & (s.before | s.bit)) = 0").alias("kept"),
+        total("n", "(x.failed & (s.before | s.bit)) = 0").alias("kept"),
         total("n", f"{fails} and not {before}").alias("removed"),
         total("n", f"{fails} and {before}").alias("redundant"),
         total("n", "x.failed = s.bit").alias("unique_fails"),
