@@ -7,18 +7,18 @@ from pyspark.sql import functions as F
 
 
 def normal(c: Column) -> Column:
-    return F.lower(F.trim(c.cast("string")))
+    return F.lower(F.regexp_replace(c.cast("string"), r"(?U)^\s+|\s+$", ""))
 
 
 def tokens(c: Column) -> Column:
-    """Distinct words of a normalised text."""
-    return F.array_distinct(F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    """Distinct words of a normalised text: what stands between blanks."""
+    return F.array_distinct(F.filter(F.split(c, r"(?U)\s+"), lambda w: w != ""))
 
 
 def bigrams(c: Column) -> Column:
-    """All character bigrams of a normalised text, repeats included; a single character is its own."""
+    """All character bigrams of a normalised text, repeats included; a single character has none."""
     n = F.length(c)
-    return F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substr(c, i, F.lit(2)))).when(n == 1, F.array(c)).otherwise(F.array().cast("array<string>"))
+    return F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substr(c, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
 
 
 def _counted(grams: Column) -> Column:
@@ -27,7 +27,7 @@ def _counted(grams: Column) -> Column:
 
 
 def bigram_cosine(a: Column, b: Column) -> Column:
-    """Cosine of bigram counts."""
+    """Cosine of bigram counts; 0 where a text has none."""
     x, y = _counted(a), _counted(b)
     dot = F.aggregate(x, F.lit(0.0), lambda s, e: s + e.n * F.coalesce(F.get(F.filter(y, lambda o: o.g == e.g), F.lit(0)).n, F.lit(0.0)))
     norm = lambda z: F.sqrt(F.aggregate(z, F.lit(0.0), lambda s, e: s + e.n * e.n))
@@ -35,14 +35,14 @@ def bigram_cosine(a: Column, b: Column) -> Column:
 
 
 def overlap(a: Column, b: Column) -> Column:
-    """Shared distinct elements over those of either."""
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(0.0)
+    """Shared distinct elements over those of the smaller set."""
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.least(F.size(a), F.size(b))).otherwise(0.0)
 
 
 def hybrid_score(a: Column, b: Column) -> Column:
-    """0.4 containment + 0.3 token overlap (of bigrams where no token is shared) + 0.3 bigram cosine; 0.95 and more is 1."""
-    contained = F.when((F.length(a) > 0) & (F.length(b) > 0) & (a.contains(b) | b.contains(a)), 1.0).otherwise(0.0)
+    """Equal texts 1; else 0.4 containment + 0.3 token overlap (of bigrams where no token is shared) + 0.3 bigram cosine, 0.95 and more being 1. Of normalised texts."""
+    contained = F.when(a.contains(b) | b.contains(a), 1.0).otherwise(0.0)
     shared = overlap(tokens(a), tokens(b))
     grams = overlap(F.array_distinct(bigrams(a)), F.array_distinct(bigrams(b)))
     score = 0.4 * contained + 0.3 * F.when(shared > 0, shared).otherwise(grams) + 0.3 * bigram_cosine(bigrams(a), bigrams(b))
-    return F.when(score >= 0.95, 1.0).otherwise(F.round(score, 6))
+    return F.when((a == b) | (score >= 0.95), 1.0).otherwise(F.round(score, 6))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import bigrams, hybrid_score, normal, tokens
+from ..functions.tables import written
 
 
 def map_lookup(df: DataFrame, mapping: DataFrame, key: str, value: str = "value", most: int = 200_000) -> DataFrame:
@@ -15,69 +18,98 @@ def map_lookup(df: DataFrame, mapping: DataFrame, key: str, value: str = "value"
     return df.join(side, normal(F.col(key)) == F.col("__k"), "left").drop("__k")
 
 
-def _candidates(a: DataFrame, b: DataFrame, x: str, y: str) -> DataFrame:
-    """Pairs (x, y) of distinct normalised texts that share a token or a bigram."""
-    keys = lambda c: F.array_union(tokens(F.col(c)), F.array_distinct(bigrams(F.col(c))))
-    left = a.select(x, F.explode(keys(x)).alias("__key"))
-    right = b.select(y, F.explode(keys(y)).alias("__key"))
-    return left.join(right, "__key").select(x, y).distinct()
-
-
-def _ranked_grams(texts: DataFrame, frequency: DataFrame) -> DataFrame:
-    """(text, grams): the different bigrams of every text, rarest over all texts first, each with the share of the text's squared norm that it and those after it have."""
+def _ranked(texts: DataFrame, frequency: DataFrame) -> DataFrame:
+    """(text, grams): the different bigrams of every text (none of a single character), rarest over all texts first, each with the share of the text's squared norm that it and those after it have."""
     counts = texts.select("text", F.explode(bigrams(F.col("text"))).alias("gram")).groupBy("text", "gram").agg(F.count("*").alias("n")).join(frequency, "gram")
     ranked = counts.groupBy("text").agg(F.array_sort(F.collect_list(F.struct("texts", "gram", "n"))).alias("grams"))  # bounded by the text
     norm = "aggregate(grams, 0L, (s, g) -> s + g.n * g.n)"
-    return ranked.select("text", F.expr(f"transform(grams, (g, k) -> named_struct('gram', g.gram, 'left', aggregate(slice(grams, k + 1, size(grams)), 0L, (s, o) -> s + o.n * o.n) / {norm}))").alias("grams"))
+    shares = F.expr(f"transform(grams, (g, k) -> named_struct('gram', g.gram, 'left', aggregate(slice(grams, k + 1, size(grams)), 0L, (s, o) -> s + o.n * o.n) / {norm}))")
+    return texts.join(ranked.select("text", shares.alias("grams")), "text", "left").select("text", F.coalesce("grams", F.array().cast("array<struct<gram:string,left:double>>")).alias("grams"))
 
 
-def similarity_join(a: DataFrame, b: DataFrame, col_a: str, col_b: str, t: float) -> DataFrame:
-    """Pairs of distinct texts of two columns with a hybrid score of t or more: a, b, score. No pair is lost for t > 0.
-
-    A prefix filter finds the candidates. Where one text contains the other,
-    the shorter one's rarest bigram is in the longer. Else the score is at most
-    0.3 and 0.3 times the cosine, so that the cosine is t / 0.3 - 1 or more:
-    texts share one of the rarest bigrams of the first, those without which
-    the others' part of its norm is too small. For t over 0.6 only containment
-    is left, for t of 0.3 and less every shared token and bigram counts. Texts
-    of one character are looked up among the characters of all.
+def ranked_texts(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides' texts with their bigrams, rarest over both sides first."""
+    grams = left.select("text").union(right.select("text")).select(F.explode(F.array_distinct(bigrams(F.col("text")))).alias("gram"))
+    frequency = grams.groupBy("gram").agg(F.count("*").alias("texts"))
+    return written(_ranked(left.select("text"), frequency), "ranked"), written(_ranked(right.select("text"), frequency), "ranked")
+
+
+def candidates(x: DataFrame, y: DataFrame, t: float) -> DataFrame:
+    """Pairs (a, b) of texts among which all are that have a hybrid score of t or more; x and y are from ranked_texts.
+
+    Where one text contains the other, the shorter one's rarest bigram is in
+    the longer. Else the score is at most 0.3 (overlap is of the smaller set, so
+    it can be whole) and 0.3 times the cosine, so that the cosine is t / 0.3 - 1
+    or more: the rarest bigram that the texts share is, on either side, among
+    those without which the rest has too small a part of the norm. For t over
+    0.6 only containment is left; for t of 0.3 and less every shared token and
+    bigram counts. Texts of one character are looked up among the characters
+    of all.
     """
-    left = a.select(normal(F.col(col_a)).alias("a")).filter("a is not null and a <> ''").distinct()
-    right = b.select(normal(F.col(col_b)).alias("b")).filter("b is not null and b <> ''").distinct()
-    letters = lambda df, c: df.select(c, F.explode(F.array_distinct(F.split(c, ""))).alias("__key"))
-    single = left.filter(F.length("a") == 1).join(letters(right, "b"), F.col("a") == F.col("__key")).select("a", "b")
-    single = single.union(letters(left, "a").join(right.filter(F.length("b") == 1), F.col("__key") == F.col("b")).select("a", "b"))
+
+    def keyed(df: DataFrame, name: str, keys: Column) -> DataFrame:
+        return df.select(F.col("text").alias(name), F.explode(keys).alias("__key"))
+
+    def met(a: Column, b: Column, left: DataFrame = x, right: DataFrame = y) -> DataFrame:
+        return keyed(left, "a", a).join(keyed(right, "b", b), "__key").select("a", "b")
+
+    letters, every = F.array_distinct(F.split("text", "")), F.transform("grams", lambda g: g["gram"])
+    one, rarest = F.length("text") == 1, F.slice(every, 1, 1)
+    pairs = met(F.array("text"), letters, left=x.filter(one)).union(met(letters, F.array("text"), right=y.filter(one)))
     cosine = t / 0.3 - 1
     if cosine <= 0:
-        pairs = _candidates(left, right, "a", "b")
-    else:
-        grams = left.select(F.col("a").alias("text")).union(right.select("b")).select(F.explode(F.array_distinct(bigrams(F.col("text")))).alias("gram"))
-        frequency = grams.groupBy("gram").agg(F.count("*").alias("texts"))
-        x, y = (_ranked_grams(df.select(F.col(c).alias("text")), frequency) for df, c in ((left, "a"), (right, "b")))
-        # The part of the norm from a gram on is a squared cosine's bound; a little slack for rounding.
-        rare = F.filter("grams", lambda g: g["left"] >= min(1.0, cosine) ** 2 - 1e-9) if cosine <= 1 else F.slice("grams", 1, 1)
-        first = lambda df, c, g: df.select(F.col("text").alias(c), F.explode(g).alias("g")).select(c, F.col("g.gram").alias("__key"))
-        pairs = first(x, "a", rare).join(first(y, "b", F.col("grams")), "__key").select("a", "b")
-        pairs = pairs.union(first(x, "a", F.slice("grams", 1, 1)).join(first(y, "b", F.col("grams")), "__key").select("a", "b"))
-        pairs = pairs.union(first(x, "a", F.col("grams")).join(first(y, "b", F.slice("grams", 1, 1)), "__key").select("a", "b"))
-    return pairs.union(single).distinct().withColumn("score", hybrid_score(F.col("a"), F.col("b"))).filter(F.col("score") >= t)
+        shared = F.array_union(tokens(F.col("text")), every)
+        return pairs.union(met(shared, shared)).distinct()
+    if cosine <= 1:
+        # The part of the norm from a bigram on is a squared cosine's bound; a little slack for rounding.
+        first = F.transform(F.filter("grams", lambda g: g["left"] >= cosine**2 - 1e-9), lambda g: g["gram"])
+        pairs = pairs.union(met(first, first))
+    return pairs.union(met(rarest, every)).union(met(every, rarest)).distinct()
+
+
+def similarity_join(a: DataFrame, b: DataFrame, col_a: str, col_b: str, t: float) -> DataFrame:
+    """Pairs of distinct texts of two columns with a hybrid score of t or more: a, b, score. No pair is lost for t > 0. Null and blank texts have none."""
+    left, right = (df.select(normal(F.col(c)).alias("text")).filter("text is not null and text <> ''").distinct() for df, c in ((a, col_a), (b, col_b)))
+    pairs = candidates(*ranked_texts(left, right), t)
+    return pairs.withColumn("score", hybrid_score(F.col("a"), F.col("b"))).filter(F.col("score") >= t)
+
+
+#: Scores down to which best matches are looked for one after the other: over 0.6 only texts that contain one another are met, down to 0.5 only those that share a rare bigram; what is left under 0.32 meets by every token and bigram.
+LEVELS = (0.600001, 0.5, 0.32, 0.0)
+
+
+def best_matches(values: DataFrame, keys: DataFrame) -> DataFrame:
+    """(text, key, score): the key (text) with the greatest hybrid score for each value (text), of equals the smallest; values with none over 0 are left out.
+
+    All pairs over a level are found before those under it are looked for, and
+    a value whose best score is over the level takes no further part.
+    """
+    x, y = ranked_texts(values, keys)
+    found, rest = [], x
+    for k, t in enumerate(LEVELS):
+        pairs = candidates(rest, y, t).withColumn("score", hybrid_score(F.col("a"), F.col("b"))).filter((F.col("score") >= t) & (F.col("score") > 0))
+        best = pairs.groupBy("a").agg(F.min(F.struct((-F.col("score")).alias("under"), F.col("b").alias("key"))).alias("m"))
+        found.append(written(best.select(F.col("a").alias("text"), "m.key", (-F.col("m.under")).alias("score")), "best"))
+        if k + 1 < len(LEVELS):
+            rest = written(rest.join(found[-1].select("text"), "text", "left_anti"), "rest")
+            if rest.isEmpty():
+                break
+    return reduce(DataFrame.union, found)
 
 
 def score_values(df: DataFrame, column: str, mapping: dict[str, str]) -> DataFrame:
     """Every distinct value of a column with its best key of the mapping: value, n, key, target, score, method.
 
-    Exact matches first; only the rest is scored, distinct values against
-    keys. Ties go to the smallest key.
+    Exact matches first; only the rest is scored (best_matches), distinct
+    values against keys. Ties go to the smallest key.
     """
     spark = df.sparkSession
     keys = spark.createDataFrame([(k.strip().lower(), v) for k, v in mapping.items()], "key string, target string")
     values = df.select(normal(F.col(column)).alias("value")).filter("value is not null").groupBy("value").agg(F.count("*").alias("n"))
     exact = values.join(keys, values["value"] == keys["key"]).select("value", "n", "key", "target", F.lit(1.0).alias("score"), F.lit("exact").alias("method"))
-    rest = values.join(keys, values["value"] == keys["key"], "left_anti")
-    pairs = _candidates(rest.select("value"), keys.select("key"), "value", "key").withColumn("score", hybrid_score(F.col("value"), F.col("key")))
-    nth = F.row_number().over(Window.partitionBy("value").orderBy(F.desc("score"), "key"))
-    best = pairs.withColumn("nth", nth).filter("nth = 1").join(keys, "key")
-    fuzzy = rest.join(best.select(F.col("value").alias("__v"), "key", "target", "score"), F.col("value") == F.col("__v"), "left").select("value", "n", "key", "target", F.coalesce("score", F.lit(0.0)).alias("score"), F.lit("fuzzy").alias("method"))
+    rest = written(values.join(keys, values["value"] == keys["key"], "left_anti"), "unmatched")
+    best = best_matches(rest.select(F.col("value").alias("text")), keys.select(F.col("key").alias("text")).filter("text <> ''")).join(keys, "key")
+    fuzzy = rest.join(best.select(F.col("text").alias("__v"), "key", "target", "score"), F.col("value") == F.col("__v"), "left").select("value", "n", "key", "target", F.coalesce("score", F.lit(0.0)).alias("score"), F.lit("fuzzy").alias("method"))
     return exact.unionByName(fuzzy)
 
 

@@ -72,11 +72,11 @@ def date_forms(spark, sf_dir):
 # ---- C: fuzzy matching ---------------------------------------------------------
 
 
-SCORE = """words AS (SELECT a, b, list_distinct(list_filter(regexp_split_to_array(a, '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) AS ta, list_distinct(list_filter(regexp_split_to_array(b, '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) AS tb,
+SCORE = """words AS (SELECT a, b, list_distinct(list_filter(regexp_split_to_array(a, '\\s+'), lambda w: w <> '')) AS ta, list_distinct(list_filter(regexp_split_to_array(b, '\\s+'), lambda w: w <> '')) AS tb,
   list_transform(range(1, length(a)), lambda i: substring(a, i, 2)) AS ga, list_transform(range(1, length(b)), lambda i: substring(b, i, 2)) AS gb FROM pairs),
-parts AS (SELECT a, b, CASE WHEN contains(a, b) OR contains(b, a) THEN 1.0 ELSE 0.0 END::DOUBLE AS c, len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))) AS t, len(list_intersect(list_distinct(ga), list_distinct(gb))) / len(list_distinct(list_concat(ga, gb))) AS g,
-  list_sum(list_transform(list_distinct(ga), lambda x: len(list_filter(ga, lambda y: y = x)) * len(list_filter(gb, lambda y: y = x)))) / (sqrt(list_sum(list_transform(list_distinct(ga), lambda x: len(list_filter(ga, lambda y: y = x)) ** 2))) * sqrt(list_sum(list_transform(list_distinct(gb), lambda x: len(list_filter(gb, lambda y: y = x)) ** 2)))) AS s FROM words),
-raw AS (SELECT a, b, 0.4::DOUBLE * c + 0.3::DOUBLE * CASE WHEN t > 0 THEN t ELSE g END + 0.3::DOUBLE * s AS r FROM parts), scored AS (SELECT a, b, CASE WHEN r >= 0.95 THEN 1.0::DOUBLE ELSE round(r, 6) END AS score FROM raw)"""
+parts AS (SELECT a, b, CASE WHEN contains(a, b) OR contains(b, a) THEN 1.0 ELSE 0.0 END::DOUBLE AS c, CASE WHEN len(ta) > 0 AND len(tb) > 0 THEN len(list_intersect(ta, tb)) / least(len(ta), len(tb)) ELSE 0 END AS t, CASE WHEN len(ga) > 0 AND len(gb) > 0 THEN len(list_intersect(list_distinct(ga), list_distinct(gb))) / least(len(list_distinct(ga)), len(list_distinct(gb))) ELSE 0 END AS g,
+  CASE WHEN len(ga) > 0 AND len(gb) > 0 THEN list_sum(list_transform(list_distinct(ga), lambda x: len(list_filter(ga, lambda y: y = x)) * len(list_filter(gb, lambda y: y = x)))) / (sqrt(list_sum(list_transform(list_distinct(ga), lambda x: len(list_filter(ga, lambda y: y = x)) ** 2))) * sqrt(list_sum(list_transform(list_distinct(gb), lambda x: len(list_filter(gb, lambda y: y = x)) ** 2)))) ELSE 0 END AS s FROM words),
+raw AS (SELECT a, b, 0.4::DOUBLE * c + 0.3::DOUBLE * CASE WHEN t > 0 THEN t ELSE g END + 0.3::DOUBLE * s AS r FROM parts), scored AS (SELECT a, b, CASE WHEN a = b OR r >= 0.95 THEN 1.0::DOUBLE ELSE round(r, 6) END AS score FROM raw)"""
 
 
 @query(f"WITH pairs AS (SELECT DISTINCT lower(trim(x.p_type)) AS a, lower(trim(y.p_type)) AS b FROM (SELECT DISTINCT p_type FROM part) x, (SELECT DISTINCT p_type FROM part) y), {SCORE} SELECT * FROM scored WHERE score >= 0.6")

@@ -1,12 +1,14 @@
 """Small frames with exact answers."""
 
+from collections import Counter
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sievelake.functions import align
-from sievelake.functions.similarity import hybrid_score
+from sievelake.functions.similarity import hybrid_score, normal
 from sievelake.operators import advise, dash, dedup, drift, evaluate, gold, history, infer, metrics, outliers, profile, quantiles, relate, repair, semantic, sinks, validate, versions, zones
 from sievelake.plans.quality_run import TableSpec, run
 from sievelake.sources.read import guarded_query, read_jdbc
@@ -109,11 +111,45 @@ def test_guarded_query_passes():
     assert guarded_query("-- all\n SELECT 1 ;") == "SELECT 1"
 
 
+def _hybrid(a: str, b: str) -> float:
+    """The score in plain Python."""
+    if a == b:
+        return 1.0
+    grams = [[s[k : k + 2] for k in range(len(s) - 1)] for s in (a, b)]
+    share = lambda x, y: len(set(x) & set(y)) / min(len(set(x)), len(set(y))) if x and y else 0.0
+    bags = [Counter(g) for g in grams]
+    norms = [sum(v * v for v in bag.values()) ** 0.5 for bag in bags]
+    cosine = sum(n * bags[1][g] for g, n in bags[0].items()) / (norms[0] * norms[1]) if all(norms) else 0.0
+    score = 0.4 * (a in b or b in a) + 0.3 * (share(a.split(), b.split()) or share(*grams)) + 0.3 * cosine
+    return 1.0 if score >= 0.95 else round(score, 6)
+
+
 def test_hybrid_score(spark):
-    pairs = [("apple pie", "apple pie"), ("apple pie", "pie"), ("abc", "xyz"), ("night", "nacht"), ("a", "a")]
+    texts = ["apple pie", "pie", "abc", "xyz", "night", "nacht", "a", "b", "high priority", "high", "5-lo", "5-low", "ข้าวผัด", "ข้าวผัดกุ้ง", "a x", "y a", "aaaa aa"]
+    pairs = [(a, b) for a in texts for b in texts]
     got = {(r.a, r.b): r.s for r in spark.createDataFrame(pairs, "a string, b string").select("a", "b", hybrid_score(F.col("a"), F.col("b")).alias("s")).collect()}
-    assert got["apple pie", "apple pie"] == 1.0 and got["a", "a"] == 1.0 and got["abc", "xyz"] == 0.0
-    assert 0.4 < got["apple pie", "pie"] < 1 and 0 < got["night", "nacht"] < 0.3
+    assert {k: pytest.approx(v, abs=2e-6) for k, v in got.items()} == {(a, b): _hybrid(a, b) for a, b in pairs}
+    assert got["high priority", "high"] == pytest.approx(0.85, abs=0.02) and got["5-lo", "5-low"] == 1.0
+    one = spark.createDataFrame([(" Data Warehouse\t",)], "a string").select(normal(F.col("a"))).first()[0]
+    assert one == "data warehouse"
+
+
+def test_best_matches(spark):
+    """The best key of each value is that of all pairs; only a small part of the pairs that share a bigram is scored."""
+    keys = [f"item {k * 7919 % 1000:03d} {w}" for k, w in enumerate(["alpha", "beta", "gamma", "delta"] * 60)] + ["a", "zz"]
+    values = [k[:9] + k[10:] for k in keys[:80]] + [k[:-1] for k in keys[80:160]] + ["item", "999", "b", "a b", "quite another thing", "x"]
+    frame = lambda texts: spark.createDataFrame([(t,) for t in sorted(set(texts))], "text string")
+    got = {r.text: (r.key, r.score) for r in semantic.best_matches(frame(values), frame(keys)).collect()}
+    want = {}
+    for v in set(values):
+        score, key = max(((_hybrid(v, k), k) for k in set(keys)), key=lambda x: (x[0], [-ord(c) for c in x[1]]))
+        if score > 0:
+            want[v] = (min(k for k in set(keys) if _hybrid(v, k) == score), score)
+    assert {v: s for v, (_, s) in got.items()} == {v: pytest.approx(s, abs=2e-6) for v, (_, s) in want.items()}
+    assert {v: k for v, (k, _) in got.items()} == {v: k for v, (k, _) in want.items()}
+    x, y = semantic.ranked_texts(frame(values), frame(keys))
+    whole = semantic.candidates(x, y, 0.0).count()
+    assert semantic.candidates(x, y, 0.600001).count() < 0.05 * whole and semantic.candidates(x, y, 0.5).count() < 0.4 * whole
 
 
 def test_safe_csv(spark):
