@@ -483,8 +483,8 @@ def without_repeats(docs: DataFrame, length: int = 100, together: int = TOGETHER
     other), rows that repeat an id with another text are documents of their
     own; an empty table gives no rows.
     """
-    if not MARK < length <= 255 + MARK:
-        raise ValueError(f"length must be over {MARK} and {255 + MARK} at most")
+    if not MARK < length <= 254 + MARK:  # a run has length - MARK + 1 starts at most, which are kept in 8 bits
+        raise ValueError(f"length must be over {MARK} and {254 + MARK} at most")
     keyed = _keyed(docs, id_col, text_col)
     ranges = repeated_ranges(keyed, length, together)
     per_doc = ranges.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_list(F.struct("low", "high")).alias("spans"))

@@ -82,8 +82,9 @@ def test_multikey_quicksort():
     assert keys == sorted(keys) and new.tolist() == [True, *(a != b for a, b in zip(keys, keys[1:], strict=False))]
 
 
-@pytest.mark.parametrize("length", [20, 32, 288])
+@pytest.mark.parametrize("length", [20, 32, 287, 288])
 def test_suffix_length_is_bounded(docs, length):
+    """The longest is 286: longer strings have runs of 256 starts."""
     with pytest.raises(ValueError, match="length"):
         suffixes.without_repeats(docs, length)
 
@@ -579,3 +580,10 @@ def test_suffixes_without_ids(spark):
     got = suffixes.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     want = collections.Counter(bytes(b for b, m in zip(t.encode(), masks[t], strict=True) if not m) for _, t in rows)
     assert collections.Counter(bytes(r.kept) for r in got) == want
+
+
+def test_longest_suffixes(spark):
+    """At the greatest length runs have 255 starts, which still fit."""
+    text = "".join(chr(97 + (k * k + k // 7) % 26) for k in range(2500))
+    docs = spark.createDataFrame([(1, text), (2, "x" + text)], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in suffixes.without_repeats(docs, 286).collect()} == {i: sum(m) for i, m in zip((1, 2), brute_repeats([(1, text.encode()), (2, ("x" + text).encode())], 286), strict=True)}
