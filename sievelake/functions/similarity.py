@@ -41,8 +41,31 @@ def overlap(a: Column, b: Column) -> Column:
 
 def hybrid_score(a: Column, b: Column) -> Column:
     """Equal texts 1; else 0.4 containment + 0.3 token overlap (of bigrams where no token is shared) + 0.3 bigram cosine, 0.95 and more being 1. Of normalised texts."""
-    contained = F.when(a.contains(b) | b.contains(a), 1.0).otherwise(0.0)
     shared = overlap(tokens(a), tokens(b))
     grams = overlap(F.array_distinct(bigrams(a)), F.array_distinct(bigrams(b)))
-    score = 0.4 * contained + 0.3 * F.when(shared > 0, shared).otherwise(grams) + 0.3 * bigram_cosine(bigrams(a), bigrams(b))
+    return _hybrid(a, b, shared, grams, bigram_cosine(bigrams(a), bigrams(b)))
+
+
+def prepared(c: Column) -> Column:
+    """What hybrid_of needs of a normalised text, found once however many others it is held against."""
+    counted = _counted(bigrams(c))
+    return F.struct(
+        c.alias("text"),
+        tokens(c).alias("tokens"),
+        F.array_distinct(bigrams(c)).alias("grams"),
+        F.map_from_entries(counted).alias("bag"),
+        F.sqrt(F.aggregate(counted, F.lit(0.0), lambda s, e: s + e.n * e.n)).alias("norm"),
+    )
+
+
+def hybrid_of(a: Column, b: Column) -> Column:
+    """hybrid_score of two prepared texts."""
+    dot = F.aggregate(a["grams"], F.lit(0.0), lambda s, g: s + F.try_element_at(a["bag"], g) * F.coalesce(F.try_element_at(b["bag"], g), F.lit(0.0)))
+    cosine = F.when((a["norm"] > 0) & (b["norm"] > 0), dot / (a["norm"] * b["norm"])).otherwise(0.0)
+    return _hybrid(a["text"], b["text"], overlap(a["tokens"], b["tokens"]), overlap(a["grams"], b["grams"]), cosine)
+
+
+def _hybrid(a: Column, b: Column, shared: Column, grams: Column, cosine: Column) -> Column:
+    contained = F.when(a.contains(b) | b.contains(a), 1.0).otherwise(0.0)
+    score = 0.4 * contained + 0.3 * F.when(shared > 0, shared).otherwise(grams) + 0.3 * cosine
     return F.when((a == b) | (score >= 0.95), 1.0).otherwise(F.round(score, 6))

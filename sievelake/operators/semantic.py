@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import bigrams, hybrid_score, normal, tokens
+from ..functions.similarity import bigrams, hybrid_of, normal, prepared, tokens
 from ..functions.tables import written
 
 
@@ -24,11 +24,12 @@ def _ranked(texts: DataFrame, frequency: DataFrame) -> DataFrame:
     ranked = counts.groupBy("text").agg(F.array_sort(F.collect_list(F.struct("texts", "gram", "n"))).alias("grams"))  # bounded by the text
     norm = "aggregate(grams, 0L, (s, g) -> s + g.n * g.n)"
     shares = F.expr(f"transform(grams, (g, k) -> named_struct('gram', g.gram, 'left', aggregate(slice(grams, k + 1, size(grams)), 0L, (s, o) -> s + o.n * o.n) / {norm}))")
-    return texts.join(ranked.select("text", shares.alias("grams")), "text", "left").select("text", F.coalesce("grams", F.array().cast("array<struct<gram:string,left:double>>")).alias("grams"))
+    none = F.array().cast("array<struct<gram:string,left:double>>")
+    return texts.join(ranked.select("text", shares.alias("grams")), "text", "left").select("text", F.coalesce("grams", none).alias("grams"), prepared(F.col("text")).alias("side"))
 
 
 def ranked_texts(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides' texts with their bigrams, rarest over both sides first."""
+    """Both sides' texts with their bigrams, rarest over both sides first, and what their scores need."""
     grams = left.select("text").union(right.select("text")).select(F.explode(F.array_distinct(bigrams(F.col("text")))).alias("gram"))
     frequency = grams.groupBy("gram").agg(F.count("*").alias("texts"))
     return written(_ranked(left.select("text"), frequency), "ranked"), written(_ranked(right.select("text"), frequency), "ranked")
@@ -70,8 +71,14 @@ def candidates(x: DataFrame, y: DataFrame, t: float) -> DataFrame:
 def similarity_join(a: DataFrame, b: DataFrame, col_a: str, col_b: str, t: float) -> DataFrame:
     """Pairs of distinct texts of two columns with a hybrid score of t or more: a, b, score. No pair is lost for t > 0. Null and blank texts have none."""
     left, right = (df.select(normal(F.col(c)).alias("text")).filter("text is not null and text <> ''").distinct() for df, c in ((a, col_a), (b, col_b)))
-    pairs = candidates(*ranked_texts(left, right), t)
-    return pairs.withColumn("score", hybrid_score(F.col("a"), F.col("b"))).filter(F.col("score") >= t)
+    return _scored(*ranked_texts(left, right), t)
+
+
+def _scored(x: DataFrame, y: DataFrame, t: float) -> DataFrame:
+    """(a, b, score) of the candidates with a score of t or more."""
+    one, two = x.select(F.col("text").alias("a"), F.col("side").alias("__a")), y.select(F.col("text").alias("b"), F.col("side").alias("__b"))
+    scored = candidates(x, y, t).join(one, "a").join(two, "b")
+    return scored.select("a", "b", hybrid_of(F.col("__a"), F.col("__b")).alias("score")).filter(F.col("score") >= t)
 
 
 #: Scores down to which best matches are looked for one after the other: over 0.6 only texts that contain one another are met, down to 0.5 only those that share a rare bigram; what is left under 0.32 meets by every token and bigram.
@@ -87,7 +94,7 @@ def best_matches(values: DataFrame, keys: DataFrame) -> DataFrame:
     x, y = ranked_texts(values, keys)
     found, rest = [], x
     for k, t in enumerate(LEVELS):
-        pairs = candidates(rest, y, t).withColumn("score", hybrid_score(F.col("a"), F.col("b"))).filter((F.col("score") >= t) & (F.col("score") > 0))
+        pairs = _scored(rest, y, t).filter("score > 0")
         best = pairs.groupBy("a").agg(F.min(F.struct((-F.col("score")).alias("under"), F.col("b").alias("key"))).alias("m"))
         found.append(written(best.select(F.col("a").alias("text"), "m.key", (-F.col("m.under")).alias("score")), "best"))
         if k + 1 < len(LEVELS):

@@ -485,12 +485,13 @@ def stream_dedup(spark, sf_dir):
     def arrive(loads: DataFrame) -> None:
         loads.write.mode("append").text(source)
         posts = stream.dedup_posts(stream.parse(stream.files(spark, source)), "1 hour")
-        stream.fan_out(posts, [lambda b, k: b.select("id").write.mode("overwrite").parquet(f"{out}/{k}")], mark, once=True).awaitTermination()
+        sink = stream.batch_sink(out, "posts")
+        stream.fan_out(posts, {"ids": lambda b, k: sink(b.select("id"), k)}, mark, once=True).awaitTermination()
 
     arrive(load(e, "p", F.col("seconds")).union(load(e, "p", F.col("seconds") + 600)))
     click = e.filter("event_type = 'click'").crossJoin(F.broadcast(newest))
     arrive(load(click, "new", F.col("newest") + 3600).union(load(click, "late", F.col("seconds") - 86400)))
-    return spark.read.option("recursiveFileLookup", "true").parquet(out)
+    return spark.read.parquet(out).select("id")
 
 
 # ---- A, B, C, F, G, K: specs, keys, guards, programs --------------------------------

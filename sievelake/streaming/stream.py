@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+Writer = Callable[[DataFrame, int], None]
 #: Fixed value: the record of the post feed.
 POST = "subreddit string, id string, title string, created_utc double, author string, score int"
 
@@ -32,14 +33,45 @@ def write_partitioned(df: DataFrame, path: str, column: str, checkpoint: str, on
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="2 seconds")).start(path)
 
 
-def fan_out(df: DataFrame, writers: list[Callable[[DataFrame, int], None]], checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Every micro-batch goes to all writers; a writer is told the batch's number, so that a batch that comes again can be known."""
+def batch_sink(path: str, query: str, columns: tuple[str, ...] = ()) -> Writer:
+    """Writes each batch of a query into a folder of its own, partitioned by columns; a batch that comes again replaces itself."""
 
     def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*columns).parquet(f"{path}/query={query}/batch={number}")
+
+    return write
+
+
+def fan_out(df: DataFrame, writers: dict[str, Writer], checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Every micro-batch goes to all writers, each with progress of its own.
+
+    A writer that is through with a batch leaves a mark below the checkpoint
+    and is passed over when the batch comes again, so that one that fails (the
+    stream then stops, the other writers having had their turn) does not make
+    others repeat theirs. One that was stopped between its writing and its mark
+    gets the batch again: it must replace what it wrote (batch_sink does).
+    """
+    fs_of = df.sparkSession._jvm.org.apache.hadoop.fs.Path
+
+    def write(batch: DataFrame, number: int) -> None:
+        conf = batch.sparkSession._jsc.hadoopConfiguration()
+        mark = lambda name, n: fs_of(f"{checkpoint}/written/{name}/{n}")
+        fs = fs_of(checkpoint).getFileSystem(conf)
         batch.persist()
-        for w in writers:
-            w(batch, number)
+        failed = None
+        for name, writer in writers.items():
+            if fs.exists(mark(name, number)):
+                continue
+            try:
+                writer(batch, number)
+            except Exception as e:  # the others have their turn first
+                failed = failed or e
+                continue
+            fs.create(mark(name, number)).close()
+            fs.delete(mark(name, number - 2), False)  # only the last batch can come again
         batch.unpersist()
+        if failed is not None:
+            raise failed
 
     writer = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="2 seconds")).start()

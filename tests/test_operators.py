@@ -12,6 +12,7 @@ from sievelake.functions.similarity import hybrid_score, normal
 from sievelake.operators import advise, dash, dedup, drift, evaluate, gold, history, infer, metrics, outliers, profile, quantiles, relate, repair, semantic, sinks, validate, versions, zones
 from sievelake.plans.quality_run import TableSpec, run
 from sievelake.sources.read import guarded_query, read_jdbc
+from sievelake.streaming import stream
 
 
 def test_names():
@@ -333,7 +334,6 @@ def test_upsert_keeps_one_row_of_a_key(spark, tmp_path):
 
 def test_kafka_options():
     """What the reader asks Spark for, held without a broker: all topics from the earliest offset, and no failure on lost offsets."""
-    from sievelake.streaming import stream
 
     class Reader:
         def __init__(self):
@@ -571,3 +571,32 @@ def test_proposals(spark):
     assert status(new, n_columns=51, require_approval=False) == "REJECTED" and status(new, n_columns=50, require_approval=False) == "APPROVED"
     assert status(changed, require_approval=False) == "PENDING" and status(changed, allow_new=False) == "PENDING" and status(changed, n_columns=51) == "REJECTED"
     assert drift.evaluate_proposal(new.union(changed)).first().severity == 6 and status(new.limit(0)) is None
+
+
+def test_streams_go_on_after_a_failure(spark, tmp_path):
+    """The second of two sinks fails once: restarted from the checkpoint, every row is in both once, and the first sink has had each batch once."""
+    source, mark, outs = str(tmp_path / "in"), str(tmp_path / "mark"), [str(tmp_path / n) for n in ("a", "b")]
+    seen, broken = [], [True]
+    sinks_ = [stream.batch_sink(o, "q") for o in outs]
+
+    def first(batch, number):
+        seen.append(number)
+        sinks_[0](batch, number)
+
+    def second(batch, number):
+        sinks_[1](batch, number)
+        if broken:
+            broken.clear()
+            raise RuntimeError("sink is gone")
+
+    def go():
+        stream.fan_out(stream.files(spark, source), {"first": first, "second": second}, mark, once=True).awaitTermination()
+
+    spark.createDataFrame([(f"r{k}",) for k in range(20)], "value string").write.mode("append").text(source)
+    with pytest.raises(Exception, match="sink is gone"):
+        go()
+    go()
+    spark.createDataFrame([(f"s{k}",) for k in range(5)], "value string").write.mode("append").text(source)
+    go()
+    want = sorted([f"r{k}" for k in range(20)] + [f"s{k}" for k in range(5)])
+    assert [sorted(r.value for r in spark.read.parquet(o).collect()) for o in outs] == [want, want] and seen == [0, 1]
