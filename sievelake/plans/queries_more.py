@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import align
 from ..functions.tables import scratch
-from ..operators import advise, dash, evaluate, infer, metrics, profile, profile_store, relate, repair, semantic, sinks, versions, zones
+from ..operators import advise, dash, evaluate, infer, metrics, profile, profile_state, profile_store, relate, repair, semantic, sinks, versions, zones
 from ..sources import read
 from ..streaming import stream
 from .fixtures import DIRTY, RUNS, dirty_orders, run_history, table
@@ -577,6 +577,17 @@ def profile_cycle(spark, sf_dir):
     return profile_store.cycle(o.filter("o_orderkey % 2 = 1"), path, "orders", ["o_totalprice"])
 
 
+@query("SELECT 'o_totalprice' AS \"column\", count(*)::BIGINT AS rows, (count(*) - count(o_totalprice))::BIGINT AS nulls, round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice), 4) AS sd, round(kurtosis_pop(o_totalprice), 4) AS kurtosis, min(o_totalprice) AS min, max(o_totalprice) AS max FROM orders")
+def profile_batches(spark, sf_dir):
+    """The profile of orders taken in by year, each batch read once."""
+    path, o = scratch(spark, "states"), table(spark, sf_dir, "orders")
+    for first, last in ((0, 1994), (1995, 1996), (1997, 9999)):
+        profile_state.cycle(o.filter(F.year("o_orderdate").between(first, last)), path, ["o_totalprice"])
+    states = versions.read(spark, path)
+    shown = profile_state.described(states).join(states.select("column", "rows", "nulls"), "column")
+    return shown.select("column", "rows", "nulls", *[F.round(c, 4).alias(c) for c in ("mean", "sd", "kurtosis")], "min", "max")
+
+
 @query("SELECT DISTINCT o_custkey FROM orders WHERE o_totalprice < 20000")
 def follow_up_ids(spark, sf_dir):
     return evaluate.follow_up(table(spark, sf_dir, "orders"), "o_custkey", "o_totalprice", 20000)

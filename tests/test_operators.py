@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sievelake.functions import align
 from sievelake.functions.similarity import hybrid_score, normal
-from sievelake.operators import advise, dash, dedup, drift, evaluate, gold, history, infer, metrics, outliers, profile, quantiles, relate, repair, semantic, sinks, validate, versions, zones
+from sievelake.operators import advise, dash, dedup, drift, evaluate, gold, history, infer, metrics, outliers, profile, profile_state, quantiles, relate, repair, semantic, sinks, validate, versions, zones
 from sievelake.plans.quality_run import TableSpec, run
 from sievelake.sources.read import guarded_query, read_jdbc
 from sievelake.streaming import stream
@@ -600,3 +600,28 @@ def test_streams_go_on_after_a_failure(spark, tmp_path):
     go()
     want = sorted([f"r{k}" for k in range(20)] + [f"s{k}" for k in range(5)])
     assert [sorted(r.value for r in spark.read.parquet(o).collect()) for o in outs] == [want, want] and seen == [0, 1]
+
+
+def test_merged_states(spark, tmp_path):
+    """States of batches add up to that of all rows: counts, moments and extremes exactly, ranks of quantiles within 2 in 100, distinct counts within 5; later rounds read their own batch alone."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(0, 1, 4000), rng.exponential(5, 4000), np.full(1000, 7.0)]).round(3)
+    rows = [(k // 3000, float(v), None if k % 9 else float(k)) for k, v in enumerate(x)] + [(2, None, None), (2, float("nan"), None)]
+    df = spark.createDataFrame(rows, "b int, x double, y double").repartition(3)
+    path = str(tmp_path / "s")
+    for b in range(3):
+        report = profile_state.cycle(df.filter(F.col("b") == b), path, ["x", "y"])
+    assert {r["column"] for r in report.collect()} == {"x", "y"}
+    got = {r["column"]: r for r in profile_state.described(versions.read(spark, path)).collect()}["x"]
+    whole = {r["column"]: r for r in profile_state.described(profile_state.state(df, ["x", "y"])).collect()}["x"]
+    d = x - x.mean()
+    exact = {"mean": x.mean(), "sd": x.std(ddof=1), "min": x.min(), "max": x.max(), "skewness": (d**3).mean() / x.std() ** 3, "kurtosis": (d**4).mean() / x.std() ** 4 - 3, "null_rate": 2 / 9002}
+    for k, v in exact.items():
+        assert got[k] == pytest.approx(v, rel=1e-9) and whole[k] == pytest.approx(v, rel=1e-9)
+    for k, share in (("p5", 0.05), ("p25", 0.25), ("p50", 0.5), ("p75", 0.75), ("p95", 0.95)):
+        assert (x < got[k]).mean() - 0.02 <= share <= (x <= got[k]).mean() + 0.02
+    assert abs(got.n_distinct - len(set(x)) - 1) <= 0.05 * len(set(x))
+    empty = profile_state.merged(profile_state.state(df.limit(0), ["x"]), profile_state.state(df.select(F.lit(None).cast("double").alias("x")), ["x"]))
+    assert profile_state.described(empty).first().mean is None
