@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import written
+
 EMPTY, OTHER = "(empty)", "other"
 
 
@@ -65,20 +69,27 @@ def kpi(df: DataFrame, definition: dict, date: str | None = None, grain: str = "
     if date is None:
         return df.agg(metric(definition).alias("value"))
     periods = df.filter(F.col(date).isNotNull()).groupBy(bucket(date, grain).alias("x")).agg(metric(definition).alias("value"))
+    return _with_change(df.agg(metric(definition).alias("value")), periods)
+
+
+def _with_change(whole: DataFrame, periods: DataFrame) -> DataFrame:
+    """A value with that of the last two periods (x, value) and their change in per cent."""
     last = periods.orderBy(F.desc("x")).limit(2).agg(F.max_by("value", "x").alias("latest"), F.when(F.count("*") > 1, F.min_by("value", "x")).alias("previous"))
     change = F.round(F.when(F.col("previous") != 0, 100 * (F.col("latest") - F.col("previous")) / F.abs("previous")), 4)
-    return df.agg(metric(definition).alias("value")).crossJoin(last).withColumn("change_pct", change)
+    return whole.crossJoin(last).withColumn("change_pct", change)
 
 
 def bar(df: DataFrame, by: str, definition: dict, sort: str = "desc", top: int = 20) -> DataFrame:
-    order = {"desc": [F.desc_nulls_last("value"), "x"], "asc": [F.asc_nulls_last("value"), "x"], "x": ["x"]}[sort]
-    return grouped(df, by, definition).orderBy(*order).limit(top)
+    return _ordered(grouped(df, by, definition), sort).limit(top)
+
+
+def _ordered(points: DataFrame, sort: str) -> DataFrame:
+    return points.orderBy(*{"desc": [F.desc_nulls_last("value"), "x"], "asc": [F.asc_nulls_last("value"), "x"], "x": ["x"]}[sort])
 
 
 def folded(df: DataFrame, by: str, definition: dict, top: int) -> DataFrame:
     """df and `label`: the top labels by the metric as they are, all others 'other', so that metrics can be computed anew from rows."""
-    nth = F.row_number().over(Window.orderBy(F.desc_nulls_last("value"), "x"))
-    best = grouped(df, by, definition).withColumn("nth", nth).filter(F.col("nth") <= top).select(F.col("x").alias("__x"))
+    best = grouped(df, by, definition).orderBy(F.desc_nulls_last("value"), "x").limit(top).select(F.col("x").alias("__x"))
     return df.withColumn("__l", label(by)).join(F.broadcast(best), F.col("__l") == F.col("__x"), "left").withColumn("label", F.coalesce("__x", F.lit(OTHER))).drop("__l", "__x")
 
 
@@ -123,10 +134,57 @@ def filter_options(df: DataFrame, column: str, kind: str, most: int = 100) -> Da
 
 
 def compute(df: DataFrame, spec: list[dict], selections: dict[str, dict], kinds: dict[str, str], personal: tuple[str, ...] = ()) -> dict[str, DataFrame]:
-    """All widgets of a dashboard over one filtered table, personal columns hidden; by the widget's id."""
+    """All widgets of a dashboard over one filtered table, personal columns hidden; by the widget's id.
+
+    KPIs, bars and lines come from one pass (one_pass), whose rows, one for
+    each label and period, are written; their widgets read those. Widgets that
+    fold labels (pie, split) and tables read the filtered rows themselves.
+    """
     shown = apply_filters(df, selections, kinds).drop(*personal)
-    kind = {"kpi": kpi, "bar": bar, "pie": pie, "split": split, "time": time, "table": table}
-    return {w["id"]: kind[w["type"]](shown, **{k: v for k, v in w.items() if k not in ("id", "type")}) for w in spec}
+    together = [w for w in spec if w["type"] in ("kpi", "bar", "time")]
+    out = {}
+    if together:
+        cells, read = one_pass(shown, together)
+        cells = written(cells, "widgets")
+        out = {w["id"]: read(cells, w) for w in together}
+    kind = {"pie": pie, "split": split, "table": table}
+    rest = {w["id"]: kind[w["type"]](shown, **{k: v for k, v in w.items() if k not in ("id", "type")}) for w in spec if w["type"] in kind}
+    return {w["id"]: {**out, **rest}[w["id"]] for w in spec}
+
+
+def _dimension(w: dict) -> tuple[str, ...] | None:
+    if w["type"] == "bar":
+        return ("label", w["by"])
+    return ("bucket", w["date"], w.get("grain", "month")) if w.get("date") else None
+
+
+def one_pass(df: DataFrame, spec: list[dict]) -> tuple[DataFrame, Callable[[DataFrame, dict], DataFrame]]:
+    """All metrics of KPIs, bars and lines as one aggregation with a grouping set for each dimension and one for all rows, and how a widget is read from it."""
+    dims = list(dict.fromkeys(d for d in map(_dimension, spec) if d))
+    metrics = list(dict.fromkeys(json.dumps(w["definition"], sort_keys=True, default=str) for w in spec))
+    definitions = {json.dumps(w["definition"], sort_keys=True, default=str): w["definition"] for w in spec}
+    columns = {d: f"__d{k}" for k, d in enumerate(dims)}
+    based = df.withColumns({columns[d]: label(d[1]) if d[0] == "label" else bucket(d[1], d[2]) for d in dims}) if dims else df
+    values = [metric(definitions[m]).alias(f"__m{k}") for k, m in enumerate(metrics)]
+    if dims:
+        cells = based.groupingSets([*[[F.col(columns[d])] for d in dims], []], *[F.col(columns[d]) for d in dims]).agg(F.grouping_id().alias("__set"), *values)
+    else:
+        cells = based.agg(*values).withColumn("__set", F.lit(0).cast("long"))
+    every = (1 << len(dims)) - 1
+
+    def read(cells: DataFrame, w: dict) -> DataFrame:
+        value = F.col(f"__m{metrics.index(json.dumps(w['definition'], sort_keys=True, default=str))}").alias("value")
+        d = _dimension(w)
+        whole = cells.filter(F.col("__set") == every).select(value)
+        if d is None:
+            return whole
+        points = cells.filter(F.col("__set") == every - (1 << (len(dims) - 1 - dims.index(d)))).select(F.col(columns[d]).alias("x"), value)
+        if w["type"] == "bar":
+            return _ordered(points, w.get("sort", "desc")).limit(w.get("top", 20))
+        periods = points.filter("x is not null")
+        return periods.orderBy(F.desc("x")).limit(w.get("last", 500)) if w["type"] == "time" else _with_change(whole, periods)
+
+    return cells, read
 
 
 def quality_dataset(runs: DataFrame) -> DataFrame:

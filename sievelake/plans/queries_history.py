@@ -116,6 +116,15 @@ def history_page(spark, sf_dir):
     return history.page(run_history(spark, sf_dir).select("run_id", "quality_score"), [("quality_score", "desc"), ("run_id", "asc")], 5, 10)
 
 
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey OFFSET 300 LIMIT 100")
+def order_pages(spark, sf_dir):
+    """The fourth page of 100, reached from page to page."""
+    o, sort, last = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), [("o_totalprice", "desc"), ("o_orderkey", "asc")], None
+    for _ in range(3):
+        last = history.seek(o, sort, 100, last).agg(F.max_by(F.struct("o_totalprice", "o_orderkey"), F.struct(-F.col("o_totalprice"), "o_orderkey"))).first()[0]
+    return history.seek(o, sort, 100, last)
+
+
 @query(f"WITH {RUNS}, {LATEST} SELECT table_name, run_id, quality_score, n_rows FROM latest")
 def history_latest(spark, sf_dir):
     return history.latest_per(run_history(spark, sf_dir), "table_name").select("table_name", "run_id", "quality_score", "n_rows")

@@ -269,15 +269,16 @@ def dash_quality_runs(spark, sf_dir):
     return dash.quality_dataset(run_history(spark, sf_dir)).select("run_id", "quality_score", "gate_result")
 
 
-@query("SELECT 'rows' AS widget, count(*)::DOUBLE AS value FROM orders UNION ALL SELECT 'total_total_price', round(sum(o_totalprice), 4) FROM orders")
+@query("""SELECT 'rows' AS widget, NULL::VARCHAR AS x, count(*)::DOUBLE AS value FROM orders UNION ALL SELECT 'total_total_price', NULL, round(sum(o_totalprice), 4) FROM orders UNION ALL SELECT 'by_o_orderstatus', o_orderstatus, count(*) FROM orders GROUP BY 2
+UNION ALL SELECT 'by_o_orderpriority', o_orderpriority, count(*) FROM orders GROUP BY 2 UNION ALL SELECT 'trend', strftime(date_trunc('month', o_orderdate), '%Y-%m-%d'), round(sum(o_totalprice), 4) FROM orders GROUP BY 2""")
 def default_dashboard(spark, sf_dir):
+    """Row count, totals, bars and the line by month of a table, all from one pass over it."""
     o = table(spark, sf_dir, "orders").withColumnRenamed("o_totalprice", "total_price")
     spec = dash.default_spec([r.asDict() for r in advise.column_roles(o).collect()])
-    widgets = dash.compute(o, spec, {}, {})
-    kpis = [w["id"] for w in spec if w["type"] == "kpi"]
     out = None
-    for k in kpis:
-        one = widgets[k].select(F.lit(k).alias("widget"), F.col("value").cast("double").alias("value"))
+    for name, w in dash.compute(o, spec, {}, {}).items():
+        x = F.lit(None).cast("string") if "x" not in w.columns else F.date_format("x", "yyyy-MM-dd") if name == "trend" else F.col("x")
+        one = w.select(F.lit(name).alias("widget"), x.alias("x"), F.col("value").cast("double").alias("value"))
         out = one if out is None else out.union(one)
     return out
 

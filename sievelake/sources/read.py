@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Bytes of a file that are read at once.
+PIECE = 4 << 20
+
 
 def read_raw_csv(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """All columns as text; quoted fields may have breaks and doubled quotes."""
@@ -64,8 +69,31 @@ def read_any(spark: SparkSession, path: str, form: str, row_tag: str = "row") ->
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """path, length and SHA-256 of landed files."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """path, length and SHA-256 of landed files.
+
+    Files on a disk that executors share are read in pieces by the tasks, a few
+    files each, and never held whole. Files in other stores come through
+    Spark's reader, which holds one at a time and takes none over 2 GB.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme() != "file":
+        return found.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    listed = found.select("path", "length")
+
+    def digest(batches):
+        for batch in batches:
+            sums = []
+            for name in batch.column(0).to_pylist():
+                total = hashlib.sha256()
+                with open(re.sub("^file:/+", "/", name), "rb") as f:
+                    while piece := f.read(PIECE):
+                        total.update(piece)
+                sums.append(total.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums, pa.string())], ["path", "length", "sha256"])
+
+    # Sizes tell nothing of the work in a partition of names, so names are dealt out.
+    return listed.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(digest, "path string, length long, sha256 string")
 
 
 def new_files(files: DataFrame, registry: DataFrame) -> DataFrame:

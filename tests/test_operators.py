@@ -11,6 +11,7 @@ from sievelake.functions import align
 from sievelake.functions.similarity import hybrid_score, normal
 from sievelake.operators import advise, dash, dedup, drift, evaluate, gold, history, infer, metrics, outliers, profile, profile_state, quantiles, relate, repair, semantic, sinks, validate, versions, zones
 from sievelake.plans.quality_run import TableSpec, run
+from sievelake.sources import read
 from sievelake.sources.read import guarded_query, read_jdbc
 from sievelake.streaming import stream
 
@@ -625,3 +626,51 @@ def test_merged_states(spark, tmp_path):
     assert abs(got.n_distinct - len(set(x)) - 1) <= 0.05 * len(set(x))
     empty = profile_state.merged(profile_state.state(df.limit(0), ["x"]), profile_state.state(df.select(F.lit(None).cast("double").alias("x")), ["x"]))
     assert profile_state.described(empty).first().mean is None
+
+
+def test_one_pass_dashboard(spark):
+    """Ten widgets come from one scan, and are what each gives by itself; missing labels, dates and values too."""
+    rows = [(None if k % 11 == 0 else f"g{k % 4}", f"h{k % 3}", None if k % 13 == 0 else f"2024-0{k % 5 + 1}-10", None if k % 7 == 0 else k * 1.5) for k in range(200)]
+    df = spark.createDataFrame(rows, "g string, h string, d string, v double").withColumn("d", F.col("d").cast("timestamp"))
+    total, ratio = {"agg": "sum", "column": "v"}, {"numerator": {"agg": "count", "where": [["g", "eq", "g1"]]}, "denominator": {"agg": "count"}, "percent": True}
+    spec = [{"id": f"k{i}", "type": "kpi", "definition": m} for i, m in enumerate(({"agg": "count"}, total, ratio, {"agg": "count_distinct", "column": "h"}))]
+    spec += [{"id": "change", "type": "kpi", "definition": total, "date": "d"}, {"id": "bg", "type": "bar", "by": "g", "definition": total}, {"id": "bh", "type": "bar", "by": "h", "definition": ratio, "sort": "x"}, {"id": "top", "type": "bar", "by": "g", "definition": {"agg": "count"}, "top": 2}]
+    spec += [{"id": "t", "type": "time", "date": "d", "definition": total}, {"id": "ty", "type": "time", "date": "d", "definition": ratio, "grain": "year"}]
+    got = dash.compute(df, spec, {"h": {"values": ["h0", "h1"]}}, {})
+    shown, kind = dash.apply_filters(df, {"h": {"values": ["h0", "h1"]}}, {}), {"kpi": dash.kpi, "bar": dash.bar, "time": dash.time}
+    for w in spec:
+        alone = kind[w["type"]](shown, **{k: v for k, v in w.items() if k not in ("id", "type")})
+        assert [tuple(r) for r in got[w["id"]].collect()] == [tuple(r) for r in alone.collect()], w["id"]
+    path = "/root/testdata/sf0.001/orders.parquet"
+    o = spark.read.parquet(path).withColumnRenamed("o_totalprice", "total_price")
+    cells, _ = dash.one_pass(o, [w for w in dash.default_spec([r.asDict() for r in advise.column_roles(o).collect()]) if w["type"] != "table"])
+    assert cells._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+
+
+def test_pages(spark):
+    """Pages one after the other are the table, with nulls and ties in the sorted columns; a later page's filter reaches the scan."""
+    rows = [(None if k % 5 == 0 else k % 4, None if k % 7 == 0 else k % 3, k) for k in range(60)]
+    df = spark.createDataFrame(rows, "a int, b int, id int")
+    for ways in (("asc", "desc"), ("desc", "asc")):
+        sort, last, seen = [("a", ways[0]), ("b", ways[1]), ("id", "asc")], None, []
+        while part := history.seek(df, sort, 7, last).collect():
+            seen += [tuple(r) for r in part]
+            last = (part[-1].a, part[-1].b, part[-1].id)
+        assert seen == [tuple(r) for r in history.page(df, sort, 0, 100).collect()] and len(seen) == 60
+    o = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select("o_orderkey")
+    assert "GreaterThanOrEqual(o_orderkey,700)" in history.seek(o, [("o_orderkey", "asc")], 5, (700,))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_digests_of_large_files(spark, tmp_path):
+    """A file over the size of a row is read in pieces; names with blanks and signs are found."""
+    import hashlib
+
+    with open(tmp_path / "large file%.bin", "wb") as f:
+        f.truncate(2_200_000_000)
+    (tmp_path / "small").write_bytes(b"abc")
+    got = {r.path.rsplit("/", 1)[-1]: (r.length, r.sha256) for r in read.file_digests(spark, str(tmp_path)).collect()}
+    total, zeros = hashlib.sha256(), bytes(1 << 20)
+    for _ in range(2_200_000_000 >> 20):
+        total.update(zeros)
+    total.update(bytes(2_200_000_000 & 0xFFFFF))
+    assert sorted(got.values()) == [(3, hashlib.sha256(b"abc").hexdigest()), (2_200_000_000, total.hexdigest())]
