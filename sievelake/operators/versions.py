@@ -96,6 +96,20 @@ def _rows_of(spark: SparkSession, path: str, schema: T.StructType, files: list[s
     return spark.read.schema(schema).parquet(*[f"{path}/{f}" for f in files]) if files else spark.createDataFrame([], schema)
 
 
+def file_list(spark: SparkSession, path: str) -> DataFrame:
+    """(file, rows, low, high) of the newest version."""
+    return _file_list(spark, path, latest(spark, path))
+
+
+def rows_of_files(spark: SparkSession, path: str, files: list[str]) -> DataFrame:
+    """Rows of files of the newest version, and the __file of each."""
+    name = F.concat(F.lit("data/"), F.substring_index("_metadata.file_path", "/", -2)).alias("__file")
+    schema = latest(spark, path).schema
+    if not files:
+        return spark.createDataFrame([], schema).withColumn("__file", F.lit(None).cast("string"))
+    return _rows_of(spark, path, schema, files).select(*[F.col(f"`{f.name}`") for f in schema.fields], name)
+
+
 def _write_files(df: DataFrame, path: str, bounds: tuple[str, ...]) -> DataFrame:
     """Writes df below data/ and returns its part of a list of files."""
     spark, folder = df.sparkSession, f"data/{uuid.uuid4().hex}"

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import drift, gold, history, metrics
+from ..functions.tables import scratch
+from ..operators import drift, gold, history, metrics, search, versions
 from .fixtures import DRIFTS, PIPELINES, PROFILES, RUNS, drift_log, pipeline_runs, run_history, run_profiles, table
 
 QUERIES, ORACLES = {}, {}
@@ -130,6 +131,15 @@ def history_latest(spark, sf_dir):
     return history.latest_per(run_history(spark, sf_dir), "table_name").select("table_name", "run_id", "quality_score", "n_rows")
 
 
+@query("SELECT c_custkey FROM customer WHERE contains(lower(c_name), '#0000001') OR contains(lower(c_mktsegment), '#0000001')")
+def indexed_search(spark, sf_dir):
+    """Rows with a text, of a table whose files are signed; the scan's own answer is search_rows'."""
+    path = scratch(spark, "searched")
+    versions.upsert(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), path, ["c_custkey"], file_rows=100)
+    search.index_files(spark, path)
+    return search.search(spark, path, "#0000001").select("c_custkey")
+
+
 @query("SELECT c_custkey FROM customer WHERE contains(lower(concat_ws(chr(31), c_custkey::VARCHAR, c_name, c_mktsegment)), '11') AND c_nationkey >= 0")
 def search_rows(spark, sf_dir):
     return history.search_rows(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), "11").select("c_custkey")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sievelake.functions import align
 from sievelake.functions.similarity import hybrid_score, normal
-from sievelake.operators import advise, dash, dedup, drift, evaluate, gold, history, infer, metrics, outliers, profile, profile_state, quantiles, relate, repair, semantic, sinks, validate, versions, zones
+from sievelake.operators import advise, dash, dedup, drift, evaluate, gold, history, infer, metrics, outliers, profile, profile_state, quantiles, relate, repair, search, semantic, sinks, validate, versions, zones
 from sievelake.plans.quality_run import TableSpec, run
 from sievelake.sources import read
 from sievelake.sources.read import guarded_query, read_jdbc
@@ -674,3 +674,19 @@ def test_digests_of_large_files(spark, tmp_path):
         total.update(zeros)
     total.update(bytes(2_200_000_000 & 0xFFFFF))
     assert sorted(got.values()) == [(3, hashlib.sha256(b"abc").hexdigest()), (2_200_000_000, total.hexdigest())]
+
+
+def test_search_reads_few_files(spark, tmp_path):
+    """A rare word is looked for in under a tenth of the files, with the rows of a scan; files that come later are read until they are signed."""
+    path = str(tmp_path / "t")
+    words = spark.range(6000).select("id", F.concat_ws(" ", *[F.substring(F.md5(F.concat("id", F.lit(f"x{k}"))), 1, 5) for k in range(3)]).alias("t"), F.when(F.col("id") == 4321, "A Quokka here").alias("note"))
+    versions.upsert(words, path, ["id"], file_rows=150)
+    assert search.index_files(spark, path) >= 30 and search.index_files(spark, path) == 0
+    total = versions.file_list(spark, path).count()
+    for text in ("quokka", "4321", words.filter("id = 77").first().t[:9], "zz", "\x1fa"):
+        want = sorted(r.id for r in history.search_rows(words, text).collect())
+        assert sorted(r.id for r in search.search(spark, path, text).collect()) == want
+    assert len(search.files_with(spark, path, "quokka")) < 0.1 * total and len(search.files_with(spark, path, "zz")) == total
+    versions.upsert(spark.createDataFrame([(9999, "late quokka", None)], "id long, t string, note string"), path, ["id"], file_rows=150)
+    assert sorted(r.id for r in search.search(spark, path, "QUOKKA").collect()) == [4321, 9999]
+    assert search.index_files(spark, path) == 1
