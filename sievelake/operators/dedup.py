@@ -6,25 +6,35 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 #: Keys with more than this share of all rows are split, and into how many parts.
 HOT, PARTS = 0.002, 32
 
 
+def row_hash(df: DataFrame) -> Column:
+    """64 bits of all columns; maps, which have no hash, by their text."""
+    return F.xxhash64(*[F.to_json(F.col(f"`{f.name}`")) if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`") for f in df.schema.fields])
+
+
 def mark_first(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
     """Adds whether a row is the first of its key by `order`; null keys are equal to one another, of rows alike in all one is first.
 
     Keys that very many rows share, and keys with a null, are dealt out over
-    PARTS parts, each with a first of its own; these few meet in a second
-    window. Which keys are split comes from a count of fixed size
-    (freqItems, at most 1 / HOT keys) and changes no result.
+    PARTS parts by the rows' hashes, each with a first of its own; these few
+    meet in a second window. Rows alike in all columns stay together. Which
+    keys are split comes from a count of fixed size (freqItems, at most
+    1 / HOT keys) and changes no result.
     """
+    # Parts and order depend on the rows alone: both branches below agree, whether Spark reads one shuffle twice or makes it anew.
+    whole = row_hash(df)
+    order = [*order, whole]
     key = F.xxhash64(*[F.col(f"`{c}`") for c in keys])
     hot = df.select(key.alias("key")).freqItems(["key"], HOT).first()[0]
     null = reduce(lambda a, b: a | b, [F.col(f"`{c}`").isNull() for c in keys])
     split = null | key.isin(hot) if hot else null
-    part = F.when(split, 1 + F.pmod(F.spark_partition_id() * 7 + F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(1_000_003)), F.lit(PARTS))).otherwise(0)
+    part = F.when(split, 1 + F.pmod(whole, F.lit(PARTS))).otherwise(0)
     dealt = df.withColumn("__part", part.cast("int"))
     inside = Window.partitionBy(*[F.col(f"`{c}`") for c in keys], "__part").orderBy(*order)
     ranked = dealt.withColumn(name, F.row_number().over(inside) == 1)
@@ -36,7 +46,7 @@ def mark_first(df: DataFrame, keys: list[str], order: list[Column], name: str) -
 
 def _order(df: DataFrame, date: str | None, tie: list[str]) -> list[Column]:
     # Rows that date and tie leave equal are told apart by the hash of all their columns, so that reruns agree.
-    return ([F.col(date).desc_nulls_last()] if date else []) + [F.col(c) for c in tie] + [F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])]
+    return ([F.col(date).desc_nulls_last()] if date else []) + [F.col(c) for c in tie] + [row_hash(df)]
 
 
 def keep_latest(df: DataFrame, pk: list[str], date: str | None, tie: list[str]) -> tuple[DataFrame, DataFrame]:

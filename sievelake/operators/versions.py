@@ -188,7 +188,7 @@ def upsert(new: DataFrame, path: str, pk: list[str], order: tuple[str, ...] = ()
     """
     spark, mark = new.sparkSession, table_mark()
     whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in pk])
-    first = mark_first(new.filter(whole), pk, [*[F.col(c) for c in order], F.xxhash64(*[F.col(f"`{c}`") for c in new.columns])], "__first")
+    first = mark_first(new.filter(whole), pk, [F.col(c) for c in order], "__first")
     # Computed once, however often it is tried.
     rows = written(first.filter("__first").drop("__first").unionByName(new.filter(~whole)), "upsert")
     keys, n = rows.filter(whole).select(*pk), rows.count()

@@ -27,7 +27,6 @@ def duplicate_mask(df: DataFrame, columns: list[str], keep: str = "first", order
         same = reduce(lambda a, b: a & b, [k.eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
         return df.join(repeated, same, "left").withColumn(name, F.col("__n").isNotNull()).drop("__n", *[f"__k{i}" for i in range(len(keys))])
     by = [F.col(c).asc() if keep == "first" else F.col(c).desc() for c in order]
-    by += [F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])]
     return dedup.mark_first(df, columns, by, name).withColumn(name, ~F.col(name))
 
 
