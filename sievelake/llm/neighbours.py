@@ -10,10 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_tables, quoted, table_mark, written
+from .common import drop_paths, drop_tables, fresh_path, quoted, shuffle_partitions, table_mark, written
+from .files import NamedFile, store_of
 
 #: Vectors in a leaf, in a shard, and queries in a block: what bounds a task's memory.
 LEAF, SHARD, BLOCK = 64, 2048, 4096
+#: Bytes of vectors in trees that a task holds, and blocks of queries that it reads one by one.
+BUNDLE, SPAN = 64 << 20, 64
+#: Bands of distance that a region with more than a shard's vectors is parted into at most, before ids are hashed.
+BANDS = 32
 #: Regions of the partition at most, and sampled vectors for each that it is laid out by: what bounds the driver's memory.
 REGIONS, SAMPLED = 1024, 16
 #: Distances and scores nearer than this are told apart by the exact score.
@@ -206,28 +211,39 @@ def partitions(usable: DataFrame, shard_rows: int = SHARD, most: int = REGIONS)
 
 
 def _placed(usable: DataFrame, parts: dict[int, Partition]) -> DataFrame:
-    """usable with the region of every vector; dimensions that the sample has none of are one region."""
+    """usable with the region of every vector and its distance from the region's point; dimensions that the sample has none of are one region."""
 
     def place(batches):
         for batch in batches:
             frame = batch.to_pandas()
-            frame["region"] = 0
+            frame["region"], frame["away"] = 0, 0.0
             for dim, some in frame.groupby("dim"):
                 if dim in parts:
-                    frame.loc[some.index, "region"] = parts[dim].regions_of(_units(_matrix(some["vector"])))
-            yield pa.RecordBatch.from_pandas(frame[["vec_id", "vector", "dim", "region"]], preserve_index=False)
+                    units = _units(_matrix(some["vector"]))
+                    regions = parts[dim].regions_of(units)
+                    frame.loc[some.index, "region"] = regions
+                    for region in np.unique(regions):
+                        mine = regions == region
+                        frame.loc[some.index[mine], "away"] = chords(units[mine], parts[dim].points[region][None])[:, 0]
+            yield pa.RecordBatch.from_pandas(frame[["vec_id", "vector", "dim", "region", "away"]], preserve_index=False)
 
-    return usable.mapInArrow(place, "vec_id long, vector array<double>, dim int, region long")
+    return usable.mapInArrow(place, "vec_id long, vector array<double>, dim int, region long, away double")
 
 
 def vantage_index(placed: DataFrame, parts: dict[int, Partition], shard_rows: int = SHARD) -> DataFrame:
     """Trees of all vectors: (dim, region, shard, n, low, high, tree), with the range of distances from the region's vantage point.
 
-    A region with more than shard_rows vectors is dealt out to several shards
-    by the hash of the id, so that no task gets more than about as many.
+    A region with more than shard_rows vectors is parted into bands by the
+    distance from its point, so that each shard has a narrow range; bands that
+    are still larger, as with many equal vectors, are dealt out by the hash of
+    the id, so that no task gets more than about as many.
     """
-    sizes = placed.groupBy("dim", "region").agg(F.ceil(F.count("*") / shard_rows).alias("shards"))
-    dealt = placed.join(sizes, ["dim", "region"]).withColumn("shard", F.pmod(F.xxhash64("vec_id"), "shards").cast("int"))
+    cuts = F.percentile_approx("away", F.array(*[F.lit(i / BANDS) for i in range(1, BANDS)]), F.lit(1000))
+    laid = placed.groupBy("dim", "region").agg(F.least(F.ceil(F.count("*") / shard_rows), F.lit(BANDS)).alias("bands"), cuts.alias("cuts"))
+    under = F.size(F.filter("cuts", lambda c: c < F.col("away")))
+    banded = placed.join(laid, ["dim", "region"]).withColumn("band", F.floor(under * F.col("bands") / F.lit(BANDS)).cast("int")).select("vec_id", "vector", "dim", "region", "band")
+    sizes = banded.groupBy("dim", "region", "band").agg(F.ceil(F.count("*") / shard_rows).alias("pieces"))
+    dealt = banded.join(sizes, ["dim", "region", "band"]).withColumn("shard", (F.col("band") + BANDS * F.pmod(F.xxhash64("vec_id"), "pieces")).cast("int"))
 
     def grow(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("vec_id")
@@ -239,81 +255,138 @@ def vantage_index(placed: DataFrame, parts: dict[int, Partition], shard_rows: in
     return written(dealt.groupBy("dim", "region", "shard").applyInPandas(grow, "dim int, region long, shard int, n long, low double, high double, tree binary"), "vantage-trees")
 
 
-def regions_to_search(queries: DataFrame, ranges: dict[int, pd.DataFrame], parts: dict[int, Partition], factor: float, first: bool) -> DataFrame:
-    """A row of queries for each region that it has to search: the nearest one (first), or all others that can hold something nearer than its k-th.
+def least_distances(units: np.ndarray, point: np.ndarray | None, low: np.ndarray | float, high: np.ndarray | float) -> np.ndarray:
+    """The least distance from each unit vector that the triangle inequality allows anything whose distance from point is in low to high."""
+    if point is None:
+        return np.zeros(len(units))
+    away = chords(units, point[None])[:, 0]
+    return np.maximum(0, np.maximum(low - away, away - high))
 
-    ranges: for each dimension the (region, low, high) of all regions. The
-    triangle inequality gives the least distance that any vector of a region
-    can have from a query; regions go when it, times factor, is over the
-    distance of the query's k-th so far (score `least`; null: under k found).
+
+def in_reach(bound: np.ndarray, least: np.ndarray, factor: float) -> np.ndarray:
+    """Queries that have to look where nothing is nearer than bound: those whose k-th found (score `least`, -inf: under k found) is no nearer than bound times factor."""
+    reach = np.where(np.isfinite(least), np.sqrt(np.maximum(0, 2 - 2 * np.where(np.isfinite(least), least, 0))), np.inf)
+    return bound * factor <= reach + 1e-6  # distances near 0 lose half the digits
+
+
+def _block_file(folder: str, dim: int, block: int) -> str:
+    return f"{folder}/{dim}-{block}.npz"
+
+
+def write_blocks(queries: DataFrame, ranges: dict[int, pd.DataFrame], parts: dict[int, Partition], folder: str, blocks: int) -> DataFrame:
+    """Writes queries (dim, vec_id, least, vector) once, in files of a dimension and a block: ids, vectors, nearest region and score of the k-th so far.
+
+    ranges: for each dimension the (region, low, high) of all regions.
     """
 
-    def choose(batches):
-        for batch in batches:
-            frame = batch.to_pandas()
-            for dim, some in frame.groupby("dim"):
-                held = ranges.get(int(dim))
-                if held is None:
-                    continue
-                if dim in parts:
-                    away = chords(_units(_matrix(some["vector"])), np.array([parts[dim].points[r] for r in held["region"]]))
-                    bound = np.maximum(0, np.maximum(held["low"].to_numpy() - away, away - held["high"].to_numpy()))
-                else:
-                    away = bound = np.zeros((len(some), len(held)))
-                nearest = np.lexsort((away, bound), axis=1)[:, 0]
-                if first:
-                    row, place = np.arange(len(some)), nearest
-                else:
-                    least = some["least"].to_numpy(np.float64)
-                    reach = np.where(np.isnan(least), np.inf, np.sqrt(np.maximum(0, 2 - 2 * least)))
-                    asked = bound * factor <= reach[:, None] + 1e-6
-                    asked[np.arange(len(some)), nearest] = False
-                    row, place = np.nonzero(asked)
-                out = some.iloc[row].assign(region=held["region"].to_numpy()[place])
-                yield pa.RecordBatch.from_pandas(out[["dim", "region", "vec_id", "least", "vector"]], schema=kind, preserve_index=False)
-
-    kind = pa.schema([("dim", pa.int32()), ("region", pa.int64()), ("vec_id", pa.int64()), ("least", pa.float64()), ("vector", pa.list_(pa.float64()))])
-    return queries.select("dim", "vec_id", "least", "vector").mapInArrow(choose, "dim int, region long, vec_id long, least double, vector array<double>")
-
-
-def _searched(index: DataFrame, asked: DataFrame, k: int, factor: float, blocks: int) -> DataFrame:
-    """What every query finds in the shards of its regions: query_id, vec_id, score; up to k from a shard. A task has one tree and one block of queries."""
-    shards = asked.join(index.select("dim", "region", "shard"), ["dim", "region"]).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks)).cast("int"))
-    keys = ["dim", "region", "shard", "block"]
-    wanted = shards.select(*[F.col(c).alias(f"of_{c}") for c in keys]).distinct()
-    trees = wanted.join(index, [F.col(f"of_{c}") == F.col(c) for c in keys[:3]]).select(*[f"of_{c}" for c in keys], "tree")
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        names = left["vec_id"].to_numpy(np.int64)
-        least = left["least"].to_numpy(np.float64)
-        ids, scores = VantageTree.load(right["tree"].iloc[0]).search(names, _matrix(left["vector"]), k, factor, np.where(np.isnan(least), -np.inf, least))
-        hit = ids >= 0
-        return pd.DataFrame({"query_id": np.repeat(names, k).reshape(ids.shape)[hit], "vec_id": ids[hit], "score": scores[hit]})
-
-    return shards.groupBy(*keys).cogroup(trees.groupBy(*[f"of_{c}" for c in keys])).applyInPandas(search, "query_id long, vec_id long, score double")
+    def save(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("vec_id")
+        dim, block = int(frame["dim"].iloc[0]), int(frame["block"].iloc[0])
+        vectors, home, held = _matrix(frame["vector"]), np.zeros(len(frame), np.int64), ranges.get(dim)
+        if dim in parts and held is not None:
+            units, best = _units(vectors), np.full((len(frame), 2), np.inf)
+            for region, low, high in zip(held["region"], held["low"], held["high"], strict=True):
+                away = chords(units, parts[dim].points[region][None])[:, 0]
+                bound = np.maximum(0, np.maximum(low - away, away - high))
+                nearer = (bound < best[:, 0]) | ((bound == best[:, 0]) & (away < best[:, 1]))
+                home[nearer], best[nearer, 0], best[nearer, 1] = region, bound[nearer], away[nearer]
+        least = frame["least"].to_numpy(np.float64)
+        file = NamedFile(_block_file(folder, dim, block))
+        data = io.BytesIO()
+        np.savez(data, ids=frame["vec_id"].to_numpy(np.int64), vectors=vectors, home=home, least=np.where(np.isnan(least), -np.inf, least))
+        file.out.write(data.getvalue())
+        file.close()
+        return pd.DataFrame({"dim": [dim], "block": [block], "n": [len(frame)]})
+
+    dealt = queries.select("dim", "vec_id", "least", "vector", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks)).cast("int").alias("block"))
+    return written(dealt.groupBy("dim", "block").applyInPandas(save, "dim int, block int, n long"), "query-blocks")
+
+
+def _read_block(folder: str, dim: int, block: int) -> tuple[np.ndarray, ...] | None:
+    """What write_blocks has put into a file; None where a dimension has no queries in the block."""
+    store, path = store_of(_block_file(folder, dim, block))
+    if not store.get_file_info(path).is_file:
+        return None
+    with store.open_input_stream(path, compression=None) as raw, np.load(io.BytesIO(raw.read())) as held:
+        return held["ids"], held["vectors"], held["home"], held["least"]
+
+
+def search_trees(trees: list[tuple[int, float, float, VantageTree]], points: list[np.ndarray] | None, block: tuple[np.ndarray, ...], k: int, factor: float, first: bool) -> tuple[np.ndarray, np.ndarray, int]:
+    """Ids and scores of a block's k nearest in the trees (region, low, high, tree), and how often a query was sent down a tree.
+
+    first: queries look into the trees of their own region, else into those of
+    all others; trees that a query's k-th so far rules out are left out.
+    """
+    names, vectors, home, least = block
+    units, sent = _units(vectors), 0
+    best_ids, best = np.full((len(names), k), -1, np.int64), np.full((len(names), k), -np.inf)
+    for region, low, high, tree in trees:
+        mine = np.flatnonzero((home == region) == first)
+        bound = least_distances(units[mine], None if points is None else points[region], low, high)
+        rows = mine[in_reach(bound, least[mine], factor)]
+        if not len(rows):
+            continue
+        sent += len(rows)
+        ids, scores = tree.search(names[rows], vectors[rows], k, factor, least[rows])
+        ids, scores = np.concatenate([best_ids[rows], ids], axis=1), np.concatenate([best[rows], scores], axis=1)
+        rank = np.lexsort((ids, -scores), axis=1)[:, :k]
+        best_ids[rows], best[rows] = np.take_along_axis(ids, rank, 1), np.take_along_axis(scores, rank, 1)
+        least = np.maximum(least, best[:, k - 1])
+    return best_ids, best, sent
+
+
+def _searched(index: DataFrame, parts: dict[int, Partition], folder: str, blocks: int, k: int, factor: float, first: bool) -> DataFrame:
+    """What every query finds: query_id, vec_id, score; up to k from a bundle of trees.
+
+    Trees are shuffled in bundles of about BUNDLE bytes, once for every SPAN
+    blocks of queries; queries are not shuffled again, as each task reads the
+    blocks' files one by one.
+    """
+    spark = index.sparkSession
+    size = index.agg(F.count("*").alias("shards"), F.coalesce(F.sum(F.col("n") * F.col("dim") * 8), F.lit(0)).alias("bytes")).first()
+    bundles = max(1, -(-size.bytes // BUNDLE), min(size.shards, shuffle_partitions(spark)))
+    of_span = SPAN
+    spans = -(-blocks // of_span)
+    dealt = index.withColumn("bundle", F.pmod(F.xxhash64("region", "shard"), F.lit(bundles))).withColumn("span", F.explode(F.sequence(F.lit(0), F.lit(spans - 1))))
+
+    def search(frame: pd.DataFrame) -> pd.DataFrame:
+        dim, span = int(frame["dim"].iloc[0]), int(frame["span"].iloc[0])
+        trees = [(int(region), low, high, VantageTree.load(tree)) for region, low, high, tree in zip(frame["region"], frame["low"], frame["high"], frame["tree"], strict=True)]
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for number in range(span * of_span, min(blocks, (span + 1) * of_span)):
+            block = _read_block(folder, dim, number)
+            if block is not None:
+                ids, scores, _ = search_trees(trees, parts[dim].points if dim in parts else None, block, k, factor, first)
+                hit = ids >= 0
+                found.append((np.repeat(block[0], k).reshape(ids.shape)[hit], ids[hit], scores[hit]))
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
+
+    return dealt.select("dim", "bundle", "span", "region", "low", "high", "tree").groupBy("dim", "bundle", "span").applyInPandas(search, "query_id long, vec_id long, score double")
 
 
 def search_index(index: DataFrame, queries: DataFrame, parts: dict[int, Partition], k: int = 5, factor: float = 1.0, block_rows: int = BLOCK) -> DataFrame:
     """The k nearest indexed vectors of every query: query_id, rank, vec_id, score.
 
-    Queries (vec_id, vector, dim) first search the nearest region, then those
-    that the triangle inequality does not rule out (regions_to_search). The
-    best k of all are what a query gets; ties go to the smaller id.
+    Queries (vec_id, vector, dim) first search the nearest region, then the
+    shards of all others that the triangle inequality does not rule out by
+    their k-th. The best k of all are what a query gets; ties go to the
+    smaller id.
     """
-    mark = table_mark()
+    spark, mark = index.sparkSession, table_mark()
     blocks = max(1, -(-queries.count() // block_rows))
+    folder = fresh_path(spark, "vantage-queries")
     found = index.groupBy("dim", "region").agg(F.min("low").alias("low"), F.max("high").alias("high")).orderBy("dim", "region").toPandas()
     ranges = {int(dim): some for dim, some in found.groupby("dim")}
-    asked = queries.withColumn("least", F.lit(None).cast("double"))
-    near = written(_searched(index, regions_to_search(asked, ranges, parts, factor, True), k, factor, blocks), "vantage-first")
+    write_blocks(queries.withColumn("least", F.lit(None).cast("double")), ranges, parts, f"{folder}/first", blocks)
+    near = written(_searched(index, parts, f"{folder}/first", blocks, k, factor, True), "vantage-first")
     kth = near.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("scores")).select(F.col("query_id").alias("vec_id"), F.get("scores", F.lit(k - 1)).alias("least"))
-    far = _searched(index, regions_to_search(queries.join(kth, "vec_id", "left"), ranges, parts, factor, False), k, factor, blocks)
+    write_blocks(queries.join(kth, "vec_id", "left"), ranges, parts, f"{folder}/second", blocks)
+    far = _searched(index, parts, f"{folder}/second", blocks, k, factor, False)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     out = near.union(far).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
     out = written(out, "vantage-found")
-    drop_tables(index.sparkSession, mark, (out,))
+    drop_tables(spark, mark, (out,))
+    drop_paths(spark, [folder])
     return out
 
 
@@ -324,7 +397,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, factor: float = 1.0
     part, nor do rows without an id; vectors of another dimension than the
     query's are no candidates of it; an empty table gives no rows. Where the
     triangle inequality rules out little, as in many dimensions at factor 1,
-    every query meets every shard.
+    every query meets every shard: its vector is read once for each bundle of
+    shards, but shuffled only into its block.
     """
     mark = table_mark()
     usable = written(usable_vectors(vectors, id_col, vector_col), "vectors")

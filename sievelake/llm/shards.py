@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, key_bucket, prefix_sums, seeded_key, source_key, text_of, written
+from .common import buckets_for, key_bucket, prefix_sums, quoted, seeded_key, source_key, text_of, written
 
 
 def interleaved_shards(docs: DataFrame, shards: int = 40, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -27,12 +27,12 @@ def interleaved_shards(docs: DataFrame, shards: int = 40, seed: int = 17, id_col
     utf8 = F.encode(text_of(text_col), "utf-8")
     rows = written(
         docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
+            F.col(quoted(id_col)).alias("doc_id"),
+            F.col(quoted(source_col)).alias("source"),
             source_key(source_col).alias("stratum"),
             (F.octet_length(utf8) + 16).cast("long").alias("size"),
             F.crc32(utf8).alias("text_crc32"),
-            seeded_key(seed, F.col(id_col)).alias("key"),
+            seeded_key(seed, F.col(quoted(id_col))).alias("key"),
             F.lit(1).cast("long").alias("one"),
         ),
         "shard-rows",

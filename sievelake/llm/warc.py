@@ -5,7 +5,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -14,7 +13,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, written
+from .common import fresh_path, quoted, written
+from .files import NamedFile, store_of
 
 #: Bytes read, inflated or written at once.
 CHUNK = 1 << 20
@@ -23,27 +23,6 @@ ARCHIVE_BYTES = 64 << 20
 INDEX = "archive string, offset long, length long, record_id string, record_type string, uri string, refers_to string, payload_digest string, payload_bytes long"
 
 
-def _store(uri: str):
-    """The file system of a folder or file that executors share, and the path in it."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-
-
-class _Named:
-    """A file that gets its name when it is complete, so that a task that is lost or run twice leaves no half file under it."""
-
-    def __init__(self, uri: str):
-        self.store, self.path = _store(uri)
-        self.part = f"{self.path}.{uuid.uuid4().hex}.part"
-        self.store.create_dir(self.path.rpartition("/")[0], recursive=True)
-        self.out = self.store.open_output_stream(self.part, compression=None)
-
-    def close(self) -> None:
-        self.out.close()
-        self.store.move(self.part, self.path)
-
-
 def record_head(kind: str, page_id: int | None, url: str | None, digest: str, refers_to: int | None, length: int) -> bytes:
     """Headers of a record, up to and with the blank line."""
     target = "".join(c for c in url or "" if c not in "\r\n")
@@ -62,8 +41,8 @@ def write_archives(pages: DataFrame, folder: str, smallest: int = 0, id_col: str
     digests meet by a join that Spark can split where one payload has many
     pages; only digests and ids are grouped.
     """
-    payload = F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "utf-8")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumn("sha1", F.sha1("payload"))
+    payload = F.encode(F.coalesce(F.col(quoted(html_col)).cast("string"), F.lit("")), "utf-8")
+    rows = pages.select(F.col(quoted(id_col)).cast("long").alias("page_id"), F.col(quoted(url_col)).cast("string").alias("url"), payload.alias("payload")).withColumn("sha1", F.sha1("payload"))
     first = rows.filter(F.octet_length("payload") >= smallest).groupBy("sha1").agg(F.max("page_id").alias("largest"))
     dealt = rows.join(first, "sha1", "left").withColumn("refers_to", F.when((F.octet_length("payload") >= smallest) & (F.coalesce("page_id", F.lit(-1)) != F.coalesce("largest", F.lit(-1))), F.col("largest")))
 
@@ -82,7 +61,7 @@ def write_archives(pages: DataFrame, folder: str, smallest: int = 0, id_col: str
                 revisit = to is not None
                 if file is None:
                     name = f"{folder}/whole/part-{context.partitionId():05d}-{made:04d}.warc.gz"
-                    file, press, records, size, made = _Named(name), zlib.compressobj(6, zlib.DEFLATED, 31), 0, 0, made + 1
+                    file, press, records, size, made = NamedFile(name), zlib.compressobj(6, zlib.DEFLATED, 31), 0, 0, made + 1
                 body = b"" if revisit else bytes(body)
                 head = record_head("revisit" if revisit else "response", page, None if pd.isna(url) else url, base64.b32encode(bytes.fromhex(sha1)).decode(), to, len(body))
                 for piece in (head, body, b"\r\n\r\n"):
@@ -99,7 +78,7 @@ def write_archives(pages: DataFrame, folder: str, smallest: int = 0, id_col: str
 
 def _inflated(uri: str) -> Iterator[bytes]:
     """The bytes of a gzip file of one or more members, a chunk at a time."""
-    store, path = _store(uri)
+    store, path = store_of(uri)
     with store.open_input_stream(path, compression=None) as raw:
         inflate = zlib.decompressobj(31)
         while data := raw.read(CHUNK):
@@ -167,7 +146,7 @@ def normalise_archives(archives: DataFrame, folder: str) -> DataFrame:
         for frame in frames:
             for old in frame["archive"]:
                 name = f"{folder}/members/{old.rpartition('/')[2]}"
-                file, side, at, rows = _Named(name), _Named(f"{name}.index"), 0, []
+                file, side, at, rows = NamedFile(name), NamedFile(f"{name}.index"), 0, []
                 for head, fields, body in _records(_inflated(old)):
                     press, start, size = zlib.compressobj(6, zlib.DEFLATED, 31), at, 0
 
@@ -207,7 +186,9 @@ def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
             found, bodies = [], []
             for name, offset, length in zip(frame["archive"], frame["offset"], frame["length"], strict=True):
                 if name != held:
-                    store, path = _store(name)
+                    if raw is not None:
+                        raw.close()
+                    store, path = store_of(name)
                     held, raw = name, store.open_input_file(path)
                 member = zlib.decompress(raw.read_at(int(length), int(offset)), 31)
                 _, fields, body = next(_records(iter([member])))
@@ -217,9 +198,12 @@ def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
                 if not revisit and f"sha1:{digest}" != fields["warc-payload-digest"]:
                     raise ValueError(f"{name} at {offset}: the payload does not have the digest that its head states")
                 found.append(digest)
-                bodies.append(None if revisit else payload)
+                if with_payload:
+                    bodies.append(None if revisit else payload)
             out = frame.assign(digest_found=found)
             yield out.assign(payload=bodies) if with_payload else out
+        if raw is not None:
+            raw.close()
 
     schema = f"{INDEX}, digest_found string" + ", payload binary" * with_payload
     return index.sortWithinPartitions("archive", "offset").mapInPandas(read, schema)

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sievelake.llm import neighbours, urls, warc
+from sievelake.llm import neighbours, shards, urls, warc
 from sievelake.llm.queries import URL_RULES
 
 VECTORS = "vec_id long, embedding array<float>, label int"
@@ -94,20 +94,69 @@ def test_regions_are_skipped(spark):
     parts = neighbours.partitions(usable, shard_rows=50)
     placed = neighbours.written(neighbours._placed(usable, parts), "placed-vectors")
     index = neighbours.vantage_index(placed, parts, 50)
-    asked, seen, kept = placed.filter("vec_id % 20 = 0"), [], neighbours.regions_to_search
+    asked, got = placed.filter("vec_id % 20 = 0"), collections.defaultdict(list)
+    for r in neighbours.search_index(index, asked, parts).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    trees = [(t.region, t.low, t.high, neighbours.VantageTree.load(t.tree)) for t in index.orderBy("region", "shard").collect()]
+    queries = asked.orderBy("vec_id").toPandas()
+    least = np.array([got[q][-1][1] for q in queries.vec_id])
+    block = queries.vec_id.to_numpy(), np.array(queries.vector.tolist()), queries.region.to_numpy(), least
+    sent = neighbours.search_trees(trees, parts[4].points, block, 5, 1.0, False)[2]
+    assert len({t[0] for t in trees}) > 20 and asked.count() == 100
+    assert sent < 0.2 * 100 * len(trees)
+    got = {q: [i for i, _ in v] for q, v in got.items()}
+    want = brute_nearest(rows, 20, 5)
+    assert {q: [i for i, _ in v] for q, v in want.items()} == dict(got)
+
+
+def test_large_region_is_parted(spark):
+    """One region for all: bands of distance and, for a third of equal vectors, hashes keep shards small; several blocks and spans give the exact result."""
+    rng = np.random.default_rng(6)
+    rows = [(i, [1.0, 2.0, 3.0] if i % 3 == 0 else [float(x) for x in rng.normal(0, 1, 3)], 0) for i in range(1500)]
+    usable = neighbours.usable_vectors(spark.createDataFrame(rows, VECTORS.replace("float", "double")))
+    parts = neighbours.partitions(usable, shard_rows=50, most=1)
+    placed = neighbours.written(neighbours._placed(usable, parts), "placed-vectors")
+    index = neighbours.vantage_index(placed, parts, 50)
+    sizes = [r.n for r in index.collect()]
+    assert sum(sizes) == 1500 and len(sizes) >= 30 and max(sizes) <= 100
+    kept, got = neighbours.SPAN, collections.defaultdict(list)
     try:
-        neighbours.regions_to_search = lambda *a: seen.append(kept(*a).count()) or kept(*a)
-        got = collections.defaultdict(list)
-        for r in neighbours.search_index(index, asked, parts).orderBy("query_id", "rank").collect():
-            got[r.query_id].append(r.vec_id)
-        first, more = seen
+        neighbours.SPAN = 2
+        for r in neighbours.search_index(index, placed.filter("vec_id % 20 = 0"), parts, block_rows=15).orderBy("query_id", "rank").collect():
+            got[r.query_id].append((r.vec_id, r.score))
     finally:
-        neighbours.regions_to_search = kept
-    regions = index.select("region").distinct().count()
-    assert regions > 20 and first == asked.count() == 100
-    assert more < 0.2 * first * regions
+        neighbours.SPAN = kept
     want = brute_nearest(rows, 20, 5)
-    assert {q: [i for i, _ in v] for q, v in want.items()} == dict(got)
+    assert {q: [i for i, _ in v] for q, v in want.items()} == {q: [i for i, _ in v] for q, v in got.items()}
+
+
+def test_queries_are_shuffled_once(spark):
+    """A query's vector goes to one file, however many shards there are; the search shuffles trees and no vectors of queries."""
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in rng.normal(0, 1, 16)], 0) for i in range(2000)]
+    usable = neighbours.usable_vectors(spark.createDataFrame(rows, VECTORS.replace("float", "double")))
+    parts = neighbours.partitions(usable, shard_rows=20)
+    placed = neighbours.written(neighbours._placed(usable, parts), "placed-vectors")
+    index = neighbours.vantage_index(placed, parts, 20)
+    folder = neighbours.fresh_path(spark, "blocks")
+    ranges = {16: index.groupBy("region").agg(F.min("low").alias("low"), F.max("high").alias("high")).toPandas()}
+    made = neighbours.write_blocks(placed.filter("vec_id % 10 = 0").withColumn("least", F.lit(None).cast("double")), ranges, parts, folder, 4)
+    assert made.agg(F.sum("n")).first()[0] == 200 and index.count() > 100
+    held = [neighbours._read_block(folder, 16, b) for b in range(4)]
+    assert sorted(i for h in held if h is not None for i in h[0]) == list(range(0, 2000, 10))
+    assert neighbours._read_block(folder, 17, 0) is None
+    plan = neighbours._searched(index, parts, folder, 4, 5, 1.0, True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "query-blocks" not in plan
+
+
+def test_names_with_dots(spark):
+    """Columns that the caller names may hold dots and backticks."""
+    rows = [(1, "one two", "x"), (2, None, None), (3, "one two", "y")]
+    odd = shards.interleaved_shards(spark.createDataFrame(rows, "`a.b` long, `c.d` string, `e``f` string"), 2, id_col="a.b", text_col="c.d", source_col="e`f")
+    assert sorted(r.doc_id for r in odd.collect()) == [1, 2, 3]
+    pages = spark.createDataFrame([(i, f"http://a/{i}", text) for i, text, _ in rows], "`a.b` long, `c.d` string, `e``f` string")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.archived_pages(pages, id_col="a.b", url_col="c.d", html_col="e`f").collect()}
+    assert got == {1: ("revisit", 3), 2: ("response", None), 3: ("response", None)}
 
 
 def test_search_empty(spark):
