@@ -239,10 +239,10 @@ def vantage_index(placed: DataFrame, parts: dict[int, Partition], shard_rows: in
     the id, so that no task gets more than about as many.
     """
     cuts = F.percentile_approx("away", F.array(*[F.lit(i / BANDS) for i in range(1, BANDS)]), F.lit(1000))
-    laid = placed.groupBy("dim", "region").agg(F.least(F.ceil(F.count("*") / shard_rows), F.lit(BANDS)).alias("bands"), cuts.alias("cuts"))
+    laid = written(placed.groupBy("dim", "region").agg(F.least(F.ceil(F.count("*") / shard_rows), F.lit(BANDS)).alias("bands"), cuts.alias("cuts")), "vantage-bands", 1)
     under = F.size(F.filter("cuts", lambda c: c < F.col("away")))
     banded = placed.join(laid, ["dim", "region"]).withColumn("band", F.floor(under * F.col("bands") / F.lit(BANDS)).cast("int")).select("vec_id", "vector", "dim", "region", "band")
-    sizes = banded.groupBy("dim", "region", "band").agg(F.ceil(F.count("*") / shard_rows).alias("pieces"))
+    sizes = written(banded.groupBy("dim", "region", "band").agg(F.ceil(F.count("*") / shard_rows).alias("pieces")), "vantage-pieces", 1)
     dealt = banded.join(sizes, ["dim", "region", "band"]).withColumn("shard", (F.col("band") + BANDS * F.pmod(F.xxhash64("vec_id"), "pieces")).cast("int"))
 
     def grow(frame: pd.DataFrame) -> pd.DataFrame:
