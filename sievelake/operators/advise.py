@@ -120,9 +120,12 @@ def column_roles(df: DataFrame) -> DataFrame:
     return name_roles(profile.kinds(df)).select("column", "kind", "role", "unit", "duration_unit", "default_agg", "is_personal")
 
 
-def health(df: DataFrame, keys: int = 2, gaps: int = 3, ranges: int = 2) -> DataFrame:
+def health(df: DataFrame, keys: int | None = 2, gaps: int | None = 3, ranges: int | None = 2, ids: bool = False) -> DataFrame:
     """What a steward looks at first: the first few columns like keys, the emptiest ones, and extremes of the first few numbers that are no ids.
 
+    None instead of a number takes every such column; with ids the extremes of
+    numbers that are ids are given too.
+
     A column is like a key with 90 different values in 100 rows, unless it is a
     date or a number that is no id. A number is an id by its role
     (column_roles), or where its extremes are whole and have nine digits
@@ -135,11 +138,15 @@ def health(df: DataFrame, keys: int = 2, gaps: int = 3, ranges: int = 2) -> Data
     long = F.greatest(F.abs("min"), F.abs("max")) >= 1e8
     is_id = (F.col("role") == "identifier") | (whole & (long | dense))
     number = F.col("kind") == "numeric"
-    key_like = p.filter((F.col("kind") != "date") & dense & (~number | is_id)).orderBy("place").limit(keys).select("column", F.lit("key_like").alias("check"), (100.0 * F.col("n_distinct") / F.col("rows")).alias("value"))
+
+    def firsts(rows: DataFrame, n: int | None, *order: Column | str) -> DataFrame:
+        ordered = rows.orderBy(*order)
+        return ordered if n is None else ordered.limit(n)
+
+    key_like = firsts(p.filter((F.col("kind") != "date") & dense & (~number | is_id)), keys, "place").select("column", F.lit("key_like").alias("check"), (100.0 * F.col("n_distinct") / F.col("rows")).alias("value"))
     share = 100.0 * F.col("missing") / F.col("rows")
-    empty = p.filter("missing > 0").orderBy(share.desc(), "place").limit(gaps).select("column", F.lit("empty_pct").alias("check"), share.alias("value"))
-    first = p.filter(number & ~is_id).orderBy("place").limit(ranges)
-    extremes = first.select("column", F.explode(F.array(*[F.struct(F.lit(f"range_{k}").alias("check"), F.col(k).alias("value")) for k in ("min", "max")])).alias("r")).select("column", "r.check", "r.value")
+    empty = firsts(p.filter("missing > 0"), gaps, share.desc(), "place").select("column", F.lit("empty_pct").alias("check"), share.alias("value"))
+    extremes = firsts(p.filter(number if ids else number & ~is_id), ranges, "place").select("column", F.explode(F.array(*[F.struct(F.lit(f"range_{k}").alias("check"), F.col(k).alias("value")) for k in ("min", "max")])).alias("r")).select("column", "r.check", "r.value")
     return key_like.union(empty).union(extremes).withColumn("value", F.round("value", 4))
 
 

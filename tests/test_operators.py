@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sievelake.functions import align
 from sievelake.functions.similarity import hybrid_score, normal
 from sievelake.operators import advise, dash, dedup, drift, evaluate, gold, history, infer, metrics, outliers, profile, profile_state, quantiles, relate, repair, search, semantic, sinks, validate, versions, zones
+from sievelake.plans import queries_core
 from sievelake.plans.quality_run import TableSpec, run
 from sievelake.sources import read
 from sievelake.sources.read import guarded_query, read_jdbc
@@ -506,6 +507,22 @@ def test_health(spark):
     assert {x[0] for x in got if x[1] == "range_min"} == {"amount", "grade"}
 
 
+def test_health_of_all_columns(spark):
+    """Without bounds every key, gap and number is there, ids too."""
+    rows = [(k, k + 0.5, f"n{k}", f"m{k}", 123_456_789, k % 3, k % 4, *[None if k % n else "a" for n in (2, 4, 5, 10)]) for k in range(20)]
+    df = spark.createDataFrame(rows, "page_id int, amount double, name string, label string, phone_no int, grade int, level int, a string, b string, c string, d string")
+    got = [(r["column"], r.check, r.value) for r in advise.health(df, keys=None, gaps=None, ranges=None, ids=True).collect()]
+    assert [x[0] for x in got if x[1] == "key_like"] == ["page_id", "name", "label"]
+    assert [(x[0], x[2]) for x in got if x[1] == "empty_pct"] == [("d", 90.0), ("c", 80.0), ("b", 75.0), ("a", 50.0)]
+    assert {x[0]: x[2] for x in got if x[1] == "range_max"} == {"page_id": 19.0, "amount": 19.5, "phone_no": 123_456_789.0, "grade": 2.0, "level": 3.0}
+
+
+def test_health_checks_query(spark):
+    """The query gives the range of the id as well as those of other numbers."""
+    got = {(r["column"], r.check) for r in queries_core.health_checks(spark, "/root/testdata/sf0.001").collect()}
+    assert {(c, f"range_{k}") for c in ("c_custkey", "c_nationkey", "c_acctbal") for k in ("min", "max")} <= got
+
+
 def test_column_kinds(spark):
     rows = [(k, k, float(k), f"t{k}", f"x{k % 3}", f"y{k % 30}", True, f"d{k % 40}", 1) for k in range(60)]
     df = spark.createDataFrame(rows, "id int, n int, f double, t string, c string, s string, b boolean, created_at string, score_id int")
