@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -18,12 +19,15 @@ from .common import quoted, shuffle_partitions, text_of, written
 
 #: Bytes of texts that a shard of the matrix holds, unless one text has more.
 SHARD = 16 << 20
+#: Bytes of a shard's texts whose words are held at once, unless one word has more.
+PIECE = 1 << 20
 #: The filters, in the order of their bits.
 FILTERS = "ABCDE"
 CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SIGNS = b"#$%&*|"
 #: Whether a byte is one of the six ASCII blanks.
 BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+BLANKS = re.compile(rb"[\t-\r ]")
 
 
 # ---- document-term matrix --------------------------------------------------
@@ -57,6 +61,67 @@ def words_of(data: np.ndarray) -> tuple[pa.BinaryArray, np.ndarray]:
     return pa.Array.from_buffers(pa.large_binary(), len(starts), buffers), starts
 
 
+def _pieces(texts: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Stretches of the texts of about PIECE bytes together, and the places of the texts that they are from; long texts are cut before a blank."""
+    docs, parts, total = [], [], 0
+    for doc, text in enumerate(texts):
+        at = 0
+        while at is not None:
+            blank = BLANKS.search(text, at + PIECE) if len(text) - at > PIECE else None
+            part = text[at : blank.start()] if blank else text[at:]
+            if parts and total + len(part) > PIECE:
+                yield docs, parts
+                docs, parts, total = [], [], 0
+            docs.append(doc)
+            parts.append(part)
+            total += len(part) + 1
+            at = blank.start() if blank else None
+    if parts:
+        yield docs, parts
+
+
+def count_words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Different words of the texts in order of their hashes, these hashes, and an entry for each text and word of it: (text, word's place) in order as upper and lower 32 bits, and counts.
+
+    Words are found, encoded and counted piece by piece, so that besides the
+    entries and the different words only those of one piece are in memory.
+    """
+    dictionaries, entries, counts = [], [], []
+    for docs, parts in _pieces(texts):
+        words, at = words_of(np.frombuffer(b"\n".join(parts), np.uint8))
+        if not len(words):
+            continue
+        encoded = words.dictionary_encode()
+        bounds = np.cumsum([len(p) + 1 for p in parts])
+        doc = np.array(docs, np.int64)[np.searchsorted(bounds, at, side="right")]
+        entry, n = np.unique((doc << 32) | encoded.indices.to_numpy(), return_counts=True)
+        dictionaries.append(encoded.dictionary)
+        entries.append(entry)
+        counts.append(n.astype(np.int32))
+    if not entries:
+        return pa.array([], pa.large_binary()), *[np.zeros(0, np.int64)] * 3
+    # Encoding the pieces' dictionaries as one column gives all of them the dictionary of the whole.
+    places = pa.chunked_array(dictionaries).dictionary_encode()
+    distinct = places.chunk(0).dictionary
+    hashes = np.concatenate([np.fromiter(map(zlib.crc32, distinct.slice(k, 1 << 16).to_pylist()), np.int64) for k in range(0, len(distinct), 1 << 16)])
+    order = np.argsort(hashes, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    for k, chunk in enumerate(places.chunks):
+        entry = (entries[k] >> 32 << 32) | place[chunk.indices.to_numpy()[entries[k] & 0xFFFFFFFF]]
+        by = np.argsort(entry)
+        entries[k], counts[k] = entry[by], counts[k][by]
+    entry, n = np.concatenate(entries), np.concatenate(counts)
+    del entries, counts
+    if (entry[1:] <= entry[:-1]).any():
+        # A text that was cut can have a word in several pieces.
+        by = np.argsort(entry, kind="stable")
+        entry, n = entry[by], n[by]
+        first = np.flatnonzero(np.diff(entry, prepend=-1))
+        entry, n = entry[first], np.add.reduceat(n, first)
+    return distinct.take(pa.array(order)), hashes[order], entry, n
+
+
 def _packed(values: np.ndarray) -> bytes:
     """32-bit numbers as compressed bytes."""
     return pa.Codec("zstd", 1).compress(values.astype(np.int32).tobytes(), asbytes=True)
@@ -77,34 +142,26 @@ def _local_shards(rows: DataFrame, size: int, ranges: int) -> DataFrame:
     def build(batches):
         task = TaskContext.get().partitionId()
         kind = pa.struct([("doc_id", pa.int64()), ("part", pa.string()), ("digest", pa.binary()), ("fails_c", pa.bool_()), ("fails_d", pa.bool_())])
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(kind), pa.list_(pa.int32()), pa.int64(), pa.binary(), pa.binary()]
         for nth, (ids, parts, texts) in enumerate(_shards_of(batches, size)):
-            docs = []
-            for doc_id, part, text in zip(ids, parts, texts, strict=True):
+            digests, fails_c, fails_d = [], [], []
+            for text in texts:
                 capitals = len(text) - len(text.translate(None, CAPITALS))
                 points = len(text.decode("utf-8", "replace"))
-                docs.append({"doc_id": doc_id, "part": part, "digest": hashlib.sha256(text).digest(), "fails_c": 100 * capitals > 5 * points, "fails_d": len(text.translate(None, SIGNS)) < len(text)})
-            words, at = words_of(np.frombuffer(b"\n".join(texts), np.uint8))
-            encoded = words.dictionary_encode()
-            distinct = encoded.dictionary.to_pylist()
-            hashes = np.fromiter(map(zlib.crc32, distinct), np.int64, len(distinct))
-            order = np.argsort(hashes, kind="stable")
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            # An entry for each document and word: they are counted in order of both.
-            bounds = np.cumsum([len(t) + 1 for t in texts])
-            entry = np.sort((np.searchsorted(bounds, at, side="right") << 32) | place[encoded.indices.to_numpy()])
-            first = np.flatnonzero(np.diff(entry, prepend=-1))
-            counts = np.diff(np.append(first, len(entry)))
-            starts = np.searchsorted(entry[first] >> 32, np.arange(len(ids) + 1))
-            shard, cells = (task << 32) | nth, entry[first] & 0xFFFFFFFF
-            head = [[shard], [None], [None], [docs], [starts.tolist()], [len(first)], [_packed(cells)], [_packed(counts)]]
-            cuts = np.searchsorted(hashes[order] * ranges >> 32, np.arange(ranges + 1))
+                digests.append(hashlib.sha256(text).digest())
+                fails_c.append(100 * capitals > 5 * points)
+                fails_d.append(len(text.translate(None, SIGNS)) < len(text))
+            columns = [pa.array(c, f.type) for c, f in zip((ids, parts, digests, fails_c, fails_d), kind, strict=True)]
+            docs = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.StructArray.from_arrays(columns, fields=list(kind)))
+            words, hashes, entry, counts = count_words(texts)
+            starts = np.searchsorted(entry >> 32, np.arange(len(ids) + 1)).astype(np.int32)
+            shard = (task << 32) | nth
+            head = [[shard], [None], [None], docs, [starts], [len(entry)], [_packed(entry & 0xFFFFFFFF)], [_packed(counts)]]
+            cuts = np.searchsorted(hashes * ranges >> 32, np.arange(ranges + 1))
             held = [r for r in range(ranges) if cuts[r] < cuts[r + 1]]
-            sorted_words = [distinct[k] for k in order]
-            rest = [[shard] * len(held), held, [b" ".join(sorted_words[cuts[r] : cuts[r + 1]]) for r in held], *[[None] * len(held)] * 5]
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(kind), pa.list_(pa.int32()), pa.int64(), pa.binary(), pa.binary()]
-            for columns in (head, rest):
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["shard", "range", "words", "docs", "starts", "entries", "columns", "counts"])
+            rest = [[shard] * len(held), held, [b" ".join(words.slice(cuts[r], cuts[r + 1] - cuts[r]).to_pylist()) for r in held], *[[None] * len(held)] * 5]
+            for row in (head, rest):
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(row, kinds, strict=True)], ["shard", "range", "words", "docs", "starts", "entries", "columns", "counts"])
 
     docs = "array<struct<doc_id:long,part:string,digest:binary,fails_c:boolean,fails_d:boolean>>"
     return rows.mapInArrow(build, f"shard long, range long, words binary, docs {docs}, starts array<int>, entries long, columns binary, counts binary")

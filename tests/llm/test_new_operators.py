@@ -5,9 +5,13 @@ import hashlib
 import itertools
 import math
 import re
+import tracemalloc
+import zlib
 from fractions import Fraction
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from samples import prose
@@ -208,6 +212,41 @@ def test_document_term_matrix(spark, ranges):
         assert found == {i: {numbers[w]: n for w, n in collections.Counter(WORD.findall(t or "")).items()} for i, t in enumerate(texts)}
 
 
+@pytest.mark.parametrize("piece", [1, 7, 40, 1 << 20])
+def test_words_by_pieces(monkeypatch, piece):
+    """Words and counts are the same wherever texts are cut, and texts without words have no entries."""
+    monkeypatch.setattr(audit, "PIECE", piece)
+    texts = ["b a b", "", " \t\n", "c d a " * 9, "é" * 30, "a", " b  c ", "", "aa\rb\x0bé b" * 5]
+    words, hashes, entry, counts = audit.count_words([t.encode() for t in texts])
+    words = [w.decode() for w in words.to_pylist()]
+    assert hashes.tolist() == sorted(zlib.crc32(w.encode()) for w in words) and len(set(words)) == len(words)
+    assert entry.tolist() == sorted(set(entry.tolist()))
+    found = collections.defaultdict(dict)
+    for e, n in zip(entry.tolist(), counts.tolist(), strict=True):
+        found[e >> 32][words[e & 0xFFFFFFFF]] = n
+    assert found == {k: c for k, t in enumerate(texts) if (c := collections.Counter(WORD.findall(t)))}
+    assert [len(x) for x in audit.count_words([b"", b" "])] == [0] * 4
+
+
+def test_shard_memory(monkeypatch):
+    """A shard's making takes less than twelve times its texts, short ones here."""
+    monkeypatch.setattr(audit, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    build = audit._local_shards(SimpleNamespace(mapInArrow=lambda f, _: f), 16 << 20, 211)
+    rng = np.random.default_rng(1)
+    words = np.array([f"{k * 7919 % 300_007:x}" for k in range(300_000)])
+    texts = [" ".join(words[(300_000 * rng.random(200) ** 3).astype(int)]) for _ in range(8_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(["p"] * len(texts)), pa.array(texts)], ["doc_id", "part", "text"])
+    size = sum(map(len, texts))
+    del texts, words
+    tracemalloc.start()  # Python's objects and numpy's
+    try:
+        made = [b.num_rows for b in build(iter([batch]))]
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert made == [1, 211] and size > 8e6 and most < 12 * size, (made, size, most)
+
+
 # ---- whitening -------------------------------------------------------------
 
 
