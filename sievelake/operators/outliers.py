@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import two_decimals
 from .quantiles import quantiles
 
 
@@ -24,13 +25,14 @@ def iqr_bounds(df: DataFrame, columns: list[str], k: float = 1.5, exact: bool =
 
 def flag_iqr(df: DataFrame, bounds: DataFrame, columns: list[str]) -> DataFrame:
     """Adds outliers: an array of 'c=value (expected [low, high])'; null is never an outlier. bounds: from iqr_bounds, a row a column."""
-    one = bounds.groupBy().pivot("column", columns).agg(F.first(F.struct("low", "high")))
+    expected = F.concat(F.lit(" (expected ["), two_decimals(F.col("low")), F.lit(", "), two_decimals(F.col("high")), F.lit("])"))
+    one = bounds.groupBy().pivot("column", columns).agg(F.first(F.struct("low", "high", expected.alias("expected"))))
     one = one.toDF(*[f"__b_{c}" for c in columns])
     joined = df.crossJoin(F.broadcast(one))  # a single row
     hits = []
     for c in columns:
         low, high = F.col(f"__b_{c}.low"), F.col(f"__b_{c}.high")
-        text = F.concat(F.lit(f"{c}="), F.format_string("%.2f", F.col(c).cast("double")), F.lit(" (expected ["), F.format_string("%.2f", low), F.lit(", "), F.format_string("%.2f", high), F.lit("])"))
+        text = F.concat(F.lit(f"{c}="), two_decimals(F.col(c)), F.col(f"__b_{c}.expected"))
         hits.append(F.when((F.col(c) < low) | (F.col(c) > high), text))
     return joined.withColumn("outliers", F.filter(F.array(*hits), lambda x: x.isNotNull())).drop(*one.columns)
 

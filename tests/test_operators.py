@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sievelake.functions import align
+from sievelake.functions.numbers import two_decimals
 from sievelake.functions.similarity import hybrid_score, normal
 from sievelake.operators import advise, dash, dedup, drift, evaluate, gold, history, infer, metrics, outliers, profile, profile_state, quantiles, relate, repair, search, semantic, sinks, validate, versions, zones
 from sievelake.plans import queries_core
@@ -707,3 +708,18 @@ def test_search_reads_few_files(spark, tmp_path):
     versions.upsert(spark.createDataFrame([(9999, "late quokka", None)], "id long, t string, note string"), path, ["id"], file_rows=150)
     assert sorted(r.id for r in search.search(spark, path, "QUOKKA").collect()) == [4321, 9999]
     assert search.index_files(spark, path) == 1
+
+
+def test_two_decimals(spark):
+    """Exact values are rounded, half to even, as printf does; not their shortest texts."""
+    texts = {-627169.065: "-627169.06", 0.125: "0.12", 0.375: "0.38", 1.005: "1.00", 2.675: "2.67", 0.005: "0.01", 0.995: "0.99", 99.996: "100.00", -0.001: "-0.00", 2.0**62: "4611686018427387904.00", float("inf"): "inf", float("nan"): "nan", None: None}
+    df = spark.createDataFrame([(x,) for x in texts], "x double")
+    assert [r[0] for r in df.select(two_decimals(F.col("x"))).collect()] == list(texts.values())
+    assert all("%.2f" % x == t for x, t in texts.items() if x is not None)
+
+
+@given(st.lists(st.one_of(st.floats(-1e17, 1e17), st.integers(-10**9, 10**9).map(lambda k: k / 200)), min_size=1, max_size=200))
+@settings(max_examples=10, deadline=None)
+def test_two_decimals_of_any_number(spark, xs):
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select(two_decimals(F.col("x")))
+    assert [r[0] for r in got.collect()] == ["%.2f" % x for x in xs]
