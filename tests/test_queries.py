@@ -53,3 +53,33 @@ def test_fences_on_half_a_cent(spark, con, tmp_path, name):
     """The fences of these orders are -658961.5075 and 1152500.295, a double under its text: SQL rounds it down."""
     con.execute(f"COPY (SELECT * FROM orders WHERE o_orderkey < 208) TO '{tmp_path}/orders.parquet'")
     assert compare.difference(spark, compare.connect(str(tmp_path)), CORE[name], SQL[name], str(tmp_path)) is None
+
+
+def _lands(spark, con, path, events: str, broadcast: str) -> str | None:
+    """How duplicate_files differs from its SQL over four files of events, with joins broadcast up to a size and partitions left as small as they are."""
+    os.makedirs(f"{path}/events.parquet")
+    for k in range(4):
+        con.execute(f"COPY (SELECT * FROM ({events}) WHERE event_id % 4 IN ({k}, {-k})) TO '{path}/events.parquet/{k}.parquet'")
+    found = compare.connect(f"{path}/none")
+    found.execute(f"CREATE VIEW events AS SELECT * FROM '{path}/events.parquet/*.parquet'")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": broadcast, "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        return compare.difference(spark, found, CORE["duplicate_files"], SQL["duplicate_files"], str(path))
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+
+
+@pytest.mark.parametrize("broadcast", ["2k", "-1"])
+def test_a_file_lands_for_each_kind(spark, con, tmp_path, broadcast):
+    """Events over the size that is broadcast: Spark plans the join anew by what it finds, and cuts no kind into several files."""
+    assert _lands(spark, con, tmp_path, "FROM events", broadcast) is None
+
+
+def test_kinds_land_whatever_their_values(spark, con, tmp_path):
+    """A null kind, values that are missing in a kind, a first id that is negative."""
+    kind, value = "CASE WHEN event_type <> 'click' THEN event_type END AS event_type", "CASE WHEN event_type <> 'signup' THEN value END AS value"
+    odd = f"SELECT * REPLACE ({kind}, {value}) FROM events UNION ALL SELECT * REPLACE (-3::BIGINT AS event_id) FROM events WHERE event_id = 8"
+    assert _lands(spark, con, tmp_path, odd, "10m") is None
