@@ -48,7 +48,7 @@ def test_entry_without(gone):
     assert int(out[0]) == len(CORE) if gone != "corpus_pipeline" else int(out[0]) >= len(CORE)
 
 
-@pytest.mark.parametrize("name", ["assembled_quarantine", "false_positive_reasons"])
+@pytest.mark.parametrize("name", ["assembled_quarantine", "false_positive_reasons", "quality_run_rows"])
 def test_fences_on_half_a_cent(spark, con, tmp_path, name):
     """The fences of these orders are -658961.5075 and 1152500.295, a double under its text: SQL rounds it down."""
     con.execute(f"COPY (SELECT * FROM orders WHERE o_orderkey < 208) TO '{tmp_path}/orders.parquet'")
